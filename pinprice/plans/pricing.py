@@ -1,0 +1,223 @@
+"""Least delivered price per product, zone and destination pincode.
+
+Rewrites that keep the expansion (products x pincodes) as small as the
+output (Catalyst does not do these on its own):
+
+1. With a flat charge the delivered price is monotone in the buying price
+   and does not depend on the destination, so the winner of a (zone,
+   product) is computed once (partial + final aggregate) and only then
+   joined to the zone's pincodes.
+2. With a distance charge the winner of each (zone, product, seller
+   pincode) is computed before expanding to destinations: for one seller
+   pincode and one destination the charge is fixed, so the cheaper buying
+   price always wins there.
+
+Total order on ties: (finalPrice, buyingPrice, quantity, pincodeNum), all
+ascending; the price itself never depends on it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pinprice.functions.expr import (
+    CARRIER,
+    PIN_CHARGE,
+    ZONE_CHARGE,
+    delivered_price,
+    eligible_buying,
+    eligible_selling,
+)
+from pinprice.operators.aggregate import argmin, top_k
+from pinprice.operators.joins import DEFAULT_BROADCAST_ROWS, expand_join
+from pinprice.plans.charges import attach_charge
+
+TIE_ORDER = ("finalPrice", "buyingPrice", "quantity", "pincodeNum")
+
+
+def _known(df: DataFrame, products: DataFrame | None) -> DataFrame:
+    """Keep rows whose product exists in the catalogue (left semi join)."""
+    if products is None:
+        return df
+    return df.join(products.select("product"), "product", "left_semi")
+
+
+def _zone(df: DataFrame, zone: str | None) -> DataFrame:
+    return df if zone is None else df.where(F.col("zone") == F.lit(zone.strip().upper()))
+
+
+def eligible_offers(offers: DataFrame, by: str = "buying") -> DataFrame:
+    """Offers with a price (buying or selling) and quantity > 0."""
+    return offers.where(eligible_buying() if by == "buying" else eligible_selling())
+
+
+def price_offers(offers: DataFrame, charge: float = PIN_CHARGE) -> DataFrame:
+    """Eligible offers with their rounded delivered price ``finalPrice``."""
+    return eligible_offers(offers).withColumn(
+        "finalPrice", delivered_price("buyingPrice", charge))
+
+
+def zone_winners(offers: DataFrame, products: DataFrame | None = None,
+                 zone: str | None = None) -> DataFrame:
+    """Cheapest eligible offer per (zone, product) for any flat charge.
+
+    Ordered by (buyingPrice, quantity, pincodeNum): with a flat charge this
+    is the same order as (finalPrice, buyingPrice, quantity, pincodeNum).
+    Output: zone, product, buyingPrice, quantity, pincodeNum.
+    """
+    e = eligible_offers(_zone(offers, zone)).select(
+        "zone", "product", "buyingPrice", "quantity", "pincodeNum")
+    w = argmin(e, ["zone", "product"], ["buyingPrice", "quantity", "pincodeNum"])
+    return _known(w, products)
+
+
+def seller_winners(offers: DataFrame, products: DataFrame | None = None,
+                   zone: str | None = None, by: str = "buying") -> DataFrame:
+    """Cheapest eligible offer per (zone, product, seller pincode)."""
+    price = "buyingPrice" if by == "buying" else "sellingPrice"
+    e = eligible_offers(_zone(offers, zone), by).select(
+        "zone", "product", "pincodeNum", price, "quantity")
+    w = argmin(e, ["zone", "product", "pincodeNum"], [price, "quantity"])
+    return _known(w, products)
+
+
+def argmin_per_key(offers: DataFrame, charge: float = ZONE_CHARGE,
+                   products: DataFrame | None = None) -> DataFrame:
+    """Winning offer per (zone, product) with its price under a flat charge."""
+    w = zone_winners(offers, products)
+    return w.select("zone", "product",
+                    delivered_price("buyingPrice", charge).alias("finalPrice"),
+                    "quantity", "pincodeNum", "buyingPrice")
+
+
+def zone_pincodes(pincodes: DataFrame, zone: str | None = None) -> DataFrame:
+    """Distinct (zone, pincode) rows; duplicate pincode rows collapse."""
+    p = pincodes.select(F.upper(F.trim(F.col("zone"))).alias("zone"), F.col("pincode"))
+    p = p.where(F.col("zone").isNotNull() & F.col("pincode").isNotNull())
+    return _zone(p, zone).distinct()
+
+
+def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
+                       products: DataFrame | None = None, zone: str | None = None,
+                       charge: float = ZONE_CHARGE, distances: DataFrame | None = None,
+                       on_missing: str = "zero",
+                       max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Least delivered price and winning quantity for every pincode of a zone,
+    for all products at once (all zones when ``zone`` is None).
+
+    ``distances=None`` uses the flat ``charge``; otherwise the charge is the
+    seller->destination distance (see ``attach_charge``).
+    Output: product, zone, pincode, finalPrice, quantity.
+    """
+    pins = zone_pincodes(pincodes, zone)
+    if distances is None:
+        w = zone_winners(offers, products, zone)
+        x = expand_join(w, pins, "zone", max_broadcast_rows)
+        return x.select("product", "zone", "pincode",
+                        delivered_price("buyingPrice", charge).alias("finalPrice"),
+                        "quantity")
+    s = seller_winners(offers, products, zone)
+    x = expand_join(s, pins, "zone", max_broadcast_rows)
+    x = attach_charge(x, distances, "pincodeNum", "pincode", on_missing,
+                      max_broadcast_rows=max_broadcast_rows)
+    x = x.withColumn("finalPrice", delivered_price("buyingPrice", F.col("charge")))
+    best = argmin(x, ["product", "zone", "pincode"], list(TIE_ORDER))
+    return best.select("product", "zone", "pincode", "finalPrice", "quantity")
+
+
+def attach_destination(offers: DataFrame, requests: DataFrame) -> DataFrame:
+    """Offers of each request's (zone, product) with the destination attached.
+
+    Equi-join on (zone, product); a one-row request is the single-pincode case.
+    """
+    r = requests.select("request_id", "zone", "product", F.col("dest_pin").alias("destPin"))
+    return r.join(offers, ["zone", "product"], "inner")
+
+
+def price_for_destinations(offers: DataFrame, requests: DataFrame, distances: DataFrame,
+                           on_missing: str = "zero") -> DataFrame:
+    """Every eligible offer of each request priced with the distance charge.
+
+    Output: request_id, zone, product, pincodeNum, destPincode, buyingPrice,
+    quantity, charge, finalPrice.
+    """
+    x = attach_destination(eligible_offers(offers), requests).withColumnRenamed("destPin", "destPincode")
+    x = attach_charge(x, distances, "pincodeNum", "destPincode", on_missing)
+    return x.select("request_id", "zone", "product", "pincodeNum", "destPincode",
+                    "buyingPrice", "quantity", "charge",
+                    delivered_price("buyingPrice", F.col("charge")).alias("finalPrice"))
+
+
+def min_price_for_pins(offers: DataFrame, requests: DataFrame,
+                       products: DataFrame | None = None, charge: float = PIN_CHARGE,
+                       distances: DataFrame | None = None,
+                       on_missing: str = "zero") -> DataFrame:
+    """Least delivered price for each (request_id, product, zone, dest_pin).
+
+    No row when the product is unknown or has no eligible offer in the zone.
+    Distinct (zone, product, dest_pin) keys are priced once and joined back.
+    Output: request_id, product, zone, pincode, price.
+    """
+    req = _known(requests.select("request_id", "product", "zone", "dest_pin"), products)
+    if distances is None:
+        w = zone_winners(offers, products)
+        priced = w.select("zone", "product", delivered_price("buyingPrice", charge).alias("price"))
+        out = req.join(priced, ["zone", "product"], "inner")
+    else:
+        keys = req.select("zone", "product", "dest_pin").distinct()
+        s = seller_winners(offers, products)
+        x = keys.join(s, ["zone", "product"], "inner")
+        x = attach_charge(x, distances, "pincodeNum", "dest_pin", on_missing)
+        x = x.withColumn("finalPrice", delivered_price("buyingPrice", F.col("charge")))
+        best = x.groupBy("zone", "product", "dest_pin").agg(F.min("finalPrice").alias("price"))
+        out = req.join(best, ["zone", "product", "dest_pin"], "inner")
+    return out.select("request_id", "product", "zone",
+                      F.col("dest_pin").alias("pincode"), "price")
+
+
+def min_price_for_pin(spark, offers: DataFrame, product: int, zone: str, dest_pin: int,
+                      products: DataFrame | None = None, charge: float = PIN_CHARGE,
+                      distances: DataFrame | None = None) -> DataFrame:
+    """Single request convenience: one product, zone and destination."""
+    req = spark.createDataFrame(
+        [(0, product, zone.strip().upper(), dest_pin)],
+        "request_id BIGINT, product BIGINT, zone STRING, dest_pin INT")
+    return min_price_for_pins(offers, req, products, charge, distances).drop("request_id")
+
+
+def min_price(offers_with_dest: DataFrame, keys=("destPin",), charge: float = PIN_CHARGE) -> DataFrame:
+    """Least price per key over offers that already carry their destination."""
+    e = eligible_offers(offers_with_dest).withColumn(
+        "finalPrice", delivered_price("buyingPrice", charge))
+    return e.groupBy(*keys).agg(F.min("finalPrice").alias("price"))
+
+
+def min_quote_for_pins(offers: DataFrame, destinations: DataFrame, distances: DataFrame,
+                       products: DataFrame | None = None, carrier: str = CARRIER,
+                       on_missing: str = "drop") -> DataFrame:
+    """Least ``sellingPrice + distance`` for each destination of a list.
+
+    ``destinations`` has (product, zone, pincode) rows, or (product, zone,
+    dest_pins ARRAY<INT>) which is exploded. Each destination is priced on
+    its own. A seller with no distance entry is skipped (``"drop"``).
+    Output: product, zone, pincode, type, price (double, unrounded).
+    """
+    d = destinations
+    if "dest_pins" in d.columns:
+        d = d.select("product", "zone", F.explode("dest_pins").alias("pincode"))
+    d = _known(d.select("product", "zone", "pincode").where(F.col("pincode").isNotNull()).distinct(),
+               products)
+    s = seller_winners(offers, by="selling")
+    x = d.join(s, ["zone", "product"], "inner")
+    x = attach_charge(x, distances, "pincodeNum", "pincode", on_missing)
+    x = x.withColumn("price", F.col("sellingPrice") + F.col("charge"))
+    best = argmin(x, ["product", "zone", "pincode"], ["price", "sellingPrice", "quantity", "pincodeNum"])
+    return best.select("product", "zone", "pincode", F.lit(carrier).alias("type"), "price")
+
+
+def top_k_offers(offers: DataFrame, k: int = 3, charge: float = ZONE_CHARGE) -> DataFrame:
+    """The k cheapest eligible offers per (zone, product), ranked 1..k."""
+    priced = price_offers(offers, charge)
+    ranked = top_k(priced, ["zone", "product"], list(TIE_ORDER), k)
+    return ranked.select("zone", "product", "rank", "finalPrice", "buyingPrice", "quantity", "pincodeNum")
