@@ -49,11 +49,7 @@ from pinprice.sources.sinks import (  # noqa: E402
     read_kv,
     write_kv,
 )
-from pinprice.sources.tables import (  # noqa: E402
-    offers_from_documents,
-    to_documents,
-    write_offers,
-)
+from pinprice.sources.tables import offers_from_documents, to_documents  # noqa: E402
 from pinprice.streaming.requests import (  # noqa: E402
     read_stream_results,
     stream_price_requests,
@@ -233,11 +229,9 @@ def q24_stream_requests(spark, sf_dir):
     """Requests arrive as files; each micro-batch is priced and written idempotently."""
     t = _t(spark, sf_dir)
     base = shared_dir(spark, "stream")
-    offers_path, src, out, ckpt = (f"{base}/{p}" for p in ("offers", "requests", "out", "checkpoint"))
-    write_offers(t["zoneprices"], offers_path)
+    src, out, ckpt = (f"{base}/{p}" for p in ("requests", "out", "checkpoint"))
     t["requests"].repartitionByRange(4, "request_id").write.parquet(src)
-    offers = spark.read.parquet(offers_path).select(*OFFER_COLS)
-    q = stream_price_requests(spark, src, out, ckpt, offers, t["pincodes"], t["productinfos"],
+    q = stream_price_requests(spark, src, out, ckpt, t["zoneprices"], t["pincodes"], t["productinfos"],
                               max_files_per_trigger=1)
     q.awaitTermination()
     return read_stream_results(spark, out)

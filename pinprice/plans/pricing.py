@@ -18,7 +18,7 @@ ascending; the price itself never depends on it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pinprice.functions.expr import (
@@ -30,7 +30,7 @@ from pinprice.functions.expr import (
     eligible_selling,
 )
 from pinprice.operators.aggregate import argmin, top_k
-from pinprice.operators.joins import DEFAULT_BROADCAST_ROWS, expand_join
+from pinprice.operators.joins import DEFAULT_BROADCAST_ROWS, expand_join, fits
 from pinprice.plans.charges import attach_charge
 
 TIE_ORDER = ("finalPrice", "buyingPrice", "quantity", "pincodeNum")
@@ -98,17 +98,49 @@ def zone_pincodes(pincodes: DataFrame, zone: str | None = None) -> DataFrame:
     return _zone(p, zone).distinct()
 
 
+def _charge_bounds(sellers: DataFrame, pins: DataFrame, distances: DataFrame, on_missing: str,
+                   broadcast_distances: bool) -> DataFrame:
+    """Per (zone, seller pincode): least and greatest charge over the zone's
+    destinations, and whether the seller is a candidate at every destination.
+
+    Size: zones x seller pincodes (a dimension), whatever the offer volume.
+    """
+    sp = sellers.select("zone", "pincodeNum").distinct()
+    g = sp.join(F.broadcast(pins), "zone", "inner")
+    g = attach_charge(g, distances, "pincodeNum", "pincode", on_missing, broadcast=broadcast_distances)
+    n = pins.groupBy("zone").agg(F.count("pincode").alias("_n"))
+    b = g.groupBy("zone", "pincodeNum").agg(
+        F.min("charge").alias("_cmin"), F.max("charge").alias("_cmax"),
+        F.countDistinct("pincode").alias("_cov"))
+    return (b.join(F.broadcast(n), "zone", "inner")
+            .select("zone", "pincodeNum", "_cmin", "_cmax", (F.col("_cov") == F.col("_n")).alias("_full")))
+
+
 def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
                        products: DataFrame | None = None, zone: str | None = None,
                        charge: float = ZONE_CHARGE, distances: DataFrame | None = None,
                        on_missing: str = "zero",
-                       max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                       max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                       dest_bucket_rows: int = 2000) -> DataFrame:
     """Least delivered price and winning quantity for every pincode of a zone,
     for all products at once (all zones when ``zone`` is None).
 
     ``distances=None`` uses the flat ``charge``; otherwise the charge is the
     seller->destination distance (see ``attach_charge``).
     Output: product, zone, pincode, finalPrice, quantity.
+
+    Distance mode, when the pincodes are proven small enough to broadcast:
+
+    * sellers of one (zone, product) are co-located by one shuffle of the
+      per-seller winners (small), so the expansion to destinations and the
+      final aggregate run inside that partition with no further exchange;
+    * destinations are split into ``ceil(#pincodes / dest_bucket_rows)``
+      buckets and each seller row is copied to every bucket, so one product
+      with very many sellers is spread over several tasks;
+    * exact pruning before the expansion: with c_min/c_max the least and
+      greatest charge of a seller over the zone, a seller whose price at
+      c_min exceeds another seller's price at c_max (a seller present at
+      every destination) is strictly worse everywhere and never wins.
     """
     pins = zone_pincodes(pincodes, zone)
     if distances is None:
@@ -118,11 +150,33 @@ def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
                         delivered_price("buyingPrice", charge).alias("finalPrice"),
                         "quantity")
     s = seller_winners(offers, products, zone)
-    x = expand_join(s, pins, "zone", max_broadcast_rows)
-    x = attach_charge(x, distances, "pincodeNum", "pincode", on_missing,
-                      max_broadcast_rows=max_broadcast_rows)
+    n_pins = pins.limit(max_broadcast_rows + 1).count()
+    if n_pins > max_broadcast_rows:
+        x = expand_join(s, pins, "zone", max_broadcast_rows)
+        x = attach_charge(x, distances, "pincodeNum", "pincode", on_missing,
+                          max_broadcast_rows=max_broadcast_rows)
+        x = x.withColumn("finalPrice", delivered_price("buyingPrice", F.col("charge")))
+        best = argmin(x, ["product", "zone", "pincode"], list(TIE_ORDER))
+        return best.select("product", "zone", "pincode", "finalPrice", "quantity")
+
+    bd = fits(distances, max_broadcast_rows)
+    buckets = max(1, -(-n_pins // dest_bucket_rows))
+    bounds = _charge_bounds(s, pins, distances, on_missing, bd)
+    s = s.join(F.broadcast(bounds), ["zone", "pincodeNum"], "inner")
+    s = (s.withColumn("_lo", delivered_price("buyingPrice", F.col("_cmin")))
+         .withColumn("_hi", F.when(F.col("_full"), delivered_price("buyingPrice", F.col("_cmax")))))
+    s = (s.withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+         .repartition("zone", "product", "_db"))
+    upper = F.min("_hi").over(Window.partitionBy("zone", "product", "_db"))
+    s = s.withColumn("_u", upper).where(F.col("_u").isNull() | (F.col("_lo") <= F.col("_u")))
+    s = s.select("zone", "product", "pincodeNum", "buyingPrice", "quantity", "_db")
+    p = pins.withColumn("_db", F.pmod(F.xxhash64("pincode"), F.lit(buckets)).cast("int"))
+    x = s.join(F.broadcast(p), ["zone", "_db"], "inner")
+    x = attach_charge(x, distances, "pincodeNum", "pincode", on_missing, broadcast=bd)
     x = x.withColumn("finalPrice", delivered_price("buyingPrice", F.col("charge")))
-    best = argmin(x, ["product", "zone", "pincode"], list(TIE_ORDER))
+    # _db is a function of pincode: grouping by it too keeps the groups and
+    # lets the aggregate reuse the (zone, product, _db) partitioning
+    best = argmin(x, ["product", "zone", "pincode", "_db"], list(TIE_ORDER))
     return best.select("product", "zone", "pincode", "finalPrice", "quantity")
 
 

@@ -1,6 +1,6 @@
 """Sources (table resolver, zone partitions, stand-in views) and sinks."""
 
-from pinprice.sources.fixtures import FIXTURE_SQL, fixture_cte, fixture_tables
+from pinprice.sources.fixtures import FIXTURE_SQL, fixture_cte, fixture_tables, fixture_views
 from pinprice.sources.sinks import (
     assert_unique,
     changed_count,
@@ -23,7 +23,7 @@ from pinprice.sources.tables import (
 __all__ = [
     "assert_unique", "changed_count", "merge_values", "price_map",
     "price_updates", "read_kv", "write_kv", "write_table",
-    "FIXTURE_SQL", "fixture_cte", "fixture_tables", "match",
+    "FIXTURE_SQL", "fixture_cte", "fixture_tables", "fixture_views", "match",
     "offers_from_documents", "read_offers", "read_table", "to_documents",
     "write_offers",
 ]

@@ -18,6 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pinprice.operators.joins import join_small
+from pinprice.session import shared_dir
+
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                "lineitem", "events")
 
@@ -32,6 +35,7 @@ def _pin(nationkey: Column, key: Column) -> Column:
 
 
 def _zone_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # nation (25 rows) and region (5 rows) have a fixed size at every scale
     n = base_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     r = base_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(
@@ -52,7 +56,7 @@ def zoneprices(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_discount", "l_returnflag")
     s = base_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     z = _zone_of_nation(spark, sf_dir)
-    sz = s.join(F.broadcast(z), s.s_nationkey == z.n_nationkey)
+    sz = s.join(F.broadcast(z), s.s_nationkey == z.n_nationkey).select("s_suppkey", "s_nationkey", "zone")
     flag, line = F.col("l_returnflag"), F.col("l_linenumber")
     buying = F.when((flag == "A") & (line == 1), F.lit(None).cast("int")).otherwise(
         F.floor(F.col("l_extendedprice") / F.lit(100)).cast("int"))
@@ -61,7 +65,8 @@ def zoneprices(spark: SparkSession, sf_dir: str) -> DataFrame:
     qty = (F.when((line == 7) & (flag == "R"), F.lit(None).cast("int"))
            .when(F.col("l_discount") < F.lit(0.005), F.lit(0))
            .otherwise(F.col("l_quantity").cast("int")))
-    return li.join(sz, li.l_suppkey == sz.s_suppkey).select(
+    # suppliers grow with the data: broadcast only behind a row-count check
+    return join_small(li, sz, li.l_suppkey == sz.s_suppkey).select(
         F.col("zone"), F.col("l_partkey").alias("product"),
         _pin(F.col("s_nationkey"), F.col("s_suppkey")).alias("pincodeNum"),
         buying.alias("buyingPrice"), selling.alias("sellingPrice"), qty.alias("quantity"))
@@ -133,11 +138,39 @@ BUILDERS = {
 }
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All stand-in tables, lazily defined (nothing runs here)."""
+def fixture_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All stand-in tables as lazy plans over the base tables (nothing runs)."""
     return {name: build(spark, sf_dir) for name, build in BUILDERS.items()}
 
 
+_STORED: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The stand-in tables, written once per session to the shared folder
+    (``spark.checkpoint.dir``) and read back from there.
+
+    Offers are stored partitioned by zone (one folder per zone, the layout
+    of per-zone offer collections), so a zone filter prunes folders. Later
+    calls reuse the stored tables: their lineage is cut, and size checks
+    before a broadcast scan a stored table instead of recomputing a join.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _STORED:
+        base = shared_dir(spark, "fixtures")
+        out: dict[str, DataFrame] = {}
+        for name, df in fixture_views(spark, sf_dir).items():
+            path = f"{base}/{name}"
+            w = df.write.mode("overwrite")
+            if name == "zoneprices":
+                w = w.partitionBy("zone")
+            w.parquet(path)
+            stored = spark.read.schema(df.schema).parquet(path)
+            out[name] = stored.select(*df.columns)
+        _STORED[key] = out
+    return dict(_STORED[key])
+
+
 # Same derivations as SQL text (runs in Spark SQL and DuckDB alike).
 _PIN_C = "CAST(500000 + c.c_nationkey * 10 + c.c_custkey % 10 AS INT)"
 _PIN_S = "CAST(500000 + s.s_nationkey * 10 + s.s_suppkey % 10 AS INT)"
