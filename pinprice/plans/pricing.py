@@ -98,22 +98,41 @@ def zone_pincodes(pincodes: DataFrame, zone: str | None = None) -> DataFrame:
     return _zone(p, zone).distinct()
 
 
-def _charge_bounds(sellers: DataFrame, pins: DataFrame, distances: DataFrame, on_missing: str,
-                   broadcast_distances: bool) -> DataFrame:
-    """Per (zone, seller pincode): least and greatest charge over the zone's
-    destinations, and whether the seller is a candidate at every destination.
+def _charge_bounds(pins: DataFrame, distances: DataFrame) -> DataFrame:
+    """Per (zone, source pincode): least/greatest listed distance to the
+    zone's other pincodes and how many of them are listed.
 
-    Size: zones x seller pincodes (a dimension), whatever the offer volume.
+    Built from the distance table alone, so it has at most as many rows as
+    that table (whose size is proven before it is broadcast).
     """
-    sp = sellers.select("zone", "pincodeNum").distinct()
-    g = sp.join(F.broadcast(pins), "zone", "inner")
-    g = attach_charge(g, distances, "pincodeNum", "pincode", on_missing, broadcast=broadcast_distances)
+    d = distances.select(F.col("sourcePincode").alias("pincodeNum"),
+                         F.col("destPincode").alias("pincode"), F.col("distance"))
+    dz = d.join(F.broadcast(pins), "pincode", "inner").where(F.col("pincodeNum") != F.col("pincode"))
+    return dz.groupBy("zone", "pincodeNum").agg(
+        F.min("distance").alias("_dmin"), F.max("distance").alias("_dmax"),
+        F.countDistinct("pincode").alias("_m"))
+
+
+def _prune_dominated(s: DataFrame, pins: DataFrame, distances: DataFrame, on_missing: str) -> DataFrame:
+    """Add ``_lo`` / ``_hi``: a seller's price at its least and greatest
+    charge over the zone (``_hi`` only when it is a candidate everywhere)."""
+    bounds = _charge_bounds(pins, distances)
     n = pins.groupBy("zone").agg(F.count("pincode").alias("_n"))
-    b = g.groupBy("zone", "pincodeNum").agg(
-        F.min("charge").alias("_cmin"), F.max("charge").alias("_cmax"),
-        F.countDistinct("pincode").alias("_cov"))
-    return (b.join(F.broadcast(n), "zone", "inner")
-            .select("zone", "pincodeNum", "_cmin", "_cmax", (F.col("_cov") == F.col("_n")).alias("_full")))
+    own = pins.select("zone", F.col("pincode").alias("pincodeNum"), F.lit(True).alias("_self"))
+    s = (s.join(F.broadcast(bounds), ["zone", "pincodeNum"], "left")
+         .join(F.broadcast(own), ["zone", "pincodeNum"], "left")
+         .join(F.broadcast(n), "zone", "inner"))
+    self_ = F.coalesce(F.col("_self"), F.lit(False))
+    covered = F.coalesce(F.col("_m"), F.lit(0)) + self_.cast("long")
+    # charge 0 occurs at the seller's own pincode, and (zero mode) at unlisted ones
+    zero = (self_ | (covered < F.col("_n"))) if on_missing == "zero" else self_
+    zero_c = F.when(zero, F.lit(0.0))
+    cmin = F.least(F.col("_dmin"), zero_c)
+    cmax = F.greatest(F.col("_dmax"), zero_c)
+    full = F.lit(True) if on_missing == "zero" else (covered == F.col("_n"))
+    return (s.withColumn("_lo", delivered_price("buyingPrice", cmin))
+            .withColumn("_hi", F.when(full, delivered_price("buyingPrice", cmax)))
+            .drop("_dmin", "_dmax", "_m", "_self", "_n"))
 
 
 def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
@@ -161,10 +180,10 @@ def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
 
     bd = fits(distances, max_broadcast_rows)
     buckets = max(1, -(-n_pins // dest_bucket_rows))
-    bounds = _charge_bounds(s, pins, distances, on_missing, bd)
-    s = s.join(F.broadcast(bounds), ["zone", "pincodeNum"], "inner")
-    s = (s.withColumn("_lo", delivered_price("buyingPrice", F.col("_cmin")))
-         .withColumn("_hi", F.when(F.col("_full"), delivered_price("buyingPrice", F.col("_cmax")))))
+    if bd:
+        s = _prune_dominated(s, pins, distances, on_missing)
+    else:
+        s = s.withColumn("_lo", F.lit(None).cast("long")).withColumn("_hi", F.lit(None).cast("long"))
     s = (s.withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
          .repartition("zone", "product", "_db"))
     upper = F.min("_hi").over(Window.partitionBy("zone", "product", "_db"))

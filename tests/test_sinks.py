@@ -1,0 +1,93 @@
+import pytest
+
+from conftest import DIST_DDL, PRICES_DDL, PROD_DDL, rows
+from pinprice.plans.distances import export_distances, lookup_distance
+from pinprice.session import shared_dir
+from pinprice.sources.sinks import (
+    changed_count,
+    merge_values,
+    price_map,
+    price_updates,
+    read_kv,
+    write_kv,
+    write_table,
+)
+
+
+def test_whole_value_replace(mk):
+    state = mk([(1, 5, 9, 4)], PRICES_DDL)
+    upd = mk([(1, 5, 7, None)], PRICES_DDL)
+    assert rows(merge_values(state, upd)) == [(1, 5, 7, None)]
+
+
+def test_untouched_entries_and_products_stay(mk):
+    state = mk([(1, 1, 10, 1), (1, 2, 20, 2), (2, 1, 30, 3)], PRICES_DDL)
+    upd = mk([(1, 2, 21, 5), (1, 3, 31, 6)], PRICES_DDL)
+    assert rows(merge_values(state, upd)) == [(1, 1, 10, 1), (1, 2, 21, 5), (1, 3, 31, 6), (2, 1, 30, 3)]
+
+
+def test_matched_only_products(mk):
+    state = mk([(1, 1, 10, 1)], PRICES_DDL)
+    upd = mk([(1, 1, 11, 1), (7, 1, 70, 1)], PRICES_DDL)
+    products = mk([(1,)], PROD_DDL)
+    assert rows(merge_values(state, upd, products=products)) == [(1, 1, 11, 1)]
+    assert changed_count(state, upd, products=products).first()["n"] == 1
+
+
+def test_idempotent_merge_and_change_count(mk):
+    state = mk([(1, 1, 10, 1), (2, 1, 5, None)], PRICES_DDL)
+    upd = mk([(1, 1, 12, 1), (2, 1, 5, None), (3, 4, 8, 2)], PRICES_DDL)
+    once = merge_values(state, upd)
+    twice = merge_values(once, upd)
+    assert rows(once) == rows(twice)
+    assert changed_count(state, upd).first()["n"] == 2   # products 1 and 3; 2 is unchanged
+    assert changed_count(once, upd).first()["n"] == 0
+
+
+def test_last_update_wins_per_key(mk, spark):
+    state = mk([(1, 1, 10, 1)], PRICES_DDL)
+    upd = spark.createDataFrame([(1, 1, 11, 1, 5), (1, 1, 12, None, 9)],
+                                "product BIGINT, pincode INT, price BIGINT, quantity INT, request_id BIGINT")
+    out = merge_values(state, upd, order_col="request_id")
+    assert rows(out) == [(1, 1, 12, None)]
+
+
+def test_price_updates_and_map(mk, spark):
+    res = spark.createDataFrame([(1, "S", 5, 100, 2), (1, "S", 6, 101, 3)],
+                                "product BIGINT, zone STRING, pincode INT, finalPrice BIGINT, quantity INT")
+    u = price_updates(res)
+    assert rows(u.select("path", "price")) == [("prices.5", 100), ("prices.6", 101)]
+    m = price_map(u).first()["prices"]
+    assert m[5]["price"] == 100 and m[6]["quantity"] == 3
+
+
+def test_export_is_text_and_total(mk):
+    d = mk([(504273, 504204, 35.77), (504101, 504273, 30.0), (None, 1, 2.0)], DIST_DDL)
+    kv = rows(export_distances(d))
+    assert kv == [("504101_504273", "30.0"), ("504273_504204", "35.77")]
+    assert rows(export_distances(d, limit=1)) == [("504101_504273", "30.0")]
+
+
+def test_multi_valued_lookup(mk, spark):
+    d = mk([(504273, 504204, 35.77), (504273, 504204, 17.09), (504101, 504273, 1.0)], DIST_DDL)
+    keys = spark.createDataFrame([("504273_504204",), ("504273_504204",), ("9_9",)], "src_dest STRING")
+    assert rows(lookup_distance(d, keys)) == [("504273_504204", 17.09), ("504273_504204", 35.77)]
+
+
+def test_kv_overwrite_roundtrip_and_unique_check(mk, spark):
+    d = mk([(1, 2, 3.5), (2, 1, 4.0)], DIST_DDL)
+    path = shared_dir(spark, "test-kv")
+    write_kv(export_distances(d), path)
+    write_kv(export_distances(d), path)
+    assert rows(read_kv(spark, path)) == [("1_2", "3.5"), ("2_1", "4.0")]
+    dup = mk([(1, 2, 3.5), (1, 2, 4.0)], DIST_DDL)
+    with pytest.raises(ValueError):
+        write_kv(export_distances(dup), shared_dir(spark, "test-kv"))
+
+
+def test_write_table_refuses_overwrite(mk, spark):
+    df = mk([(1, 1, 1, 1)], PRICES_DDL)
+    path = shared_dir(spark, "test-version")
+    assert write_table(df, path) == path
+    with pytest.raises(Exception):
+        write_table(df, path)
