@@ -4,10 +4,12 @@ from pinprice.sources.fixtures import FIXTURE_SQL, fixture_cte, fixture_tables,
 from pinprice.sources.sinks import (
     assert_unique,
     changed_count,
+    merge_into_table,
     merge_values,
     price_map,
     price_updates,
     read_kv,
+    write_bucketed,
     write_kv,
     write_table,
 )
@@ -21,8 +23,8 @@ from pinprice.sources.tables import (
 )
 
 __all__ = [
-    "assert_unique", "changed_count", "merge_values", "price_map",
-    "price_updates", "read_kv", "write_kv", "write_table",
+    "assert_unique", "changed_count", "merge_into_table", "merge_values", "price_map",
+    "price_updates", "read_kv", "write_bucketed", "write_kv", "write_table",
     "FIXTURE_SQL", "fixture_cte", "fixture_tables", "fixture_views", "match",
     "offers_from_documents", "read_offers", "read_table", "to_documents",
     "write_offers",

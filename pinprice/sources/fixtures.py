@@ -15,11 +15,14 @@ pricing work happens here. Every table grows with the underlying data:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pinprice.operators.joins import join_small
 from pinprice.session import shared_dir
+from pinprice.sources.sinks import write_bucketed
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                "lineitem", "events")
@@ -145,13 +148,18 @@ def fixture_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 _STORED: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
+# number of buckets of the stored price state (keyed by product, pincode)
+STATE_BUCKETS = 16
+
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The stand-in tables, written once per session to the shared folder
     (``spark.checkpoint.dir``) and read back from there.
 
     Offers are stored partitioned by zone (one folder per zone, the layout
-    of per-zone offer collections), so a zone filter prunes folders. Later
+    of per-zone offer collections), so a zone filter prunes folders. The
+    price state is a table bucketed by (product, pincode), so a merge reads
+    it without shuffling it. Later
     calls reuse the stored tables: their lineage is cut, and size checks
     before a broadcast scan a stored table instead of recomputing a join.
     """
@@ -161,6 +169,10 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         out: dict[str, DataFrame] = {}
         for name, df in fixture_views(spark, sf_dir).items():
             path = f"{base}/{name}"
+            if name == "product_prices":
+                table = f"pinprice_state_{uuid.uuid4().hex[:12]}"
+                out[name] = write_bucketed(df, table, path, ("product", "pincode"), STATE_BUCKETS)
+                continue
             w = df.write.mode("overwrite")
             if name == "zoneprices":
                 w = w.partitionBy("zone")

@@ -109,6 +109,33 @@ def read_kv(spark: SparkSession, path: str, fmt: str = "parquet",
     return spark.read.format(fmt).options(**(options or {})).load(path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str] = ("product", "pincode"),
+                   buckets: int = 16, mode: str = "errorifexists") -> DataFrame:
+    """Store a keyed table bucketed by ``keys`` (an external table at ``path``).
+
+    A later join or merge on exactly these keys reads the table without a
+    shuffle; only the other side is shuffled into the same buckets.
+    """
+    (df.write.mode(mode).format("parquet").bucketBy(buckets, *keys)
+     .option("path", path).saveAsTable(table))
+    return df.sparkSession.table(table)
+
+
+def merge_into_table(spark: SparkSession, state_table: str, updates: DataFrame, out_table: str,
+                     out_path: str, keys: Sequence[str] = ("product", "pincode"),
+                     value_cols: Sequence[str] = ("price", "quantity"),
+                     products: DataFrame | None = None, order_col: str | None = None,
+                     buckets: int = 16) -> DataFrame:
+    """Merge ``updates`` into a bucketed state table and store the result as
+    a new bucketed version (the old version stays readable).
+
+    The state is read bucket by bucket without an exchange; the merged rows
+    come out partitioned by the same keys, so the write needs no shuffle.
+    """
+    merged = merge_values(spark.table(state_table), updates, keys, value_cols, products, order_col)
+    return write_bucketed(merged, out_table, out_path, keys, buckets)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
                 options: dict[str, str] | None = None, partition_by: Sequence[str] = ()) -> str:
     """Write ``df`` to ``path`` (the named target is honoured) and return it.

@@ -1,3 +1,6 @@
+import contextlib
+import io
+
 import pytest
 
 from conftest import DIST_DDL, PRICES_DDL, PROD_DDL, rows
@@ -91,3 +94,21 @@ def test_write_table_refuses_overwrite(mk, spark):
     assert write_table(df, path) == path
     with pytest.raises(Exception):
         write_table(df, path)
+
+
+def test_merge_into_bucketed_table_versions(mk, spark):
+    from pinprice.sources.sinks import merge_into_table, write_bucketed
+
+    state = mk([(1, 1, 10, 1), (1, 2, 20, 2)], PRICES_DDL)
+    base = shared_dir(spark, "test-state")
+    write_bucketed(state, "t_state_v0", f"{base}/v0", buckets=4)
+    upd = mk([(1, 2, 21, None), (2, 1, 5, 1)], PRICES_DDL)
+    v1 = merge_into_table(spark, "t_state_v0", upd, "t_state_v1", f"{base}/v1", buckets=4)
+    assert rows(v1) == [(1, 1, 10, 1), (1, 2, 21, None), (2, 1, 5, 1)]
+    assert rows(spark.table("t_state_v0")) == rows(state)   # previous version intact
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        merge_values(spark.table("t_state_v1"), upd).explain()
+    p = buf.getvalue()
+    assert "Bucketed: true" in p
+    assert p.count("Exchange hashpartitioning(product") == 1   # only the updates side
