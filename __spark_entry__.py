@@ -41,7 +41,12 @@ from pinprice.plans.pricing import (  # noqa: E402
 )
 from pinprice.plans.requests import price_requests  # noqa: E402
 from pinprice.session import shared_dir  # noqa: E402
-from pinprice.sources.fixtures import fixture_cte, fixture_tables  # noqa: E402
+from pinprice.sources.fixtures import (  # noqa: E402
+    STATE_BUCKETS,
+    fixture_cte,
+    fixture_state_table,
+    fixture_tables,
+)
 from pinprice.sources.sinks import (  # noqa: E402
     changed_count,
     merge_values,
@@ -51,7 +56,9 @@ from pinprice.sources.sinks import (  # noqa: E402
 )
 from pinprice.sources.tables import offers_from_documents, to_documents  # noqa: E402
 from pinprice.streaming.requests import (  # noqa: E402
+    latest_state,
     read_stream_results,
+    stream_merge_prices,
     stream_price_requests,
 )
 
@@ -237,6 +244,21 @@ def q24_stream_requests(spark, sf_dir):
     return read_stream_results(spark, out)
 
 
+def q25_stream_merge_prices(spark, sf_dir):
+    """Requests arrive as files; each micro-batch is priced and merged into the
+    bucketed price state (newest request wins per key, in any batch order)."""
+    t = _t(spark, sf_dir)
+    base = shared_dir(spark, "stream-merge")
+    src = f"{base}/requests"
+    t["requests"].repartitionByRange(4, "request_id").write.parquet(src)
+    initial = fixture_state_table(spark, sf_dir)
+    prefix = "pinprice_stream_" + base.rstrip("/").rsplit("/", 1)[-1][:12]
+    q = stream_merge_prices(spark, src, initial, prefix, f"{base}/state", f"{base}/checkpoint",
+                            t["zoneprices"], t["pincodes"], t["productinfos"], buckets=STATE_BUCKETS)
+    q.awaitTermination()
+    return spark.table(latest_state(spark, prefix, initial)).select("product", "pincode", "price", "quantity")
+
+
 _QUERIES = [
     q01_zone_product_offers, q02_fetch_by_id, q03_known_products, q04_eligible_offers,
     q05_nested_projection, q06_price_flat, q07_price_distance, q08_quote_selling,
@@ -244,6 +266,7 @@ _QUERIES = [
     q13_min_quote_for_pins, q14_argmin_per_key, q15_top_k_offers, q16_distance_kv,
     q17_distance_lookup, q18_price_updates, q19_merged_prices, q20_changed_products,
     q21_validated_requests, q22_min_for_requests, q23_kv_overwrite_roundtrip, q24_stream_requests,
+    q25_stream_merge_prices,
 ]
 
 
@@ -424,6 +447,16 @@ SELECT CAST(sourcePincode AS VARCHAR) || '_' || CAST(destPincode AS VARCHAR) AS
   CAST(distance AS VARCHAR) AS distance
 FROM pincodedistances WHERE sourcePincode IS NOT NULL AND destPincode IS NOT NULL""",
     "q24_stream_requests": "SELECT * FROM req_prices",
+    "q25_stream_merge_prices": """
+, lastu AS (
+  SELECT product, pincode, price, quantity FROM (
+    SELECT product, pincode, price, quantity,
+      ROW_NUMBER() OVER (PARTITION BY product, pincode ORDER BY request_id DESC) AS rn
+    FROM req_prices) t WHERE rn = 1)
+SELECT COALESCE(s.product, u.product) AS product, COALESCE(s.pincode, u.pincode) AS pincode,
+  CASE WHEN u.product IS NOT NULL THEN u.price ELSE s.price END AS price,
+  CASE WHEN u.product IS NOT NULL THEN u.quantity ELSE s.quantity END AS quantity
+FROM product_prices s FULL OUTER JOIN lastu u ON s.product = u.product AND s.pincode = u.pincode""",
 }
 
 

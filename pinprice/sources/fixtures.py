@@ -147,6 +147,7 @@ def fixture_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 _STORED: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_STATE_TABLE: dict[tuple[str, str], str] = {}
 
 # number of buckets of the stored price state (keyed by product, pincode)
 STATE_BUCKETS = 16
@@ -172,6 +173,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             if name == "product_prices":
                 table = f"pinprice_state_{uuid.uuid4().hex[:12]}"
                 out[name] = write_bucketed(df, table, path, ("product", "pincode"), STATE_BUCKETS)
+                _STATE_TABLE[key] = table
                 continue
             w = df.write.mode("overwrite")
             if name == "zoneprices":
@@ -183,6 +185,12 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return dict(_STORED[key])
 
 
+def fixture_state_table(spark: SparkSession, sf_dir: str) -> str:
+    """Catalog name of the stored (bucketed) prior price state."""
+    fixture_tables(spark, sf_dir)
+    return _STATE_TABLE[(spark.sparkContext.applicationId, sf_dir.rstrip("/"))]
+
+
 # Same derivations as SQL text (runs in Spark SQL and DuckDB alike).
 _PIN_C = "CAST(500000 + c.c_nationkey * 10 + c.c_custkey % 10 AS INT)"
 _PIN_S = "CAST(500000 + s.s_nationkey * 10 + s.s_suppkey % 10 AS INT)"

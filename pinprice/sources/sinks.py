@@ -39,7 +39,9 @@ def _prepare(updates: DataFrame, keys: Sequence[str], value_cols: Sequence[str],
     u = updates
     if order_col is not None:
         u = last_per_key(u, keys, order_col, value_cols)
-    u = u.select(*keys, *value_cols)
+        u = u.select(*keys, *value_cols, order_col)
+    else:
+        u = u.select(*keys, *value_cols)
     if products is not None:
         # matched-only: updates for products missing from the catalogue are dropped
         u = u.join(products.select("product"), "product", "left_semi")
@@ -53,15 +55,27 @@ def merge_values(state: DataFrame, updates: DataFrame, keys: Sequence[str] = ("p
 
     All value columns of an updated key come from the update together (a
     null in the update replaces the old value; no field-by-field coalesce).
-    ``order_col`` picks the last update per key when a key repeats.
+
+    With ``order_col`` (a sequence number such as a request id) the newest
+    update per key wins, also against the state: the result keeps
+    ``order_col`` and a key is only replaced by an update at least as new
+    as the value it holds, so merging batches in any order, or a batch
+    twice, gives the same table.
     """
     keys, value_cols = list(keys), list(value_cols)
     u = _prepare(updates, keys, value_cols, products, order_col)
-    u = u.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in value_cols], F.lit(True).alias("_hit"))
-    m = state.select(*keys, *value_cols).join(u, keys, "full_outer")
-    hit = F.col("_hit").isNotNull()
-    return m.select(*keys, *[F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
-                             for c in value_cols])
+    carry = value_cols + ([order_col] if order_col else [])
+    st_cols = [F.col(c) for c in keys + value_cols]
+    if order_col:
+        seq = F.col(order_col) if order_col in state.columns else F.lit(None).cast(
+            dict(u.dtypes)[order_col])
+        st_cols.append(seq.alias(order_col))
+    u = u.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in carry], F.lit(True).alias("_hit"))
+    m = state.select(*st_cols).join(u, keys, "full_outer")
+    take = F.col("_hit").isNotNull()
+    if order_col:
+        take = take & (F.col(order_col).isNull() | (F.col(f"_new_{order_col}") >= F.col(order_col)))
+    return m.select(*keys, *[F.when(take, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in carry])
 
 
 def changed_count(state: DataFrame, updates: DataFrame, keys: Sequence[str] = ("product", "pincode"),
@@ -125,7 +139,7 @@ def merge_into_table(spark: SparkSession, state_table: str, updates: DataFrame,
                      out_path: str, keys: Sequence[str] = ("product", "pincode"),
                      value_cols: Sequence[str] = ("price", "quantity"),
                      products: DataFrame | None = None, order_col: str | None = None,
-                     buckets: int = 16) -> DataFrame:
+                     buckets: int = 16, mode: str = "errorifexists") -> DataFrame:
     """Merge ``updates`` into a bucketed state table and store the result as
     a new bucketed version (the old version stays readable).
 
@@ -133,7 +147,7 @@ def merge_into_table(spark: SparkSession, state_table: str, updates: DataFrame,
     come out partitioned by the same keys, so the write needs no shuffle.
     """
     merged = merge_values(spark.table(state_table), updates, keys, value_cols, products, order_col)
-    return write_bucketed(merged, out_table, out_path, keys, buckets)
+    return write_bucketed(merged, out_table, out_path, keys, buckets, mode)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",

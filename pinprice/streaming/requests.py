@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pinprice import schemas
 from pinprice.plans.requests import OUTPUT, price_requests
+from pinprice.sources.sinks import merge_into_table
 
 
 def stream_price_requests(spark: SparkSession, source_dir: str, output_dir: str,
@@ -45,3 +46,51 @@ def stream_price_requests(spark: SparkSession, source_dir: str, output_dir: str,
 def read_stream_results(spark: SparkSession, output_dir: str) -> DataFrame:
     """All priced rows written so far (every batch folder)."""
     return spark.read.parquet(output_dir).select(*OUTPUT)
+
+
+def _versions(spark: SparkSession, prefix: str) -> dict[int, str]:
+    out = {}
+    for t in spark.catalog.listTables():
+        if t.name.startswith(prefix + "_v") and t.name[len(prefix) + 2:].isdigit():
+            out[int(t.name[len(prefix) + 2:])] = t.name
+    return out
+
+
+def latest_state(spark: SparkSession, prefix: str, initial_table: str, before: int | None = None) -> str:
+    """Name of the newest state version (older than batch ``before``)."""
+    v = {k: n for k, n in _versions(spark, prefix).items() if before is None or k < before}
+    return v[max(v)] if v else initial_table
+
+
+def stream_merge_prices(spark: SparkSession, source_dir: str, initial_table: str, prefix: str,
+                        state_dir: str, checkpoint_dir: str, offers: DataFrame, pincodes: DataFrame,
+                        products: DataFrame | None = None, distances: DataFrame | None = None,
+                        buckets: int = 16, max_files_per_trigger: int = 1,
+                        available_now: bool = True, **pricing) -> object:
+    """Price each micro-batch of requests and merge it into the price table.
+
+    Batch ``n`` reads the newest state version older than ``n`` (bucketed by
+    product and pincode, so it is not shuffled), merges the batch's prices
+    (the latest request wins per key, whole values replaced) and stores
+    version ``n``. A replayed batch recomputes the same version from the
+    same predecessor and overwrites it, so replays do not change the result.
+    """
+    stream = (spark.readStream.schema(schemas.REQUESTS)
+              .option("maxFilesPerTrigger", max_files_per_trigger)
+              .parquet(source_dir))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        keys = batch.select(F.upper(F.trim("zone")).alias("zone"), "product").distinct()
+        batch_offers = offers.join(keys, ["zone", "product"], "left_semi")
+        res = price_requests(batch, batch_offers, pincodes, products, distances=distances, **pricing)
+        upd = res.select("product", "pincode", "price", "quantity", "request_id")
+        prev = latest_state(spark, prefix, initial_table, before=batch_id)
+        out = f"{prefix}_v{batch_id}"
+        spark.sql(f"DROP TABLE IF EXISTS {out}")
+        merge_into_table(spark, prev, upd, out, f"{state_dir.rstrip('/')}/v{batch_id}",
+                         order_col="request_id", buckets=buckets, mode="overwrite")
+
+    writer = (stream.writeStream.foreachBatch(handle)
+              .option("checkpointLocation", checkpoint_dir))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()

@@ -52,7 +52,20 @@ def test_last_update_wins_per_key(mk, spark):
     upd = spark.createDataFrame([(1, 1, 11, 1, 5), (1, 1, 12, None, 9)],
                                 "product BIGINT, pincode INT, price BIGINT, quantity INT, request_id BIGINT")
     out = merge_values(state, upd, order_col="request_id")
-    assert rows(out) == [(1, 1, 12, None)]
+    assert rows(out) == [(1, 1, 12, None, 9)]
+
+
+def test_sequenced_merge_is_order_independent(mk, spark):
+    ddl = "product BIGINT, pincode INT, price BIGINT, quantity INT, request_id BIGINT"
+    state = mk([(1, 1, 10, 1), (1, 2, 20, 2)], PRICES_DDL)
+    b1 = spark.createDataFrame([(1, 1, 11, 1, 5), (1, 2, 21, 1, 8)], ddl)
+    b2 = spark.createDataFrame([(1, 1, 12, 2, 7), (1, 2, 22, 2, 6), (3, 3, 3, 3, 1)], ddl)
+    ab = merge_values(merge_values(state, b1, order_col="request_id"), b2, order_col="request_id")
+    ba = merge_values(merge_values(state, b2, order_col="request_id"), b1, order_col="request_id")
+    want = [(1, 1, 12, 2, 7), (1, 2, 21, 1, 8), (3, 3, 3, 3, 1)]
+    assert rows(ab) == rows(ba) == want
+    again = merge_values(ab, b1, order_col="request_id")   # replayed batch
+    assert rows(again) == want
 
 
 def test_price_updates_and_map(mk, spark):
