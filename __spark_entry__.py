@@ -259,6 +259,13 @@ def q25_stream_merge_prices(spark, sf_dir):
     return spark.table(latest_state(spark, prefix, initial)).select("product", "pincode", "price", "quantity")
 
 
+def q26_min_for_requests_distance(spark, sf_dir):
+    """The request table priced with the seller->destination distance charge."""
+    t = _t(spark, sf_dir)
+    return price_requests(t["requests"], t["zoneprices"], t["pincodes"], t["productinfos"],
+                          distances=t["pincodedistances"], on_missing="zero")
+
+
 _QUERIES = [
     q01_zone_product_offers, q02_fetch_by_id, q03_known_products, q04_eligible_offers,
     q05_nested_projection, q06_price_flat, q07_price_distance, q08_quote_selling,
@@ -266,7 +273,7 @@ _QUERIES = [
     q13_min_quote_for_pins, q14_argmin_per_key, q15_top_k_offers, q16_distance_kv,
     q17_distance_lookup, q18_price_updates, q19_merged_prices, q20_changed_products,
     q21_validated_requests, q22_min_for_requests, q23_kv_overwrite_roundtrip, q24_stream_requests,
-    q25_stream_merge_prices,
+    q25_stream_merge_prices, q26_min_for_requests_distance,
 ]
 
 
@@ -295,6 +302,9 @@ def _dbl(x: float) -> str:
 
 _ZERO = "CAST(0 AS DOUBLE)"
 
+_CHARGE_SQL = (f"CASE WHEN o.pincodeNum = {{dest}} THEN {_ZERO} "
+               f"ELSE COALESCE(d.distance, {_ZERO}) END")
+
 _EXTRA_CTE = f""",
 zp AS (SELECT DISTINCT UPPER(TRIM(zone)) AS zone, pincode FROM pincodes
        WHERE zone IS NOT NULL AND pincode IS NOT NULL),
@@ -335,6 +345,22 @@ pin_flat AS (
   FROM preq v JOIN elig o ON o.zone = v.zone AND o.product = v.product
   WHERE v.product IN (SELECT product FROM productinfos)
   GROUP BY v.request_id, v.product, v.zone, v.dest_pin),
+zone_dist AS (SELECT product, zone, pincode, finalPrice, quantity FROM (
+  SELECT o.product, o.zone, p.pincode, o.quantity,
+    {_price('o.buyingPrice', _CHARGE_SQL.format(dest='p.pincode'))} AS finalPrice,
+    ROW_NUMBER() OVER (PARTITION BY o.product, o.zone, p.pincode
+      ORDER BY {_price('o.buyingPrice', _CHARGE_SQL.format(dest='p.pincode'))}, o.buyingPrice,
+               o.quantity, o.pincodeNum NULLS FIRST) AS rn
+  FROM elig o JOIN zp p ON p.zone = o.zone
+  LEFT JOIN pincodedistances d ON d.sourcePincode = o.pincodeNum AND d.destPincode = p.pincode
+  WHERE o.product IN (SELECT product FROM productinfos)) t WHERE rn = 1),
+pin_dist AS (
+  SELECT v.request_id, v.product, v.zone, v.dest_pin AS pincode,
+    MIN({_price('o.buyingPrice', _CHARGE_SQL.format(dest='v.dest_pin'))}) AS price
+  FROM preq v JOIN elig o ON o.zone = v.zone AND o.product = v.product
+  LEFT JOIN pincodedistances d ON d.sourcePincode = o.pincodeNum AND d.destPincode = v.dest_pin
+  WHERE v.product IN (SELECT product FROM productinfos)
+  GROUP BY v.request_id, v.product, v.zone, v.dest_pin),
 req_prices AS (
   SELECT request_id, 'pin' AS kind, product, zone, pincode, price, CAST(NULL AS INT) AS quantity
   FROM pin_flat
@@ -345,9 +371,6 @@ req_prices AS (
 """
 
 _OFFER_COLS_SQL = "zone, product, pincodeNum, buyingPrice, sellingPrice, quantity"
-_CHARGE_SQL = (f"CASE WHEN o.pincodeNum = {{dest}} THEN {_ZERO} "
-               f"ELSE COALESCE(d.distance, {_ZERO}) END")
-
 _SQL = {
     "q01_zone_product_offers": f"""
 SELECT {_OFFER_COLS_SQL} FROM zoneprices o
@@ -385,16 +408,7 @@ SELECT v.request_id, v.dest_pin AS destPin, o.zone, o.product, o.pincodeNum, o.b
 FROM preq v JOIN zoneprices o ON o.zone = v.zone AND o.product = v.product""",
     "q10_min_for_pin": "SELECT request_id, product, zone, pincode, price FROM pin_flat",
     "q11_min_for_zone_flat": "SELECT product, zone, pincode, finalPrice, quantity FROM zone_flat",
-    "q12_min_for_zone_distance": f"""
-SELECT product, zone, pincode, finalPrice, quantity FROM (
-  SELECT o.product, o.zone, p.pincode, o.quantity,
-    {_price('o.buyingPrice', _CHARGE_SQL.format(dest='p.pincode'))} AS finalPrice,
-    ROW_NUMBER() OVER (PARTITION BY o.product, o.zone, p.pincode
-      ORDER BY {_price('o.buyingPrice', _CHARGE_SQL.format(dest='p.pincode'))}, o.buyingPrice,
-               o.quantity, o.pincodeNum NULLS FIRST) AS rn
-  FROM elig o JOIN zp p ON p.zone = o.zone
-  LEFT JOIN pincodedistances d ON d.sourcePincode = o.pincodeNum AND d.destPincode = p.pincode
-  WHERE o.product IN (SELECT product FROM productinfos)) t WHERE rn = 1""",
+    "q12_min_for_zone_distance": "SELECT product, zone, pincode, finalPrice, quantity FROM zone_dist",
     "q13_min_quote_for_pins": f"""
 SELECT v.product, v.zone, v.pincode, 'FALCON' AS type,
   MIN(o.sellingPrice + {_CHARGE_SQL.format(dest='v.pincode')}) AS price
@@ -447,6 +461,11 @@ SELECT CAST(sourcePincode AS VARCHAR) || '_' || CAST(destPincode AS VARCHAR) AS
   CAST(distance AS VARCHAR) AS distance
 FROM pincodedistances WHERE sourcePincode IS NOT NULL AND destPincode IS NOT NULL""",
     "q24_stream_requests": "SELECT * FROM req_prices",
+    "q26_min_for_requests_distance": """
+SELECT request_id, 'pin' AS kind, product, zone, pincode, price, CAST(NULL AS INT) AS quantity FROM pin_dist
+UNION ALL
+SELECT v.request_id, 'zone' AS kind, f.product, f.zone, f.pincode, f.finalPrice AS price, f.quantity
+FROM vreq v JOIN zone_dist f ON f.zone = v.zone AND f.product = v.product WHERE v.kind = 'zone'""",
     "q25_stream_merge_prices": """
 , lastu AS (
   SELECT product, pincode, price, quantity FROM (

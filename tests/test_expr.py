@@ -62,3 +62,14 @@ def test_text_helpers(spark):
     assert r[0]["k"] == "504273_504204" and r[0]["t"] == "30.0" and r[0]["z"] == "ASIA"
     assert r[0]["p"] == "prices.504204"
     assert r[1]["k"] is None and r[1]["t"] == "1.0E7" and r[1]["z"] is None
+
+
+def test_sql_functions(spark):
+    from pinprice.functions.sql import register_sql_functions
+
+    names = register_sql_functions(spark)
+    assert names == ["pinprice_round_half_up", "pinprice_delivered_price"]
+    for b, c, want in GOLDEN:
+        got = spark.sql(f"SELECT pinprice_delivered_price(CAST({b} AS INT), CAST({c} AS DOUBLE)) AS p").first()["p"]
+        assert got == want
+    assert spark.sql("SELECT pinprice_round_half_up(-2.5D) AS r").first()["r"] == -2
