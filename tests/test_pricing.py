@@ -171,3 +171,12 @@ def test_nested_document_roundtrip(mk):
     docs = to_documents(o)
     assert docs.where(F.col("leastPrice").isNull()).count() == 1
     assert rows(offers_from_documents(docs)) == rows(o)
+
+
+def test_min_price_core_over_attached_destinations(mk):
+    from pinprice.plans.pricing import attach_destination, min_price
+
+    o = _offers(mk, [(10, 100, 1.0, 1), (11, 75, 1.0, 4), (12, 50, 1.0, 0)])
+    req = mk([(1, "pin", 1, Z, 500), (2, "pin", 1, Z, 501)], REQ_DDL)
+    out = rows(min_price(attach_destination(o, req), keys=("request_id", "destPin")))
+    assert out == [(1, 500, 94), (2, 501, 94)]
