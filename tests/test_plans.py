@@ -62,3 +62,11 @@ def test_eligibility_pushed_into_scan(spark):
     t = fixture_tables(spark, SF001)
     p = plan(eligible_offers(t["zoneprices"]).select(F.col("product")))
     assert "PushedFilters: [IsNotNull(quantity), IsNotNull(buyingPrice), GreaterThan(quantity,0)" in p
+
+
+@pytest.mark.parametrize("name", ["q15_top_k_offers", "q02_fetch_by_id"])
+def test_top_k_limits_before_the_shuffle(spark, name):
+    p = plan(E.queries()[name](spark, SF001), "simple")
+    lines = p.split("\n")
+    ex = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line)
+    assert any("WindowGroupLimit" in line for line in lines[ex + 1:ex + 3]), p
