@@ -266,6 +266,12 @@ def q26_min_for_requests_distance(spark, sf_dir):
                           distances=t["pincodedistances"], on_missing="zero")
 
 
+def q27_distance_kv_first10(spark, sf_dir):
+    """The capped export: the first 10 key-value rows in key order (the cap is the feature)."""
+    t = _t(spark, sf_dir)
+    return export_distances(t["pincodedistances"], limit=10)
+
+
 _QUERIES = [
     q01_zone_product_offers, q02_fetch_by_id, q03_known_products, q04_eligible_offers,
     q05_nested_projection, q06_price_flat, q07_price_distance, q08_quote_selling,
@@ -273,7 +279,7 @@ _QUERIES = [
     q13_min_quote_for_pins, q14_argmin_per_key, q15_top_k_offers, q16_distance_kv,
     q17_distance_lookup, q18_price_updates, q19_merged_prices, q20_changed_products,
     q21_validated_requests, q22_min_for_requests, q23_kv_overwrite_roundtrip, q24_stream_requests,
-    q25_stream_merge_prices, q26_min_for_requests_distance,
+    q25_stream_merge_prices, q26_min_for_requests_distance, q27_distance_kv_first10,
 ]
 
 
@@ -466,6 +472,12 @@ SELECT request_id, 'pin' AS kind, product, zone, pincode, price, CAST(NULL AS IN
 UNION ALL
 SELECT v.request_id, 'zone' AS kind, f.product, f.zone, f.pincode, f.finalPrice AS price, f.quantity
 FROM vreq v JOIN zone_dist f ON f.zone = v.zone AND f.product = v.product WHERE v.kind = 'zone'""",
+    "q27_distance_kv_first10": """
+SELECT src_dest, distance FROM (
+  SELECT CAST(sourcePincode AS VARCHAR) || '_' || CAST(destPincode AS VARCHAR) AS src_dest,
+    CAST(distance AS VARCHAR) AS distance
+  FROM pincodedistances WHERE sourcePincode IS NOT NULL AND destPincode IS NOT NULL) t
+ORDER BY src_dest, distance LIMIT 10""",
     "q25_stream_merge_prices": """
 , lastu AS (
   SELECT product, pincode, price, quantity FROM (
