@@ -8,55 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Packing of up to three INT fields into one DECIMAL(38,0) sort key: each
-# field takes a 33-bit slot, null -> 0 and v -> v + 2^31 + 1, so the packed
-# order is the field-by-field order with nulls first (as in struct order).
-_SLOT = 33
-_OFFSET = 2 ** 31 + 1
-_DEC = T.DecimalType(38, 0)
+_LOW = 2 ** 31
 
 
-def _dec(v: int) -> Column:
-    return F.lit(str(v)).cast(_DEC)
-
-
-def _encode(c: Column) -> Column:
-    return F.when(c.isNull(), F.lit(0).cast("long")).otherwise(c.cast("long") + F.lit(_OFFSET))
-
-
-def _decode(code: Column) -> Column:
-    return F.when(code == 0, F.lit(None).cast("int")).otherwise((code - F.lit(_OFFSET)).cast("int"))
-
-
-def _packable(df: DataFrame, fields: Sequence[str]) -> bool:
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
-    return 2 <= len(fields) <= 3 and all(isinstance(types.get(c), T.IntegerType) for c in fields)
-
-
-def _pack(fields: Sequence[str]) -> Column:
-    k = _encode(F.col(fields[0])).cast(_DEC)
-    for c in fields[1:]:
-        k = k * _dec(2 ** _SLOT) + _encode(F.col(c)).cast(_DEC)
-    return k
-
-
-def _unpack(k: Column, fields: Sequence[str]) -> list[Column]:
-    out, rem = [], k
-    for i, c in enumerate(fields):
-        shift = _SLOT * (len(fields) - 1 - i)
-        if shift == 0:
-            code = rem.cast("long")
-        else:
-            p = _dec(2 ** shift)
-            low = F.pmod(rem, p)
-            code = ((rem - low) / p).cast("long")   # exact: rem - low is a multiple of p
-            rem = low
-        out.append(_decode(code).alias(c))
-    return out
+def _both_int(df: DataFrame, fields: Sequence[str]) -> bool:
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return len(fields) == 2 and all(isinstance(types.get(c), T.IntegerType) for c in fields)
 
 
 def argmin(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-           carry: Sequence[str] = ()) -> DataFrame:
+           carry: Sequence[str] = (), not_null: bool = False) -> DataFrame:
     """One row per key: the row with the least ``order`` tuple.
 
     The tuple is compared field by field (nulls first), so ties on the first
@@ -65,16 +26,22 @@ def argmin(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     holding a third of all rows costs one row per input partition in the
     exchange, never one oversized task.
 
-    When the fields are two or three INTs they are packed into one
-    DECIMAL(38,0) and reduced with ``min``, which plans as a hash aggregate
-    (no sort of the input); otherwise ``min(struct(...))``, which plans as a
-    sort aggregate.
+    ``min(struct(...))`` plans as a sort aggregate. When the caller
+    guarantees two non-null INT fields (``not_null=True``), they are packed
+    into one BIGINT (high word signed, low word offset by 2^31) and reduced
+    with ``min``, a hash aggregate; unpacking is a shift and a mask.
     """
     fields = list(order) + [c for c in carry if c not in order]
     ks = [F.col(k) for k in keys]
-    if _packable(df, fields):
-        g = df.groupBy(*keys).agg(F.min(_pack(fields)).alias("_k"))
-        return g.select(*ks, *_unpack(F.col("_k"), fields))
+    if not_null and _both_int(df, fields):
+        hi, lo = fields
+        # OR, not +: the low word of the shifted value is zero, and an addition
+        # could be reassociated by the optimizer into an overflowing order
+        packed = F.shiftleft(F.col(hi).cast("long"), 32).bitwiseOR(F.col(lo).cast("long") + F.lit(_LOW))
+        g = df.groupBy(*keys).agg(F.min(packed).alias("_k"))
+        k = F.col("_k")
+        return g.select(*ks, F.shiftright(k, 32).cast("int").alias(hi),
+                        ((k.bitwiseAND(F.lit(0xFFFFFFFF))) - F.lit(_LOW)).cast("int").alias(lo))
     w = F.min(F.struct(*[F.col(c) for c in fields])).alias("_w")
     return df.groupBy(*keys).agg(w).select(*ks, *[F.col(f"_w.{c}").alias(c) for c in fields])
 

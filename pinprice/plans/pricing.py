@@ -78,7 +78,8 @@ def seller_winners(offers: DataFrame, products: DataFrame | None = None,
     price = "buyingPrice" if by == "buying" else "sellingPrice"
     e = eligible_offers(_zone(offers, zone), by).select(
         "zone", "product", "pincodeNum", price, "quantity")
-    w = argmin(e, ["zone", "product", "pincodeNum"], [price, "quantity"])
+    # eligibility guarantees non-null price and quantity
+    w = argmin(e, ["zone", "product", "pincodeNum"], [price, "quantity"], not_null=True)
     return _known(w, products)
 
 
