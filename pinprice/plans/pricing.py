@@ -285,8 +285,9 @@ def min_quote_for_pins(offers: DataFrame, destinations: DataFrame, distances: Da
     s = seller_winners(offers, by="selling")
     x = d.join(s, ["zone", "product"], "inner")
     x = attach_charge(x, distances, "pincodeNum", "pincode", on_missing)
-    x = x.withColumn("price", F.col("sellingPrice") + F.col("charge"))
-    best = argmin(x, ["product", "zone", "pincode"], ["price", "sellingPrice", "quantity", "pincodeNum"])
+    # only the least price is reported, so a plain min (hash aggregate) suffices
+    best = x.groupBy("product", "zone", "pincode").agg(
+        F.min(F.col("sellingPrice") + F.col("charge")).alias("price"))
     return best.select("product", "zone", "pincode", F.lit(carrier).alias("type"), "price")
 
 
