@@ -1,7 +1,7 @@
 """Join helpers with explicit size checks and skew handling.
 
-* ``fits`` proves a row bound with one bounded job (``limit(n+1).count()``)
-  before anything is broadcast.
+* ``fits`` proves a row bound with an exact count (partial counts summed,
+  no row moves) before anything is broadcast.
 * ``join_small`` broadcasts the small side only behind that check and falls
   back to a shuffle join (with adaptive skew splitting) beyond it.
 * ``expand_join`` joins on a key with very few distinct values (a zone):
@@ -23,9 +23,20 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
+def row_count(df: DataFrame) -> int:
+    """Exact row count. Partial counts are summed, so no row moves between
+    tasks; on a stored Parquet table only row-group metadata is read.
+
+    (``df.limit(n).count()`` is not used for this: it plans as a local limit
+    followed by a single-partition exchange, which can move up to n rows
+    per input partition into one task.)
+    """
+    return df.count()
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (a bounded job)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` is proven to have at most ``max_rows`` rows."""
+    return row_count(df) <= max_rows
 
 
 def join_small(big: DataFrame, small: DataFrame, on: str | Sequence[str] | Column,

@@ -30,7 +30,7 @@ from pinprice.functions.expr import (
     eligible_selling,
 )
 from pinprice.operators.aggregate import argmin, top_k
-from pinprice.operators.joins import DEFAULT_BROADCAST_ROWS, expand_join, fits
+from pinprice.operators.joins import DEFAULT_BROADCAST_ROWS, expand_join, fits, row_count
 from pinprice.plans.charges import attach_charge
 
 TIE_ORDER = ("finalPrice", "buyingPrice", "quantity", "pincodeNum")
@@ -170,7 +170,7 @@ def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
                         delivered_price("buyingPrice", charge).alias("finalPrice"),
                         "quantity")
     s = seller_winners(offers, products, zone)
-    n_pins = pins.limit(max_broadcast_rows + 1).count()
+    n_pins = row_count(pins)
     if n_pins > max_broadcast_rows:
         x = expand_join(s, pins, "zone", max_broadcast_rows)
         x = attach_charge(x, distances, "pincodeNum", "pincode", on_missing,
