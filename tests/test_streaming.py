@@ -8,3 +8,17 @@ def test_stream_equals_batch(spark):
     assert s.columns == b.columns
     assert rows(s) == rows(b)
     assert s.count() > 0
+
+
+def test_stream_merge_equals_one_batch_merge(spark):
+    from pinprice.plans.requests import price_requests
+    from pinprice.sources.fixtures import fixture_tables
+    from pinprice.sources.sinks import merge_values
+
+    t = fixture_tables(spark, SF001)
+    streamed = E.queries()["q25_stream_merge_prices"](spark, SF001)
+    res = price_requests(t["requests"], t["zoneprices"], t["pincodes"], t["productinfos"])
+    upd = res.select("product", "pincode", "price", "quantity", "request_id")
+    batch = merge_values(t["product_prices"], upd, order_col="request_id").drop("request_id")
+    assert rows(streamed) == rows(batch)
+    assert streamed.count() >= t["product_prices"].count()
