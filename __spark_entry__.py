@@ -2,7 +2,8 @@
 
 Every query runs over the whole stand-in tables derived from the driver's
 Parquet files (``pinprice.sources.fixtures``); none is restricted to an id
-subset or capped, except ``q15`` whose top-k limit is the feature. The
+subset or capped, except where the limit is the feature: ``q15`` (top 3
+offers per product) and ``q27`` (the capped export, first 10 keys). The
 oracle SQL is written in the direct form (every eligible offer against every
 destination) so it checks the eager-aggregation rewrites of the library
 rather than repeating them.
