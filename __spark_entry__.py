@@ -202,15 +202,17 @@ def q18_price_updates(spark, sf_dir):
 
 
 def q19_merged_prices(spark, sf_dir):
+    """Zone prices merged into the price state (the updates are already limited
+    to catalogue products by the pricing step, so the merge needs no second filter)."""
     t = _t(spark, sf_dir)
     upd = _zone_updates(t).select("product", "pincode", "price", "quantity")
-    return merge_values(t["product_prices"], upd, products=t["productinfos"])
+    return merge_values(t["product_prices"], upd)
 
 
 def q20_changed_products(spark, sf_dir):
     t = _t(spark, sf_dir)
     upd = _zone_updates(t).select("product", "pincode", "price", "quantity")
-    return changed_count(t["product_prices"], upd, products=t["productinfos"])
+    return changed_count(t["product_prices"], upd)
 
 
 def q21_validated_requests(spark, sf_dir):

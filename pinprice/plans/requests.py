@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pinprice.functions.expr import PIN_CHARGE, ZONE_CHARGE, delivered_price
-from pinprice.operators.joins import DEFAULT_BROADCAST_ROWS, expand_join
+from pinprice.operators.joins import DEFAULT_BROADCAST_ROWS, expand_join, fits
 from pinprice.operators.validate import valid_requests, validate_requests, zones_of
 from pinprice.plans.pricing import (
     min_price_for_pins,
@@ -37,26 +37,46 @@ def price_requests(requests: DataFrame, offers: DataFrame, pincodes: DataFrame,
     only the price).
     """
     v = valid_requests(validate_requests(requests, zones_of(pincodes)))
-    pin_req = v.where(F.col("kind") == "pin")
-    zone_req = v.where(F.col("kind") == "zone")
+    if distances is None:
+        # one winners table for both kinds, so the offers are aggregated once:
+        # each request row meets the pincodes of its zone only when it is a
+        # zone request; a pin request keeps its single destination
+        w = zone_winners(offers, products)
+        x = v.select("request_id", "kind", "zone", "product", "dest_pin").join(
+            w, ["zone", "product"], "inner")
+        pins = zone_pincodes(pincodes)
+        if fits(pins, max_broadcast_rows):
+            p = pins.select(F.col("zone").alias("_pz"), F.col("pincode").alias("_pin"))
+            cond = (F.col("zone") == F.col("_pz")) & (F.col("kind") == "zone")
+            y = x.join(F.broadcast(p), cond, "left").where(
+                (F.col("kind") == "pin") | F.col("_pin").isNotNull())
+            is_pin = F.col("kind") == "pin"
+            return y.select(
+                "request_id", "kind", "product", "zone",
+                F.when(is_pin, F.col("dest_pin")).otherwise(F.col("_pin")).alias("pincode"),
+                F.when(is_pin, delivered_price("buyingPrice", pin_charge))
+                 .otherwise(delivered_price("buyingPrice", zone_charge)).alias("price"),
+                F.when(is_pin, F.lit(None).cast("int")).otherwise(F.col("quantity")).alias("quantity"))
+        pin_out = x.where(F.col("kind") == "pin").select(
+            "request_id", "kind", "product", "zone", F.col("dest_pin").alias("pincode"),
+            delivered_price("buyingPrice", pin_charge).alias("price"),
+            F.lit(None).cast("int").alias("quantity"))
+        z = expand_join(x.where(F.col("kind") == "zone").drop("dest_pin"), pins, "zone",
+                        max_broadcast_rows)
+        zone_out = z.select("request_id", "kind", "product", "zone", "pincode",
+                            delivered_price("buyingPrice", zone_charge).alias("price"), "quantity")
+        return pin_out.unionByName(zone_out)
 
+    pin_req = v.where(F.col("kind") == "pin")
     pin_out = min_price_for_pins(offers, pin_req, products, pin_charge, distances, on_missing)
     pin_out = pin_out.select("request_id", F.lit("pin").alias("kind"), "product", "zone", "pincode",
                              "price", F.lit(None).cast("int").alias("quantity"))
-
-    zr = zone_req.select("request_id", "zone", "product")
-    if distances is None:
-        w = zone_winners(offers, products)
-        x = zr.join(w, ["zone", "product"], "inner")
-        x = expand_join(x, zone_pincodes(pincodes), "zone", max_broadcast_rows)
-        zone_out = x.select("request_id", F.lit("zone").alias("kind"), "product", "zone", "pincode",
-                            delivered_price("buyingPrice", zone_charge).alias("price"), "quantity")
-    else:
-        keys = zr.select("zone", "product").distinct()
-        o = offers.join(keys, ["zone", "product"], "left_semi")
-        res = min_price_for_zone(o, pincodes, products, None, zone_charge, distances, on_missing,
-                                 max_broadcast_rows)
-        zone_out = zr.join(res, ["zone", "product"], "inner").select(
-            "request_id", F.lit("zone").alias("kind"), "product", "zone", "pincode",
-            F.col("finalPrice").alias("price"), "quantity")
+    zr = v.where(F.col("kind") == "zone").select("request_id", "zone", "product")
+    keys = zr.select("zone", "product").distinct()
+    o = offers.join(keys, ["zone", "product"], "left_semi")
+    res = min_price_for_zone(o, pincodes, products, None, zone_charge, distances, on_missing,
+                             max_broadcast_rows)
+    zone_out = zr.join(res, ["zone", "product"], "inner").select(
+        "request_id", F.lit("zone").alias("kind"), "product", "zone", "pincode",
+        F.col("finalPrice").alias("price"), "quantity")
     return pin_out.unionByName(zone_out)
