@@ -59,16 +59,23 @@ def price_offers(offers: DataFrame, charge: float = PIN_CHARGE) -> DataFrame:
 
 
 def zone_winners(offers: DataFrame, products: DataFrame | None = None,
-                 zone: str | None = None) -> DataFrame:
+                 zone: str | None = None, with_seller: bool = False) -> DataFrame:
     """Cheapest eligible offer per (zone, product) for any flat charge.
 
     Ordered by (buyingPrice, quantity, pincodeNum): with a flat charge this
     is the same order as (finalPrice, buyingPrice, quantity, pincodeNum).
-    Output: zone, product, buyingPrice, quantity, pincodeNum.
+    Output: zone, product, buyingPrice, quantity (+ pincodeNum when
+    ``with_seller``). Without the seller the two INT fields are reduced by a
+    packed hash aggregate; the seller tie-break needs the struct minimum.
     """
-    e = eligible_offers(_zone(offers, zone)).select(
-        "zone", "product", "buyingPrice", "quantity", "pincodeNum")
-    w = argmin(e, ["zone", "product"], ["buyingPrice", "quantity", "pincodeNum"])
+    e = eligible_offers(_zone(offers, zone))
+    if with_seller:
+        e = e.select("zone", "product", "buyingPrice", "quantity", "pincodeNum")
+        w = argmin(e, ["zone", "product"], ["buyingPrice", "quantity", "pincodeNum"])
+    else:
+        e = e.select("zone", "product", "buyingPrice", "quantity")
+        # eligibility guarantees non-null price and quantity
+        w = argmin(e, ["zone", "product"], ["buyingPrice", "quantity"], not_null=True)
     return _known(w, products)
 
 
@@ -86,7 +93,7 @@ def seller_winners(offers: DataFrame, products: DataFrame | None = None,
 def argmin_per_key(offers: DataFrame, charge: float = ZONE_CHARGE,
                    products: DataFrame | None = None) -> DataFrame:
     """Winning offer per (zone, product) with its price under a flat charge."""
-    w = zone_winners(offers, products)
+    w = zone_winners(offers, products, with_seller=True)
     return w.select("zone", "product",
                     delivered_price("buyingPrice", charge).alias("finalPrice"),
                     "quantity", "pincodeNum", "buyingPrice")
