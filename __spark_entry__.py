@@ -43,10 +43,10 @@ from pinprice.plans.pricing import (  # noqa: E402
 from pinprice.plans.requests import price_requests  # noqa: E402
 from pinprice.session import shared_dir  # noqa: E402
 from pinprice.sources.fixtures import (  # noqa: E402
-    STATE_BUCKETS,
     fixture_cte,
     fixture_state_table,
     fixture_tables,
+    state_buckets,
 )
 from pinprice.sources.sinks import (  # noqa: E402
     changed_count,
@@ -257,7 +257,8 @@ def q25_stream_merge_prices(spark, sf_dir):
     initial = fixture_state_table(spark, sf_dir)
     prefix = "pinprice_stream_" + base.rstrip("/").rsplit("/", 1)[-1][:12]
     q = stream_merge_prices(spark, src, initial, prefix, f"{base}/state", f"{base}/checkpoint",
-                            t["zoneprices"], t["pincodes"], t["productinfos"], buckets=STATE_BUCKETS)
+                            t["zoneprices"], t["pincodes"], t["productinfos"],
+                            buckets=state_buckets(spark))
     q.awaitTermination()
     return spark.table(latest_state(spark, prefix, initial)).select("product", "pincode", "price", "quantity")
 

@@ -149,10 +149,16 @@ def fixture_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 _STORED: dict[tuple[str, str], dict[str, DataFrame]] = {}
 _STATE_TABLE: dict[tuple[str, str], str] = {}
 
-# number of buckets of the stored price state (keyed by product, pincode)
+# least number of buckets of the stored price state (keyed by product, pincode)
 STATE_BUCKETS = 16
 
 
+def state_buckets(spark: SparkSession) -> int:
+    """Buckets for the price state: at least the session's shuffle partitions,
+    so a merge keeps the state's buckets as its join partitioning."""
+    return max(STATE_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The stand-in tables, written once per session to the shared folder
     (``spark.checkpoint.dir``) and read back from there.
@@ -172,7 +178,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             path = f"{base}/{name}"
             if name == "product_prices":
                 table = f"pinprice_state_{uuid.uuid4().hex[:12]}"
-                out[name] = write_bucketed(df, table, path, ("product", "pincode"), STATE_BUCKETS)
+                out[name] = write_bucketed(df, table, path, ("product", "pincode"), state_buckets(spark))
                 _STATE_TABLE[key] = table
                 continue
             w = df.write.mode("overwrite")
