@@ -155,7 +155,7 @@ STATE_BUCKETS = 16
 
 def state_buckets(spark: SparkSession) -> int:
     """Buckets for the price state: at least the session's shuffle partitions,
-    so a merge keeps the state's buckets as its join partitioning."""
+    since the bucket count is the parallelism of every merge."""
     return max(STATE_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 

@@ -128,10 +128,9 @@ def write_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str] = (
     """Store a keyed table bucketed by ``keys`` (an external table at ``path``).
 
     A later join or merge on exactly these keys reads the table without a
-    shuffle; only the other side is shuffled into the same buckets. Spark
-    keeps the buckets as the join partitioning when ``buckets`` is at least
-    ``spark.sql.shuffle.partitions``; with fewer buckets both sides are
-    shuffled (still correct), so size the buckets to the cluster.
+    shuffle; only the other side is shuffled into the same buckets (seen on
+    Spark 4.1 with bucket counts below and above the shuffle partitions).
+    The bucket count is the merge's parallelism, so size it to the cluster.
     """
     (df.write.mode(mode).format("parquet").bucketBy(buckets, *keys)
      .option("path", path).saveAsTable(table))
