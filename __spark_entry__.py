@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pinprice.functions.expr import PIN_CHARGE, ZONE_CHARGE, dist_key  # noqa: E402
-from pinprice.operators.aggregate import top_k  # noqa: E402
 from pinprice.operators.validate import (  # noqa: E402
     valid_requests,
     validate_requests,
@@ -38,6 +37,7 @@ from pinprice.plans.pricing import (  # noqa: E402
     min_quote_for_pins,
     price_for_destinations,
     price_offers,
+    priceable_keys,
     top_k_offers,
 )
 from pinprice.plans.requests import price_requests  # noqa: E402
@@ -55,7 +55,11 @@ from pinprice.sources.sinks import (  # noqa: E402
     read_kv,
     write_kv,
 )
-from pinprice.sources.tables import offers_from_documents, to_documents  # noqa: E402
+from pinprice.sources.tables import (  # noqa: E402
+    fetch_by_id,
+    offers_from_documents,
+    to_documents,
+)
 from pinprice.streaming.requests import (  # noqa: E402
     latest_state,
     read_stream_results,
@@ -93,18 +97,15 @@ def q01_zone_product_offers(spark, sf_dir):
 def q02_fetch_by_id(spark, sf_dir):
     """First offer (in a total order) of every requested product."""
     t = _t(spark, sf_dir)
-    ids = _valid(t).select("product").distinct()
-    rows = t["zoneprices"].join(ids, "product", "left_semi")
-    first = top_k(rows, ["product"], ["zone", "pincodeNum", "buyingPrice", "sellingPrice", "quantity"], 1)
+    first = fetch_by_id(t["zoneprices"], _valid(t), "product",
+                        ["zone", "pincodeNum", "buyingPrice", "sellingPrice", "quantity"], limit=1)
     return first.select(*OFFER_COLS)
 
 
 def q03_known_products(spark, sf_dir):
     """Requested (zone, product) pairs that exist in the catalogue and have offers in the zone."""
     t = _t(spark, sf_dir)
-    keys = _valid(t).select("zone", "product").distinct()
-    keys = keys.join(t["productinfos"], "product", "left_semi")
-    return keys.join(t["zoneprices"].select("zone", "product"), ["zone", "product"], "left_semi")
+    return priceable_keys(_valid(t), t["zoneprices"], t["productinfos"])
 
 
 def q04_eligible_offers(spark, sf_dir):

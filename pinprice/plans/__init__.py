@@ -13,6 +13,7 @@ from pinprice.plans.pricing import (
     min_quote_for_pins,
     price_for_destinations,
     price_offers,
+    priceable_keys,
     seller_winners,
     top_k_offers,
     zone_pincodes,
@@ -25,6 +26,6 @@ __all__ = [
     "eligible_offers", "export_distances", "lookup_distance", "min_price",
     "min_price_for_pin", "min_price_for_pins", "min_price_for_zone",
     "min_quote_for_pins", "price_for_destinations", "price_offers",
-    "price_requests", "seller_winners", "top_k_offers", "zone_pincodes",
+    "price_requests", "priceable_keys", "seller_winners", "top_k_offers", "zone_pincodes",
     "zone_winners",
 ]

@@ -47,6 +47,16 @@ def _zone(df: DataFrame, zone: str | None) -> DataFrame:
     return df if zone is None else df.where(F.col("zone") == F.lit(zone.strip().upper()))
 
 
+def priceable_keys(requests: DataFrame, offers: DataFrame,
+                   products: DataFrame | None = None) -> DataFrame:
+    """Distinct requested (zone, product) pairs that pass the two gates a
+    request meets before pricing: the product is in the catalogue and the
+    zone has at least one offer for it. Both are semi joins, no action.
+    """
+    keys = _known(requests.select("zone", "product").distinct(), products)
+    return keys.join(offers.select("zone", "product"), ["zone", "product"], "left_semi")
+
+
 def eligible_offers(offers: DataFrame, by: str = "buying") -> DataFrame:
     """Offers with a price (buying or selling) and quantity > 0."""
     return offers.where(eligible_buying() if by == "buying" else eligible_selling())

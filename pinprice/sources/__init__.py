@@ -14,6 +14,7 @@ from pinprice.sources.sinks import (
     write_table,
 )
 from pinprice.sources.tables import (
+    fetch_by_id,
     match,
     offers_from_documents,
     read_offers,
@@ -25,7 +26,7 @@ from pinprice.sources.tables import (
 __all__ = [
     "assert_unique", "changed_count", "merge_into_table", "merge_values", "price_map",
     "price_updates", "read_kv", "write_bucketed", "write_kv", "write_table",
-    "FIXTURE_SQL", "fixture_cte", "fixture_tables", "fixture_views", "match",
+    "FIXTURE_SQL", "fetch_by_id", "fixture_cte", "fixture_tables", "fixture_views", "match",
     "offers_from_documents", "read_offers", "read_table", "to_documents",
     "write_offers",
 ]

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from pinprice import schemas
 from pinprice.functions.expr import normalize_zone
+from pinprice.operators.aggregate import top_k
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
@@ -34,6 +35,18 @@ def match(df: DataFrame, **equals) -> DataFrame:
     return df if cond is None else df.where(cond)
 
 
+def fetch_by_id(table: DataFrame, ids: DataFrame, key: str, order: list[str],
+                limit: int = 1) -> DataFrame:
+    """The rows of ``table`` whose ``key`` is in ``ids``, at most ``limit`` per
+    key, first in ``order`` (ascending, nulls first) so the pick is stable.
+
+    Set form of fetching one document by id and showing its first row: the
+    ids are a DataFrame (semi join), so any number of keys costs one job.
+    """
+    rows = table.join(ids.select(key).distinct(), key, "left_semi")
+    return top_k(rows, [key], order, limit).drop("rank")
+
+
 def write_offers(offers: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store offers partitioned by zone: one folder per zone, so reading a
     zone prunes every other folder."""

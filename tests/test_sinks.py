@@ -125,3 +125,12 @@ def test_merge_into_bucketed_table_versions(mk, spark):
     p = buf.getvalue()
     assert "Bucketed: true" in p
     assert p.count("Exchange hashpartitioning(product") == 1   # only the updates side
+
+
+def test_fetch_by_id_first_rows(mk, spark):
+    from pinprice.sources.tables import fetch_by_id
+
+    t = spark.createDataFrame([(1, "b", 2), (1, "a", 5), (2, "z", 1), (3, "c", 0)], "id BIGINT, s STRING, v INT")
+    ids = spark.createDataFrame([(1,), (1,), (2,), (9,)], "id BIGINT")
+    assert rows(fetch_by_id(t, ids, "id", ["s", "v"])) == [(1, "a", 5), (2, "z", 1)]
+    assert len(rows(fetch_by_id(t, ids, "id", ["s", "v"], limit=2))) == 3
