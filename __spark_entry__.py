@@ -40,6 +40,7 @@ from pinprice.plans.pricing import (  # noqa: E402
     priceable_keys,
     top_k_offers,
 )
+from pinprice.plans.jobs import recompute_prices  # noqa: E402
 from pinprice.plans.requests import price_requests  # noqa: E402
 from pinprice.session import shared_dir  # noqa: E402
 from pinprice.sources.fixtures import (  # noqa: E402
@@ -277,6 +278,18 @@ def q27_distance_kv_first10(spark, sf_dir):
     return export_distances(t["pincodedistances"], limit=10)
 
 
+def q28_recompute_changed(spark, sf_dir):
+    """End-to-end batch job: validate and price the request table, merge into the
+    price state as a new version, and count the products whose prices changed."""
+    t = _t(spark, sf_dir)
+    base = shared_dir(spark, "recompute")
+    name = "pinprice_recompute_" + base.rstrip("/").rsplit("/", 1)[-1][:12]
+    _, n = recompute_prices(spark, t["requests"], t["zoneprices"], t["pincodes"],
+                            fixture_state_table(spark, sf_dir), name, f"{base}/state",
+                            t["productinfos"], buckets=state_buckets(spark))
+    return n
+
+
 _QUERIES = [
     q01_zone_product_offers, q02_fetch_by_id, q03_known_products, q04_eligible_offers,
     q05_nested_projection, q06_price_flat, q07_price_distance, q08_quote_selling,
@@ -285,6 +298,7 @@ _QUERIES = [
     q17_distance_lookup, q18_price_updates, q19_merged_prices, q20_changed_products,
     q21_validated_requests, q22_min_for_requests, q23_kv_overwrite_roundtrip, q24_stream_requests,
     q25_stream_merge_prices, q26_min_for_requests_distance, q27_distance_kv_first10,
+    q28_recompute_changed,
 ]
 
 
@@ -483,6 +497,16 @@ SELECT src_dest, distance FROM (
     CAST(distance AS VARCHAR) AS distance
   FROM pincodedistances WHERE sourcePincode IS NOT NULL AND destPincode IS NOT NULL) t
 ORDER BY src_dest, distance LIMIT 10""",
+    "q28_recompute_changed": """
+, lastu AS (
+  SELECT product, pincode, price, quantity FROM (
+    SELECT product, pincode, price, quantity,
+      ROW_NUMBER() OVER (PARTITION BY product, pincode ORDER BY request_id DESC) AS rn
+    FROM req_prices) t WHERE rn = 1)
+SELECT CAST(COUNT(DISTINCT u.product) AS BIGINT) AS n
+FROM lastu u LEFT JOIN product_prices s ON s.product = u.product AND s.pincode = u.pincode
+WHERE s.product IS NULL
+   OR NOT (u.price IS NOT DISTINCT FROM s.price AND u.quantity IS NOT DISTINCT FROM s.quantity)""",
     "q25_stream_merge_prices": """
 , lastu AS (
   SELECT product, pincode, price, quantity FROM (

@@ -2,6 +2,7 @@
 
 from pinprice.plans.charges import attach_charge
 from pinprice.plans.distances import distance_pairs, export_distances, lookup_distance
+from pinprice.plans.jobs import recompute_prices
 from pinprice.plans.pricing import (
     argmin_per_key,
     attach_destination,
@@ -26,6 +27,6 @@ __all__ = [
     "eligible_offers", "export_distances", "lookup_distance", "min_price",
     "min_price_for_pin", "min_price_for_pins", "min_price_for_zone",
     "min_quote_for_pins", "price_for_destinations", "price_offers",
-    "price_requests", "priceable_keys", "seller_winners", "top_k_offers", "zone_pincodes",
+    "price_requests", "priceable_keys", "recompute_prices", "seller_winners", "top_k_offers", "zone_pincodes",
     "zone_winners",
 ]

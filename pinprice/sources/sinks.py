@@ -84,17 +84,23 @@ def changed_count(state: DataFrame, updates: DataFrame, keys: Sequence[str] = ("
                   group_col: str = "product") -> DataFrame:
     """Number of ``group_col`` values (documents) a merge would modify.
 
-    A key counts as modified when it is new or any value differs (null-safe).
-    Output: one row, ``n`` BIGINT.
+    A key counts as modified when it is new or any value differs (null-safe);
+    with ``order_col`` present in the state, an update older than the stored
+    value is not applied and does not count. Output: one row, ``n`` BIGINT.
     """
     keys, value_cols = list(keys), list(value_cols)
     u = _prepare(updates, keys, value_cols, products, order_col)
-    s = state.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in value_cols],
-                     F.lit(True).alias("_had"))
+    old_cols = [F.col(c).alias(f"_old_{c}") for c in value_cols]
+    seq = order_col is not None and order_col in state.columns
+    if seq:
+        old_cols.append(F.col(order_col).alias("_old_seq"))
+    s = state.select(*keys, *old_cols, F.lit(True).alias("_had"))
     j = u.join(s, keys, "left")
     same = F.col("_had").isNotNull()
     for c in value_cols:
         same = same & F.col(c).eqNullSafe(F.col(f"_old_{c}"))
+    if seq:
+        same = same | (F.col("_had").isNotNull() & (F.col(order_col) < F.col("_old_seq")))
     return j.where(~same).agg(F.countDistinct(group_col).cast("bigint").alias("n"))
 
 

@@ -16,7 +16,7 @@ def test_entry_runs(spark):
 
 def test_every_query_has_an_oracle():
     assert set(E.queries()) == set(E.oracle_sql())
-    assert len(E.queries()) == 27
+    assert len(E.queries()) == 28
 
 
 @pytest.fixture(scope="module")

@@ -22,3 +22,22 @@ def test_stream_merge_equals_one_batch_merge(spark):
     batch = merge_values(t["product_prices"], upd, order_col="request_id").drop("request_id")
     assert rows(streamed) == rows(batch)
     assert streamed.count() >= t["product_prices"].count()
+
+
+def test_recompute_job_matches_stream_and_is_idempotent(spark):
+    from pinprice.plans.jobs import recompute_prices
+    from pinprice.session import shared_dir
+    from pinprice.sources.fixtures import fixture_state_table, fixture_tables
+
+    t = fixture_tables(spark, SF001)
+    base = shared_dir(spark, "test-recompute")
+    args = (t["requests"], t["zoneprices"], t["pincodes"])
+    new, n = recompute_prices(spark, *args, fixture_state_table(spark, SF001), "t_recompute_v1",
+                              f"{base}/v1", t["productinfos"], buckets=8)
+    assert n.first()["n"] > 0
+    streamed = E.queries()["q25_stream_merge_prices"](spark, SF001)
+    assert rows(new.drop("request_id")) == rows(streamed)
+    again, n2 = recompute_prices(spark, *args, "t_recompute_v1", "t_recompute_v2", f"{base}/v2",
+                                 t["productinfos"], buckets=8)
+    assert n2.first()["n"] == 0
+    assert rows(again) == rows(new)
