@@ -131,13 +131,21 @@ def _charge_bounds(pins: DataFrame, distances: DataFrame) -> DataFrame:
         F.countDistinct("pincode").alias("_m"))
 
 
-def _prune_dominated(s: DataFrame, pins: DataFrame, distances: DataFrame, on_missing: str) -> DataFrame:
+def _prune_dominated(s: DataFrame, pins: DataFrame, distances: DataFrame, on_missing: str,
+                     broadcast_bounds: bool) -> DataFrame:
     """Add ``_lo`` / ``_hi``: a seller's price at its least and greatest
-    charge over the zone (``_hi`` only when it is a candidate everywhere)."""
+    charge over the zone (``_hi`` only when it is a candidate everywhere).
+
+    The bounds have at most as many rows as the distance table: broadcast
+    when that table's size is proven small, else a shuffle join with the
+    per-seller winners (which are far fewer than the expansion it prunes).
+    """
     bounds = _charge_bounds(pins, distances)
+    if broadcast_bounds:
+        bounds = F.broadcast(bounds)
     n = pins.groupBy("zone").agg(F.count("pincode").alias("_n"))
     own = pins.select("zone", F.col("pincode").alias("pincodeNum"), F.lit(True).alias("_self"))
-    s = (s.join(F.broadcast(bounds), ["zone", "pincodeNum"], "left")
+    s = (s.join(bounds, ["zone", "pincodeNum"], "left")
          .join(F.broadcast(own), ["zone", "pincodeNum"], "left")
          .join(F.broadcast(n), "zone", "inner"))
     self_ = F.coalesce(F.col("_self"), F.lit(False))
@@ -198,10 +206,7 @@ def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
 
     bd = fits(distances, max_broadcast_rows)
     buckets = max(1, -(-n_pins // dest_bucket_rows))
-    if bd:
-        s = _prune_dominated(s, pins, distances, on_missing)
-    else:
-        s = s.withColumn("_lo", F.lit(None).cast("long")).withColumn("_hi", F.lit(None).cast("long"))
+    s = _prune_dominated(s, pins, distances, on_missing, broadcast_bounds=bd)
     s = (s.withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
          .repartition("zone", "product", "_db"))
     upper = F.min("_hi").over(Window.partitionBy("zone", "product", "_db"))

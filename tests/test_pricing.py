@@ -180,3 +180,16 @@ def test_min_price_core_over_attached_destinations(mk):
     req = mk([(1, "pin", 1, Z, 500), (2, "pin", 1, Z, 501)], REQ_DDL)
     out = rows(min_price(attach_destination(o, req), keys=("request_id", "destPin")))
     assert out == [(1, 500, 94), (2, 501, 94)]
+
+
+def test_distance_mode_without_broadcasting_distances(mk):
+    """Pruning and pricing agree when the distance table is too big to broadcast."""
+    o = mk([(z, p, 10 + p % 4, 50 + (p * 7) % 30, 1.0, 1 + p % 3) for z in ("A", "B") for p in range(30)],
+           OFFER_DDL)
+    p = mk([(10 + i, "A" if i % 2 else "B") for i in range(8)], PIN_DDL)
+    d = mk([(10 + i, 10 + j, float((i * 3 + j * 5) % 11)) for i in range(8) for j in range(8) if (i + j) % 5],
+           DIST_DDL)
+    for mode in ("zero", "drop"):
+        small = rows(min_price_for_zone(o, p, distances=d, on_missing=mode))
+        big = rows(min_price_for_zone(o, p, distances=d, on_missing=mode, max_broadcast_rows=20))
+        assert small == big and len(small) > 0
