@@ -448,7 +448,8 @@ GROUP BY v.product, v.zone, v.pincode""",
 SELECT zone, product, {_price('buyingPrice', _dbl(ZONE_CHARGE))} AS finalPrice, quantity, pincodeNum,
   buyingPrice FROM zw""",
     "q15_top_k_offers": f"""
-SELECT zone, product, offer_rank, finalPrice, buyingPrice, quantity, pincodeNum FROM (
+SELECT zone, product, CAST(offer_rank AS INTEGER) AS offer_rank, finalPrice, buyingPrice, quantity,
+  pincodeNum FROM (
   SELECT zone, product, buyingPrice, quantity, pincodeNum,
     {_price('buyingPrice', _dbl(ZONE_CHARGE))} AS finalPrice,
     ROW_NUMBER() OVER (PARTITION BY zone, product ORDER BY {_price('buyingPrice', _dbl(ZONE_CHARGE))},

@@ -27,9 +27,15 @@ def duck():
     return con
 
 
+DUCK_TYPES = {"INTEGER": "int", "BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double"}
+
+
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_matches_oracle(spark, duck, name):
-    got = _norm(E.queries()[name](spark, SF001).toPandas())
+    df = E.queries()[name](spark, SF001)
+    rel = duck.sql(E.oracle_sql()[name])
+    assert dict(df.dtypes) == {c: DUCK_TYPES.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    got = _norm(df.toPandas())
     want = _norm(duck.execute(E.oracle_sql()[name]).fetchdf())
     assert list(got.columns) == list(want.columns)
     assert len(got) == len(want)
