@@ -262,7 +262,8 @@ def q25_stream_merge_prices(spark, sf_dir):
                             t["zoneprices"], t["pincodes"], t["productinfos"],
                             buckets=state_buckets(spark))
     q.awaitTermination()
-    return spark.table(latest_state(spark, prefix, initial)).select("product", "pincode", "price", "quantity")
+    latest = latest_state(spark, prefix, initial, state_dir=f"{base}/state", buckets=state_buckets(spark))
+    return spark.table(latest).select("product", "pincode", "price", "quantity")
 
 
 def q26_min_for_requests_distance(spark, sf_dir):

@@ -48,17 +48,49 @@ def read_stream_results(spark: SparkSession, output_dir: str) -> DataFrame:
     return spark.read.parquet(output_dir).select(*OUTPUT)
 
 
-def _versions(spark: SparkSession, prefix: str) -> dict[int, str]:
+def _version_dirs(spark: SparkSession, state_dir: str) -> dict[int, str]:
+    """Completed state versions in ``state_dir`` (folders ``v<n>`` holding a
+    ``_SUCCESS`` marker), listed through the Hadoop file system of the path,
+    so they are found again after a driver restart."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(state_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return {}
     out = {}
-    for t in spark.catalog.listTables():
-        if t.name.startswith(prefix + "_v") and t.name[len(prefix) + 2:].isdigit():
-            out[int(t.name[len(prefix) + 2:])] = t.name
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("v") and name[1:].isdigit():
+            if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                out[int(name[1:])] = st.getPath().toString()
     return out
 
 
-def latest_state(spark: SparkSession, prefix: str, initial_table: str, before: int | None = None) -> str:
-    """Name of the newest state version (older than batch ``before``)."""
-    v = {k: n for k, n in _versions(spark, prefix).items() if before is None or k < before}
+def latest_state(spark: SparkSession, prefix: str, initial_table: str, before: int | None = None,
+                 state_dir: str | None = None, buckets: int = 16) -> str:
+    """Name of the newest state version (older than batch ``before``).
+
+    Versions are looked up in ``state_dir`` when given (a version missing
+    from the session catalog, e.g. after a restart, is registered again as
+    a bucketed table over its folder), else in the session catalog.
+    """
+    if state_dir is not None:
+        found = {k: p for k, p in _version_dirs(spark, state_dir).items() if before is None or k < before}
+        if not found:
+            return initial_table
+        k = max(found)
+        name = f"{prefix}_v{k}"
+        if not spark.catalog.tableExists(name):
+            spark.sql(f"CREATE TABLE {name} (product BIGINT, pincode INT, price BIGINT, quantity INT, "
+                      f"request_id BIGINT) USING parquet CLUSTERED BY (product, pincode) "
+                      f"INTO {buckets} BUCKETS LOCATION '{found[k]}'")
+        return name
+    v = {}
+    for t in spark.catalog.listTables():
+        if t.name.startswith(prefix + "_v") and t.name[len(prefix) + 2:].isdigit():
+            k = int(t.name[len(prefix) + 2:])
+            if before is None or k < before:
+                v[k] = t.name
     return v[max(v)] if v else initial_table
 
 
@@ -84,7 +116,8 @@ def stream_merge_prices(spark: SparkSession, source_dir: str, initial_table: str
         batch_offers = offers.join(keys, ["zone", "product"], "left_semi")
         res = price_requests(batch, batch_offers, pincodes, products, distances=distances, **pricing)
         upd = res.select("product", "pincode", "price", "quantity", "request_id")
-        prev = latest_state(spark, prefix, initial_table, before=batch_id)
+        prev = latest_state(spark, prefix, initial_table, before=batch_id, state_dir=state_dir,
+                            buckets=buckets)
         out = f"{prefix}_v{batch_id}"
         spark.sql(f"DROP TABLE IF EXISTS {out}")
         merge_into_table(spark, prev, upd, out, f"{state_dir.rstrip('/')}/v{batch_id}",
