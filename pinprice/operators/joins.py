@@ -71,13 +71,18 @@ def grid_join(left: DataFrame, right: DataFrame, on: Sequence[str],
 
 def expand_join(big: DataFrame, small: DataFrame, on: str | Sequence[str],
                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                left_cells: int = 64, right_cells: int = 16) -> DataFrame:
+                left_cells: int = 64) -> DataFrame:
     """Inner join on a low-cardinality key (e.g. zone) that multiplies rows.
 
     Broadcast when ``small`` is proven small (the big side is not shuffled at
-    all); otherwise ``grid_join``, never a plain shuffle on the few keys.
+    all); otherwise ``grid_join``, never a plain shuffle on the few keys. The
+    grid copies the big side only ``ceil(#small / max_broadcast_rows)`` times
+    (so one cell holds about a broadcast's worth of the small side) and
+    spreads it over ``left_cells`` row buckets.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if fits(small, max_broadcast_rows):
+    n = row_count(small)
+    if n <= max_broadcast_rows:
         return big.join(F.broadcast(small), keys, "inner")
+    right_cells = -(-n // max_broadcast_rows)
     return grid_join(big, small, keys, left_cells, right_cells)
