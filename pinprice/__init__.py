@@ -6,6 +6,35 @@ table. Every job is a DataFrame -> DataFrame function; the session is passed
 in, never created by an operator.
 """
 
+from pinprice.functions.expr import delivered_price, round_half_up
+from pinprice.functions.sql import register_sql_functions
+from pinprice.operators.validate import validate_requests, zones_of
+from pinprice.plans import (
+    export_distances,
+    lookup_distance,
+    min_price_for_pin,
+    min_price_for_pins,
+    min_price_for_zone,
+    min_quote_for_pins,
+    price_requests,
+    recompute_prices,
+)
 from pinprice.session import build_session, shared_dir
+from pinprice.sources.sinks import (
+    changed_count,
+    merge_into_table,
+    merge_values,
+    price_updates,
+    write_bucketed,
+    write_kv,
+)
+from pinprice.streaming import stream_merge_prices, stream_price_requests
 
-__all__ = ["build_session", "shared_dir"]
+__all__ = [
+    "build_session", "changed_count", "delivered_price", "export_distances",
+    "lookup_distance", "merge_into_table", "merge_values", "min_price_for_pin",
+    "min_price_for_pins", "min_price_for_zone", "min_quote_for_pins", "price_requests",
+    "price_updates", "recompute_prices", "register_sql_functions", "round_half_up",
+    "shared_dir", "stream_merge_prices", "stream_price_requests", "validate_requests",
+    "write_bucketed", "write_kv", "zones_of",
+]
