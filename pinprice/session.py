@@ -81,13 +81,4 @@ def shared_dir(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     return path
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for code that needs a plain local path."""
-    if path.startswith("file://"):
-        return path[len("file://"):]
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    return path
-
-
-__all__ = ["SESSION_DEFAULTS", "build_session", "shared_dir", "local_path"]
+__all__ = ["SESSION_DEFAULTS", "build_session", "shared_dir"]

@@ -12,3 +12,14 @@ def test_shared_dir_uses_the_configured_checkpoint_dir(spark):
 def test_top_level_api_is_importable():
     for name in pinprice.__all__:
         assert callable(getattr(pinprice, name))
+
+
+def test_read_table_and_typed_match(spark):
+    from pinprice import schemas
+    from pinprice.sources.tables import match, read_table
+
+    path = shared_dir(spark, "test-read")
+    spark.createDataFrame([(500, "ASIA"), (501, "EUROPE")], schemas.PINCODES).write.csv(path)
+    df = read_table(spark, path, schemas.PINCODES, fmt="csv", options={"header": "false"})
+    assert [r["pincode"] for r in match(df, zone="ASIA").collect()] == [500]
+    assert match(df, zone=None).count() == 0 and match(df).count() == 2
