@@ -38,6 +38,7 @@ from pinprice.plans.pricing import (  # noqa: E402
     price_for_destinations,
     price_offers,
     priceable_keys,
+    store_zone_winners,
     top_k_offers,
 )
 from pinprice.plans.jobs import recompute_prices  # noqa: E402
@@ -237,21 +238,31 @@ def q23_kv_overwrite_roundtrip(spark, sf_dir):
     return read_kv(spark, path)
 
 
+def _stored_winners(spark, t, base):
+    """Winners aggregated once for a stream of request batches."""
+    name = "pinprice_winners_" + base.rstrip("/").rsplit("/", 1)[-1][:12]
+    return store_zone_winners(t["zoneprices"], name, f"{base}/winners", t["productinfos"],
+                              buckets=state_buckets(spark))
+
+
 def q24_stream_requests(spark, sf_dir):
-    """Requests arrive as files; each micro-batch is priced and written idempotently."""
+    """Requests arrive as files; each micro-batch is priced against winners
+    aggregated once (a stored table) and written idempotently."""
     t = _t(spark, sf_dir)
     base = shared_dir(spark, "stream")
     src, out, ckpt = (f"{base}/{p}" for p in ("requests", "out", "checkpoint"))
     t["requests"].repartitionByRange(4, "request_id").write.parquet(src)
+    winners = _stored_winners(spark, t, base)
     q = stream_price_requests(spark, src, out, ckpt, t["zoneprices"], t["pincodes"], t["productinfos"],
-                              max_files_per_trigger=1)
+                              max_files_per_trigger=1, winners=winners)
     q.awaitTermination()
     return read_stream_results(spark, out)
 
 
 def q25_stream_merge_prices(spark, sf_dir):
-    """Requests arrive as files; each micro-batch is priced and merged into the
-    bucketed price state (newest request wins per key, in any batch order)."""
+    """Requests arrive as files; each micro-batch is priced against winners
+    aggregated once and merged into the bucketed price state (newest request
+    wins per key, in any batch order)."""
     t = _t(spark, sf_dir)
     base = shared_dir(spark, "stream-merge")
     src = f"{base}/requests"
@@ -260,7 +271,7 @@ def q25_stream_merge_prices(spark, sf_dir):
     prefix = "pinprice_stream_" + base.rstrip("/").rsplit("/", 1)[-1][:12]
     q = stream_merge_prices(spark, src, initial, prefix, f"{base}/state", f"{base}/checkpoint",
                             t["zoneprices"], t["pincodes"], t["productinfos"],
-                            buckets=state_buckets(spark))
+                            buckets=state_buckets(spark), winners=_stored_winners(spark, t, base))
     q.awaitTermination()
     latest = latest_state(spark, prefix, initial, state_dir=f"{base}/state", buckets=state_buckets(spark))
     return spark.table(latest).select("product", "pincode", "price", "quantity")

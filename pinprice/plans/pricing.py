@@ -89,6 +89,18 @@ def zone_winners(offers: DataFrame, products: DataFrame | None = None,
     return _known(w, products)
 
 
+def store_zone_winners(offers: DataFrame, table: str, path: str,
+                       products: DataFrame | None = None, buckets: int = 16) -> DataFrame:
+    """Aggregate the offers once into a stored winners table, bucketed by
+    (zone, product), for jobs that price many small request batches: each
+    batch then joins its requests to this table (only the batch shuffles)
+    instead of scanning and aggregating all offers again. Rebuild it when
+    the offers change."""
+    from pinprice.sources.sinks import write_bucketed
+
+    return write_bucketed(zone_winners(offers, products), table, path, ("zone", "product"), buckets)
+
+
 def seller_winners(offers: DataFrame, products: DataFrame | None = None,
                    zone: str | None = None, by: str = "buying") -> DataFrame:
     """Cheapest eligible offer per (zone, product, seller pincode)."""

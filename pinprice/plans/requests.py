@@ -29,9 +29,13 @@ def price_requests(requests: DataFrame, offers: DataFrame, pincodes: DataFrame,
                    products: DataFrame | None = None,
                    pin_charge: float = PIN_CHARGE, zone_charge: float = ZONE_CHARGE,
                    distances: DataFrame | None = None, on_missing: str = "zero",
-                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                   winners: DataFrame | None = None) -> DataFrame:
     """Validate, then price every valid request.
 
+    ``winners`` (flat charge only) is a precomputed ``zone_winners`` table,
+    e.g. from ``store_zone_winners``; the offers are then not read.
+
     Output: request_id, kind, product, zone, pincode, price, quantity
     (quantity is null for kind ``pin``, as a single-pincode write carries
     only the price).
@@ -41,7 +45,7 @@ def price_requests(requests: DataFrame, offers: DataFrame, pincodes: DataFrame,
         # one winners table for both kinds, so the offers are aggregated once:
         # each request row meets the pincodes of its zone only when it is a
         # zone request; a pin request keeps its single destination
-        w = zone_winners(offers, products)
+        w = winners if winners is not None else zone_winners(offers, products)
         x = v.select("request_id", "kind", "zone", "product", "dest_pin").join(
             w, ["zone", "product"], "inner")
         pins = zone_pincodes(pincodes)

@@ -70,3 +70,16 @@ def test_top_k_limits_before_the_shuffle(spark, name):
     lines = p.split("\n")
     ex = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line)
     assert any("WindowGroupLimit" in line for line in lines[ex + 1:ex + 3]), p
+
+
+def test_request_batch_with_stored_winners_does_not_read_offers(spark):
+    from pinprice.plans.pricing import store_zone_winners
+    from pinprice.plans.requests import price_requests
+
+    t = fixture_tables(spark, SF001)
+    base = shared_dir(spark, "test-winners")
+    w = store_zone_winners(t["zoneprices"], "t_winners_plan", f"{base}/w", t["productinfos"], buckets=8)
+    batch = t["requests"].limit(50)
+    p = plan(price_requests(batch, t["zoneprices"], t["pincodes"], t["productinfos"], winners=w))
+    assert "t_winners_plan" in p
+    assert "/zoneprices" not in p
