@@ -16,6 +16,7 @@ from pinprice.plans.pricing import (
     price_offers,
     priceable_keys,
     seller_winners,
+    store_seller_winners,
     store_zone_winners,
     top_k_offers,
     zone_pincodes,
@@ -28,6 +29,6 @@ __all__ = [
     "eligible_offers", "export_distances", "lookup_distance", "min_price",
     "min_price_for_pin", "min_price_for_pins", "min_price_for_zone",
     "min_quote_for_pins", "price_for_destinations", "price_offers",
-    "price_requests", "priceable_keys", "recompute_prices", "seller_winners", "store_zone_winners", "top_k_offers", "zone_pincodes",
+    "price_requests", "priceable_keys", "recompute_prices", "seller_winners", "store_seller_winners", "store_zone_winners", "top_k_offers", "zone_pincodes",
     "zone_winners",
 ]

@@ -101,6 +101,15 @@ def store_zone_winners(offers: DataFrame, table: str, path: str,
     return write_bucketed(zone_winners(offers, products), table, path, ("zone", "product"), buckets)
 
 
+def store_seller_winners(offers: DataFrame, table: str, path: str,
+                         products: DataFrame | None = None, buckets: int = 16) -> DataFrame:
+    """Distance-mode counterpart of ``store_zone_winners``: the per-(zone,
+    product, seller pincode) winners stored once, bucketed by (zone, product)."""
+    from pinprice.sources.sinks import write_bucketed
+
+    return write_bucketed(seller_winners(offers, products), table, path, ("zone", "product"), buckets)
+
+
 def seller_winners(offers: DataFrame, products: DataFrame | None = None,
                    zone: str | None = None, by: str = "buying") -> DataFrame:
     """Cheapest eligible offer per (zone, product, seller pincode)."""
@@ -178,13 +187,16 @@ def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
                        charge: float = ZONE_CHARGE, distances: DataFrame | None = None,
                        on_missing: str = "zero",
                        max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                       dest_bucket_rows: int = 2000) -> DataFrame:
+                       dest_bucket_rows: int = 2000,
+                       sellers: DataFrame | None = None) -> DataFrame:
     """Least delivered price and winning quantity for every pincode of a zone,
     for all products at once (all zones when ``zone`` is None).
 
     ``distances=None`` uses the flat ``charge``; otherwise the charge is the
     seller->destination distance (see ``attach_charge``).
     Output: product, zone, pincode, finalPrice, quantity.
+    ``sellers`` (distance mode) is a precomputed ``seller_winners`` table,
+    e.g. from ``store_seller_winners``; the offers are then not read.
 
     Distance mode, when the pincodes are proven small enough to broadcast:
 
@@ -206,7 +218,7 @@ def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
         return x.select("product", "zone", "pincode",
                         delivered_price("buyingPrice", charge).alias("finalPrice"),
                         "quantity")
-    s = seller_winners(offers, products, zone)
+    s = _zone(sellers, zone) if sellers is not None else seller_winners(offers, products, zone)
     n_pins = row_count(pins)
     if n_pins > max_broadcast_rows:
         x = expand_join(s, pins, "zone", max_broadcast_rows)
@@ -260,7 +272,7 @@ def price_for_destinations(offers: DataFrame, requests: DataFrame, distances: Da
 def min_price_for_pins(offers: DataFrame, requests: DataFrame,
                        products: DataFrame | None = None, charge: float = PIN_CHARGE,
                        distances: DataFrame | None = None,
-                       on_missing: str = "zero") -> DataFrame:
+                       on_missing: str = "zero", sellers: DataFrame | None = None) -> DataFrame:
     """Least delivered price for each (request_id, product, zone, dest_pin).
 
     No row when the product is unknown or has no eligible offer in the zone.
@@ -274,7 +286,7 @@ def min_price_for_pins(offers: DataFrame, requests: DataFrame,
         out = req.join(priced, ["zone", "product"], "inner")
     else:
         keys = req.select("zone", "product", "dest_pin").distinct()
-        s = seller_winners(offers, products)
+        s = sellers if sellers is not None else seller_winners(offers, products)
         x = keys.join(s, ["zone", "product"], "inner")
         x = attach_charge(x, distances, "pincodeNum", "dest_pin", on_missing)
         x = x.withColumn("finalPrice", delivered_price("buyingPrice", F.col("charge")))

@@ -30,11 +30,14 @@ def price_requests(requests: DataFrame, offers: DataFrame, pincodes: DataFrame,
                    pin_charge: float = PIN_CHARGE, zone_charge: float = ZONE_CHARGE,
                    distances: DataFrame | None = None, on_missing: str = "zero",
                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                   winners: DataFrame | None = None) -> DataFrame:
+                   winners: DataFrame | None = None,
+                   sellers: DataFrame | None = None) -> DataFrame:
     """Validate, then price every valid request.
 
-    ``winners`` (flat charge only) is a precomputed ``zone_winners`` table,
-    e.g. from ``store_zone_winners``; the offers are then not read.
+    ``winners`` (flat charge) / ``sellers`` (distance charge) are
+    precomputed ``zone_winners`` / ``seller_winners`` tables, e.g. from
+    ``store_zone_winners`` / ``store_seller_winners``; the offers are then
+    not read.
 
     Output: request_id, kind, product, zone, pincode, price, quantity
     (quantity is null for kind ``pin``, as a single-pincode write carries
@@ -72,14 +75,19 @@ def price_requests(requests: DataFrame, offers: DataFrame, pincodes: DataFrame,
         return pin_out.unionByName(zone_out)
 
     pin_req = v.where(F.col("kind") == "pin")
-    pin_out = min_price_for_pins(offers, pin_req, products, pin_charge, distances, on_missing)
+    pin_out = min_price_for_pins(offers, pin_req, products, pin_charge, distances, on_missing, sellers)
     pin_out = pin_out.select("request_id", F.lit("pin").alias("kind"), "product", "zone", "pincode",
                              "price", F.lit(None).cast("int").alias("quantity"))
     zr = v.where(F.col("kind") == "zone").select("request_id", "zone", "product")
     keys = zr.select("zone", "product").distinct()
-    o = offers.join(keys, ["zone", "product"], "left_semi")
-    res = min_price_for_zone(o, pincodes, products, None, zone_charge, distances, on_missing,
-                             max_broadcast_rows)
+    if sellers is not None:
+        res = min_price_for_zone(offers, pincodes, products, None, zone_charge, distances, on_missing,
+                                 max_broadcast_rows,
+                                 sellers=sellers.join(keys, ["zone", "product"], "left_semi"))
+    else:
+        o = offers.join(keys, ["zone", "product"], "left_semi")
+        res = min_price_for_zone(o, pincodes, products, None, zone_charge, distances, on_missing,
+                                 max_broadcast_rows)
     zone_out = zr.join(res, ["zone", "product"], "inner").select(
         "request_id", F.lit("zone").alias("kind"), "product", "zone", "pincode",
         F.col("finalPrice").alias("price"), "quantity")

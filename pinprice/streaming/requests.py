@@ -19,9 +19,13 @@ from pinprice.sources.sinks import merge_into_table
 
 def _price_batch(batch: DataFrame, offers: DataFrame, pincodes: DataFrame,
                  products: DataFrame | None, distances: DataFrame | None,
-                 winners: DataFrame | None, pricing: dict) -> DataFrame:
+                 winners: DataFrame | None, pricing: dict,
+                 sellers: DataFrame | None = None) -> DataFrame:
     if winners is not None and distances is None:
         return price_requests(batch, offers, pincodes, products, winners=winners, **pricing)
+    if sellers is not None and distances is not None:
+        return price_requests(batch, offers, pincodes, products, distances=distances,
+                              sellers=sellers, **pricing)
     keys = batch.select(F.upper(F.trim("zone")).alias("zone"), "product").distinct()
     batch_offers = offers.join(keys, ["zone", "product"], "left_semi")
     return price_requests(batch, batch_offers, pincodes, products, distances=distances, **pricing)
@@ -31,19 +35,21 @@ def stream_price_requests(spark: SparkSession, source_dir: str, output_dir: str,
                           checkpoint_dir: str, offers: DataFrame, pincodes: DataFrame,
                           products: DataFrame | None = None, distances: DataFrame | None = None,
                           max_files_per_trigger: int = 1, available_now: bool = True,
-                          winners: DataFrame | None = None, **pricing) -> object:
+                          winners: DataFrame | None = None, sellers: DataFrame | None = None,
+                          **pricing) -> object:
     """Start the stream; returns the ``StreamingQuery``.
 
-    With ``winners`` (a stored ``zone_winners`` table, flat charge) each
-    batch only joins its requests to it. Without it the offers are narrowed
-    to the batch's (zone, product) keys before aggregating.
+    With ``winners`` (a stored ``zone_winners`` table, flat charge) or
+    ``sellers`` (a stored ``seller_winners`` table, distance charge) each
+    batch only joins its requests to it. Without them the offers are
+    narrowed to the batch's (zone, product) keys before aggregating.
     """
     stream = (spark.readStream.schema(schemas.REQUESTS)
               .option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        res = _price_batch(batch, offers, pincodes, products, distances, winners, pricing)
+        res = _price_batch(batch, offers, pincodes, products, distances, winners, pricing, sellers)
         res.write.mode("overwrite").parquet(f"{output_dir.rstrip('/')}/batch_id={batch_id}")
 
     writer = (stream.writeStream.foreachBatch(handle)
@@ -108,7 +114,7 @@ def stream_merge_prices(spark: SparkSession, source_dir: str, initial_table: str
                         products: DataFrame | None = None, distances: DataFrame | None = None,
                         buckets: int = 16, max_files_per_trigger: int = 1,
                         available_now: bool = True, winners: DataFrame | None = None,
-                        **pricing) -> object:
+                        sellers: DataFrame | None = None, **pricing) -> object:
     """Price each micro-batch of requests and merge it into the price table.
 
     Batch ``n`` reads the newest state version older than ``n`` (bucketed by
@@ -122,7 +128,7 @@ def stream_merge_prices(spark: SparkSession, source_dir: str, initial_table: str
               .parquet(source_dir))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        res = _price_batch(batch, offers, pincodes, products, distances, winners, pricing)
+        res = _price_batch(batch, offers, pincodes, products, distances, winners, pricing, sellers)
         upd = res.select("product", "pincode", "price", "quantity", "request_id")
         prev = latest_state(spark, prefix, initial_table, before=batch_id, state_dir=state_dir,
                             buckets=buckets)
