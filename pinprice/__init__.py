@@ -28,13 +28,15 @@ from pinprice.sources.sinks import (
     write_bucketed,
     write_kv,
 )
+from pinprice.sources.tables import read_offers, read_table, write_offers
 from pinprice.streaming import stream_merge_prices, stream_price_requests
 
 __all__ = [
     "build_session", "changed_count", "delivered_price", "export_distances",
     "lookup_distance", "merge_into_table", "merge_values", "min_price_for_pin",
     "min_price_for_pins", "min_price_for_zone", "min_quote_for_pins", "price_requests",
-    "price_updates", "recompute_prices", "register_sql_functions", "round_half_up",
+    "price_updates", "read_offers", "read_table", "recompute_prices", "register_sql_functions",
+    "round_half_up", "write_offers",
     "shared_dir", "stream_merge_prices", "stream_price_requests", "validate_requests",
     "write_bucketed", "write_kv", "zones_of",
 ]
