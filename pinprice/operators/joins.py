@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Row bound under which a dimension is broadcast. Dimensions here are
-# pincodes (a few tens of thousands in a real postal system), zones and
-# per-batch request keys.
+# pincodes (a few tens of thousands in a real postal system), zones, and the
+# distance table while it is small (it can reach pincodes^2 rows).
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
