@@ -111,3 +111,42 @@ def test_quotes_match_brute_force(mk, offers, dist, dests):
         if cands:
             want.append((prod, z, p, "FALCON", min(cands)))
     assert got == sorted(want)
+
+
+upd_row = st.tuples(st.integers(1, 3), st.integers(1, 3), st.one_of(st.none(), st.integers(0, 9)),
+                    st.one_of(st.none(), st.integers(0, 3)))
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(1, 3), st.integers(0, 9), st.integers(0, 3)),
+                max_size=6, unique_by=lambda r: (r[0], r[1])),
+       st.lists(st.lists(upd_row, max_size=5), min_size=1, max_size=3), st.randoms())
+def test_sequenced_merge_any_order_and_replay(mk, spark, state, batches, rnd):
+    from pinprice.sources.sinks import merge_values
+
+    ddl = "product BIGINT, pincode INT, price BIGINT, quantity INT, request_id BIGINT"
+    seq, dfs = 0, []
+    for b in batches:
+        rows_ = []
+        for (p, pin, price, q) in b:
+            seq += 1
+            rows_.append((p, pin, price, q, seq))
+        dfs.append(rows_)
+    st0 = mk(state, "product BIGINT, pincode INT, price BIGINT, quantity INT")
+
+    def run(order):
+        cur = st0
+        for i in order:
+            cur = merge_values(cur, spark.createDataFrame(dfs[i], ddl), order_col="request_id")
+        return rows(cur)
+
+    forward = run(list(range(len(dfs))))
+    shuffled = list(range(len(dfs)))
+    rnd.shuffle(shuffled)
+    assert run(shuffled + [shuffled[0]]) == forward
+    want = {(p, pin): (price, q, None) for (p, pin, price, q) in state}
+    for b in dfs:
+        for (p, pin, price, q, s) in b:
+            want[(p, pin)] = (price, q, s)   # later sequence numbers come later
+    assert forward == sorted(((k[0], k[1]) + v for k, v in want.items()),
+                             key=lambda t: tuple((x is None, x) for x in t))
