@@ -279,7 +279,9 @@ def min_price_for_pins(offers: DataFrame, requests: DataFrame,
     Distinct (zone, product, dest_pin) keys are priced once and joined back.
     Output: request_id, product, zone, pincode, price.
     """
-    req = _known(requests.select("request_id", "product", "zone", "dest_pin"), products)
+    # the winners are already limited to catalogue products; the inner joins
+    # below drop requests for unknown products without a second semi join
+    req = requests.select("request_id", "product", "zone", "dest_pin")
     if distances is None:
         w = zone_winners(offers, products)
         priced = w.select("zone", "product", delivered_price("buyingPrice", charge).alias("price"))
