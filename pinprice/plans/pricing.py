@@ -330,7 +330,10 @@ def min_quote_for_pins(offers: DataFrame, destinations: DataFrame, distances: Da
         d = d.select("product", "zone", F.explode("dest_pins").alias("pincode"))
     d = _known(d.select("product", "zone", "pincode").where(F.col("pincode").isNotNull()).distinct(),
                products)
-    s = seller_winners(offers, by="selling")
+    # per seller pincode only its least selling price can give the least
+    # quote (the charge is the same for all its offers): a hash min suffices
+    s = (eligible_offers(offers, "selling")
+         .groupBy("zone", "product", "pincodeNum").agg(F.min("sellingPrice").alias("sellingPrice")))
     x = d.join(s, ["zone", "product"], "inner")
     x = attach_charge(x, distances, "pincodeNum", "pincode", on_missing)
     # only the least price is reported, so a plain min (hash aggregate) suffices
