@@ -39,6 +39,13 @@ def mk(spark):
     return make
 
 
+def uniq(name):
+    """A table name no earlier run can have used (the catalog may persist)."""
+    import uuid
+
+    return f"{name}_{uuid.uuid4().hex[:10]}"
+
+
 def rows(df, order=None):
     cols = df.columns
     out = [tuple(r[c] for c in cols) for r in df.collect()]

@@ -78,24 +78,28 @@ def test_request_batch_with_stored_winners_does_not_read_offers(spark):
 
     t = fixture_tables(spark, SF001)
     base = shared_dir(spark, "test-winners")
-    w = store_zone_winners(t["zoneprices"], "t_winners_plan", f"{base}/w", t["productinfos"], buckets=8)
+    from conftest import uniq
+
+    name = uniq("t_winners_plan")
+    w = store_zone_winners(t["zoneprices"], name, f"{base}/w", t["productinfos"], buckets=8)
     batch = t["requests"].limit(50)
     p = plan(price_requests(batch, t["zoneprices"], t["pincodes"], t["productinfos"], winners=w))
-    assert "t_winners_plan" in p
+    assert name in p
     assert "/zoneprices" not in p
 
 
 def test_distance_requests_with_stored_sellers_match_and_skip_offers(spark):
-    from conftest import rows
+    from conftest import rows, uniq
     from pinprice.plans.pricing import store_seller_winners
     from pinprice.plans.requests import price_requests
 
     t = fixture_tables(spark, SF001)
     base = shared_dir(spark, "test-sellers")
-    sw = store_seller_winners(t["zoneprices"], "t_sellers_plan", f"{base}/s", t["productinfos"], buckets=8)
+    name = uniq("t_sellers_plan")
+    sw = store_seller_winners(t["zoneprices"], name, f"{base}/s", t["productinfos"], buckets=8)
     args = (t["requests"], t["zoneprices"], t["pincodes"], t["productinfos"])
     a = price_requests(*args, distances=t["pincodedistances"], sellers=sw)
     b = price_requests(*args, distances=t["pincodedistances"])
     assert rows(a) == rows(b) and len(rows(a)) > 0
     p = plan(a)
-    assert "t_sellers_plan" in p and "/zoneprices" not in p
+    assert name in p and "/zoneprices" not in p

@@ -114,14 +114,17 @@ def test_merge_into_bucketed_table_versions(mk, spark):
 
     state = mk([(1, 1, 10, 1), (1, 2, 20, 2)], PRICES_DDL)
     base = shared_dir(spark, "test-state")
-    write_bucketed(state, "t_state_v0", f"{base}/v0", buckets=4)
+    from conftest import uniq
+
+    v0, v1n = uniq("t_state_v0"), uniq("t_state_v1")
+    write_bucketed(state, v0, f"{base}/v0", buckets=4)
     upd = mk([(1, 2, 21, None), (2, 1, 5, 1)], PRICES_DDL)
-    v1 = merge_into_table(spark, "t_state_v0", upd, "t_state_v1", f"{base}/v1", buckets=4)
+    v1 = merge_into_table(spark, v0, upd, v1n, f"{base}/v1", buckets=4)
     assert rows(v1) == [(1, 1, 10, 1), (1, 2, 21, None), (2, 1, 5, 1)]
-    assert rows(spark.table("t_state_v0")) == rows(state)   # previous version intact
+    assert rows(spark.table(v0)) == rows(state)   # previous version intact
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
-        merge_values(spark.table("t_state_v1"), upd).explain()
+        merge_values(spark.table(v1n), upd).explain()
     p = buf.getvalue()
     assert "Bucketed: true" in p
     assert p.count("Exchange hashpartitioning(product") == 1   # only the updates side

@@ -32,12 +32,15 @@ def test_recompute_job_matches_stream_and_is_idempotent(spark):
     t = fixture_tables(spark, SF001)
     base = shared_dir(spark, "test-recompute")
     args = (t["requests"], t["zoneprices"], t["pincodes"])
-    new, n = recompute_prices(spark, *args, fixture_state_table(spark, SF001), "t_recompute_v1",
+    from conftest import uniq
+
+    r1, r2 = uniq("t_recompute_v1"), uniq("t_recompute_v2")
+    new, n = recompute_prices(spark, *args, fixture_state_table(spark, SF001), r1,
                               f"{base}/v1", t["productinfos"], buckets=8)
     assert n.first()["n"] > 0
     streamed = E.queries()["q25_stream_merge_prices"](spark, SF001)
     assert rows(new.drop("request_id")) == rows(streamed)
-    again, n2 = recompute_prices(spark, *args, "t_recompute_v1", "t_recompute_v2", f"{base}/v2",
+    again, n2 = recompute_prices(spark, *args, r1, r2, f"{base}/v2",
                                  t["productinfos"], buckets=8)
     assert n2.first()["n"] == 0
     assert rows(again) == rows(new)
