@@ -103,3 +103,10 @@ def test_distance_requests_with_stored_sellers_match_and_skip_offers(spark):
     assert rows(a) == rows(b) and len(rows(a)) > 0
     p = plan(a)
     assert name in p and "/zoneprices" not in p
+
+
+@pytest.mark.parametrize("name", ["q11_min_for_zone_flat", "q10_min_for_pin", "q13_min_quote_for_pins",
+                                  "q22_min_for_requests"])
+def test_reductions_are_hash_aggregates(spark, name):
+    p = plan(E.queries()[name](spark, SF001), "simple")
+    assert "HashAggregate" in p and "SortAggregate" not in p
