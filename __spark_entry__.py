@@ -319,8 +319,31 @@ def entry(spark: SparkSession) -> DataFrame:
     return q11_min_for_zone_flat(spark, SMOKE_DIR)
 
 
+def _llm():
+    """The training-data queries and their SQL; empty where the subpackage or the pipeline file is absent."""
+    found, sql = {}, {}
+    try:
+        from pinprice.llm.queries import ORACLE, QUERIES
+    except ModuleNotFoundError as e:
+        if e.name not in ("pinprice.llm", "pinprice.llm.queries"):
+            raise
+        return found, sql
+    found.update(QUERIES)
+    sql.update(ORACLE)
+    try:
+        import corpus_pipeline
+    except ModuleNotFoundError as e:
+        if e.name != "corpus_pipeline":
+            raise
+        return found, sql
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | _llm()[0]
 
 
 # --------------------------------------------------------------------------
@@ -535,4 +558,4 @@ FROM product_prices s FULL OUTER JOIN lastu u ON s.product = u.product AND s.pin
 
 def oracle_sql() -> dict[str, str]:
     head = fixture_cte().rstrip() + _EXTRA_CTE
-    return {name: head + sql for name, sql in _SQL.items()}
+    return {name: head + sql for name, sql in _SQL.items()} | _llm()[1]
