@@ -9,7 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinprice.llm import chat_format, quality_rules, source_mixing, topk_search
+import public_tokenizers
+from pinprice.llm import (
+    arrow_tokens,
+    bpe_queue,
+    chat_format,
+    dart_minhash,
+    line_dedup,
+    pitman_yor,
+    quality_rules,
+    source_mixing,
+    topk_search,
+    toxicity,
+)
+from pinprice.llm.common import crc32_mod, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -41,6 +54,20 @@ def op2_exact_topk(spark, sf_dir):
     return topk_search.top_k(vectors, F.expr("id % 50 = 0"), "vec_id", "embedding", k=5, scale=256)
 
 
+def op3_line_dedup(spark, sf_dir):
+    """Every document's text without the lines and passages that an earlier place holds, and what was removed."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    out = line_dedup.remove_repeats(docs)
+    return out.select("doc_id", "text", "removed", F.size("removed").cast("long").alias("n_removed"))
+
+
+def op4_dart_minhash(spark, sf_dir):
+    """Every document's near-duplicate class (its least doc_id) and whether the document is the one that stays."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    out = dart_minhash.near_duplicates(docs)
+    return out.select(F.col("doc").alias("doc_id"), "class_id", (F.col("doc") == F.col("class_id")).alias("kept"))
+
+
 def op5_source_mixing(spark, sf_dir):
     """Words that a mix of all sources at weights 1, 2, 3 takes from every document."""
     docs = _table(spark, sf_dir, "documents", "doc_id", "source", "text")
@@ -50,6 +77,38 @@ def op5_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_arrow_tokens(spark, sf_dir):
+    """Every text as token ids in Arrow files, and what reading the files back gives."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    folder = shared_dir(spark, "llm", "tokens")
+    files = arrow_tokens.write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return arrow_tokens.read_checksums(files, folder)
+
+
+def op7_byte_bpe(spark, sf_dir):
+    """Every text's byte-level BPE ids and the bytes they decode to, as digests."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return bpe_queue.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                            ids=False, digests=True)
+
+
+def op8_toxicity(spark, sf_dir):
+    """Every text's toxicity score; one quarter of the ids is held out of learning."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = _table(spark, sf_dir, "labels", "doc_id", "toxic")
+    held = crc32_mod(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs.where(~held), labels.where(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op9_pitman_yor(spark, sf_dir):
+    """Every text's log10 probability under the model learned from four fifths of the ids."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    out = pitman_yor.perplexity(docs, crc32_mod(F.col("doc_id"), 5) != 1, stored=False)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+                      "score")
+
+
 def op10_quality_rules(spark, sf_dir):
     """The ledger of every document: measurements, failure bits and the production policy's verdict."""
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
@@ -60,7 +119,9 @@ def op10_quality_rules(spark, sf_dir):
                        "n_lines", "fail_bits")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_exact_topk, op5_source_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_chat_formatting, op2_exact_topk, op3_line_dedup, op4_dart_minhash, op5_source_mixing, op6_arrow_tokens,
+    op7_byte_bpe, op8_toxicity, op9_pitman_yor, op10_quality_rules)}
 
 
 # --------------------------------------------------------------------------
