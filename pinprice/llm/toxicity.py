@@ -38,11 +38,14 @@ from pinprice.llm.common import crc32_mod, ship_package
 
 LABELLED, UNLABELLED, VOTERS = 20_000, 10_000, 96
 CUT = 0.3
+LEAST_ODDS = 1.5  # log-odds that a mined voter must exceed by twice their spread
 PREFIXES = range(4, 8)
 #: A small list to start from; most voters come from the training rows.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb",
            "ugly", "filthy", "imbecile", "jerk", "bastard")
 PATTERNS = (r"\byou(?:'re| are) (?:an? |such )", r"!{3,}", r"\b\w+\*{2,}\w*", r"\b(?:shut up|go away|hate you|kill your)")
+#: So many mined places or more are voters too.
+COUNTS = (2, 3, 5)
 _WORD = re.compile(r"\w+")
 _FIXED = [re.compile(p) for p in PATTERNS]
 
@@ -58,7 +61,7 @@ class Model:
 
     @property
     def n_voters(self) -> int:
-        return len(self.words) + len(self.prefixes) + len(PATTERNS)
+        return len(self.words) + len(self.prefixes) + len(PATTERNS) + len(COUNTS)
 
 
 class Voting:
@@ -76,7 +79,7 @@ class Voting:
         self.find.make_automaton()
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, int]:
-        votes, hits = np.zeros(self.n + len(PATTERNS), np.float64), set()
+        votes, hits = np.zeros(self.n + len(PATTERNS) + len(COUNTS), np.float64), set()
         low = (text or "").lower()
         edge = lambda i: not 0 <= i < len(low) or not (low[i].isalnum() or low[i] == "_")
         for end, w in self.find.iter(low) if self.n else ():
@@ -91,6 +94,7 @@ class Voting:
                 hits.add(begin)
         for i, p in enumerate(_FIXED):
             votes[self.n + i] = bool(p.search(low))
+        votes[-len(COUNTS):] = [len(hits) >= c for c in COUNTS]
         return votes, len(hits)
 
 
@@ -132,13 +136,13 @@ def choose_voters(rows: list[tuple[int, str, int, int]], toxic: int, clean: int,
     for kind, term, n1, n0 in rows:
         odds = np.log((n1 + 0.5) / (toxic + 1)) - np.log((n0 + 0.5) / (clean + 1))
         spread = np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
-        if odds - 1.0 * spread > 1.0:
-            scored.append((n1 * (odds - spread), kind, term))
+        if odds - 2 * spread > LEAST_ODDS:
+            scored.append((n1 * (odds - 2 * spread), kind, term))
     words, prefixes = [w for w in INSULTS], []
     for _, kind, term in sorted(scored, key=lambda x: (-x[0], x[1], -len(x[2]), x[2])):
         if len(words) + len(prefixes) >= most:
             break
-        if any(term.startswith(p) for p in prefixes) or term in words:
+        if any(term.startswith(p) or p.startswith(term) for p in prefixes) or term in words:
             continue
         if kind and any(w.startswith(term) for w in words):
             continue
@@ -158,7 +162,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.n
         post[~known] = labels[known].mean()
         seen = known
     else:
-        post = np.where(votes[:, :max(0, m - len(PATTERNS))].any(1), 0.9, 0.02) if m else np.full(n, 0.1)
+        post = np.where(votes.any(1), 0.9, 0.02)
         seen = np.ones(n, bool)
     share = np.ones(m)
     for _ in range(rounds):
@@ -253,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     more = body.where(draw(min(1.0, unlabelled / max(total, 1)))).join(F.broadcast(drawn.select("id")), "id", "left_anti")
     rows_ = sample.unionByName(more.select(F.lit(None).cast("int").alias("toxic"), "text"))
     got = rows_.mapInArrow(_votes(blob), "toxic int, votes array<int>, hits long").collect()
-    m = len(words) + len(prefixes) + len(PATTERNS)
+    m = len(words) + len(prefixes) + len(PATTERNS) + len(COUNTS)
     votes, hits = np.zeros((len(got), m)), np.zeros(len(got))
     marks_ = np.full(len(got), np.nan)
     for i, r in enumerate(got):
