@@ -2,8 +2,9 @@
 
 Every query runs over the whole stand-in tables derived from the driver's
 Parquet files (``pinprice.sources.fixtures``); none is restricted to an id
-subset or capped, except where the limit is the feature: ``q15`` (top 3
-offers per product) and ``q27`` (the capped export, first 10 keys). The
+subset or capped, except where the limit or a literal is the feature: ``q15``
+(top 3 offers per product), ``q27`` (the capped export, first 10 keys), ``q30``
+(one zone's offers) and ``q31`` (one request). The
 oracle SQL is written in the direct form (every eligible offer against every
 destination) so it checks the eager-aggregation rewrites of the library
 rather than repeating them.
@@ -28,10 +29,12 @@ from pinprice.operators.validate import (  # noqa: E402
 )
 from pinprice.plans.charges import attach_charge  # noqa: E402
 from pinprice.plans.distances import export_distances, lookup_distance  # noqa: E402
-from pinprice.plans.pricing import (  # noqa: E402
+from pinprice.plans.offers import (  # noqa: E402
     argmin_per_key,
     attach_destination,
     eligible_offers,
+    min_price,
+    min_price_for_pin,
     min_price_for_pins,
     min_price_for_zone,
     min_quote_for_pins,
@@ -41,7 +44,8 @@ from pinprice.plans.pricing import (  # noqa: E402
     store_zone_winners,
     top_k_offers,
 )
-from pinprice.plans.jobs import recompute_prices  # noqa: E402
+from pinprice.functions.sql import register_sql_functions  # noqa: E402
+from pinprice.plans.jobs import recompute_prices, recompute_quotes  # noqa: E402
 from pinprice.plans.requests import price_requests  # noqa: E402
 from pinprice.session import shared_dir  # noqa: E402
 from pinprice.sources.fixtures import (  # noqa: E402
@@ -53,17 +57,21 @@ from pinprice.sources.fixtures import (  # noqa: E402
 from pinprice.sources.sinks import (  # noqa: E402
     changed_count,
     merge_values,
+    price_map,
     price_updates,
     read_kv,
     write_kv,
 )
+from pinprice.sources.state import create_state, read_state  # noqa: E402
 from pinprice.sources.tables import (  # noqa: E402
     fetch_by_id,
+    match,
     offers_from_documents,
+    read_offers,
     to_documents,
+    write_offers,
 )
 from pinprice.streaming.requests import (  # noqa: E402
-    latest_state,
     read_stream_results,
     stream_merge_prices,
     stream_price_requests,
@@ -189,8 +197,11 @@ def q16_distance_kv(spark, sf_dir):
 def q17_distance_lookup(spark, sf_dir):
     """Distances of every seller->destination pair of the pin requests."""
     t = _t(spark, sf_dir)
-    x = attach_destination(t["zoneprices"], _pin_requests(t))
-    keys = x.select(dist_key("pincodeNum", "destPin").alias("src_dest"))
+    # distinct sellers and destinations of a product first, so pairs are not multiplied by offers and requests
+    sellers = t["zoneprices"].select("zone", "product", "pincodeNum").distinct()
+    dests = _pin_requests(t).select("zone", "product", "dest_pin").distinct()
+    x = dests.join(sellers, ["zone", "product"])
+    keys = x.select(dist_key("pincodeNum", "dest_pin").alias("src_dest"))
     return lookup_distance(t["pincodedistances"], keys)
 
 
@@ -206,7 +217,7 @@ def q18_price_updates(spark, sf_dir):
 
 def q19_merged_prices(spark, sf_dir):
     """Zone prices merged into the price state (the updates are already limited
-    to catalogue products by the pricing step, so the merge needs no second filter)."""
+    to catalogue products by the price step, so the merge needs no second filter)."""
     t = _t(spark, sf_dir)
     upd = _zone_updates(t).select("product", "pincode", "price", "quantity")
     return merge_values(t["product_prices"], upd)
@@ -254,27 +265,25 @@ def q24_stream_requests(spark, sf_dir):
     t["requests"].repartitionByRange(4, "request_id").write.parquet(src)
     winners = _stored_winners(spark, t, base)
     q = stream_price_requests(spark, src, out, ckpt, t["zoneprices"], t["pincodes"], t["productinfos"],
-                              max_files_per_trigger=1, winners=winners)
+                              max_files_per_trigger=2, winners=winners)
     q.awaitTermination()
     return read_stream_results(spark, out)
 
 
 def q25_stream_merge_prices(spark, sf_dir):
     """Requests arrive as files; each micro-batch is priced against winners
-    aggregated once and merged into the bucketed price state (newest request
-    wins per key, in any batch order)."""
+    aggregated once and written to the price state as a delta; the state is read
+    with all deltas merged (newest request wins per key, in any batch order)."""
     t = _t(spark, sf_dir)
     base = shared_dir(spark, "stream-merge")
     src = f"{base}/requests"
     t["requests"].repartitionByRange(4, "request_id").write.parquet(src)
-    initial = fixture_state_table(spark, sf_dir)
-    prefix = "pinprice_stream_" + base.rstrip("/").rsplit("/", 1)[-1][:12]
-    q = stream_merge_prices(spark, src, initial, prefix, f"{base}/state", f"{base}/checkpoint",
-                            t["zoneprices"], t["pincodes"], t["productinfos"],
-                            buckets=state_buckets(spark), winners=_stored_winners(spark, t, base))
+    state = f"{base}/state"
+    create_state(t["product_prices"], state)
+    q = stream_merge_prices(spark, src, state, f"{base}/checkpoint", t["zoneprices"], t["pincodes"],
+                            t["productinfos"], max_files_per_trigger=2, winners=_stored_winners(spark, t, base))
     q.awaitTermination()
-    latest = latest_state(spark, prefix, initial, state_dir=f"{base}/state", buckets=state_buckets(spark))
-    return spark.table(latest).select("product", "pincode", "price", "quantity")
+    return read_state(spark, state).select("product", "pincode", "price", "quantity")
 
 
 def q26_min_for_requests_distance(spark, sf_dir):
@@ -302,6 +311,59 @@ def q28_recompute_changed(spark, sf_dir):
     return n
 
 
+def q29_merged_quotes(spark, sf_dir):
+    """Quotes of all requested destinations written over the stored entries of the price state."""
+    t = _t(spark, sf_dir)
+    dests = _pin_requests(t).select("product", "zone", F.col("dest_pin").alias("pincode"))
+    state = t["product_prices"].select("product", "pincode", F.col("price").cast("double").alias("price"),
+                                       F.lit("STORED").alias("type"))
+    return recompute_quotes(state, t["zoneprices"], dests, t["pincodedistances"], t["productinfos"])
+
+
+def q30_one_zone_match(spark, sf_dir):
+    """One zone's offers of one quantity, by literals: reads that zone's folder only."""
+    t = _t(spark, sf_dir)
+    path = shared_dir(spark, "zone-offers")
+    write_offers(t["zoneprices"], path)
+    return match(read_offers(spark, path, zone="asia"), quantity=10).select(*OFFER_COLS)
+
+
+def q31_single_request(spark, sf_dir):
+    """One literal request: the least delivered price of product 1 at one pincode of a zone."""
+    t = _t(spark, sf_dir)
+    return min_price_for_pin(spark, t["zoneprices"], 1, " asia", 500001, t["productinfos"])
+
+
+def q32_min_price_core(spark, sf_dir):
+    """Least price per request over offers that carry their destination."""
+    t = _t(spark, sf_dir)
+    return min_price(attach_destination(t["zoneprices"], _pin_requests(t)), keys=("request_id", "destPin"))
+
+
+def q33_price_map_entries(spark, sf_dir):
+    """The change set as one map per product, flattened back to its entries."""
+    t = _t(spark, sf_dir)
+    docs = price_map(_zone_updates(t))
+    return docs.select("product", F.explode("prices").alias("pincode", "v")).select(
+        "product", "pincode", "v.price", "v.quantity")
+
+
+def q34_sql_functions(spark, sf_dir):
+    """The price rules called by their registered SQL names."""
+    t = _t(spark, sf_dir)
+    names = register_sql_functions(spark)
+    return eligible_offers(t["zoneprices"]).select(
+        *OFFER_COLS, F.expr(f"{names[1]}(buyingPrice, {PIN_CHARGE}D)").alias("finalPrice"),
+        F.expr(f"{names[0]}(sellingPrice)").alias("roundedSelling"))
+
+
+def q35_string_keys(spark, sf_dir):
+    """Requests priced with text product keys throughout."""
+    t = _t(spark, sf_dir)
+    text = lambda df: df.withColumn("product", F.concat(F.lit("p-"), F.col("product").cast("string")))
+    return price_requests(text(t["requests"]), text(t["zoneprices"]), t["pincodes"], text(t["productinfos"]))
+
+
 _QUERIES = [
     q01_zone_product_offers, q02_fetch_by_id, q03_known_products, q04_eligible_offers,
     q05_nested_projection, q06_price_flat, q07_price_distance, q08_quote_selling,
@@ -310,7 +372,8 @@ _QUERIES = [
     q17_distance_lookup, q18_price_updates, q19_merged_prices, q20_changed_products,
     q21_validated_requests, q22_min_for_requests, q23_kv_overwrite_roundtrip, q24_stream_requests,
     q25_stream_merge_prices, q26_min_for_requests_distance, q27_distance_kv_first10,
-    q28_recompute_changed,
+    q28_recompute_changed, q29_merged_quotes, q30_one_zone_match, q31_single_request, q32_min_price_core,
+    q33_price_map_entries, q34_sql_functions, q35_string_keys,
 ]
 
 
@@ -368,6 +431,7 @@ _CHARGE_SQL = (f"CASE WHEN o.pincodeNum = {{dest}} THEN {_ZERO} "
 _EXTRA_CTE = f""",
 zp AS (SELECT DISTINCT UPPER(TRIM(zone)) AS zone, pincode FROM pincodes
        WHERE zone IS NOT NULL AND pincode IS NOT NULL),
+dist AS (SELECT * FROM pincodedistances WHERE distance IS NOT NULL AND NOT isnan(distance)),
 zones AS (SELECT DISTINCT UPPER(TRIM(zone)) AS zone FROM pincodes WHERE zone IS NOT NULL),
 vr AS (
   SELECT r.request_id, r.kind, r.product, UPPER(TRIM(r.zone)) AS zone, r.dest_pin,
@@ -397,8 +461,10 @@ zone_flat AS (
     FROM elig o JOIN zp p ON p.zone = o.zone
     WHERE o.product IN (SELECT product FROM productinfos)) t WHERE rn = 1),
 upd AS (
-  SELECT product, pincode, finalPrice AS price, quantity FROM zone_flat
-  WHERE product IN (SELECT product FROM productinfos)),
+  SELECT product, pincode, price, quantity FROM (
+    SELECT product, pincode, finalPrice AS price, quantity, ROW_NUMBER() OVER (PARTITION BY product, pincode
+      ORDER BY finalPrice, quantity NULLS FIRST) AS rn
+    FROM zone_flat) t WHERE rn = 1),
 pin_flat AS (
   SELECT v.request_id, v.product, v.zone, v.dest_pin AS pincode,
     MIN({_price('o.buyingPrice', _dbl(PIN_CHARGE))}) AS price
@@ -412,15 +478,25 @@ zone_dist AS (SELECT product, zone, pincode, finalPrice, quantity FROM (
       ORDER BY {_price('o.buyingPrice', _CHARGE_SQL.format(dest='p.pincode'))}, o.buyingPrice,
                o.quantity, o.pincodeNum NULLS FIRST) AS rn
   FROM elig o JOIN zp p ON p.zone = o.zone
-  LEFT JOIN pincodedistances d ON d.sourcePincode = o.pincodeNum AND d.destPincode = p.pincode
+  LEFT JOIN dist d ON d.sourcePincode = o.pincodeNum AND d.destPincode = p.pincode
   WHERE o.product IN (SELECT product FROM productinfos)) t WHERE rn = 1),
 pin_dist AS (
   SELECT v.request_id, v.product, v.zone, v.dest_pin AS pincode,
     MIN({_price('o.buyingPrice', _CHARGE_SQL.format(dest='v.dest_pin'))}) AS price
   FROM preq v JOIN elig o ON o.zone = v.zone AND o.product = v.product
-  LEFT JOIN pincodedistances d ON d.sourcePincode = o.pincodeNum AND d.destPincode = v.dest_pin
+  LEFT JOIN dist d ON d.sourcePincode = o.pincodeNum AND d.destPincode = v.dest_pin
   WHERE v.product IN (SELECT product FROM productinfos)
   GROUP BY v.request_id, v.product, v.zone, v.dest_pin),
+quotes AS (
+  SELECT v.product, v.zone, v.pincode, 'FALCON' AS type,
+    MIN(o.sellingPrice + {_CHARGE_SQL.format(dest='v.pincode')}) AS price
+  FROM (SELECT DISTINCT product, zone, dest_pin AS pincode FROM preq) v
+  JOIN zoneprices o ON o.zone = v.zone AND o.product = v.product
+  LEFT JOIN dist d ON d.sourcePincode = o.pincodeNum AND d.destPincode = v.pincode
+  WHERE o.sellingPrice IS NOT NULL AND o.quantity > 0
+    AND (o.pincodeNum = v.pincode OR d.distance IS NOT NULL)
+    AND v.product IN (SELECT product FROM productinfos)
+  GROUP BY v.product, v.zone, v.pincode),
 req_prices AS (
   SELECT request_id, 'pin' AS kind, product, zone, pincode, price, CAST(NULL AS INT) AS quantity
   FROM pin_flat
@@ -432,6 +508,24 @@ req_prices AS (
 
 _OFFER_COLS_SQL = "zone, product, pincodeNum, buyingPrice, sellingPrice, quantity"
 _SQL = {
+    "q29_merged_quotes": """
+, q AS (SELECT product, pincode, MIN(price) AS price FROM quotes GROUP BY product, pincode)
+SELECT COALESCE(s.product, q.product) AS product, COALESCE(s.pincode, q.pincode) AS pincode,
+  COALESCE(q.price, CAST(s.price AS DOUBLE)) AS price, CASE WHEN q.product IS NULL THEN 'STORED' ELSE 'FALCON' END AS type
+FROM product_prices s FULL OUTER JOIN q ON s.product = q.product AND s.pincode = q.pincode""",
+    "q30_one_zone_match": f"SELECT {_OFFER_COLS_SQL} FROM zoneprices WHERE zone = 'ASIA' AND quantity = 10",
+    "q31_single_request": f"""
+SELECT product, zone, CAST(500001 AS INT) AS pincode, MIN({_price('buyingPrice', _dbl(PIN_CHARGE))}) AS price FROM elig
+WHERE product = 1 AND zone = 'ASIA' AND product IN (SELECT product FROM productinfos) GROUP BY product, zone""",
+    "q32_min_price_core": f"""
+SELECT v.request_id, v.dest_pin AS destPin, MIN({_price('o.buyingPrice', _dbl(PIN_CHARGE))}) AS price
+FROM preq v JOIN elig o ON o.zone = v.zone AND o.product = v.product GROUP BY v.request_id, v.dest_pin""",
+    "q33_price_map_entries": "SELECT product, pincode, price, quantity FROM upd",
+    "q34_sql_functions": f"""
+SELECT {_OFFER_COLS_SQL}, {_price('buyingPrice', _dbl(PIN_CHARGE))} AS finalPrice,
+  CAST(FLOOR(sellingPrice + CAST(0.5 AS DOUBLE)) AS BIGINT) AS roundedSelling FROM elig""",
+    "q35_string_keys": """
+SELECT request_id, kind, 'p-' || CAST(product AS VARCHAR) AS product, zone, pincode, price, quantity FROM req_prices""",
     "q01_zone_product_offers": f"""
 SELECT {_OFFER_COLS_SQL} FROM zoneprices o
 WHERE EXISTS (SELECT 1 FROM vreq v WHERE v.zone = o.zone AND v.product = o.product)""",
@@ -454,12 +548,12 @@ SELECT v.request_id, o.zone, o.product, o.pincodeNum, v.dest_pin AS destPincode,
   {_CHARGE_SQL.format(dest='v.dest_pin')} AS charge,
   {_price('o.buyingPrice', _CHARGE_SQL.format(dest='v.dest_pin'))} AS finalPrice
 FROM preq v JOIN elig o ON o.zone = v.zone AND o.product = v.product
-LEFT JOIN pincodedistances d ON d.sourcePincode = o.pincodeNum AND d.destPincode = v.dest_pin""",
+LEFT JOIN dist d ON d.sourcePincode = o.pincodeNum AND d.destPincode = v.dest_pin""",
     "q08_quote_selling": f"""
 SELECT v.request_id, o.product, o.pincodeNum, v.dest_pin AS destPincode,
   o.sellingPrice + {_CHARGE_SQL.format(dest='v.dest_pin')} AS price
 FROM preq v JOIN zoneprices o ON o.zone = v.zone AND o.product = v.product
-LEFT JOIN pincodedistances d ON d.sourcePincode = o.pincodeNum AND d.destPincode = v.dest_pin
+LEFT JOIN dist d ON d.sourcePincode = o.pincodeNum AND d.destPincode = v.dest_pin
 WHERE o.sellingPrice IS NOT NULL AND o.quantity > 0
   AND (o.pincodeNum = v.dest_pin OR d.distance IS NOT NULL)""",
     "q09_attach_destination": """
@@ -469,16 +563,7 @@ FROM preq v JOIN zoneprices o ON o.zone = v.zone AND o.product = v.product""",
     "q10_min_for_pin": "SELECT request_id, product, zone, pincode, price FROM pin_flat",
     "q11_min_for_zone_flat": "SELECT product, zone, pincode, finalPrice, quantity FROM zone_flat",
     "q12_min_for_zone_distance": "SELECT product, zone, pincode, finalPrice, quantity FROM zone_dist",
-    "q13_min_quote_for_pins": f"""
-SELECT v.product, v.zone, v.pincode, 'FALCON' AS type,
-  MIN(o.sellingPrice + {_CHARGE_SQL.format(dest='v.pincode')}) AS price
-FROM (SELECT DISTINCT product, zone, dest_pin AS pincode FROM preq) v
-JOIN zoneprices o ON o.zone = v.zone AND o.product = v.product
-LEFT JOIN pincodedistances d ON d.sourcePincode = o.pincodeNum AND d.destPincode = v.pincode
-WHERE o.sellingPrice IS NOT NULL AND o.quantity > 0
-  AND (o.pincodeNum = v.pincode OR d.distance IS NOT NULL)
-  AND v.product IN (SELECT product FROM productinfos)
-GROUP BY v.product, v.zone, v.pincode""",
+    "q13_min_quote_for_pins": "SELECT * FROM quotes",
     "q14_argmin_per_key": f"""
 SELECT zone, product, {_price('buyingPrice', _dbl(ZONE_CHARGE))} AS finalPrice, quantity, pincodeNum,
   buyingPrice FROM zw""",
@@ -503,8 +588,7 @@ WHERE CAST(sourcePincode AS VARCHAR) || '_' || CAST(destPincode AS VARCHAR) IN (
   FROM preq v JOIN zoneprices o ON o.zone = v.zone AND o.product = v.product
   WHERE o.pincodeNum IS NOT NULL)""",
     "q18_price_updates": """
-SELECT product, 'prices.' || CAST(pincode AS VARCHAR) AS path, pincode, finalPrice AS price,
-  quantity FROM zone_flat""",
+SELECT product, 'prices.' || CAST(pincode AS VARCHAR) AS path, pincode, price, quantity FROM upd""",
     "q19_merged_prices": """
 SELECT COALESCE(s.product, u.product) AS product, COALESCE(s.pincode, u.pincode) AS pincode,
   CASE WHEN u.product IS NOT NULL THEN u.price ELSE s.price END AS price,

@@ -1,4 +1,4 @@
-"""Scalar column expressions of the pricing rules.
+"""Scalar column expressions of the price rules.
 
 Everything here returns a ``Column`` so Catalyst can fold constants, push
 predicates into the scan and keep the work inside whole-stage codegen.
@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the pricing rules (must equal the reference's):
+# Fixed values of the price rules:
 #   margin on the buying price           0.02
-#   flat charge, single-pincode pricing  17.09
-#   flat charge, whole-zone pricing      35.99
+#   flat charge, single-pincode price  17.09
+#   flat charge, whole-zone price      35.99
 #   carrier label of a selling quote     "FALCON"
 MARGIN = 0.02
 PIN_CHARGE = 17.09

@@ -1,4 +1,4 @@
-"""The pricing rules as Spark SQL scalar functions, for SQL users.
+"""The price rules as Spark SQL scalar functions, for SQL users.
 
 These are SQL-bodied temporary functions: the analyzer inlines the body, so
 a call is an ordinary expression (constant folding, codegen), not a Python

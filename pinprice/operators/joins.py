@@ -1,7 +1,7 @@
 """Join helpers with explicit size checks and skew handling.
 
-* ``fits`` proves a row bound with an exact count (partial counts summed,
-  no row moves) before anything is broadcast.
+* ``fits`` proves a bound in rows and in bytes with an exact count (partial
+  counts summed, no row moves) before anything is broadcast.
 * ``join_small`` broadcasts the small side only behind that check and falls
   back to a shuffle join (with adaptive skew splitting) beyond it.
 * ``expand_join`` joins on a key with very few distinct values (a zone):
@@ -16,11 +16,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Row bound under which a dimension is broadcast. Dimensions here are
 # pincodes (a few tens of thousands in a real postal system), zones, and the
 # distance table while it is small (it can reach pincodes^2 rows).
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 256 << 20
 
 
 def row_count(df: DataFrame) -> int:
@@ -34,9 +36,17 @@ def row_count(df: DataFrame) -> int:
     return df.count()
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` is proven to have at most ``max_rows`` rows."""
-    return row_count(df) <= max_rows
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of a row in memory: a header, and 8 bytes for a number or 40 for anything longer."""
+    return 16 + sum(8 if isinstance(f.dataType, T.NumericType | T.BooleanType | T.DatetimeType) else 40
+                    for f in df.schema.fields)
+
+
+def fits(df: DataFrame, max_rows: int, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+    """True when ``df`` is proven to stay within both bounds; a bound of 0 rows never broadcasts."""
+    if max_rows <= 0:
+        return False
+    return row_count(df) <= min(max_rows, max_bytes // row_bytes(df))
 
 
 def join_small(big: DataFrame, small: DataFrame, on: str | Sequence[str] | Column,
@@ -82,7 +92,8 @@ def expand_join(big: DataFrame, small: DataFrame, on: str | Sequence[str],
     """
     keys = [on] if isinstance(on, str) else list(on)
     n = row_count(small)
-    if n <= max_broadcast_rows:
+    held = min(max_broadcast_rows, DEFAULT_BROADCAST_BYTES // row_bytes(small))
+    if n <= held:
         return big.join(F.broadcast(small), keys, "inner")
-    right_cells = -(-n // max_broadcast_rows)
+    right_cells = max(1, -(-n // (held or DEFAULT_BROADCAST_ROWS)))
     return grid_join(big, small, keys, left_cells, right_cells)

@@ -1,9 +1,9 @@
-"""Composite jobs: zone/pincode pricing, quotes, requests, distance export."""
+"""Composite jobs: zone/pincode price, quotes, requests, distance export."""
 
 from pinprice.plans.charges import attach_charge
 from pinprice.plans.distances import distance_pairs, export_distances, lookup_distance
-from pinprice.plans.jobs import recompute_prices
-from pinprice.plans.pricing import (
+from pinprice.plans.jobs import recompute_prices, recompute_quotes
+from pinprice.plans.offers import (
     argmin_per_key,
     attach_destination,
     eligible_offers,
@@ -15,6 +15,7 @@ from pinprice.plans.pricing import (
     price_for_destinations,
     price_offers,
     priceable_keys,
+    requested_offers,
     seller_winners,
     store_seller_winners,
     store_zone_winners,
@@ -29,6 +30,7 @@ __all__ = [
     "eligible_offers", "export_distances", "lookup_distance", "min_price",
     "min_price_for_pin", "min_price_for_pins", "min_price_for_zone",
     "min_quote_for_pins", "price_for_destinations", "price_offers",
-    "price_requests", "priceable_keys", "recompute_prices", "seller_winners", "store_seller_winners", "store_zone_winners", "top_k_offers", "zone_pincodes",
-    "zone_winners",
+    "price_requests", "priceable_keys", "recompute_prices", "recompute_quotes",
+    "requested_offers", "seller_winners", "store_seller_winners", "store_zone_winners",
+    "top_k_offers", "zone_pincodes", "zone_winners",
 ]

@@ -16,6 +16,11 @@ from pinprice.operators.joins import DEFAULT_BROADCAST_ROWS, fits
 ON_MISSING = ("zero", "drop")
 
 
+def listed(distances: DataFrame) -> DataFrame:
+    """The entries that hold a distance: a null or NaN one is no entry."""
+    return distances.where(F.col("distance").isNotNull() & ~F.isnan("distance"))
+
+
 def attach_charge(rows: DataFrame, distances: DataFrame, src: str, dest: str,
                   on_missing: str = "zero", charge_col: str = "charge",
                   broadcast: bool | None = None,
@@ -23,6 +28,7 @@ def attach_charge(rows: DataFrame, distances: DataFrame, src: str, dest: str,
     """Add ``charge`` = distance(src -> dest) to every row.
 
     * source = destination -> 0;
+    * an entry without a distance (null or NaN) is no entry;
     * pair missing -> 0 (``on_missing="zero"``) or the row is dropped
       (``"drop"``);
     * several distances for one pair -> one row per distance (callers take
@@ -33,9 +39,9 @@ def attach_charge(rows: DataFrame, distances: DataFrame, src: str, dest: str,
     """
     if on_missing not in ON_MISSING:
         raise ValueError(f"on_missing must be one of {ON_MISSING}")
-    d = distances.select(F.col("sourcePincode").alias("_d_src"),
-                         F.col("destPincode").alias("_d_dest"),
-                         F.col("distance").alias("_d_dist"))
+    d = listed(distances).select(F.col("sourcePincode").alias("_d_src"),
+                                 F.col("destPincode").alias("_d_dest"),
+                                 F.col("distance").alias("_d_dist"))
     if broadcast is None:
         broadcast = fits(d, max_broadcast_rows)
     if broadcast:

@@ -31,7 +31,7 @@ from pinprice.functions.expr import (
 )
 from pinprice.operators.aggregate import argmin, top_k
 from pinprice.operators.joins import DEFAULT_BROADCAST_ROWS, expand_join, fits, row_count
-from pinprice.plans.charges import attach_charge
+from pinprice.plans.charges import attach_charge, listed
 
 TIE_ORDER = ("finalPrice", "buyingPrice", "quantity", "pincodeNum")
 
@@ -50,7 +50,7 @@ def _zone(df: DataFrame, zone: str | None) -> DataFrame:
 def priceable_keys(requests: DataFrame, offers: DataFrame,
                    products: DataFrame | None = None) -> DataFrame:
     """Distinct requested (zone, product) pairs that pass the two gates a
-    request meets before pricing: the product is in the catalogue and the
+    request meets before price: the product is in the catalogue and the
     zone has at least one offer for it. Both are semi joins, no action.
     """
     keys = _known(requests.select("zone", "product").distinct(), products)
@@ -69,26 +69,25 @@ def price_offers(offers: DataFrame, charge: float = PIN_CHARGE) -> DataFrame:
 
 
 def zone_winners(offers: DataFrame, products: DataFrame | None = None,
-                 zone: str | None = None, with_seller: bool = False) -> DataFrame:
+                 zone: str | None = None) -> DataFrame:
     """Cheapest eligible offer per (zone, product) for any flat charge.
 
-    Ordered by (buyingPrice, quantity, pincodeNum): with a flat charge this
-    is the same order as (finalPrice, buyingPrice, quantity, pincodeNum).
-    Output: zone, product, buyingPrice, quantity (+ pincodeNum when
-    ``with_seller``). Without the seller the two INT fields are reduced by a
-    packed hash aggregate; the seller tie-break needs the struct minimum.
+    Ordered by (buyingPrice, quantity): with a flat charge this is the same
+    order as (finalPrice, buyingPrice, quantity). Output: zone, product,
+    buyingPrice, quantity, reduced by a packed hash aggregate.
     """
-    e = eligible_offers(_zone(offers, zone))
-    if with_seller:
-        e = e.select("zone", "product", "buyingPrice", "quantity", "pincodeNum")
-        w = argmin(e, ["zone", "product"], ["buyingPrice", "quantity", "pincodeNum"])
-    else:
-        e = e.select("zone", "product", "buyingPrice", "quantity")
-        # eligibility guarantees non-null price and quantity
-        w = argmin(e, ["zone", "product"], ["buyingPrice", "quantity"], not_null=True)
+    e = eligible_offers(_zone(offers, zone)).select("zone", "product", "buyingPrice", "quantity")
+    # eligibility guarantees non-null price and quantity
+    w = argmin(e, ["zone", "product"], ["buyingPrice", "quantity"], not_null=True)
     return _known(w, products)
 
 
+def requested_offers(offers: DataFrame, requests: DataFrame) -> DataFrame:
+    """Offers of the requested (zone, product) keys only, so that nothing else is aggregated."""
+    keys = requests.select("zone", "product").distinct()
+    return offers.join(keys, ["zone", "product"], "left_semi")
+
+
 def store_zone_winners(offers: DataFrame, table: str, path: str,
                        products: DataFrame | None = None, buckets: int = 16) -> DataFrame:
     """Aggregate the offers once into a stored winners table, bucketed by
@@ -123,8 +122,12 @@ def seller_winners(offers: DataFrame, products: DataFrame | None = None,
 
 def argmin_per_key(offers: DataFrame, charge: float = ZONE_CHARGE,
                    products: DataFrame | None = None) -> DataFrame:
-    """Winning offer per (zone, product) with its price under a flat charge."""
-    w = zone_winners(offers, products, with_seller=True)
+    """Winning offer per (zone, product) with its price under a flat charge.
+
+    The offers are reduced per seller by a hash aggregate first, so the struct
+    minimum over the seller tie-break sorts only the few seller rows.
+    """
+    w = argmin(seller_winners(offers, products), ["zone", "product"], ["buyingPrice", "quantity", "pincodeNum"])
     return w.select("zone", "product",
                     delivered_price("buyingPrice", charge).alias("finalPrice"),
                     "quantity", "pincodeNum", "buyingPrice")
@@ -144,8 +147,8 @@ def _charge_bounds(pins: DataFrame, distances: DataFrame) -> DataFrame:
     Built from the distance table alone, so it has at most as many rows as
     that table (whose size is proven before it is broadcast).
     """
-    d = distances.select(F.col("sourcePincode").alias("pincodeNum"),
-                         F.col("destPincode").alias("pincode"), F.col("distance"))
+    d = listed(distances).select(F.col("sourcePincode").alias("pincodeNum"),
+                                 F.col("destPincode").alias("pincode"), F.col("distance"))
     dz = d.join(F.broadcast(pins), "pincode", "inner").where(F.col("pincodeNum") != F.col("pincode"))
     return dz.groupBy("zone", "pincodeNum").agg(
         F.min("distance").alias("_dmin"), F.max("distance").alias("_dmax"),
@@ -250,6 +253,7 @@ def attach_destination(offers: DataFrame, requests: DataFrame) -> DataFrame:
     """Offers of each request's (zone, product) with the destination attached.
 
     Equi-join on (zone, product); a one-row request is the single-pincode case.
+    The rows are request x offer pairs: an audit listing, not a step towards a price.
     """
     r = requests.select("request_id", "zone", "product", F.col("dest_pin").alias("destPin"))
     return r.join(offers, ["zone", "product"], "inner")
@@ -259,6 +263,10 @@ def price_for_destinations(offers: DataFrame, requests: DataFrame, distances: Da
                            on_missing: str = "zero") -> DataFrame:
     """Every eligible offer of each request priced with the distance charge.
 
+    An audit listing: a product with R requests and O offers gives R x O rows.
+    To find prices only, use ``min_price_for_pins``, which reduces offers per
+    seller before destinations are attached.
+
     Output: request_id, zone, product, pincodeNum, destPincode, buyingPrice,
     quantity, charge, finalPrice.
     """
@@ -283,12 +291,12 @@ def min_price_for_pins(offers: DataFrame, requests: DataFrame,
     # below drop requests for unknown products without a second semi join
     req = requests.select("request_id", "product", "zone", "dest_pin")
     if distances is None:
-        w = zone_winners(offers, products)
+        w = zone_winners(requested_offers(offers, req), products)
         priced = w.select("zone", "product", delivered_price("buyingPrice", charge).alias("price"))
         out = req.join(priced, ["zone", "product"], "inner")
     else:
         keys = req.select("zone", "product", "dest_pin").distinct()
-        s = sellers if sellers is not None else seller_winners(offers, products)
+        s = sellers if sellers is not None else seller_winners(requested_offers(offers, req), products)
         x = keys.join(s, ["zone", "product"], "inner")
         x = attach_charge(x, distances, "pincodeNum", "dest_pin", on_missing)
         x = x.withColumn("finalPrice", delivered_price("buyingPrice", F.col("charge")))
@@ -298,13 +306,13 @@ def min_price_for_pins(offers: DataFrame, requests: DataFrame,
                       F.col("dest_pin").alias("pincode"), "price")
 
 
-def min_price_for_pin(spark, offers: DataFrame, product: int, zone: str, dest_pin: int,
+def min_price_for_pin(spark, offers: DataFrame, product: int | str, zone: str, dest_pin: int,
                       products: DataFrame | None = None, charge: float = PIN_CHARGE,
                       distances: DataFrame | None = None) -> DataFrame:
     """Single request convenience: one product, zone and destination."""
     req = spark.createDataFrame(
         [(0, product, zone.strip().upper(), dest_pin)],
-        "request_id BIGINT, product BIGINT, zone STRING, dest_pin INT")
+        f"request_id BIGINT, product {dict(offers.dtypes)['product']}, zone STRING, dest_pin INT")
     return min_price_for_pins(offers, req, products, charge, distances).drop("request_id")
 
 

@@ -1,4 +1,4 @@
-"""A table of pricing requests, priced in one job.
+"""A table of price requests, priced in one job.
 
 Each request row is (request_id, kind, product, zone, dest_pin):
 kind ``pin`` prices one destination (flat charge 17.09 by default),
@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from pinprice.functions.expr import PIN_CHARGE, ZONE_CHARGE, delivered_price
 from pinprice.operators.joins import DEFAULT_BROADCAST_ROWS, expand_join, fits
 from pinprice.operators.validate import valid_requests, validate_requests, zones_of
-from pinprice.plans.pricing import (
+from pinprice.plans.offers import (
     min_price_for_pins,
     min_price_for_zone,
+    requested_offers,
+    seller_winners,
     zone_pincodes,
     zone_winners,
 )
+from pinprice.session import shared_dir
 
 OUTPUT = ["request_id", "kind", "product", "zone", "pincode", "price", "quantity"]
 
@@ -48,14 +51,15 @@ def price_requests(requests: DataFrame, offers: DataFrame, pincodes: DataFrame,
         # one winners table for both kinds, so the offers are aggregated once:
         # each request row meets the pincodes of its zone only when it is a
         # zone request; a pin request keeps its single destination
-        w = winners if winners is not None else zone_winners(offers, products)
+        w = winners if winners is not None else zone_winners(requested_offers(offers, v), products)
         x = v.select("request_id", "kind", "zone", "product", "dest_pin").join(
             w, ["zone", "product"], "inner")
         pins = zone_pincodes(pincodes)
         if fits(pins, max_broadcast_rows):
             p = pins.select(F.col("zone").alias("_pz"), F.col("pincode").alias("_pin"))
-            cond = (F.col("zone") == F.col("_pz")) & (F.col("kind") == "zone")
-            y = x.join(F.broadcast(p), cond, "left").where(
+            # a pin request has a null key, so it probes no pincodes
+            x = x.withColumn("_zone", F.when(F.col("kind") == "zone", F.col("zone")))
+            y = x.join(F.broadcast(p), F.col("_zone") == F.col("_pz"), "left").where(
                 (F.col("kind") == "pin") | F.col("_pin").isNotNull())
             is_pin = F.col("kind") == "pin"
             return y.select(
@@ -74,20 +78,18 @@ def price_requests(requests: DataFrame, offers: DataFrame, pincodes: DataFrame,
                             delivered_price("buyingPrice", zone_charge).alias("price"), "quantity")
         return pin_out.unionByName(zone_out)
 
+    if sellers is None:
+        # one aggregation of the requested offers for both kinds, kept in the checkpoint folder
+        shared_dir(offers.sparkSession, unique=False)
+        sellers = seller_winners(requested_offers(offers, v), products).checkpoint()
     pin_req = v.where(F.col("kind") == "pin")
     pin_out = min_price_for_pins(offers, pin_req, products, pin_charge, distances, on_missing, sellers)
     pin_out = pin_out.select("request_id", F.lit("pin").alias("kind"), "product", "zone", "pincode",
                              "price", F.lit(None).cast("int").alias("quantity"))
     zr = v.where(F.col("kind") == "zone").select("request_id", "zone", "product")
     keys = zr.select("zone", "product").distinct()
-    if sellers is not None:
-        res = min_price_for_zone(offers, pincodes, products, None, zone_charge, distances, on_missing,
-                                 max_broadcast_rows,
-                                 sellers=sellers.join(keys, ["zone", "product"], "left_semi"))
-    else:
-        o = offers.join(keys, ["zone", "product"], "left_semi")
-        res = min_price_for_zone(o, pincodes, products, None, zone_charge, distances, on_missing,
-                                 max_broadcast_rows)
+    res = min_price_for_zone(offers, pincodes, products, None, zone_charge, distances, on_missing,
+                             max_broadcast_rows, sellers=sellers.join(keys, ["zone", "product"], "left_semi"))
     zone_out = zr.join(res, ["zone", "product"], "inner").select(
         "request_id", F.lit("zone").alias("kind"), "product", "zone", "pincode",
         F.col("finalPrice").alias("price"), "quantity")

@@ -1,6 +1,8 @@
 """Fixed schemas of every table the jobs read or write.
 
-A pincode is always data in a row, never part of a column name.
+A pincode is always data in a row, never part of a column name. A product key
+is opaque: every job takes the type that its tables hold (BIGINT here, text as
+well), the streaming schema being a parameter.
 """
 
 from pyspark.sql import types as T
@@ -75,7 +77,7 @@ REQUESTS = T.StructType([
     T.StructField("dest_pin", T.IntegerType()),
 ])
 
-# Result of pricing a table of requests (kind 'pin' -> one row, kind 'zone'
+# Result of price a table of requests (kind 'pin' -> one row, kind 'zone'
 # -> one row per pincode of the zone; quantity is only known for 'zone').
 REQUEST_PRICES = T.StructType([
     T.StructField("request_id", T.LongType()),

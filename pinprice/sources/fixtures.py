@@ -1,20 +1,24 @@
 """Stand-in inputs derived from the driver's TPC-H-like tables.
 
 Each builder only produces rows in the schema a job expects; none of the
-pricing work happens here. Every table grows with the underlying data:
+price work happens here. Every table grows with the underlying data:
 
-* ``pincodes``          customer locations: nation -> zone (region name);
+* ``pincodes``          customer locations: nation -> zone (region name), more of them
+  the more customers there are, a few listed under two zones;
 * ``zoneprices``        one offer per line item, seller location from the supplier;
-* ``pincodedistances``  one entry per seller->customer pair seen in an order;
+* ``pincodedistances``  one entry per seller->customer pair seen in an order, some
+  without a distance;
 * ``productinfos``      the part catalogue;
 * ``product_prices``    prior price state per (part, customer pincode) sold;
-* ``requests``          one pricing request per event.
+* ``requests``          one request per event, over the whole catalogue (and some unknown
+  products), every zone for either kind.
 
 ``FIXTURE_SQL`` holds the same derivations as SQL text for the DuckDB oracle.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,9 +36,20 @@ def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _pin(nationkey: Column, key: Column) -> Column:
-    # pincode of a location: 500000 + nation*10 + key%10 (250 values at most)
-    return (F.lit(500000) + nationkey * F.lit(10) + key % F.lit(10)).cast("int")
+def _count(spark: SparkSession, sf_dir: str, name: str, key: str) -> int:
+    """One more than the greatest key of a base table (its size, as keys rise from 0)."""
+    top = base_table(spark, sf_dir, name).agg(F.max(key).alias("m")).first()["m"]
+    return 0 if top is None else int(top) + 1
+
+
+def pins_per_nation(spark: SparkSession, sf_dir: str) -> int:
+    """Pincodes of a nation: they grow with the square root of the customers."""
+    return 10 + math.isqrt(_count(spark, sf_dir, "customer", "c_custkey")) // 20
+
+
+def _pin(nationkey: Column, key: Column, width: int) -> Column:
+    # pincode of a location: a run of ``width`` numbers per nation
+    return (F.lit(500000) + nationkey * F.lit(width) + key % F.lit(width)).cast("int")
 
 
 def _zone_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,10 +62,13 @@ def _zone_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pincodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = base_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    z = _zone_of_nation(spark, sf_dir)
-    return (c.join(F.broadcast(z), c.c_nationkey == z.n_nationkey)
-            .select(_pin(F.col("c_nationkey"), F.col("c_custkey")).alias("pincode"), F.col("zone"))
-            .distinct())
+    z, width = _zone_of_nation(spark, sf_dir), pins_per_nation(spark, sf_dir)
+    rows = c.join(F.broadcast(z), c.c_nationkey == z.n_nationkey).select(
+        _pin(F.col("c_nationkey"), F.col("c_custkey"), width).alias("pincode"), F.col("zone"), "c_custkey")
+    # some locations are listed under a second zone as well
+    other = F.when(F.col("zone") == "EUROPE", "ASIA").otherwise("EUROPE")
+    both = rows.where(F.col("c_custkey") % 97 == 5).select("pincode", other.alias("zone"))
+    return rows.select("pincode", "zone").union(both).distinct()
 
 
 def zoneprices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +86,11 @@ def zoneprices(spark: SparkSession, sf_dir: str) -> DataFrame:
     qty = (F.when((line == 7) & (flag == "R"), F.lit(None).cast("int"))
            .when(F.col("l_discount") < F.lit(0.005), F.lit(0))
            .otherwise(F.col("l_quantity").cast("int")))
+    width = pins_per_nation(spark, sf_dir)
     # suppliers grow with the data: broadcast only behind a row-count check
     return join_small(li, sz, li.l_suppkey == sz.s_suppkey).select(
         F.col("zone"), F.col("l_partkey").alias("product"),
-        _pin(F.col("s_nationkey"), F.col("s_suppkey")).alias("pincodeNum"),
+        _pin(F.col("s_nationkey"), F.col("s_suppkey"), width).alias("pincodeNum"),
         buying.alias("buyingPrice"), selling.alias("sellingPrice"), qty.alias("quantity"))
 
 
@@ -85,17 +104,18 @@ def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = (li.join(o, li.l_orderkey == o.o_orderkey)
          .join(c, F.col("o_custkey") == c.c_custkey)
          .join(s, li.l_suppkey == s.s_suppkey))
+    width = pins_per_nation(spark, sf_dir)
     return j.select(
         F.col("l_partkey"),
-        _pin(F.col("s_nationkey"), F.col("s_suppkey")).alias("src"),
-        _pin(F.col("c_nationkey"), F.col("c_custkey")).alias("dest"),
+        _pin(F.col("s_nationkey"), F.col("s_suppkey"), width).alias("src"),
+        _pin(F.col("c_nationkey"), F.col("c_custkey"), width).alias("dest"),
         F.col("l_extendedprice"), F.col("l_quantity"))
 
 
 def pincodedistances(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _shipments(spark, sf_dir).select("src", "dest").distinct()
     src, dest = F.col("src"), F.col("dest")
-    dist = F.when(src == dest, F.lit(0.0)).otherwise(
+    dist = F.when(src == dest, F.lit(0.0)).when((src * 7 + dest * 3) % 29 == 0, F.lit(None).cast("double")).otherwise(
         ((src * F.lit(31) + dest * F.lit(17)) % F.lit(2000)).cast("double") / F.lit(100.0))
     return pairs.select(src.alias("sourcePincode"), dest.alias("destPincode"), dist.alias("distance"))
 
@@ -114,8 +134,12 @@ def product_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = base_table(spark, sf_dir, "events").select("event_id")
     i = F.col("event_id")
-    kind = F.when(i % 200 == 1, F.lit("zone")).otherwise(F.lit("pin"))
-    product = F.when(i % 50 == 0, F.lit(None).cast("bigint")).otherwise((i * 7) % 2500)
+    parts, pins = _count(spark, sf_dir, "part", "p_partkey"), 25 * pins_per_nation(spark, sf_dir)
+    # a fifth of the product range lies beyond the catalogue
+    known = parts + parts // 4 + 1
+    zonal = i % 199 == 1
+    kind = F.when(zonal, F.lit("zone")).otherwise(F.lit("pin"))
+    product = F.when(i % 50 == 0, F.lit(None).cast("bigint")).otherwise(((i % known) * 48271) % known)
     zone = (F.when(i % 41 == 0, F.lit(None).cast("string"))
             .when(i % 43 == 0, F.lit("NOWHERE"))
             .when(i % 5 == 0, F.lit("africa"))
@@ -125,8 +149,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.lit("MIDDLE EAST")))
     dest = (F.when(i % 37 == 0, F.lit(-1))
             .when(i % 39 == 0, F.lit(None).cast("int"))
-            .when(i % 200 == 1, F.lit(None).cast("int"))
-            .otherwise((F.lit(500000) + (i * 13) % 250).cast("int")))
+            .when(zonal, F.lit(None).cast("int"))
+            .otherwise((F.lit(500000) + ((i % pins) * 8191) % pins).cast("int")))
     return e.select(i.alias("request_id"), kind.alias("kind"), product.cast("bigint").alias("product"),
                     zone.alias("zone"), dest.alias("dest_pin"))
 
@@ -198,14 +222,23 @@ def fixture_state_table(spark: SparkSession, sf_dir: str) -> str:
 
 
 # Same derivations as SQL text (runs in Spark SQL and DuckDB alike).
-_PIN_C = "CAST(500000 + c.c_nationkey * 10 + c.c_custkey % 10 AS INT)"
-_PIN_S = "CAST(500000 + s.s_nationkey * 10 + s.s_suppkey % 10 AS INT)"
+_PIN_C = "CAST(500000 + c.c_nationkey * z.width + c.c_custkey % z.width AS INT)"
+_PIN_S = "CAST(500000 + s.s_nationkey * z.width + s.s_suppkey % z.width AS INT)"
 
 FIXTURE_SQL = {
+    "sizes": """
+SELECT 10 + CAST(FLOOR(FLOOR(SQRT(CAST(c.n AS DOUBLE))) / 20) AS BIGINT) AS width,
+  p.n + CAST(FLOOR(p.n / 4) AS BIGINT) + 1 AS known
+FROM (SELECT COALESCE(MAX(c_custkey) + 1, 0) AS n FROM customer) c,
+     (SELECT COALESCE(MAX(p_partkey) + 1, 0) AS n FROM part) p""",
     "pincodes": f"""
-SELECT DISTINCT {_PIN_C} AS pincode, r.r_name AS zone
+SELECT {_PIN_C} AS pincode, r.r_name AS zone
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+JOIN region r ON n.n_regionkey = r.r_regionkey CROSS JOIN sizes z
+UNION
+SELECT {_PIN_C} AS pincode, CASE WHEN r.r_name = 'EUROPE' THEN 'ASIA' ELSE 'EUROPE' END AS zone
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
-JOIN region r ON n.n_regionkey = r.r_regionkey""",
+JOIN region r ON n.n_regionkey = r.r_regionkey CROSS JOIN sizes z WHERE c.c_custkey % 97 = 5""",
     "zoneprices": f"""
 SELECT r.r_name AS zone, l.l_partkey AS product, {_PIN_S} AS pincodeNum,
   CASE WHEN l.l_returnflag = 'A' AND l.l_linenumber = 1 THEN NULL
@@ -215,15 +248,17 @@ SELECT r.r_name AS zone, l.l_partkey AS product, {_PIN_S} AS pincodeNum,
   CASE WHEN l.l_linenumber = 7 AND l.l_returnflag = 'R' THEN NULL
        WHEN l.l_discount < 0.005 THEN 0 ELSE CAST(l.l_quantity AS INT) END AS quantity
 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
-JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey""",
+JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+CROSS JOIN sizes z""",
     "shipments": f"""
 SELECT l.l_partkey AS l_partkey, {_PIN_S} AS src, {_PIN_C} AS dest,
   l.l_extendedprice AS l_extendedprice, l.l_quantity AS l_quantity
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey""",
+JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
+CROSS JOIN sizes z""",
     "pincodedistances": """
 SELECT src AS sourcePincode, dest AS destPincode,
-  CASE WHEN src = dest THEN CAST(0 AS DOUBLE)
+  CASE WHEN src = dest THEN CAST(0 AS DOUBLE) WHEN (src * 7 + dest * 3) % 29 = 0 THEN NULL
        ELSE CAST((src * 31 + dest * 17) % 2000 AS DOUBLE) / CAST(100 AS DOUBLE) END AS distance
 FROM (SELECT DISTINCT src, dest FROM shipments) p""",
     "productinfos": "SELECT p_partkey AS product FROM part",
@@ -233,14 +268,15 @@ SELECT l_partkey AS product, dest AS pincode,
 FROM shipments GROUP BY l_partkey, dest""",
     "requests": """
 SELECT event_id AS request_id,
-  CASE WHEN event_id % 200 = 1 THEN 'zone' ELSE 'pin' END AS kind,
-  CAST(CASE WHEN event_id % 50 = 0 THEN NULL ELSE (event_id * 7) % 2500 END AS BIGINT) AS product,
+  CASE WHEN event_id % 199 = 1 THEN 'zone' ELSE 'pin' END AS kind,
+  CAST(CASE WHEN event_id % 50 = 0 THEN NULL ELSE ((event_id % z.known) * 48271) % z.known END AS BIGINT) AS product,
   CASE WHEN event_id % 41 = 0 THEN NULL WHEN event_id % 43 = 0 THEN 'NOWHERE'
        WHEN event_id % 5 = 0 THEN 'africa' WHEN event_id % 5 = 1 THEN 'ASIA' WHEN event_id % 5 = 2 THEN 'Europe'
        WHEN event_id % 5 = 3 THEN 'AMERICA' ELSE 'MIDDLE EAST' END AS zone,
   CASE WHEN event_id % 37 = 0 THEN -1 WHEN event_id % 39 = 0 THEN NULL
-       WHEN event_id % 200 = 1 THEN NULL ELSE CAST(500000 + (event_id * 13) % 250 AS INT) END AS dest_pin
-FROM events""",
+       WHEN event_id % 199 = 1 THEN NULL
+       ELSE CAST(500000 + ((event_id % (25 * z.width)) * 8191) % (25 * z.width) AS INT) END AS dest_pin
+FROM events CROSS JOIN sizes z""",
 }
 
 

@@ -12,15 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pinprice.functions.expr import price_path
-from pinprice.operators.aggregate import last_per_key
+from pinprice.operators.aggregate import argmin, last_per_key
 
 
 def price_updates(result: DataFrame, price_col: str = "finalPrice",
                   quantity_col: str | None = "quantity") -> DataFrame:
-    """Flat change set: product, path (``prices.<pincode>``), pincode, price, quantity."""
+    """Flat change set: product, path (``prices.<pincode>``), pincode, price, quantity.
+
+    One row per (product, pincode): a pincode priced in several zones keeps its
+    least (price, quantity), as one entry is written per pincode.
+    """
     q = F.col(quantity_col).cast("int") if quantity_col else F.lit(None).cast("int")
-    return result.select("product", price_path("pincode").alias("path"), "pincode",
-                         F.col(price_col).cast("bigint").alias("price"), q.alias("quantity"))
+    flat = result.select("product", "pincode", F.col(price_col).cast("bigint").alias("price"), q.alias("quantity"))
+    least = argmin(flat, ["product", "pincode"], ["price", "quantity"])
+    return least.select("product", price_path("pincode").alias("path"), "pincode", "price", "quantity")
 
 
 def price_map(updates: DataFrame) -> DataFrame:
@@ -41,7 +46,8 @@ def _prepare(updates: DataFrame, keys: Sequence[str], value_cols: Sequence[str],
         u = last_per_key(u, keys, order_col, value_cols)
         u = u.select(*keys, *value_cols, order_col)
     else:
-        u = u.select(*keys, *value_cols)
+        # one update per key, as the join below must not multiply the state: the least value tuple
+        u = argmin(u.select(*keys, *value_cols), keys, value_cols)
     if products is not None:
         # matched-only: updates for products missing from the catalogue are dropped
         u = u.join(products.select("product"), "product", "left_semi")
@@ -55,6 +61,8 @@ def merge_values(state: DataFrame, updates: DataFrame, keys: Sequence[str] = ("p
 
     All value columns of an updated key come from the update together (a
     null in the update replaces the old value; no field-by-field coalesce).
+    Several updates of one key count as one: the newest by ``order_col``, or
+    without it the least tuple of ``value_cols``.
 
     With ``order_col`` (a sequence number such as a request id) the newest
     update per key wins, also against the state: the result keeps

@@ -1,0 +1,140 @@
+"""A keyed state that streams and jobs write to as deltas.
+
+A state is a folder of shared storage with
+
+* ``base/v<k>``: whole states, the first one and those that ``compact`` makes;
+* ``delta/stream=<s>/batch=<b>``: the updates of batch b of stream s, so what a
+  batch writes follows the batch and not the state, and a repeated batch
+  replaces its own folder only;
+* ``manifest``: one row per base version: its number, the keys, and per stream
+  the last batch that it holds.
+
+A read takes the newest version and every delta that it doesn't hold, and keeps
+per key the value of greatest ``seq`` (run, request). No number of buckets or
+partitions is part of the state, so sessions of any settings read the same rows;
+a stream that starts again with a new checkpoint has another id and so never
+hides or replaces what an earlier one wrote.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SEQ = T.StructType([T.StructField("run", T.LongType()), T.StructField("request_id", T.LongType())])
+_HELD = "stream STRING, batch BIGINT"
+_MANIFEST = "version INT, keys ARRAY<STRING>, held ARRAY<STRUCT<stream: STRING, batch: BIGINT>>"
+
+
+def _paths(path: str) -> tuple[str, str, str]:
+    root = path.rstrip("/")
+    return f"{root}/base", f"{root}/delta", f"{root}/manifest"
+
+
+def _manifest(spark: SparkSession, path: str) -> list:
+    """All versions, oldest first (one row per version)."""
+    return spark.read.schema(_MANIFEST).json(_paths(path)[2]).orderBy("version").collect()
+
+
+def _record(spark: SparkSession, path: str, version: int, keys: Sequence[str], held: list) -> None:
+    row = spark.createDataFrame([(version, list(keys), held)], _MANIFEST)
+    row.coalesce(1).write.mode("append").json(_paths(path)[2])
+
+
+def create_state(base: DataFrame, path: str, keys: Sequence[str] = ("product", "pincode")) -> None:
+    """Start a state from its first version; rows without a ``seq`` are older than any update."""
+    spark = base.sparkSession
+    if "seq" not in base.columns:
+        base = base.withColumn("seq", F.lit(None).cast(SEQ))
+    folder, deltas, _ = _paths(path)
+    base.write.parquet(f"{folder}/v0")
+    empty = spark.createDataFrame([], T.StructType([*base.schema.fields, T.StructField("stream", T.StringType()),
+                                                    T.StructField("batch", T.LongType())]))
+    empty.write.partitionBy("stream", "batch").parquet(deltas)
+    _record(spark, path, 0, keys, [])
+
+
+def _newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The row of greatest seq per key; a base row without one loses to any update."""
+    values = [c for c in rows.columns if c not in (*keys, "seq")]
+    best = rows.groupBy(*keys).agg(F.max(F.struct("seq", *values)).alias("_m"))
+    return best.select(*keys, *[F.col(f"_m.{c}").alias(c) for c in (*values, "seq")])
+
+
+def append_delta(updates: DataFrame, path: str, stream: str, batch: int) -> None:
+    """Write a batch's updates (keys, values, seq), the newest per key."""
+    last = _manifest(updates.sparkSession, path)[-1]
+    rows = _newest(updates, last["keys"])
+    rows.write.mode("overwrite").parquet(f"{_paths(path)[1]}/stream={stream}/batch={batch}")
+
+
+def _parts(spark: SparkSession, path: str, last) -> tuple[DataFrame, DataFrame]:
+    """The newest base, and the deltas it doesn't hold (with stream and batch)."""
+    folder, deltas, _ = _paths(path)
+    base = spark.read.parquet(f"{folder}/v{last['version']}")
+    schema = T.StructType([*base.schema.fields, T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())])
+    held = spark.createDataFrame([tuple(h) for h in last["held"]], _HELD).select("stream", F.col("batch").alias("_last"))
+    new = spark.read.schema(schema).parquet(deltas).join(F.broadcast(held), "stream", "left")
+    new = new.where(F.col("_last").isNull() | (F.col("batch") > F.col("_last"))).drop("_last")
+    return base, new.select(*schema.fieldNames())
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The state after every delta written so far."""
+    last = _manifest(spark, path)[-1]
+    base, new = _parts(spark, path, last)
+    return _newest(base.unionByName(new.drop("stream", "batch")), last["keys"])
+
+
+def compact(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Write a new base that holds all deltas so far; remove the deltas it holds and bases beyond ``keep``.
+
+    Readers that began on an older base still find it and its deltas as long as
+    it is among the kept ones: deltas go only when every kept base holds them.
+    """
+    versions = _manifest(spark, path)
+    last = versions[-1]
+    base, new = _parts(spark, path, last)
+    folder, deltas, _ = _paths(path)
+    # batches are fixed before the merge, so one that arrives meanwhile stays a delta
+    ends = {r["stream"]: r["batch"] for r in new.groupBy("stream").agg(F.max("batch").alias("batch")).collect()}
+    held = {h["stream"]: h["batch"] for h in last["held"]} | ends
+    ends_df = spark.createDataFrame(sorted(ends.items()), _HELD).withColumnRenamed("batch", "_to")
+    taken = new.join(F.broadcast(ends_df), "stream").where("batch <= _to").drop("_to", "stream", "batch")
+    version = last["version"] + 1
+    _newest(base.unionByName(taken), last["keys"]).write.mode("overwrite").parquet(f"{folder}/v{version}")
+    _record(spark, path, version, last["keys"], sorted(held.items()))
+    kept = [*versions, {"version": version, "held": []}][-keep:]
+    for old in versions:
+        if old["version"] < kept[0]["version"]:
+            _remove(f"{folder}/v{old['version']}")
+    for h in kept[0]["held"]:
+        for b in _batches(deltas, h["stream"]):
+            if b <= h["batch"]:
+                _remove(f"{deltas}/stream={h['stream']}/batch={b}")
+    return version
+
+
+def _open(path: str) -> tuple[pafs.FileSystem, str]:
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.replace("file:/", "file:///", 1)
+    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
+def _remove(path: str) -> None:
+    fs, at = _open(path)
+    if fs.get_file_info(at).type == pafs.FileType.Directory:
+        fs.delete_dir(at)
+
+
+def _batches(deltas: str, stream: str) -> list[int]:
+    fs, at = _open(f"{deltas}/stream={stream}")
+    found = fs.get_file_info(pafs.FileSelector(at, allow_not_found=True))
+    return [int(f.base_name.removeprefix("batch=")) for f in found if f.base_name.startswith("batch=")]
+
+
+__all__ = ["SEQ", "append_delta", "compact", "create_state", "read_state"]

@@ -55,7 +55,7 @@ def write_offers(offers: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_offers(spark: SparkSession, path: str, zone: str | None = None,
-                product: int | None = None) -> DataFrame:
+                product: int | str | None = None) -> DataFrame:
     """Offers of one zone (partition pruning) and optionally one product
     (pushed-down filter); all zones when ``zone`` is None."""
     df = spark.read.parquet(path).select(*schemas.OFFERS.fieldNames())

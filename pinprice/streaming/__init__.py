@@ -1,10 +1,9 @@
 """Structured Streaming jobs."""
 
 from pinprice.streaming.requests import (
-    latest_state,
     read_stream_results,
     stream_merge_prices,
     stream_price_requests,
 )
 
-__all__ = ["latest_state", "read_stream_results", "stream_merge_prices", "stream_price_requests"]
+__all__ = ["read_stream_results", "stream_merge_prices", "stream_price_requests"]

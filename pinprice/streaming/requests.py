@@ -1,4 +1,4 @@
-"""Pricing requests arriving as a stream of files.
+"""Price requests arriving as a stream of files.
 
 Each micro-batch is priced with the batch job (``price_requests``) inside
 ``foreachBatch``; the result of batch ``n`` is written to its own folder in
@@ -9,34 +9,53 @@ priced on its own, so no watermark or state store is needed.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pinprice import schemas
 from pinprice.plans.requests import OUTPUT, price_requests
-from pinprice.sources.sinks import merge_into_table
+from pinprice.sources.state import append_delta
+
+
+def _requests(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None, products: DataFrame | None) -> DataFrame:
+    schema = schemas.REQUESTS
+    if products is not None:  # the product key has the catalogue's type
+        schema = T.StructType([products.schema[f.name] if f.name == "product" else f for f in schema.fields])
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(source_dir)
+
+
+def _start(stream: DataFrame, handle, checkpoint_dir: str, available_now: bool) -> object:
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_dir)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()
 
 
 def _price_batch(batch: DataFrame, offers: DataFrame, pincodes: DataFrame,
                  products: DataFrame | None, distances: DataFrame | None,
-                 winners: DataFrame | None, pricing: dict,
+                 winners: DataFrame | None, options: dict,
                  sellers: DataFrame | None = None) -> DataFrame:
     if winners is not None and distances is None:
-        return price_requests(batch, offers, pincodes, products, winners=winners, **pricing)
+        return price_requests(batch, offers, pincodes, products, winners=winners, **options)
     if sellers is not None and distances is not None:
         return price_requests(batch, offers, pincodes, products, distances=distances,
-                              sellers=sellers, **pricing)
+                              sellers=sellers, **options)
     keys = batch.select(F.upper(F.trim("zone")).alias("zone"), "product").distinct()
     batch_offers = offers.join(keys, ["zone", "product"], "left_semi")
-    return price_requests(batch, batch_offers, pincodes, products, distances=distances, **pricing)
+    return price_requests(batch, batch_offers, pincodes, products, distances=distances, **options)
 
 
 def stream_price_requests(spark: SparkSession, source_dir: str, output_dir: str,
                           checkpoint_dir: str, offers: DataFrame, pincodes: DataFrame,
                           products: DataFrame | None = None, distances: DataFrame | None = None,
-                          max_files_per_trigger: int = 1, available_now: bool = True,
+                          max_files_per_trigger: int | None = None, available_now: bool = True,
                           winners: DataFrame | None = None, sellers: DataFrame | None = None,
-                          **pricing) -> object:
+                          **options) -> object:
     """Start the stream; returns the ``StreamingQuery``.
 
     With ``winners`` (a stored ``zone_winners`` table, flat charge) or
@@ -44,18 +63,11 @@ def stream_price_requests(spark: SparkSession, source_dir: str, output_dir: str,
     batch only joins its requests to it. Without them the offers are
     narrowed to the batch's (zone, product) keys before aggregating.
     """
-    stream = (spark.readStream.schema(schemas.REQUESTS)
-              .option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(source_dir))
-
     def handle(batch: DataFrame, batch_id: int) -> None:
-        res = _price_batch(batch, offers, pincodes, products, distances, winners, pricing, sellers)
+        res = _price_batch(batch, offers, pincodes, products, distances, winners, options, sellers)
         res.write.mode("overwrite").parquet(f"{output_dir.rstrip('/')}/batch_id={batch_id}")
 
-    writer = (stream.writeStream.foreachBatch(handle)
-              .option("checkpointLocation", checkpoint_dir))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start()
+    return _start(_requests(spark, source_dir, max_files_per_trigger, products), handle, checkpoint_dir, available_now)
 
 
 def read_stream_results(spark: SparkSession, output_dir: str) -> DataFrame:
@@ -63,81 +75,28 @@ def read_stream_results(spark: SparkSession, output_dir: str) -> DataFrame:
     return spark.read.parquet(output_dir).select(*OUTPUT)
 
 
-def _version_dirs(spark: SparkSession, state_dir: str) -> dict[int, str]:
-    """Completed state versions in ``state_dir`` (folders ``v<n>`` holding a
-    ``_SUCCESS`` marker), listed through the Hadoop file system of the path,
-    so they are found again after a driver restart."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(state_dir)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return {}
-    out = {}
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v") and name[1:].isdigit():
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out[int(name[1:])] = st.getPath().toString()
-    return out
-
-
-def latest_state(spark: SparkSession, prefix: str, initial_table: str, before: int | None = None,
-                 state_dir: str | None = None, buckets: int = 16) -> str:
-    """Name of the newest state version (older than batch ``before``).
-
-    Versions are looked up in ``state_dir`` when given (a version missing
-    from the session catalog, e.g. after a restart, is registered again as
-    a bucketed table over its folder), else in the session catalog.
-    """
-    if state_dir is not None:
-        found = {k: p for k, p in _version_dirs(spark, state_dir).items() if before is None or k < before}
-        if not found:
-            return initial_table
-        k = max(found)
-        name = f"{prefix}_v{k}"
-        if not spark.catalog.tableExists(name):
-            spark.sql(f"CREATE TABLE {name} (product BIGINT, pincode INT, price BIGINT, quantity INT, "
-                      f"request_id BIGINT) USING parquet CLUSTERED BY (product, pincode) "
-                      f"INTO {buckets} BUCKETS LOCATION '{found[k]}'")
-        return name
-    v = {}
-    for t in spark.catalog.listTables():
-        if t.name.startswith(prefix + "_v") and t.name[len(prefix) + 2:].isdigit():
-            k = int(t.name[len(prefix) + 2:])
-            if before is None or k < before:
-                v[k] = t.name
-    return v[max(v)] if v else initial_table
-
-
-def stream_merge_prices(spark: SparkSession, source_dir: str, initial_table: str, prefix: str,
-                        state_dir: str, checkpoint_dir: str, offers: DataFrame, pincodes: DataFrame,
-                        products: DataFrame | None = None, distances: DataFrame | None = None,
-                        buckets: int = 16, max_files_per_trigger: int = 1,
+def _stream_id(spark: SparkSession, checkpoint_dir: str) -> str:
+    """The running query's id, which its checkpoint keeps: a new checkpoint is another stream."""
+    own = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return own or hashlib.md5(checkpoint_dir.encode()).hexdigest()
+
+
+def stream_merge_prices(spark: SparkSession, source_dir: str, state_path: str, checkpoint_dir: str,
+                        offers: DataFrame, pincodes: DataFrame, products: DataFrame | None = None,
+                        distances: DataFrame | None = None, run: int = 0, max_files_per_trigger: int | None = None,
                         available_now: bool = True, winners: DataFrame | None = None,
-                        sellers: DataFrame | None = None, **pricing) -> object:
-    """Price each micro-batch of requests and merge it into the price table.
-
-    Batch ``n`` reads the newest state version older than ``n`` (bucketed by
-    product and pincode, so it is not shuffled), merges the batch's prices
-    (the latest request wins per key, whole values replaced) and stores
-    version ``n``. A replayed batch recomputes the same version from the
-    same predecessor and overwrites it, so replays do not change the result.
-    """
-    stream = (spark.readStream.schema(schemas.REQUESTS)
-              .option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(source_dir))
+                        sellers: DataFrame | None = None, **options) -> object:
+    """Price each micro-batch of requests and write its prices to a state as a delta.
 
+    ``state_path`` is a state made by ``create_state``; ``read_state`` gives it
+    with all batches merged: per product and pincode the newest request wins, by
+    ``run`` (which rises from one request table to the next) and request id,
+    whatever the order of batches. A repeated batch writes the same delta again.
+    """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        res = _price_batch(batch, offers, pincodes, products, distances, winners, pricing, sellers)
-        upd = res.select("product", "pincode", "price", "quantity", "request_id")
-        prev = latest_state(spark, prefix, initial_table, before=batch_id, state_dir=state_dir,
-                            buckets=buckets)
-        out = f"{prefix}_v{batch_id}"
-        spark.sql(f"DROP TABLE IF EXISTS {out}")
-        merge_into_table(spark, prev, upd, out, f"{state_dir.rstrip('/')}/v{batch_id}",
-                         order_col="request_id", buckets=buckets, mode="overwrite")
-
-    writer = (stream.writeStream.foreachBatch(handle)
-              .option("checkpointLocation", checkpoint_dir))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start()
+        res = _price_batch(batch, offers, pincodes, products, distances, winners, options, sellers)
+        seq = F.struct(F.lit(run).cast("bigint").alias("run"), F.col("request_id"))
+        upd = res.select("product", "pincode", "price", "quantity", seq.alias("seq"))
+        append_delta(upd, state_path, _stream_id(spark, checkpoint_dir), batch_id)
+
+    return _start(_requests(spark, source_dir, max_files_per_trigger, products), handle, checkpoint_dir, available_now)

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from conftest import DIST_DDL, OFFER_DDL, PIN_DDL, PROD_DDL, REQ_DDL, rows
-from pinprice.plans.pricing import (
+from pinprice.plans.offers import (
     argmin_per_key,
     eligible_offers,
     min_price_for_pin,
@@ -174,7 +174,7 @@ def test_nested_document_roundtrip(mk):
 
 
 def test_min_price_core_over_attached_destinations(mk):
-    from pinprice.plans.pricing import attach_destination, min_price
+    from pinprice.plans.offers import attach_destination, min_price
 
     o = _offers(mk, [(10, 100, 1.0, 1), (11, 75, 1.0, 4), (12, 50, 1.0, 0)])
     req = mk([(1, "pin", 1, Z, 500), (2, "pin", 1, Z, 501)], REQ_DDL)
@@ -183,7 +183,7 @@ def test_min_price_core_over_attached_destinations(mk):
 
 
 def test_distance_mode_without_broadcasting_distances(mk):
-    """Pruning and pricing agree when the distance table is too big to broadcast."""
+    """Pruning and price agree when the distance table is too big to broadcast."""
     o = mk([(z, p, 10 + p % 4, 50 + (p * 7) % 30, 1.0, 1 + p % 3) for z in ("A", "B") for p in range(30)],
            OFFER_DDL)
     p = mk([(10 + i, "A" if i % 2 else "B") for i in range(8)], PIN_DDL)

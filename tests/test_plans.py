@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from conftest import SF001
-from pinprice.plans.pricing import eligible_offers
+from pinprice.plans.offers import eligible_offers
 from pinprice.session import shared_dir
 from pinprice.sources.fixtures import fixture_tables
 from pinprice.sources.tables import read_offers, write_offers
@@ -24,7 +24,10 @@ def plan(df, mode="formatted"):
 SKIP = {"q23_kv_overwrite_roundtrip", "q24_stream_requests"}  # read back written tables
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SKIP))
+OWN = {f.__name__ for f in E._QUERIES}
+
+
+@pytest.mark.parametrize("name", sorted(OWN - SKIP))
 def test_no_cartesian_no_python(spark, name):
     p = plan(E.queries()[name](spark, SF001))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
@@ -42,7 +45,7 @@ def test_zone_partition_pruning_and_pushdown(spark):
     assert "ReadSchema: struct<product:bigint,buyingPrice:int,quantity:int>" in p
 
 
-def test_distance_pricing_shuffles_only_small_inputs(spark):
+def test_distance_prices_shuffles_only_small_inputs(spark):
     """The expansion to destinations is never shuffled: the only exchanges
     are the per-seller aggregate, the co-location of sellers and the small
     dimension-side aggregates."""
@@ -52,7 +55,7 @@ def test_distance_pricing_shuffles_only_small_inputs(spark):
     assert "REPARTITION_BY_COL" in p
 
 
-def test_flat_zone_pricing_is_broadcast_expansion(spark):
+def test_flat_zone_prices_is_broadcast_expansion(spark):
     p = plan(E.queries()["q11_min_for_zone_flat"](spark, SF001), "simple")
     assert "BroadcastHashJoin" in p
     assert p.count("Exchange hashpartitioning") <= 2
@@ -73,7 +76,7 @@ def test_top_k_limits_before_the_shuffle(spark, name):
 
 
 def test_request_batch_with_stored_winners_does_not_read_offers(spark):
-    from pinprice.plans.pricing import store_zone_winners
+    from pinprice.plans.offers import store_zone_winners
     from pinprice.plans.requests import price_requests
 
     t = fixture_tables(spark, SF001)
@@ -90,7 +93,7 @@ def test_request_batch_with_stored_winners_does_not_read_offers(spark):
 
 def test_distance_requests_with_stored_sellers_match_and_skip_offers(spark):
     from conftest import rows, uniq
-    from pinprice.plans.pricing import store_seller_winners
+    from pinprice.plans.offers import store_seller_winners
     from pinprice.plans.requests import price_requests
 
     t = fixture_tables(spark, SF001)
@@ -110,3 +113,31 @@ def test_distance_requests_with_stored_sellers_match_and_skip_offers(spark):
 def test_reductions_are_hash_aggregates(spark, name):
     p = plan(E.queries()[name](spark, SF001), "simple")
     assert "HashAggregate" in p and "SortAggregate" not in p
+
+
+@pytest.mark.parametrize("name", ["q10_min_for_pin", "q22_min_for_requests"])
+def test_only_requested_offers_are_aggregated(spark, name):
+    """A semi join with the request keys lies below the offer aggregate."""
+    lines = plan(E.queries()[name](spark, SF001), "simple").split("\n")
+    agg = next(i for i, line in enumerate(lines) if "partial_min" in line)
+    scan = next(i for i, line in enumerate(lines) if "buyingPrice" in line and "FileScan" in line)
+    assert any("LeftSemi" in line for line in lines[agg:scan])
+
+
+def test_pin_requests_probe_no_pincodes(spark):
+    p = plan(E.queries()["q22_min_for_requests"](spark, SF001), "simple")
+    joins = [line for line in p.split("\n") if "Join" in line and "LeftOuter" in line]
+    assert joins and not any("kind" in line and "zone))" in line.replace(" ", "") for line in joins)
+    assert not any("(kind#" in line for line in joins)
+
+
+def test_distance_requests_reduce_offers_once(spark):
+    p = plan(E.queries()["q26_min_for_requests_distance"](spark, SF001))
+    assert "/zoneprices" not in p      # both kinds read one checkpoint of the requested sellers
+
+
+def test_least_offer_sorts_sellers_only(spark):
+    p = plan(E.queries()["q14_argmin_per_key"](spark, SF001), "simple").split("\n")
+    scan = next(i for i, line in enumerate(p) if "FileScan" in line)
+    above = next(i for i in range(scan, 0, -1) if "Aggregate" in p[i])
+    assert "HashAggregate" in p[above]

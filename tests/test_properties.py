@@ -11,7 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from conftest import DIST_DDL, OFFER_DDL, PIN_DDL, REQ_DDL, rows
-from pinprice.plans.pricing import min_price_for_pins, min_price_for_zone, min_quote_for_pins
+from pinprice.plans.offers import min_price_for_pins, min_price_for_zone, min_quote_for_pins
 
 ZONES = ["N", "S"]
 PINS = [1, 2, 3, 4, 5]
@@ -22,7 +22,7 @@ offer = st.tuples(st.sampled_from(ZONES), st.integers(1, 3), st.sampled_from(PIN
                   st.one_of(st.none(), st.integers(-1, 3)))
 pin_row = st.tuples(st.sampled_from(PINS), st.sampled_from(ZONES))
 dist_row = st.tuples(st.sampled_from(PINS + [9]), st.sampled_from(PINS),
-                     st.sampled_from([0.0, 0.5, 1.0, 1.49, 2.0, 7.3, 20.0]))
+                     st.sampled_from([0.0, 0.5, 1.0, 1.49, 2.0, 7.3, 20.0, None, math.nan]))
 
 SETTINGS = settings(max_examples=12, deadline=None,
                     suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
@@ -35,7 +35,7 @@ def price(b, c):
 def charges(src, dest, dist, on_missing):
     if src == dest:
         return [0.0]
-    found = [d for (s, t, d) in dist if s == src and t == dest]
+    found = [d for (s, t, d) in dist if s == src and t == dest and d is not None and d == d]
     if found:
         return found
     return [0.0] if on_missing == "zero" else []
@@ -61,13 +61,28 @@ def brute_zone(offers, pins, dist, on_missing, flat):
 
 @SETTINGS
 @given(st.lists(offer, max_size=14), st.lists(pin_row, min_size=1, max_size=7),
-       st.lists(dist_row, max_size=20), st.sampled_from(["zero", "drop"]), st.sampled_from([1, 2]))
-def test_zone_distance_matches_brute_force(mk, offers, pins, dist, on_missing, bucket_rows):
+       st.lists(dist_row, max_size=20), st.sampled_from(["zero", "drop"]), st.sampled_from([1, 2]),
+       st.sampled_from([0, 3, 2_000_000]))
+def test_zone_distance_matches_brute_force(mk, offers, pins, dist, on_missing, bucket_rows, bound):
+    """Whatever is broadcast (0: nothing), null distances included."""
     o, p, d = mk(offers, OFFER_DDL), mk(pins, PIN_DDL), mk(dist, DIST_DDL)
-    got = rows(min_price_for_zone(o, p, distances=d, on_missing=on_missing, dest_bucket_rows=bucket_rows))
+    got = rows(min_price_for_zone(o, p, distances=d, on_missing=on_missing, dest_bucket_rows=bucket_rows,
+                                  max_broadcast_rows=bound))
     assert got == brute_zone(offers, pins, dist, on_missing, None)
 
 
+def test_null_distance_is_no_entry(mk):
+    offers = mk([("N", 1, 9, 100, None, 1), ("N", 1, 8, 101, None, 1)], OFFER_DDL)
+    pins = mk([(1, "N"), (2, "N")], PIN_DDL)
+    zero = mk([(9, 1, 50.0), (9, 2, None), (8, 1, 10.0), (8, 2, 10.0)], DIST_DDL)
+    drop = mk([(9, 1, 0.0), (9, 2, None), (8, 1, 30.0), (8, 2, 30.0)], DIST_DDL)
+    for bound in (0, 2_000_000):
+        a = min_price_for_zone(offers, pins, distances=zero, max_broadcast_rows=bound)
+        assert {r["pincode"]: r["finalPrice"] for r in a.collect()}[2] == 102
+        b = min_price_for_zone(offers, pins, distances=drop, on_missing="drop", max_broadcast_rows=bound)
+        assert {r["pincode"]: r["finalPrice"] for r in b.collect()}[2] == 133
+
+
 @SETTINGS
 @given(st.lists(offer, max_size=14), st.lists(pin_row, min_size=1, max_size=7))
 def test_zone_flat_matches_brute_force(mk, offers, pins):

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from conftest import OFFER_DDL, PIN_DDL, PROD_DDL, REQ_DDL, rows
 from pinprice.operators.validate import validate_requests, zones_of
-from pinprice.plans.pricing import min_price_for_zone
+from pinprice.plans.offers import min_price_for_zone
 from pinprice.plans.requests import price_requests
 
 

@@ -37,6 +37,18 @@ def test_matched_only_products(mk):
     assert changed_count(state, upd, products=products).first()["n"] == 1
 
 
+def test_a_pincode_of_two_zones_has_one_entry(mk, spark):
+    state = mk([(1, 1, 50, 5)], PRICES_DDL)
+    res = spark.createDataFrame([(1, "N", 1, 138, 1), (1, "S", 1, 87, 7)],
+                                "product BIGINT, zone STRING, pincode INT, finalPrice BIGINT, quantity INT")
+    upd = price_updates(res)
+    assert rows(upd.select("product", "pincode", "price", "quantity")) == [(1, 1, 87, 7)]
+    assert price_map(upd).first()["prices"][1]["price"] == 87
+    twice = mk([(1, 1, 138, 1), (1, 1, 87, 7)], PRICES_DDL)
+    assert rows(merge_values(state, twice)) == [(1, 1, 87, 7)]
+    assert changed_count(state, twice).first()["n"] == 1
+
+
 def test_idempotent_merge_and_change_count(mk):
     state = mk([(1, 1, 10, 1), (2, 1, 5, None)], PRICES_DDL)
     upd = mk([(1, 1, 12, 1), (2, 1, 5, None), (3, 4, 8, 2)], PRICES_DDL)
@@ -117,9 +129,9 @@ def test_merge_into_bucketed_table_versions(mk, spark):
     from conftest import uniq
 
     v0, v1n = uniq("t_state_v0"), uniq("t_state_v1")
-    write_bucketed(state, v0, f"{base}/v0", buckets=4)
+    write_bucketed(state, v0, f"{base}/v0", buckets=8)
     upd = mk([(1, 2, 21, None), (2, 1, 5, 1)], PRICES_DDL)
-    v1 = merge_into_table(spark, v0, upd, v1n, f"{base}/v1", buckets=4)
+    v1 = merge_into_table(spark, v0, upd, v1n, f"{base}/v1", buckets=8)
     assert rows(v1) == [(1, 1, 10, 1), (1, 2, 21, None), (2, 1, 5, 1)]
     assert rows(spark.table(v0)) == rows(state)   # previous version intact
     buf = io.StringIO()

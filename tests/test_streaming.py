@@ -39,36 +39,77 @@ def test_recompute_job_matches_stream_and_is_idempotent(spark):
                               f"{base}/v1", t["productinfos"], buckets=8)
     assert n.first()["n"] > 0
     streamed = E.queries()["q25_stream_merge_prices"](spark, SF001)
-    assert rows(new.drop("request_id")) == rows(streamed)
+    assert rows(new.drop("seq")) == rows(streamed)
     again, n2 = recompute_prices(spark, *args, r1, r2, f"{base}/v2",
                                  t["productinfos"], buckets=8)
     assert n2.first()["n"] == 0
     assert rows(again) == rows(new)
 
 
-def test_stream_state_versions_survive_a_lost_catalog(spark):
-    from pinprice.streaming.requests import latest_state
-
-    before = rows(E.queries()["q25_stream_merge_prices"](spark, SF001))
-    names = [t.name for t in spark.catalog.listTables() if t.name.startswith("pinprice_stream_")]
-    prefixes = {n.rsplit("_v", 1)[0] for n in names}
-    newest = max(prefixes, key=lambda p: max(int(n.rsplit("_v", 1)[1]) for n in names if n.startswith(p)))
-    path = spark.sql(f"DESCRIBE TABLE EXTENDED {newest}_v0").where("col_name = 'Location'").first()[1]
-    state_dir = path.rsplit("/", 1)[0]
-    for n in names:
-        if n.startswith(newest):
-            spark.sql(f"DROP TABLE {n}")          # external: the folders stay
-    name = latest_state(spark, newest, "unused_initial", state_dir=state_dir, buckets=8)
-    assert name.startswith(newest + "_v")
-    again = spark.table(name).select("product", "pincode", "price", "quantity")
-    assert rows(again) == before
-    import contextlib
-    import io
+SEQ_DDL = "product BIGINT, pincode INT, price BIGINT, quantity INT, seq STRUCT<run: BIGINT, request_id: BIGINT>"
 
-    from pinprice.sources.sinks import merge_values
 
-    upd = spark.table(name).limit(5)
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        merge_values(spark.table(name), upd, order_col="request_id").explain()
-    assert "Bucketed: true" in buf.getvalue()      # re-registered with its buckets
+def test_state_does_not_depend_on_session_settings(spark):
+    from pinprice.session import shared_dir
+    from pinprice.sources.state import append_delta, compact, create_state, read_state
+
+    path = shared_dir(spark, "test-state")
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 16)
+        create_state(spark.range(1000).selectExpr("id AS product", "1 AS pincode", "id AS price", "1 AS quantity"), path)
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        new = [(5000 + i, 1, i, 1, (0, i)) for i in range(10)]
+        append_delta(spark.createDataFrame(new, SEQ_DDL), path, "a", 0)
+        assert read_state(spark, path).count() == 1010
+        compact(spark, path)
+        spark.conf.set("spark.sql.shuffle.partitions", 32)
+        every = [(i, 1, 7, 1, (1, i)) for i in range(1000)]
+        append_delta(spark.createDataFrame(every, SEQ_DDL), path, "a", 1)
+        out = read_state(spark, path)
+        assert out.count() == 1010 and out.where("price = 7").count() >= 1000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+
+
+def test_a_new_checkpoint_hides_nothing(spark, mk):
+    """Three batches, then another stream's batch 0: all are read, a repeated batch changes nothing."""
+    from pinprice.session import shared_dir
+    from pinprice.sources.state import append_delta, compact, create_state, read_state
+
+    path = shared_dir(spark, "test-state")
+    create_state(mk([(9, 9, 1, 1)], "product BIGINT, pincode INT, price BIGINT, quantity INT"), path)
+    for b in range(3):
+        append_delta(spark.createDataFrame([(b, 1, 10 + b, 1, (0, b))], SEQ_DDL), path, "old", b)
+    append_delta(spark.createDataFrame([(7, 1, 70, 1, (1, 0)), (0, 1, 99, 1, (1, 1))], SEQ_DDL), path, "new", 0)
+    want = [(0, 1, 99, 1), (1, 1, 11, 1), (2, 1, 12, 1), (7, 1, 70, 1), (9, 9, 1, 1)]
+    assert rows(read_state(spark, path).drop("seq")) == want
+    append_delta(spark.createDataFrame([(0, 1, 10, 1, (0, 0))], SEQ_DDL), path, "old", 0)
+    assert rows(read_state(spark, path).drop("seq")) == want
+    for _ in range(3):
+        compact(spark, path)
+        assert rows(read_state(spark, path).drop("seq")) == want
+    # an older run's request never replaces a newer run's value, although its id is greater
+    append_delta(spark.createDataFrame([(7, 1, 1, 1, (0, 50))], SEQ_DDL), path, "new", 1)
+    assert rows(read_state(spark, path).drop("seq")) == want
+
+
+def test_restarted_stream_adds_to_the_state(spark):
+    """The query id names the stream: a second checkpoint over new files continues on the same state."""
+    from pinprice.session import shared_dir
+    from pinprice.sources.fixtures import fixture_tables
+    from pinprice.sources.state import create_state, read_state
+    from pinprice.streaming.requests import stream_merge_prices
+
+    t = fixture_tables(spark, SF001)
+    base = shared_dir(spark, "test-stream")
+    create_state(t["product_prices"], f"{base}/state")
+    half = t["requests"].where("request_id < 500"), t["requests"].where("request_id >= 500")
+    for i, part in enumerate(half):
+        part.coalesce(1).write.parquet(f"{base}/src{i}")
+        stream_merge_prices(spark, f"{base}/src{i}", f"{base}/state", f"{base}/ckpt{i}", t["zoneprices"], t["pincodes"],
+                            t["productinfos"]).awaitTermination()
+    got = rows(read_state(spark, f"{base}/state").drop("seq"))
+    assert got == rows(E.queries()["q25_stream_merge_prices"](spark, SF001))
+    deltas = spark.read.parquet(f"{base}/state/delta").select("stream").distinct().count()
+    assert deltas == 2
