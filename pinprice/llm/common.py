@@ -46,6 +46,13 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 1024):
+    """The same rows in smaller batches, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as 0."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD_PATTERN), 0)), F.lit(0)).cast("long")
@@ -56,4 +63,4 @@ def crc32_mod(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-__all__ = ["WORD_PATTERN", "crc32_mod", "shared_dir", "ship_package", "store", "word_count"]
+__all__ = ["WORD_PATTERN", "crc32_mod", "shared_dir", "ship_package", "slices", "store", "word_count"]

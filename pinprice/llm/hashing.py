@@ -17,6 +17,7 @@ import numpy as np
 _RNG = np.random.default_rng(20240229)
 BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MUL = np.uint64(0x9E3779B97F4A7C15)
+PART = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -77,11 +78,19 @@ def words_of(texts: list[str | None]) -> Words:
     if len(word) and word[0]:
         edge = np.concatenate([[0], edge])
     start, end = edge[0::2], edge[1::2]  # the last byte is a line feed, so every word ends
-    up, down = _BYTES.get(len(buf) + 1)
-    with np.errstate(over="ignore"):
-        run = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(BYTE[buf] * up[:len(buf)], out=run[1:])
-        h = mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
+    h = np.empty(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):  # running sums over a part of the bytes at a time; a word's hash doesn't depend on its place
+        at = start[lo]
+        hi = max(lo + 1, int(np.searchsorted(end, at + PART, side="right")))
+        part = buf[at:end[hi - 1]]
+        up, down = _BYTES.get(len(part) + 1)
+        first, last = start[lo:hi] - at, end[lo:hi] - at
+        with np.errstate(over="ignore"):
+            run = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(BYTE[part] * up[:len(part)], out=run[1:])
+            h[lo:hi] = mix((run[last] - run[first]) * down[first] + (last - first).astype(np.uint64))
+        lo = hi
     return Words(buf, text_at, start, end, h, np.searchsorted(start, text_at))
 
 
@@ -97,7 +106,7 @@ def spans_digest(h: np.ndarray, a: np.ndarray, b: np.ndarray, salt: int) -> tupl
     return out[0], out[1]
 
 
-def batches_of(texts: list[str | None], size: int = 1 << 20):
+def batches_of(texts: list[str | None], size: int = 1 << 18):
     """Index ranges of texts of about ``size`` characters together; a longer text stands alone."""
     at, total = 0, 0
     for i, t in enumerate(texts):

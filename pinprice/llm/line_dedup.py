@@ -24,13 +24,14 @@ other columns pass through (``removed`` is replaced if there is one).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pinprice.llm.common import ship_package
+from pinprice.llm.common import ship_package, slices
 from pinprice.llm.hashing import Words, batches_of, mix, spans_digest, words_of
 
 MIN_LINE_WORDS = 10
@@ -82,7 +83,7 @@ def units_of(w: Words, min_line_words: int = MIN_LINE_WORDS):
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text) to the distinct digests of each document."""
-    for batch in batches:
+    for batch in slices(batches):
         docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
         for lo, hi in batches_of(texts):
             w = words_of(texts[lo:hi])
@@ -97,17 +98,40 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["d1", "d2", "doc"])
 
 
-def repeated(w: Words, known: list[dict[tuple[int, int], int]], ids: list[int],
-             min_line_words: int = MIN_LINE_WORDS, min_run_words: int = MIN_RUN_WORDS) -> list[list[tuple]]:
-    """Per text, the byte spans (start, end, first_doc) to remove, in the batch's buffer.
+@dataclass(frozen=True)
+class Known:
+    """Digests that an earlier document than a text of the batch holds: text number, digest, that document."""
 
-    ``known[i]``: digests that an earlier document than text i holds.
-    """
+    text: np.ndarray
+    d1: np.ndarray
+    d2: np.ndarray
+    first: np.ndarray
+
+    def find(self, text: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+        """Index of each unit's entry, -1 where there is none."""
+        if not len(self.d1):
+            return np.full(len(d1), -1)
+        values = np.unique(self.d1)
+        own = self.text * len(values) + np.searchsorted(values, self.d1)
+        order = np.argsort(own, kind="stable")
+        at = np.searchsorted(values, d1)
+        at[at == len(values)] = 0
+        place = np.searchsorted(own[order], text * len(values) + at)
+        place[place == len(order)] = 0
+        entry = order[place]
+        hit = (self.text[entry] == text) & (self.d1[entry] == d1) & (self.d2[entry] == d2)
+        return np.where(hit, entry, -1)
+
+
+def repeated(w: Words, known: Known, ids: np.ndarray, min_line_words: int = MIN_LINE_WORDS,
+             min_run_words: int = MIN_RUN_WORDS) -> list[list[tuple]]:
+    """Per text, the byte spans (start, end, first_doc) to remove, in the batch's buffer."""
     a, b, d1, d2, is_line = units_of(w, min_line_words)
     doc = np.searchsorted(w.first, a, side="right") - 1
-    out: list[list[tuple]] = [[] for _ in known]
+    out: list[list[tuple]] = [[] for _ in range(len(w.first) - 1)]
+    entry = known.find(doc, d1, d2)
     # only units that may go are looked at one by one: known ones and those twice in a text
-    may = np.isin(d1, np.fromiter({k[0] for x in known for k in x}, np.int64))
+    may = entry >= 0
     by = np.lexsort((d1, doc))
     same = np.flatnonzero((d1[by][1:] == d1[by][:-1]) & (doc[by][1:] == doc[by][:-1]))
     may[by[same]] = may[by[same + 1]] = True
@@ -132,13 +156,14 @@ def repeated(w: Words, known: list[dict[tuple[int, int], int]], ids: list[int],
             if now >= 0:
                 close(now)
             now, runs, seen = i, [], set()
-        key = (int(d1[j]), int(d2[j]))
-        first = known[i].get(key)
-        if first is None:
+        if entry[j] >= 0:
+            first = int(known.first[entry[j]])
+        else:
+            key = (int(d1[j]), int(d2[j]))
             if key not in seen:
                 seen.add(key)
                 continue
-            first = ids[i]
+            first = int(ids[i])
         if is_line[j]:
             out[i].append((int(w.start[a[j]]), int(w.end[b[j] - 1]), first))
         else:
@@ -148,20 +173,27 @@ def repeated(w: Words, known: list[dict[tuple[int, int], int]], ids: list[int],
     return out
 
 
+def _hits(column: pa.Array) -> Known:
+    """A column of hit lists as arrays, without an object per hit."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = column.value_lengths().fill_null(0).to_numpy()
+    flat = column.flatten()
+    return Known(np.repeat(np.arange(len(column)), sizes), *(flat.field(n).to_numpy() for n in ("d1", "d2", "first")))
+
+
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text, hits...) to (text, removed)."""
-    for batch in batches:
+    """(doc, text, hits and carried columns) to the carried ones, the text that stays and what went."""
+    for batch in slices(batches):
         names = batch.schema.names
-        ids = batch.column(names.index("__doc")).to_pylist()
+        ids = batch.column(names.index("__doc")).to_numpy()
         texts = batch.column(names.index("__text")).to_pylist()
-        hits = batch.column(names.index("__hits")).to_pylist()
+        hits = batch.column(names.index("__hits"))
         clean: list[str | None] = []
         gone: list[list[dict]] = []
         for lo, hi in batches_of(texts):
             part = texts[lo:hi]
             w = words_of(part)
-            known = [{(h["d1"], h["d2"]): h["first"] for h in (x or [])} for x in hits[lo:hi]]
-            for k, spans in enumerate(repeated(w, known, ids[lo:hi])):
+            for k, spans in enumerate(repeated(w, _hits(hits.slice(lo, hi - lo)), ids[lo:hi])):
                 text, removed = cut(part[k], [(s - int(w.text_at[k]), e - int(w.text_at[k]), f) for s, e, f in spans])
                 clean.append(text)
                 gone.append(removed)
@@ -224,5 +256,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(*[F.col(source[c]).alias(c) for c in names], F.col("__removed").alias("removed"))
 
 
-__all__ = ["MIN_LINE_WORDS", "MIN_RUN_WORDS", "cut", "piece_starts", "remove_repeats", "repeated", "repeated_units",
+__all__ = ["Known", "MIN_LINE_WORDS", "MIN_RUN_WORDS", "cut", "piece_starts", "remove_repeats", "repeated", "repeated_units",
            "units_of"]
