@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from pinprice.llm.common import ship_package, store
 
 SEQ, SEQS, BATCH = 2048, 512, 64  # ids per sequence, sequences per file and per record batch
-CACHE = 1_000_000
+CACHE = 700_000
+MARKS = ".,;:!?"  # one of them behind a word of letters is a token sequence of its own
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
 
@@ -59,6 +60,14 @@ class ChunkEncoder:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [t.content.lower().encode() for t in added]
         self.ids: dict[bytes, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.marks = {m: np.array(ids, np.uint32).tobytes() for m, ids in zip(MARKS, self._ids(list(MARKS)), strict=True)}
+        self.marks[""] = b""
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         runs = []
@@ -66,18 +75,43 @@ class ChunkEncoder:
             raw = (t or "").encode("utf-8", "surrogatepass")
             low = raw.lower()
             runs.append((raw if any(s in low for s in self.special) else low).split())
-        new = list({r for x in runs for r in x}.difference(self.ids))
+        new = set().union(*runs).difference(self.ids)
         if len(self.ids) + len(new) > CACHE:
             self.ids.clear()
-            new = list({r for x in runs for r in x})
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            got = self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in part], add_special_tokens=False)
-            self.ids.update(zip(part, (np.array(e.ids, np.uint32).tobytes() for e in got), strict=True))
+            new = set().union(*runs)
+        self._learn(new)
         get = self.ids.__getitem__
         return [np.frombuffer(b"".join(map(get, x)), np.uint32) for x in runs]
 
 
+    def _learn(self, new: set[bytes]) -> None:
+        """Encode new runs; words of letters go to the library many at a time, told apart by their last token."""
+        runs = list(new)
+        text = b" ".join(runs).decode("utf-8", "replace").split(" ") if runs else []
+        tails = [s[-1] if s[-1] in MARKS and len(s) > 1 else "" for s in text]
+        heads = [s[:-1] if t else s for s, t in zip(text, tails, strict=True)]
+        letters = [i for i, ok in enumerate(map(str.isalpha, heads)) if ok] if self.ends is not None else []
+        rest = set(range(len(runs))).difference(letters)
+        for at in range(0, len(letters), 4096):
+            part = letters[at:at + 4096]
+            ids = np.array(self._ids([" ".join([heads[i] for i in part])])[0], np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):  # a word that the rules split further
+                rest.update(part)
+                continue
+            raw, stops = ids.tobytes(), (4 * cuts).tolist()
+            self.ids.update((runs[i], raw[lo:hi] + self.marks[tails[i]])
+                            for i, lo, hi in zip(part, [0, *stops[:-1]], stops, strict=True))
+        others = sorted(rest)
+        for at in range(0, len(others), 4096):
+            part = others[at:at + 4096]
+            got = self._ids([text[i] for i in part])
+            self.ids.update((runs[i], np.array(x, np.uint32).tobytes()) for i, x in zip(part, got, strict=True))
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def _encoder(path: str) -> ChunkEncoder:
     if path not in _ENCODERS:
         import os
@@ -300,7 +334,8 @@ def _read(folder: str, seq: int, seqs: int, batch: int):
 
 def read_checksums(files: DataFrame, folder: str, seq: int = SEQ, seqs: int = SEQS, batch: int = BATCH) -> DataFrame:
     """doc_id, start, n_tokens and the crc32 of all ids (as 32-bit integers), read back file by file."""
-    return files.select("part", "file", "base").repartition("part", "file").mapInArrow(
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("part", "file", "base").repartition(n, "part", "file").mapInArrow(
         _read(folder, seq, seqs, batch), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
