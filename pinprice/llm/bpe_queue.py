@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pinprice.llm.common import ship_package
+from pinprice.llm.common import ship_package, slices
 
-CACHE = 1_000_000
+CACHE = 500_000
 FLUSH = 1 << 22  # bytes of new pre-tokens that share one queue
 
 
@@ -197,6 +197,11 @@ class Vocabulary:
                     p = p[(at - np.maximum.accumulate(np.where(opens, at, 0))) % 2 == 0]
             q = after[p]
             s = after[q]
+            # where the next symbol opens a merge of this bucket too, the pair in between might have come first
+            if len(p) > 1 and (near := np.flatnonzero(s[:-1] == p[1:])).size:
+                between = self.merge(np.full(len(near), rank), sym[s[near]])
+                if (low := (between >= 0) & (between < rank)).any():
+                    odd.append(p[near[low]])
             sym[p], sym[q], rank_at[q], after[p] = rank, -1, -1, s
             has = s >= 0
             before[s[has]] = p[has]
@@ -256,10 +261,10 @@ class Codec:
         return out + self._ids(runs)
 
     def _ids(self, runs: list[list[str]]) -> list[bytes]:
-        new = {r for x in runs for r in x}.difference(self.known)
+        new = set().union(*runs).difference(self.known)
         if len(self.known) + len(new) > self.cache:
             self.known.clear()
-            new = {r for x in runs for r in x}
+            new = set().union(*runs)
         ranks = self.vocabulary.ranks
         split = {r: [p.encode("utf-8", "surrogatepass") for p in self.find(r)] for r in new}
         parts = list({p for x in split.values() for p in x if p not in ranks})
@@ -289,23 +294,21 @@ _DIGESTS = ("n_tokens long", "ids_sha256 string", "decoded_sha256 string")
 def _coded(path: str, pattern: str, ids: bool, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                b = batch.slice(at, 1024)
-                kept = [b.column(i) for i in range(b.num_columns - 1)]
-                code = own.encode(b.column(b.num_columns - 1).to_pylist())
-                more, names = [], []
-                if ids:
-                    values = pa.array(np.frombuffer(b"".join(code), "<u4").astype(np.int32))
-                    bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in code])]).astype(np.int32)
-                    more.append(pa.ListArray.from_arrays(pa.array(bounds), values))
-                    names.append("ids")
-                if digests:
-                    more += [pa.array([len(x) // 4 for x in code], pa.int64()),
-                             pa.array([hashlib.sha256(x).hexdigest() for x in code], pa.string()),
-                             pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in code], pa.string())]
-                    names += [d.split()[0] for d in _DIGESTS]
-                yield pa.RecordBatch.from_arrays([*kept, *more], names=batch.schema.names[:-1] + names)
+        for b in slices(batches, 4096):  # the more pre-tokens share a queue, the less each costs
+            kept = [b.column(i) for i in range(b.num_columns - 1)]
+            code = own.encode(b.column(b.num_columns - 1).to_pylist())
+            more, names = [], []
+            if ids:
+                values = pa.array(np.frombuffer(b"".join(code), "<u4").astype(np.int32))
+                bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in code])]).astype(np.int32)
+                more.append(pa.ListArray.from_arrays(pa.array(bounds), values))
+                names.append("ids")
+            if digests:
+                more += [pa.array([len(x) // 4 for x in code], pa.int64()),
+                         pa.array([hashlib.sha256(x).hexdigest() for x in code], pa.string()),
+                         pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in code], pa.string())]
+                names += [d.split()[0] for d in _DIGESTS]
+            yield pa.RecordBatch.from_arrays([*kept, *more], names=b.schema.names[:-1] + names)
     return run
 
 
