@@ -1,28 +1,28 @@
 """Near-duplicate documents by DartMinHash signatures and a banded join.
 
-A document is a weighted set: its five-word shingles with their counts. Darts
-are thrown by hash into the regions (element, weight, rank): every unit of an
-element's weight has, per unit of rank, a Poisson(1) number of darts with a
-weight, a rank and a coordinate of the signature each. A document sees the
+A document is a weighted set: its five-word shingles, in lower case, with their
+counts. Darts are thrown by hash into the regions (element, weight, rank): every
+unit of an element's weight has, per unit of rank, a Poisson(1) number of darts
+with a weight, a rank and a coordinate of the signature each. A document sees the
 darts below its weights, and each coordinate keeps its earliest one; two
 documents keep the same dart with probability equal to their weighted Jaccard
 similarity. Rank is opened until every coordinate has a dart, so the work is
 in proportion to the words plus k log k.
 
 Documents of equal words form one class and are represented by their least id.
-Representatives that agree in a whole band meet their bucket's least member;
-the exact similarity decides (0.8 or more). Where a bucket still holds
-members of different components, all of its untested pairs are compared in
-cells of bounded size, which return only links that join components, so no
-link between different texts is lost and no group emits all its pairs. Classes
-are the connected components, found by alternating star steps with stored
-tables in between.
+Representatives that agree in a whole band share a bucket. In a few rounds
+every member meets one drawn member of its bucket, and the exact similarity
+(0.8 or more) decides. Where a bucket still holds several components then, the
+members outside its largest one are compared with the whole bucket in cells of
+bounded size, which return only links that join components: no link between
+different texts is lost, and no group emits all its pairs. Classes are the
+connected components, found by alternating star steps with stored tables in
+between.
 
 Defined results: texts without words are in no class but their own; a text of
-fewer than five words is one shingle; rows of one id are one document; a null id has a null class and stays;
-where the
-rows of one id differ in text, any of them may stand for it; ties go to the
-least id; an empty table gives no rows; other columns pass
+fewer than five words is one shingle; rows of one id are one document, and where
+they differ in text any of them may stand for it; a null id has a null class and
+stays; ties go to the least id; an empty table gives no rows; other columns pass
 through.
 """
 
@@ -35,11 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pinprice.llm.common import ship_package, store
+from pinprice.llm.common import ship_package, slices, store
 from pinprice.llm.hashing import Words, batches_of, mix, spans_digest, words_of
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
-CHUNK = 64  # members per side of a comparison cell
+STARS = 3  # rounds in which a bucket's members meet a drawn one
+CHUNK, WIDE = 256, 1024  # members per side of a comparison cell
 
 _POISSON = np.cumsum(np.exp(-1) / np.cumprod(np.concatenate([[1.0], np.arange(1, 20)])))
 _CUTS = (_POISSON * 2.0**64).clip(max=2.0**64 - 2049).astype(np.uint64)
@@ -125,10 +126,10 @@ def _throw(unit, rank, base, seen, unit_text, k, sig, best) -> None:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text) to (doc, d1, d2, words, bands)."""
-    for batch in batches:
+    for batch in slices(batches):
         docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
         for lo, hi in batches_of(texts):
-            w = words_of(texts[lo:hi])
+            w = words_of([t.lower() for t in texts[lo:hi]])
             d1, d2 = spans_digest(w.hash, w.first[:-1], w.first[1:], 13)
             text, h, c = weighted(*shingles(w))
             sig = signatures(text, h, c.astype(np.float64), hi - lo, BANDS * ROWS)
@@ -145,12 +146,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text) to (doc, shingle hashes, counts), packed."""
-    for batch in batches:
+    for batch in slices(batches):
         docs, texts = batch.column(0), batch.column(1).to_pylist()
         sets: list[bytes] = []
         counts: list[bytes] = []
         for lo, hi in batches_of(texts):
-            text, h, c = weighted(*shingles(words_of(texts[lo:hi])))
+            text, h, c = weighted(*shingles(words_of([t.lower() for t in texts[lo:hi]])))
             at = np.searchsorted(text, np.arange(hi - lo + 1))
             for i in range(hi - lo):
                 sets.append(h[at[i]:at[i + 1]].tobytes())
@@ -187,11 +188,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cell(table: pa.Table) -> pa.Table:
-    """Members (chunk i and j) of one cell to links that join their components."""
-    rows = table.select(["doc", "comp", "side", "center", "hs", "cs"]).to_pylist()
-    sides = {r["side"] for r in rows}
-    left = sorted((r for r in rows if r["side"] == min(sides)), key=lambda r: r["doc"])
-    right = left if len(sides) == 1 else sorted((r for r in rows if r["side"] == max(sides)), key=lambda r: r["doc"])
+    """A cell's small side against its other side, to links that join their components."""
+    rows = table.select(["doc", "comp", "small", "hs", "cs"]).to_pylist()
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -199,17 +197,28 @@ def _cell(table: pa.Table) -> pa.Table:
             parent[x] = x = parent[parent[x]]
         return x
 
+    others = sorted({(r["doc"], r["comp"]) for r in rows if not r["small"]})
     sets = {r["doc"]: unpack(r["hs"], r["cs"]) for r in rows}
-    size = {d: int(c.sum()) for d, (_, c) in sets.items()}
+    # the other side as one list of (hash, member, count) in order of the hashes
+    size = np.array([int(sets[d][1].sum()) for d, _ in others])
+    h = np.concatenate([sets[d][0] for d, _ in others] or [np.empty(0, np.uint64)])
+    c = np.concatenate([sets[d][1] for d, _ in others] or [np.empty(0, np.int64)])
+    owner = np.repeat(np.arange(len(others)), [len(sets[d][0]) for d, _ in others])
+    order = np.argsort(h, kind="stable")
+    h, c, owner = h[order], c[order], owner[order]
     links = []
-    for i, x in enumerate(left):
-        others = [y for y in (right[i + 1:] if right is left else right)
-                  if not (x["center"] or y["center"]) and root(x["comp"]) != root(y["comp"])
-                  and min(size[x["doc"]], size[y["doc"]]) >= THRESHOLD * max(size[x["doc"]], size[y["doc"]])]
-        for y in others:
-            if root(x["comp"]) != root(y["comp"]) and similarity(sets[x["doc"]], sets[y["doc"]]) >= THRESHOLD:
-                parent[root(x["comp"])] = root(y["comp"])
-                links.append((min(x["doc"], y["doc"]), max(x["doc"], y["doc"])))
+    for x, comp in sorted({(r["doc"], r["comp"]) for r in rows if r["small"]}):
+        hx, cx = sets[x]
+        lo = np.searchsorted(h, hx)
+        n = np.searchsorted(h, hx, side="right") - lo
+        at = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+        common = np.bincount(owner[at], np.minimum(c[at], np.repeat(cx, n)), minlength=len(others))
+        total = size + int(cx.sum()) - common
+        for k in np.flatnonzero((common >= THRESHOLD * total) & (total > 0)).tolist():
+            y, other = others[k]
+            if root(comp) != root(other):
+                parent[root(comp)] = root(other)
+                links.append((min(x, y), max(x, y)))
     return pa.table({"a": pa.array([p[0] for p in links], pa.int64()), "b": pa.array([p[1] for p in links], pa.int64())})
 
 
@@ -247,10 +256,32 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def _buckets(members: DataFrame) -> DataFrame:
-    """Band buckets of two members or more: key, doc, center (their least member)."""
+    """Band buckets of two members or more: key, doc."""
     rows = members.select(F.explode("bands").alias("key"), "doc")
-    least = rows.groupBy("key").agg(F.min("doc").alias("center"), F.max("doc").alias("last")).where("last > center")
-    return rows.join(least.select("key", "center"), "key")
+    shared = rows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+    return rows.join(shared.select("key"), "key")
+
+
+def _marked(buckets: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """key, doc, comp: members with the component known so far."""
+    if comps is None:
+        return buckets.withColumn("comp", F.col("doc"))
+    return buckets.join(comps, "doc", "left").select("key", "doc", F.coalesce("comp", "doc").alias("comp"))
+
+
+def _star_pairs(marked: DataFrame, turn: int) -> DataFrame:
+    """Every member with one drawn member of its bucket, where their components differ."""
+    draw = F.xxhash64("doc", "key", F.lit(turn))
+    drawn = marked.groupBy("key").agg(F.min_by("doc", draw).alias("center"), F.min_by("comp", draw).alias("at"),
+                                      F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
+    rows = marked.join(drawn.select("key", "center", "at"), "key").where("comp <> at")
+    return rows.select(F.least("doc", "center").alias("a"), F.greatest("doc", "center").alias("b")).distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    right = pairs.join(sets.select(F.col("doc").alias("b"), F.col("hs").alias("hs2"), F.col("cs").alias("cs2")), "b")
+    both = right.join(sets.withColumnRenamed("doc", "a"), "a").select("a", "b", "hs", "cs", "hs2", "cs2")
+    return both.mapInArrow(_verified, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,38 +296,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = store(classes, "near-copies")
     reps = sketch.join(same.select(F.col("rep").alias("doc"), "d1", "d2"), ["doc", "d1", "d2"], "left_semi")
     buckets = store(_buckets(reps.dropDuplicates(["doc"])), "near-buckets")
-    pairs = store(buckets.where("doc > center").select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct(),
-                  "near-pairs")
-    wanted = buckets.select("doc").distinct()
-    texts = body.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.min("t").alias("t"))
+    texts = body.join(buckets.select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.min("t").alias("t"))
     sets = store(texts.mapInArrow(_sets, "doc long, hs binary, cs binary"), "near-sets")
-    right = pairs.join(sets.select(F.col("doc").alias("b"), F.col("hs").alias("hs2"), F.col("cs").alias("cs2")), "b")
-    links = right.join(sets.withColumnRenamed("doc", "a"), "a").select("a", "b", "hs", "cs", "hs2", "cs2").mapInArrow(
-        _verified, "a long, b long")
-    links = store(links, "near-links")
-    comps = store(components(links), "near-components")
-    more = _unresolved(buckets, comps, sets)
-    if not more.isEmpty():
-        comps = store(components(links.union(more)), "near-components")
+    comps = None
+    for turn in range(STARS):
+        links = store(_similar(_star_pairs(_marked(buckets, comps), turn), sets), "near-links")
+        comps = _joined(comps, links)
+    comps = _joined(comps, _unresolved(_marked(buckets, comps), sets))
     least = classes.join(comps.select(F.col("doc").alias("rep"), "comp"), "rep", "left")
     return least.select("doc", F.coalesce("comp", "rep").alias("class_id"), "rep")
 
 
-def _unresolved(buckets: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between different components of one bucket whose pair the star step didn't test."""
-    marked = buckets.join(comps, "doc", "left").select("key", "doc", "center", F.coalesce("comp", "doc").alias("comp"))
-    state = marked.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"),
-        F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s"))
-    # a bucket of two has had its only pair tested; equal buckets of many bands are compared once
-    state = state.where("n > 2 and c1 > c0").groupBy("n", "s").agg(F.min("key").alias("key"))
-    state = state.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")
-    members = marked.join(state, "key").select("key", "doc", "comp", (F.col("doc") == F.col("center")).alias("center"),
-                                               "chunks", chunk.alias("side"))
-    cells = members.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).select(
-        F.struct("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).alias("cell"),
-        "doc", "comp", "side", "center")
+def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links: those of the links between the components so far."""
+    if comps is None:
+        return store(components(links), "near-components")
+    if links.isEmpty():
+        return comps
+    of = lambda side: comps.select(F.col("doc").alias(side), F.col("comp").alias(f"{side}_comp"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    new = store(components(between), "near-merged")
+    moved = comps.join(new.select(F.col("doc").alias("comp"), F.col("comp").alias("to")), "comp", "left").select(
+        "doc", F.coalesce("to", "comp").alias("comp"))
+    # ends of links that had no component yet
+    fresh = new.join(comps, "doc", "left_anti")
+    return store(moved.unionByName(fresh), "near-components")
+
+
+def _unresolved(marked: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components of one bucket, from all pairs that can join them.
+
+    Members of a bucket's largest component are one already, so only the
+    others are compared with the whole bucket, in cells of ``CHUNK`` such
+    members and ``WIDE`` members at most. A bucket of two had its pair tested.
+    """
+    each = marked.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s"))
+    state = each.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("m"), F.max_by("comp", F.struct("n", "comp")).alias("big"),
+                                    F.sum("s").alias("s"))
+    # buckets of equal members in several bands are compared once
+    state = state.where("n > 2 and m < n").groupBy("n", "m", "big", "s").agg(F.min("key").alias("key"))
+    state = state.select("key", "big", F.ceil((F.col("n") - F.col("m")) / CHUNK).cast("int").alias("rows"),
+                         F.ceil(F.col("n") / WIDE).cast("int").alias("cols"))
+    members = marked.join(state, "key")
+    place = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    copies = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    small = members.where("comp <> big").select("key", place("rows").alias("i"), copies("cols").alias("j"), "doc", "comp",
+                                                F.lit(True).alias("small"))
+    every = members.select("key", copies("rows").alias("i"), place("cols").alias("j"), "doc", "comp",
+                           F.lit(False).alias("small"))
+    cells = small.unionByName(every).select(F.struct("key", "i", "j").alias("cell"), "doc", "comp", "small")
     found = cells.join(sets, "doc").groupBy("cell").applyInArrow(_cell, "a long, b long")
     return store(found.distinct(), "near-more")
 
