@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pinprice.llm.common import ship_package
+from pinprice.llm.common import ship_package, slices
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Symbols the contract counts, and its word separators (fixed values).
@@ -102,7 +102,7 @@ def covered_by_repeats(ids: np.ndarray, n_ids: int, width: int) -> int:
 
 def _measured(schema: pa.Schema, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [measure(t) for t in b.column(text_at).to_pylist()]
             cols = np.array(got, np.int64).reshape(-1, len(MEASURES))
             kept = [b.column(i) for i in range(b.num_columns) if i != text_at]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pinprice.llm.common import crc32_mod, ship_package
+from pinprice.llm.common import crc32_mod, ship_package, slices
 
 LABELLED, UNLABELLED, VOTERS = 20_000, 10_000, 96
 CUT = 0.3
@@ -156,6 +156,8 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.n
     Labelled rows start the rates and count as one more, nearly sure vote.
     """
     n, m = votes.shape
+    if not n:
+        return np.empty(0)
     known = ~np.isnan(labels)
     if (labels == 1).any() and (labels == 0).any():
         post = np.where(known, labels, 0.5)
@@ -220,7 +222,7 @@ def _votes(blob: bytes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voting = Voting(words, prefixes)
-        for b in batches:
+        for b in slices(batches):
             got = [voting(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([np.flatnonzero(v).astype(np.int32) for v, _ in got], pa.list_(pa.int32())),
@@ -276,7 +278,7 @@ def _score(blob: bytes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voting = Voting(model.words, model.prefixes)
-        for b in batches:
+        for b in slices(batches):
             got = [voting(t) for t in b.column(1).to_pylist()]
             x = features(np.array([v for v, _ in got]).reshape(len(got), -1), np.array([h for _, h in got], np.float64))
             z = np.clip(x @ model.weight + model.bias, -30, 30)
