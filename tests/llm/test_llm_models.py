@@ -156,3 +156,27 @@ def test_language_model_of_nothing(spark):
     rows = Y.perplexity(df, F.lit(False)).collect()
     assert [(r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in rows] == [(0, 0, None, 0.0)] * 2
     assert Y.perplexity(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_the_word_before_counts(spark):
+    """Words before that share a class: only pairs of words tell the texts apart."""
+    docs = [(i, f"we {'new york' if i % 2 else 'old barn'} is") for i in range(40)]
+    docs += [(100, "we new york is"), (101, "we old york is"), (102, "we new barn is"), (103, "we old barn is")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in Y.perplexity(df, F.col("doc_id") < 100).collect()}
+    assert min(got[100], got[103]) > max(got[101], got[102]) + 0.5
+
+
+def test_pairs_of_all_texts_are_the_restaurants(spark):
+    """Against plain counts of pairs: probabilities after a word sum to one, and the pairs that repeat are seated."""
+    texts = [" ".join(RND.choices(VOCAB[:12], k=9)) for _ in range(30)]
+    docs = list(enumerate(texts)) + [(1000, "")] + [(2000 + i, a) for i, a in enumerate(VOCAB[:12])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["score"] for r in Y.perplexity(df, F.col("doc_id") < 1000).collect()}
+    assert all(np.isfinite(x) for x in got.values())
+    count = collections.Counter(p for t in texts for p in zip(["", *t.split()], [*t.split(), "\n"], strict=True))
+    # a text of one word: its probability after the start, and the end's after it
+    assert sum(10 ** got[2000 + i] for i in range(12)) + 10 ** got[1000] < 1
+    often, rare = max(VOCAB[:12], key=lambda a: (count["", a] + 1) * (count[a, "\n"] + 0.1)), min(
+        VOCAB[:12], key=lambda a: (count["", a] + 1) * (count[a, "\n"] + 0.1))
+    assert got[2000 + VOCAB.index(often)] > got[2000 + VOCAB.index(rare)]
