@@ -180,3 +180,13 @@ def test_pairs_of_all_texts_are_the_restaurants(spark):
     often, rare = max(VOCAB[:12], key=lambda a: (count["", a] + 1) * (count[a, "\n"] + 0.1)), min(
         VOCAB[:12], key=lambda a: (count["", a] + 1) * (count[a, "\n"] + 0.1))
     assert got[2000 + VOCAB.index(often)] > got[2000 + VOCAB.index(rare)]
+
+
+def test_the_third_byte_back_has_sixteen_classes():
+    """Bytes 8 apart are told apart three places back, and a table packed by equal rows reads as the flat one."""
+    cells, first = Y.cells_of([b"axyz", b"ixyz", b"hxyz"])
+    assert len({int(c) >> 8 for c in cells[first + 3]}) == 3 and Y.SUBTREES * Y.CELLS == 2**15 * 256
+    flat = np.repeat(np.random.default_rng(3).random((8, 256)).astype(np.float32), 16, 0)
+    rows = Y.Rows.of(flat.ravel())
+    at = np.random.default_rng(4).integers(0, flat.size, 500)
+    assert len(rows.rows) == 8 and (rows[at] == flat.ravel()[at]).all()
