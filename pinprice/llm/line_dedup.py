@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pinprice.llm.common import ship_package, slices
 from pinprice.llm.hashing import Words, batches_of, mix, spans_digest, words_of
 
-MIN_LINE_WORDS = 10
+MIN_LINE_WORDS = 1  # every line that holds a word
 MIN_RUN_WORDS = 20
 REACH = 4  # a piece begins at a hash that is least among so many words on either side
 LAST = 2**63 - 1  # rank of a null id

@@ -106,6 +106,26 @@ def test_word_hashes_do_not_depend_on_the_batch():
     assert [*batches_of(texts, 100)][0][0] == 0
 
 
+def test_short_lines_go_as_in_a_plain_model(spark):
+    """Lines of 1 to 9 words among unlike neighbours, against a walk over the lines that hashes nothing."""
+    rnd = random.Random(3)
+    lines = ["licensed under the apache license, version 2.0."] + [prose(rnd.randint(1, 9), rnd) for _ in range(40)]
+    docs = {i: "\n".join(rnd.choice(lines) if rnd.random() < 0.4 else prose(rnd.randint(10, 14), rnd) for _ in range(8))
+            for i in range(60)}
+    docs[7] = docs[7] + "\n" + lines[0].replace(" ", "  ").upper()
+    seen, want = set(), {}
+    for i in sorted(docs):
+        want[i] = []
+        for line in docs[i].split("\n"):
+            words = tuple(line.encode().lower().split())
+            if words not in seen:
+                want[i].append(line)
+            seen.add(words)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: [x for x in r["text"].split("\n") if x.strip()] for r in L.remove_repeats(df).collect()}
+    assert got == want
+
+
 # -- near duplicates
 
 
