@@ -3,7 +3,12 @@
 Units of a text are its lines, and pieces whose bounds its own words set: a
 word opens a piece where its hash is the least among its neighbours, so a
 passage has the same pieces wherever it is pasted, also inside a line. A piece
-unit is two neighbouring pieces. Units are normalised (ASCII case, white space)
+unit is two neighbouring pieces. Pieces find repeats of few words but leave their
+ends; every run of ``WINDOW`` words is a unit as well, so a repeated passage of
+so many words or more goes whole. Windows are exchanged in two steps: the least
+hash of ``SEED`` words within a window depends on the window's words alone, so
+only windows whose least one repeats between documents can repeat there, and the
+others' digests stay at home. Units are normalised (ASCII case, white space)
 and digested to 128 bits; digests are grouped over all documents, the earliest
 ranked occurrence (least id, then least offset) stays, and the others go: a
 line of ``min_line_words`` words or more, and a run of repeated piece units of
@@ -31,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pinprice.llm.common import ship_package, slices
+from pinprice.llm.common import ship_package, slices, store
 from pinprice.llm.hashing import Words, batches_of, mix, spans_digest, words_of
 
 MIN_LINE_WORDS = 1  # every line that holds a word
 MIN_RUN_WORDS = 20
 REACH = 4  # a piece begins at a hash that is least among so many words on either side
+WINDOW, SEED = 50, 20
 LAST = 2**63 - 1  # rank of a null id
 SPAN = "array<struct<start:bigint,end:bigint,first_doc:bigint>>"
 
@@ -59,6 +65,32 @@ def piece_starts(w: Words) -> np.ndarray:
     return np.union1d(np.flatnonzero(least), bounds)
 
 
+def _least(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of every n neighbours."""
+    size = 1
+    while 2 * size <= n:
+        x, size = np.minimum(x[:-size], x[size:]), 2 * size
+    rest = n - size
+    return np.minimum(x[:-rest], x[rest:]) if rest else x
+
+
+def windows(w: Words) -> np.ndarray:
+    """Where runs of WINDOW words begin that lie in one text."""
+    n = len(w.hash)
+    if n < WINDOW:
+        return np.zeros(0, np.int64)
+    text = np.searchsorted(w.first, np.arange(n), side="right") - 1
+    return np.flatnonzero(text[:n - WINDOW + 1] == text[WINDOW - 1:])
+
+
+def seeds(w: Words, a: np.ndarray) -> np.ndarray:
+    """The least hash of SEED neighbouring words within each window."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    at = np.arange(len(w.hash) - SEED + 1)
+    return _least(spans_digest(w.hash, at, at + SEED, 4)[0], WINDOW - SEED + 1)[a].view(np.int64)
+
+
 def units_of(w: Words, min_line_words: int = MIN_LINE_WORDS):
     """Word runs (a, b) of all units, their digests, and whether each is a line."""
     breaks = np.flatnonzero(w.buf == 0x0A)
@@ -74,28 +106,52 @@ def units_of(w: Words, min_line_words: int = MIN_LINE_WORDS):
     pa_, pb = pa_[inner], pb[inner]
     whole = ends[:-1] & ends[1:] if len(cut) > 1 else np.zeros(0, bool)
     wa, wb = cut[:-1][whole], cut[1:][whole]
-    a, b = np.concatenate([la, pa_, wa]), np.concatenate([lb, pb, wb])
+    over = windows(w)
+    a, b = np.concatenate([la, pa_, wa, over]), np.concatenate([lb, pb, wb, over + WINDOW])
     is_line = np.zeros(len(a), bool)
     is_line[:len(la)] = True
-    d1, d2 = spans_digest(w.hash, a, b, 1)
+    # units of one kind only are compared: a text of one line may be one piece as well
+    kinds = np.cumsum([0, len(la), len(pa_) + len(wa), len(over)])
+    d1, d2 = (np.concatenate(x) for x in zip(*(
+        spans_digest(w.hash, a[lo:hi], b[lo:hi], salt) for lo, hi, salt in zip(kinds[:-1], kinds[1:], (1, 3, 2), strict=True))))
     return a, b, d1.view(np.int64), d2.view(np.int64), is_line
 
 
+def _distinct(doc: np.ndarray, d1: np.ndarray, d2: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """The distinct digests of each text of a batch, with its id."""
+    order = np.lexsort((d1, doc))
+    doc, d1, d2 = doc[order], d1[order], d2[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(d1[new]), pa.array(d2[new]), pa.array(ids[doc[new]].astype(np.int64))], names=["d1", "d2", "doc"])
+
+
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text) to the distinct digests of each document."""
+    """(doc, text) to the distinct digests of each document; of windows, the seeds alone, whose d2 is 0."""
     for batch in slices(batches):
         docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
         for lo, hi in batches_of(texts):
             w = words_of(texts[lo:hi])
             a, _, d1, d2, _ = units_of(w)
-            doc = np.searchsorted(w.first, a, side="right") - 1
-            order = np.lexsort((d1, doc))
-            doc, d1, d2 = doc[order], d1[order], d2[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(d1[new]), pa.array(d2[new]), pa.array(docs[lo:hi][doc[new]].astype(np.int64))],
-                names=["d1", "d2", "doc"])
+            over = windows(w)
+            n = len(a) - len(over)
+            first = np.concatenate([a[:n], over])
+            yield _distinct(np.searchsorted(w.first, first, side="right") - 1, np.concatenate([d1[:n], seeds(w, over)]),
+                            np.concatenate([d2[:n], np.zeros(len(over), np.int64)]), docs[lo:hi])
+
+
+def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, text, seeds that repeat) to the distinct digests of each document's windows that have such a seed."""
+    for batch in slices(batches):
+        docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        for lo, hi in batches_of(texts):
+            w = words_of(texts[lo:hi])
+            over = windows(w)
+            # another text's seed may let a window through, which costs a row and changes nothing
+            over = over[np.isin(seeds(w, over), batch.column(2).slice(lo, hi - lo).flatten().to_numpy())]
+            d1, d2 = spans_digest(w.hash, over, over + WINDOW, 2)
+            yield _distinct(np.searchsorted(w.first, over, side="right") - 1, d1.view(np.int64), d2.view(np.int64), docs[lo:hi])
 
 
 @dataclass(frozen=True)
@@ -137,7 +193,7 @@ def repeated(w: Words, known: Known, ids: np.ndarray, min_line_words: int = MIN_
     may[by[same]] = may[by[same + 1]] = True
     order = np.lexsort((~is_line, a, doc))
     order = order[may[order]]
-    seen: set[tuple[int, int]] = set()
+    seen: dict[tuple[int, int], int] = {}
     now, runs = -1, []
 
     def close(i: int) -> None:
@@ -155,14 +211,16 @@ def repeated(w: Words, known: Known, ids: np.ndarray, min_line_words: int = MIN_
         if i != now:
             if now >= 0:
                 close(now)
-            now, runs, seen = i, [], set()
+            now, runs, seen = i, [], {}
         if entry[j] >= 0:
             first = int(known.first[entry[j]])
         else:
             key = (int(d1[j]), int(d2[j]))
             if key not in seen:
-                seen.add(key)
+                seen[key] = int(b[j])
                 continue
+            if b[j] - a[j] == WINDOW and not is_line[j] and a[j] < seen[key]:
+                continue  # it shares words with the occurrence that stays
             first = int(ids[i])
         if is_line[j]:
             out[i].append((int(w.start[a[j]]), int(w.end[b[j] - 1]), first))
@@ -237,7 +295,14 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     units = (docs.where(F.col(f"`{text_col}`").isNotNull()).select(rank.alias("doc"), F.col(f"`{text_col}`").alias("t"))
              .mapInArrow(_emit, "d1 long, d2 long, doc long"))
     first = units.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last > first")
-    hits = units.join(first.select("d1", "d2", "first"), ["d1", "d2"]).where("doc > first")
+    met = units.join(first.select("d1", "d2", "first"), ["d1", "d2"]).where("doc > first or d2 = 0")
+    met = store(met, "repeated-units")
+    own = met.where("d2 = 0").groupBy("doc").agg(F.collect_list("d1").alias("seeds"))
+    wide = store(docs.where(F.col(f"`{text_col}`").isNotNull()).select(rank.alias("doc"), F.col(f"`{text_col}`").alias("t"))
+                 .join(own, "doc").mapInArrow(_emit_windows, "d1 long, d2 long, doc long"), "windows")
+    whole = wide.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last > first")
+    hits = met.where("d2 != 0").unionByName(
+        wide.join(whole.select("d1", "d2", "first"), ["d1", "d2"]).where("doc > first").select("d1", "d2", "doc", "first"))
     return hits.groupBy("doc").agg(F.collect_list(F.struct("d1", "d2", "first")).alias("hits"))
 
 
@@ -257,4 +322,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 __all__ = ["Known", "MIN_LINE_WORDS", "MIN_RUN_WORDS", "cut", "piece_starts", "remove_repeats", "repeated", "repeated_units",
-           "units_of"]
+           "seeds", "units_of", "windows"]

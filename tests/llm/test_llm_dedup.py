@@ -126,6 +126,24 @@ def test_short_lines_go_as_in_a_plain_model(spark):
     assert got == want
 
 
+def test_passages_of_over_fifty_words_go_whole(spark):
+    """Passages pasted inside lines, also of words with a period of 4, go to the last word; their hosts stay."""
+    rnd = random.Random(8)
+    passages = [[f"p{n}w{k}" for k in range(51 + n % 5)] for n in range(60)] + [["la", "li", "lo", "lu"] * 14 + ["end"]]
+    hosts = {i: [f"h{i}w{k}" for k in range(30)] for i in range(2 * len(passages))}
+    docs = {}
+    for n, passage in enumerate(passages):
+        for i in (n, n + len(passages)):
+            at = rnd.randint(1, 29)
+            docs[i] = " ".join([*hosts[i][:at], *passage, *hosts[i][at:]])
+    docs[500] = "x y " * 60                              # of a text's own repeats, one whole occurrence stays
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["text"].split() for r in L.remove_repeats(df).collect()}
+    for i, host in hosts.items():
+        assert got[i] == (docs[i].split() if i < len(passages) else host)
+    assert 50 <= len(got[500]) < 120
+
+
 # -- near duplicates
 
 
