@@ -67,13 +67,14 @@ class Words:
     first: np.ndarray
 
 
-def words_of(texts: list[str | None]) -> Words:
+def words_of(texts: list[str | None], gap: np.ndarray = SPACE) -> Words:
+    """Words are runs of bytes outside ``gap`` (which must hold the line feed); ASCII letters are lower-cased."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     joined = b"\n".join([*raw, b""])
     buf = np.frombuffer(joined.lower(), np.uint8)
     text_at = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(r) + 1 for r in raw], out=text_at[1:])
-    word = ~SPACE[buf]
+    word = ~gap[buf]
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     if len(word) and word[0]:
         edge = np.concatenate([[0], edge])

@@ -15,6 +15,8 @@ from pinprice.llm import (
     bpe_queue,
     chat_format,
     dart_minhash,
+    hard_negatives,
+    lexical_search,
     line_dedup,
     pitman_yor,
     quality_rules,
@@ -119,14 +121,31 @@ def op10_quality_rules(spark, sf_dir):
                        "n_lines", "fail_bits")
 
 
+def op11_hard_negatives(spark, sf_dir):
+    """The first 3 rows of other labels in the score window of each of an anchor's 5 positives."""
+    rows = _table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.col("label").cast("long")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0, positives=5, negatives=3, scale=256)
+
+
+def op13_lexical_nra(spark, sf_dir):
+    """The 10 best documents for every benchmark item."""
+    docs, items = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text")
+    return lexical_search.search(docs, items, k=10)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_exact_topk, op3_line_dedup, op4_dart_minhash, op5_source_mixing, op6_arrow_tokens,
-    op7_byte_bpe, op8_toxicity, op9_pitman_yor, op10_quality_rules)}
+    op7_byte_bpe, op8_toxicity, op9_pitman_yor, op10_quality_rules, op11_hard_negatives, op13_lexical_nra)}
 
 
 # --------------------------------------------------------------------------
 # SQL of the same rows (DuckDB)
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS = (f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), "
+          "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')")
 _W = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -165,6 +184,45 @@ s AS (
   FROM a JOIN v b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT vec_id, min(struct_pack(l := label, q := q)) AS a FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.a.l = b.label AS same, b.vec_id, CAST(coalesce(list_sum(list_transform(
+    list_zip(a.a.q, b.q), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0) AS BIGINT) AS score
+  FROM a JOIN v b ON a.vec_id <> b.vec_id),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score,
+    s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.place ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND p.place <= 5
+    AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 3""",
+    "op13_lexical_nra": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ts FROM documents),
+p AS (
+  SELECT rid, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, unnest(ts) AS t FROM d) u GROUP BY rid, t),
+s AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(len(ts)) AS BIGINT) AS nt FROM d WHERE len(ts) > 0),
+w AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * s.nd + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM p, s GROUP BY t, s.nd),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark WHERE item_id IS NOT NULL),
+c AS (
+  SELECT i.item_id, d.rid, d.doc_id, CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf
+    + 8 * (100 - 90 + (90 * CAST(len(d.ts) AS BIGINT) * s.nd) // s.nt)))) AS BIGINT) AS score
+  FROM i JOIN w USING (t) JOIN p USING (t) JOIN d USING (rid), s GROUP BY i.item_id, d.rid, d.doc_id),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM c WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10""",
     "op5_source_mixing": f"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_W}')), 0) AS BIGINT) AS size,
