@@ -16,6 +16,7 @@ from pinprice.llm import (
     chat_format,
     dart_minhash,
     hard_negatives,
+    html_template,
     lexical_search,
     line_dedup,
     pitman_yor,
@@ -129,6 +130,12 @@ def op11_hard_negatives(spark, sf_dir):
     return hard_negatives.mine(rows, F.col("id") % 50 == 0, positives=5, negatives=3, scale=256)
 
 
+def op12_html_template(spark, sf_dir):
+    """The main text of every page, by the template of its host."""
+    pages = _table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return html_template.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op13_lexical_nra(spark, sf_dir):
     """The 10 best documents for every benchmark item."""
     docs, items = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text")
@@ -137,7 +144,8 @@ def op13_lexical_nra(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_exact_topk, op3_line_dedup, op4_dart_minhash, op5_source_mixing, op6_arrow_tokens,
-    op7_byte_bpe, op8_toxicity, op9_pitman_yor, op10_quality_rules, op11_hard_negatives, op13_lexical_nra)}
+    op7_byte_bpe, op8_toxicity, op9_pitman_yor, op10_quality_rules, op11_hard_negatives, op12_html_template,
+    op13_lexical_nra)}
 
 
 # --------------------------------------------------------------------------
