@@ -33,6 +33,7 @@ from pinprice.plans.offers import (  # noqa: E402
     argmin_per_key,
     attach_destination,
     eligible_offers,
+    min_entry_for_pincodes,
     min_price,
     min_price_for_pin,
     min_price_for_pins,
@@ -47,7 +48,7 @@ from pinprice.plans.offers import (  # noqa: E402
 from pinprice.functions.sql import register_sql_functions  # noqa: E402
 from pinprice.plans.jobs import recompute_prices, recompute_quotes  # noqa: E402
 from pinprice.plans.requests import price_requests  # noqa: E402
-from pinprice.session import shared_dir  # noqa: E402
+from pinprice.session import co_located_joins, shared_dir  # noqa: E402
 from pinprice.sources.fixtures import (  # noqa: E402
     fixture_cte,
     fixture_state_table,
@@ -62,7 +63,6 @@ from pinprice.sources.sinks import (  # noqa: E402
     read_kv,
     write_kv,
 )
-from pinprice.sources.state import create_state, read_state  # noqa: E402
 from pinprice.sources.tables import (  # noqa: E402
     fetch_by_id,
     match,
@@ -72,7 +72,9 @@ from pinprice.sources.tables import (  # noqa: E402
     write_offers,
 )
 from pinprice.streaming.requests import (  # noqa: E402
+    current_prices,
     read_stream_results,
+    read_updates,
     stream_merge_prices,
     stream_price_requests,
 )
@@ -205,28 +207,29 @@ def q17_distance_lookup(spark, sf_dir):
     return lookup_distance(t["pincodedistances"], keys)
 
 
-def _zone_updates(t):
-    res = min_price_for_zone(t["zoneprices"], t["pincodes"], t["productinfos"], charge=ZONE_CHARGE)
-    return price_updates(res)
+def _zone_updates(spark, t):
+    """Every (product, pincode) once, dealt by product like the stored state."""
+    co_located_joins(spark)
+    res = min_entry_for_pincodes(t["zoneprices"], t["pincodes"], t["productinfos"], charge=ZONE_CHARGE,
+                                 partitions=state_buckets(spark))
+    return price_updates(res, "price", unique=True)
 
 
 def q18_price_updates(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return _zone_updates(t)
+    return _zone_updates(spark, t)
 
 
 def q19_merged_prices(spark, sf_dir):
     """Zone prices merged into the price state (the updates are already limited
     to catalogue products by the price step, so the merge needs no second filter)."""
     t = _t(spark, sf_dir)
-    upd = _zone_updates(t).select("product", "pincode", "price", "quantity")
-    return merge_values(t["product_prices"], upd)
+    return merge_values(t["product_prices"], _zone_updates(spark, t), unique=True)
 
 
 def q20_changed_products(spark, sf_dir):
     t = _t(spark, sf_dir)
-    upd = _zone_updates(t).select("product", "pincode", "price", "quantity")
-    return changed_count(t["product_prices"], upd)
+    return changed_count(t["product_prices"], _zone_updates(spark, t), unique=True)
 
 
 def q21_validated_requests(spark, sf_dir):
@@ -272,18 +275,17 @@ def q24_stream_requests(spark, sf_dir):
 
 def q25_stream_merge_prices(spark, sf_dir):
     """Requests arrive as files; each micro-batch is priced against winners
-    aggregated once and written to the price state as a delta; the state is read
-    with all deltas merged (newest request wins per key, in any batch order)."""
+    aggregated once and written as updates of the price state, which is read with
+    them (newest request wins per key, in any batch order)."""
     t = _t(spark, sf_dir)
     base = shared_dir(spark, "stream-merge")
     src = f"{base}/requests"
     t["requests"].repartitionByRange(4, "request_id").write.parquet(src)
-    state = f"{base}/state"
-    create_state(t["product_prices"], state)
-    q = stream_merge_prices(spark, src, state, f"{base}/checkpoint", t["zoneprices"], t["pincodes"],
+    updates = f"{base}/updates"
+    q = stream_merge_prices(spark, src, updates, f"{base}/checkpoint", t["zoneprices"], t["pincodes"],
                             t["productinfos"], max_files_per_trigger=2, winners=_stored_winners(spark, t, base))
     q.awaitTermination()
-    return read_state(spark, state).select("product", "pincode", "price", "quantity")
+    return current_prices(t["product_prices"], read_updates(spark, updates)).drop("seq")
 
 
 def q26_min_for_requests_distance(spark, sf_dir):
@@ -315,7 +317,7 @@ def q29_merged_quotes(spark, sf_dir):
     """Quotes of all requested destinations written over the stored entries of the price state."""
     t = _t(spark, sf_dir)
     dests = _pin_requests(t).select("product", "zone", F.col("dest_pin").alias("pincode"))
-    state = t["product_prices"].select("product", "pincode", F.col("price").cast("double").alias("price"),
+    state = t["product_prices"].select("product", "pincode", F.col("price").cast("double").alias("price"), "quantity",
                                        F.lit("STORED").alias("type"))
     return recompute_quotes(state, t["zoneprices"], dests, t["pincodedistances"], t["productinfos"])
 
@@ -343,7 +345,7 @@ def q32_min_price_core(spark, sf_dir):
 def q33_price_map_entries(spark, sf_dir):
     """The change set as one map per product, flattened back to its entries."""
     t = _t(spark, sf_dir)
-    docs = price_map(_zone_updates(t))
+    docs = price_map(_zone_updates(spark, t))
     return docs.select("product", F.explode("prices").alias("pincode", "v")).select(
         "product", "pincode", "v.price", "v.quantity")
 
@@ -511,7 +513,7 @@ _SQL = {
     "q29_merged_quotes": """
 , q AS (SELECT product, pincode, MIN(price) AS price FROM quotes GROUP BY product, pincode)
 SELECT COALESCE(s.product, q.product) AS product, COALESCE(s.pincode, q.pincode) AS pincode,
-  COALESCE(q.price, CAST(s.price AS DOUBLE)) AS price, CASE WHEN q.product IS NULL THEN 'STORED' ELSE 'FALCON' END AS type
+  COALESCE(q.price, CAST(s.price AS DOUBLE)) AS price, CASE WHEN q.product IS NULL THEN s.quantity END AS quantity, CASE WHEN q.product IS NULL THEN 'STORED' ELSE 'FALCON' END AS type
 FROM product_prices s FULL OUTER JOIN q ON s.product = q.product AND s.pincode = q.pincode""",
     "q30_one_zone_match": f"SELECT {_OFFER_COLS_SQL} FROM zoneprices WHERE zone = 'ASIA' AND quantity = 10",
     "q31_single_request": f"""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pinprice.operators.joins import DEFAULT_BROADCAST_ROWS, fits
+from pinprice.operators.joins import DEFAULT_BROADCAST_ROWS, expand_join, fits, join_small
 
 ON_MISSING = ("zero", "drop")
 
@@ -21,6 +21,38 @@ def listed(distances: DataFrame) -> DataFrame:
     return distances.where(F.col("distance").isNotNull() & ~F.isnan("distance"))
 
 
+def charge_arrays(sellers: DataFrame, pins: DataFrame, distances: DataFrame, on_missing: str = "zero",
+                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """The charges of a seller pincode to all destinations of a bucket as one row, for distance tables of any size.
+
+    ``sellers``: zone, pincodeNum, _db (distinct); ``pins``: zone, pincode,
+    _db. Output: zone, pincodeNum, _db, ``entries`` (array of pincode and
+    charge, one per destination that the seller serves), ``cmin``, ``cmax``
+    (least and greatest charge) and ``full`` (it serves the whole bucket).
+    Rules as in ``attach_charge``; of several distances the least counts. An
+    array holds at most a bucket's destinations, and no step sees sellers x
+    products: only the distance table and the pincodes are moved.
+    """
+    d = listed(distances).where(F.col("sourcePincode") != F.col("destPincode"))
+    d = d.groupBy(F.col("sourcePincode").alias("pincodeNum"), F.col("destPincode").alias("pincode")).agg(
+        F.min("distance").alias("charge"))
+    near = join_small(d, pins, "pincode", max_broadcast_rows=max_broadcast_rows)
+    near = near.groupBy("zone", "_db", "pincodeNum").agg(
+        F.array_sort(F.collect_list(F.struct("pincode", "charge"))).alias("near"))
+    dests = pins.groupBy("zone", "_db").agg(F.array_sort(F.collect_list("pincode")).alias("dests"))
+    x = expand_join(sellers, dests, ["zone", "_db"], max_broadcast_rows)
+    x = x.join(near, ["zone", "_db", "pincodeNum"], "left")
+    known = F.coalesce("near", F.array().cast("array<struct<pincode:int,charge:double>>"))
+    # charge 0: the seller's own pincode, and (zero mode) destinations without a distance
+    free = (F.array_except("dests", F.transform(known, lambda e: e["pincode"])) if on_missing == "zero"
+            else F.filter("dests", lambda p: p == F.col("pincodeNum")))
+    entries = F.concat(known, F.transform(free, lambda p: F.struct(p.alias("pincode"), F.lit(0.0).alias("charge"))))
+    x = x.withColumn("entries", entries).where(F.size("entries") > 0)
+    charges = F.transform("entries", lambda e: e["charge"])
+    return x.select("zone", "pincodeNum", "_db", "entries", F.array_min(charges).alias("cmin"),
+                    F.array_max(charges).alias("cmax"), (F.size("entries") == F.size("dests")).alias("full"))
+
+
 def attach_charge(rows: DataFrame, distances: DataFrame, src: str, dest: str,
                   on_missing: str = "zero", charge_col: str = "charge",
                   broadcast: bool | None = None,

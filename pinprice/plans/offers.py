@@ -31,7 +31,8 @@ from pinprice.functions.expr import (
 )
 from pinprice.operators.aggregate import argmin, top_k
 from pinprice.operators.joins import DEFAULT_BROADCAST_ROWS, expand_join, fits, row_count
-from pinprice.plans.charges import attach_charge, listed
+from pinprice.plans.charges import attach_charge, charge_arrays, listed
+from pinprice.session import shared_dir
 
 TIE_ORDER = ("finalPrice", "buyingPrice", "quantity", "pincodeNum")
 
@@ -140,6 +141,41 @@ def zone_pincodes(pincodes: DataFrame, zone: str | None = None) -> DataFrame:
     return _zone(p, zone).distinct()
 
 
+def zone_sets(pincodes: DataFrame) -> DataFrame:
+    """One row per pincode: the ascending array of all zones that list it (``zones``)."""
+    return zone_pincodes(pincodes).groupBy("pincode").agg(F.array_sort(F.collect_set("zone")).alias("zones"))
+
+
+def min_entry_for_pincodes(offers: DataFrame, pincodes: DataFrame, products: DataFrame | None = None,
+                           charge: float = ZONE_CHARGE, winners: DataFrame | None = None,
+                           max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                           partitions: int | None = None) -> DataFrame:
+    """The one entry of every (product, pincode) over all zones that list the pincode: product, pincode, price,
+    quantity, by least (price, quantity).
+
+    Pincodes listed under several zones are resolved in the pincode dimension:
+    every distinct *set* of zones is one destination group, its winners are
+    the least of its zones' winners (a reduction of products x zone sets), and
+    only then are they expanded, each pincode once. So nothing aggregates,
+    shuffles or sorts the expansion. With a flat charge the price rises
+    strictly with the buying price (the margin is not negative), so the order
+    of winners is the order of entries.
+
+    ``partitions`` deals the winners by product before they are expanded, so
+    that the result can be merged into a state bucketed by product into as
+    many buckets without moving the expansion.
+    """
+    sets = zone_sets(pincodes)
+    members = sets.select("zones").distinct().select("zones", F.explode("zones").alias("zone"))
+    w = winners if winners is not None else zone_winners(offers, products)
+    each = expand_join(w, members, "zone", max_broadcast_rows)
+    if partitions is not None:
+        each = each.repartition(partitions, "product")
+    best = argmin(each, ["zones", "product"], ["buyingPrice", "quantity"], not_null=True)
+    x = expand_join(best, sets, "zones", max_broadcast_rows)
+    return x.select("product", "pincode", delivered_price("buyingPrice", charge).alias("price"), "quantity")
+
+
 def _charge_bounds(pins: DataFrame, distances: DataFrame) -> DataFrame:
     """Per (zone, source pincode): least/greatest listed distance to the
     zone's other pincodes and how many of them are listed.
@@ -185,13 +221,36 @@ def _prune_dominated(s: DataFrame, pins: DataFrame, distances: DataFrame, on_mis
             .drop("_dmin", "_dmax", "_m", "_self", "_n"))
 
 
+def _in_chunks(sellers: DataFrame, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Split sellers, which lie by (zone, product, _db), into those of keys with at most ``chunk_rows`` sellers,
+    as they lie, and the others dealt by chunks of that many (``_sc``)."""
+    key = ["zone", "product", "_db"]
+    s = (sellers.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+         .withColumn("_sc", F.floor((F.row_number().over(Window.partitionBy(*key).orderBy("pincodeNum")) - 1)
+                                    / F.lit(chunk_rows)).cast("int")))
+    few, many = F.col("_n") <= chunk_rows, F.col("_n") > chunk_rows
+    return s.where(few).drop("_n", "_sc"), s.where(many).drop("_n").repartition(*key, "_sc")
+
+
+def _least(rows: DataFrame, chunked: bool) -> DataFrame:
+    """The least offer per (product, zone, pincode) of an expansion that lies by (zone, product, _db[, _sc]).
+
+    ``_db`` is a function of the pincode: grouping by it too keeps the groups
+    and lets the aggregate reuse the partitioning. Chunks give one row per
+    destination each, and only these are moved for the second minimum.
+    """
+    keys = ["product", "zone", "pincode", "_db", *(["_sc"] if chunked else [])]
+    best = argmin(rows, keys, list(TIE_ORDER))
+    return argmin(best, ["product", "zone", "pincode"], list(TIE_ORDER)) if chunked else best
+
+
 def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
                        products: DataFrame | None = None, zone: str | None = None,
                        charge: float = ZONE_CHARGE, distances: DataFrame | None = None,
                        on_missing: str = "zero",
                        max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
                        dest_bucket_rows: int = 2000,
-                       sellers: DataFrame | None = None) -> DataFrame:
+                       sellers: DataFrame | None = None, seller_chunk_rows: int = 2000) -> DataFrame:
     """Least delivered price and winning quantity for every pincode of a zone,
     for all products at once (all zones when ``zone`` is None).
 
@@ -201,18 +260,24 @@ def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
     ``sellers`` (distance mode) is a precomputed ``seller_winners`` table,
     e.g. from ``store_seller_winners``; the offers are then not read.
 
-    Distance mode, when the pincodes are proven small enough to broadcast:
+    Distance mode, for pincode and distance tables of any size:
 
     * sellers of one (zone, product) are co-located by one shuffle of the
       per-seller winners (small), so the expansion to destinations and the
       final aggregate run inside that partition with no further exchange;
     * destinations are split into ``ceil(#pincodes / dest_bucket_rows)``
-      buckets and each seller row is copied to every bucket, so one product
-      with very many sellers is spread over several tasks;
+      buckets and each seller row is copied to every bucket;
+    * a key with more than ``seller_chunk_rows`` sellers is dealt by chunks of
+      sellers: a minimum per chunk, then one over the chunks, so that no task
+      expands more than ``seller_chunk_rows * dest_bucket_rows`` of its rows;
     * exact pruning before the expansion: with c_min/c_max the least and
       greatest charge of a seller over the zone, a seller whose price at
       c_min exceeds another seller's price at c_max (a seller present at
-      every destination) is strictly worse everywhere and never wins.
+      every destination) is strictly worse everywhere and never wins;
+    * the charges come from broadcast tables if pincodes and distances are
+      proven small, else from ``charge_arrays``: charges of a seller pincode
+      as one array per bucket, joined to the sellers that pruning leaves
+      *before* they are expanded, so the expansion itself is never moved.
     """
     pins = zone_pincodes(pincodes, zone)
     if distances is None:
@@ -222,31 +287,40 @@ def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
                         delivered_price("buyingPrice", charge).alias("finalPrice"),
                         "quantity")
     s = _zone(sellers, zone) if sellers is not None else seller_winners(offers, products, zone)
-    n_pins = row_count(pins)
-    if n_pins > max_broadcast_rows:
-        x = expand_join(s, pins, "zone", max_broadcast_rows)
-        x = attach_charge(x, distances, "pincodeNum", "pincode", on_missing,
-                          max_broadcast_rows=max_broadcast_rows)
-        x = x.withColumn("finalPrice", delivered_price("buyingPrice", F.col("charge")))
-        best = argmin(x, ["product", "zone", "pincode"], list(TIE_ORDER))
-        return best.select("product", "zone", "pincode", "finalPrice", "quantity")
-
-    bd = fits(distances, max_broadcast_rows)
-    buckets = max(1, -(-n_pins // dest_bucket_rows))
-    s = _prune_dominated(s, pins, distances, on_missing, broadcast_bounds=bd)
-    s = (s.withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-         .repartition("zone", "product", "_db"))
-    upper = F.min("_hi").over(Window.partitionBy("zone", "product", "_db"))
-    s = s.withColumn("_u", upper).where(F.col("_u").isNull() | (F.col("_lo") <= F.col("_u")))
-    s = s.select("zone", "product", "pincodeNum", "buyingPrice", "quantity", "_db")
+    buckets = max(1, -(-row_count(pins) // dest_bucket_rows))
     p = pins.withColumn("_db", F.pmod(F.xxhash64("pincode"), F.lit(buckets)).cast("int"))
-    x = s.join(F.broadcast(p), ["zone", "_db"], "inner")
-    x = attach_charge(x, distances, "pincodeNum", "pincode", on_missing, broadcast=bd)
-    x = x.withColumn("finalPrice", delivered_price("buyingPrice", F.col("charge")))
-    # _db is a function of pincode: grouping by it too keeps the groups and
-    # lets the aggregate reuse the (zone, product, _db) partitioning
-    best = argmin(x, ["product", "zone", "pincode", "_db"], list(TIE_ORDER))
-    return best.select("product", "zone", "pincode", "finalPrice", "quantity")
+    key = ["zone", "product", "_db"]
+    small = fits(pins, max_broadcast_rows) and fits(distances, max_broadcast_rows)
+    if small:
+        s = _prune_dominated(s, pins, distances, on_missing, broadcast_bounds=True)
+        s = s.withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    else:
+        # the seller winners are aggregated once: their pincodes, their bounds and the survivors all read them
+        shared_dir(pins.sparkSession, unique=False)
+        s = s.checkpoint().withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+        arrays = charge_arrays(s.select("zone", "pincodeNum", "_db").distinct(), p, distances, on_missing,
+                               max_broadcast_rows).checkpoint()
+        s = s.join(arrays.drop("entries"), ["zone", "pincodeNum", "_db"], "inner")
+        s = (s.withColumn("_lo", delivered_price("buyingPrice", F.col("cmin")))
+             .withColumn("_hi", F.when(F.col("full"), delivered_price("buyingPrice", F.col("cmax")))))
+    upper = F.min("_hi").over(Window.partitionBy(*key))
+    s = s.repartition(*key).withColumn("_u", upper).where(F.col("_u").isNull() | (F.col("_lo") <= F.col("_u")))
+    s = s.select("zone", "product", "pincodeNum", "buyingPrice", "quantity", "_db")
+    if not small:
+        s = s.join(arrays.select("zone", "pincodeNum", "_db", "entries"), ["zone", "pincodeNum", "_db"]).repartition(*key)
+
+    def expanded(rows: DataFrame) -> DataFrame:
+        if small:
+            x = rows.join(F.broadcast(p), ["zone", "_db"], "inner")
+            x = attach_charge(x, distances, "pincodeNum", "pincode", on_missing, broadcast=True)
+        else:
+            x = rows.select(*[c for c in rows.columns if c != "entries"], F.inline("entries"))
+        return x.withColumn("finalPrice", delivered_price("buyingPrice", F.col("charge")))
+
+    few, many = _in_chunks(s, seller_chunk_rows)
+    out = ["product", "zone", "pincode", "finalPrice", "quantity"]
+    return (_least(expanded(few), chunked=False).select(*out)
+            .unionByName(_least(expanded(many), chunked=True).select(*out)))
 
 
 def attach_destination(offers: DataFrame, requests: DataFrame) -> DataFrame:

@@ -19,6 +19,9 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    # a state bucketed by product meets updates dealt by product on (product,
+    # pincode) without an exchange of either
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -47,6 +50,12 @@ def build_session(master: str | None = None, app_name: str = "pinprice",
     return spark
 
 
+def co_located_joins(spark: SparkSession) -> None:
+    """Let tables dealt by some of a join's keys be joined as they lie, also in a session built elsewhere."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    spark.conf.set(key, SESSION_DEFAULTS[key])
+
+
 def _checkpoint_dir(spark: SparkSession) -> str | None:
     d = spark.sparkContext.getCheckpointDir()
     if d:
@@ -81,4 +90,4 @@ def shared_dir(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     return path
 
 
-__all__ = ["SESSION_DEFAULTS", "build_session", "shared_dir"]
+__all__ = ["SESSION_DEFAULTS", "build_session", "co_located_joins", "shared_dir"]

@@ -5,15 +5,18 @@ from pinprice.sources.sinks import (
     assert_unique,
     changed_count,
     merge_into_table,
+    merge_parts,
     merge_values,
+    modified_products,
     price_map,
     price_updates,
     read_kv,
+    read_parts,
     write_bucketed,
     write_kv,
+    write_parts,
     write_table,
 )
-from pinprice.sources.state import append_delta, compact, create_state, read_state
 from pinprice.sources.tables import (
     fetch_by_id,
     match,
@@ -25,9 +28,9 @@ from pinprice.sources.tables import (
 )
 
 __all__ = [
-    "append_delta", "assert_unique", "changed_count", "merge_into_table", "merge_values", "price_map",
-    "price_updates", "read_kv", "write_bucketed", "write_kv", "write_table",
-    "FIXTURE_SQL", "compact", "create_state", "read_state", "fetch_by_id", "fixture_cte", "fixture_tables", "fixture_views", "match",
+    "assert_unique", "changed_count", "merge_into_table", "merge_parts", "merge_values", "modified_products", "price_map",
+    "price_updates", "read_kv", "read_parts", "write_bucketed", "write_kv", "write_parts", "write_table",
+    "FIXTURE_SQL", "fetch_by_id", "fixture_cte", "fixture_tables", "fixture_views", "match",
     "offers_from_documents", "read_offers", "read_table", "to_documents",
     "write_offers",
 ]

@@ -173,7 +173,7 @@ def fixture_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 _STORED: dict[tuple[str, str], dict[str, DataFrame]] = {}
 _STATE_TABLE: dict[tuple[str, str], str] = {}
 
-# least number of buckets of the stored price state (keyed by product, pincode)
+# least number of buckets of the stored price state (bucketed by product)
 STATE_BUCKETS = 16
 
 
@@ -189,8 +189,8 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     Offers are stored partitioned by zone (one folder per zone, the layout
     of per-zone offer collections), so a zone filter prunes folders. The
-    price state is a table bucketed by (product, pincode), so a merge reads
-    it without shuffling it. Later
+    price state is a table bucketed by product, so a merge reads it without
+    shuffling it. Later
     calls reuse the stored tables: their lineage is cut, and size checks
     before a broadcast scan a stored table instead of recomputing a join.
     """
@@ -202,7 +202,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             path = f"{base}/{name}"
             if name == "product_prices":
                 table = f"pinprice_state_{uuid.uuid4().hex[:12]}"
-                out[name] = write_bucketed(df, table, path, ("product", "pincode"), state_buckets(spark))
+                out[name] = write_bucketed(df, table, path, ("product",), state_buckets(spark))
                 _STATE_TABLE[key] = table
                 continue
             w = df.write.mode("overwrite")

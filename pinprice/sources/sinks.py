@@ -1,30 +1,34 @@
 """Sinks: change sets, whole-value merge, change counts, key-value overwrite.
 
-Parquet has no in-place update, so a merge produces a new table version
-(written to a fresh folder) instead of overwriting the folder being read.
+Parquet has no in-place update. A merge either produces a new table version in
+a fresh folder (``merge_into_table``), or rewrites just the hash partitions that
+hold an updated key (``merge_parts``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pinprice.functions.expr import price_path
 from pinprice.operators.aggregate import argmin, last_per_key
+from pinprice.session import co_located_joins
 
 
 def price_updates(result: DataFrame, price_col: str = "finalPrice",
-                  quantity_col: str | None = "quantity") -> DataFrame:
+                  quantity_col: str | None = "quantity", unique: bool = False) -> DataFrame:
     """Flat change set: product, path (``prices.<pincode>``), pincode, price, quantity.
 
     One row per (product, pincode): a pincode priced in several zones keeps its
-    least (price, quantity), as one entry is written per pincode.
+    least (price, quantity), as one entry is written per pincode. ``unique=True``
+    states that ``result`` holds every (product, pincode) once already, as
+    ``min_entry_for_pincodes`` gives it; nothing is then aggregated.
     """
     q = F.col(quantity_col).cast("int") if quantity_col else F.lit(None).cast("int")
     flat = result.select("product", "pincode", F.col(price_col).cast("bigint").alias("price"), q.alias("quantity"))
-    least = argmin(flat, ["product", "pincode"], ["price", "quantity"])
+    least = flat if unique else argmin(flat, ["product", "pincode"], ["price", "quantity"])
     return least.select("product", price_path("pincode").alias("path"), "pincode", "price", "quantity")
 
 
@@ -40,9 +44,11 @@ def price_map(updates: DataFrame) -> DataFrame:
 
 
 def _prepare(updates: DataFrame, keys: Sequence[str], value_cols: Sequence[str],
-             products: DataFrame | None, order_col: str | None) -> DataFrame:
+             products: DataFrame | None, order_col: str | None, unique: bool = False) -> DataFrame:
     u = updates
-    if order_col is not None:
+    if unique:
+        u = u.select(*keys, *value_cols, *([order_col] if order_col else []))
+    elif order_col is not None:
         u = last_per_key(u, keys, order_col, value_cols)
         u = u.select(*keys, *value_cols, order_col)
     else:
@@ -54,62 +60,90 @@ def _prepare(updates: DataFrame, keys: Sequence[str], value_cols: Sequence[str],
     return u
 
 
+def _meet(state: DataFrame, updates: DataFrame, keys: Sequence[str], value_cols: Sequence[str],
+          products: DataFrame | None, order_col: str | None, unique: bool, spread: tuple[str, int] | None,
+          how: str) -> tuple[DataFrame, Column, Column]:
+    """State and updates side by side (``_new_`` columns): (rows, the update applies, it changes the entry)."""
+    u = _prepare(updates, keys, value_cols, products, order_col, unique)
+    if spread is not None:  # the partitioning of the stored state, so that it isn't shuffled
+        u = u.repartition(spread[1], spread[0])
+    carry = [*value_cols, *([order_col] if order_col else [])]
+    st_cols = [F.col(c) for c in (*keys, *value_cols)]
+    if order_col:
+        seq = F.col(order_col) if order_col in state.columns else F.lit(None).cast(
+            dict(u.dtypes)[order_col])
+        st_cols.append(seq.alias(order_col))
+    st = state.select(*st_cols, F.lit(True).alias("_had"))
+    u = u.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in carry], F.lit(True).alias("_hit"))
+    rows = st.join(u, list(keys), how)
+    take = F.col("_hit").isNotNull()
+    if order_col:
+        take = take & (F.col(order_col).isNull() | (F.col(f"_new_{order_col}") >= F.col(order_col)))
+    same = F.col("_had").isNotNull()
+    for c in value_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_new_{c}"))
+    return rows, take, take & ~same
+
+
 def merge_values(state: DataFrame, updates: DataFrame, keys: Sequence[str] = ("product", "pincode"),
                  value_cols: Sequence[str] = ("price", "quantity"),
-                 products: DataFrame | None = None, order_col: str | None = None) -> DataFrame:
+                 products: DataFrame | None = None, order_col: str | None = None, unique: bool = False,
+                 spread: tuple[str, int] | None = None, changed_col: str | None = None) -> DataFrame:
     """Replace whole values by key; keep every untouched key.
 
     All value columns of an updated key come from the update together (a
     null in the update replaces the old value; no field-by-field coalesce).
     Several updates of one key count as one: the newest by ``order_col``, or
-    without it the least tuple of ``value_cols``.
+    without it the least tuple of ``value_cols``. ``unique=True`` states that
+    no key is updated twice, and nothing is then aggregated.
 
     With ``order_col`` (a sequence number such as a request id) the newest
     update per key wins, also against the state: the result keeps
     ``order_col`` and a key is only replaced by an update at least as new
     as the value it holds, so merging batches in any order, or a batch
     twice, gives the same table.
+
+    ``spread`` = (column, buckets) is how the stored state is bucketed: the
+    updates are dealt the same way and the state is not shuffled. (Updates
+    that come out of a plan with this partitioning need no ``spread``.)
+    ``changed_col`` adds a flag: the entry is new or its value differs
+    (null-safe) from the one before.
     """
     keys, value_cols = list(keys), list(value_cols)
-    u = _prepare(updates, keys, value_cols, products, order_col)
+    m, take, changed = _meet(state, updates, keys, value_cols, products, order_col, unique, spread, "full_outer")
     carry = value_cols + ([order_col] if order_col else [])
-    st_cols = [F.col(c) for c in keys + value_cols]
-    if order_col:
-        seq = F.col(order_col) if order_col in state.columns else F.lit(None).cast(
-            dict(u.dtypes)[order_col])
-        st_cols.append(seq.alias(order_col))
-    u = u.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in carry], F.lit(True).alias("_hit"))
-    m = state.select(*st_cols).join(u, keys, "full_outer")
-    take = F.col("_hit").isNotNull()
-    if order_col:
-        take = take & (F.col(order_col).isNull() | (F.col(f"_new_{order_col}") >= F.col(order_col)))
-    return m.select(*keys, *[F.when(take, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in carry])
+    flag = [] if changed_col is None else [changed.alias(changed_col)]
+    return m.select(*keys, *[F.when(take, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in carry], *flag)
+
+
+def modified_products(state: DataFrame, updates: DataFrame, keys: Sequence[str] = ("product", "pincode"),
+                      value_cols: Sequence[str] = ("price", "quantity"),
+                      products: DataFrame | None = None, order_col: str | None = None, unique: bool = False,
+                      group_col: str = "product", spread: tuple[str, int] | None = None) -> DataFrame:
+    """Modified count per document: ``group_col``, ``updated`` (entries that were
+    written) and ``modified`` (those that are new or differ, null-safe).
+
+    A document without an update has no row; with ``order_col`` an update
+    older than the stored value is not written and does not count.
+    """
+    keys, value_cols = list(keys), list(value_cols)
+    j, take, changed = _meet(state, updates, keys, value_cols, products, order_col, unique, spread, "right")
+    return j.groupBy(group_col).agg(F.count(F.when(take, True)).alias("updated"),
+                                    F.count(F.when(changed, True)).alias("modified"))
 
 
 def changed_count(state: DataFrame, updates: DataFrame, keys: Sequence[str] = ("product", "pincode"),
                   value_cols: Sequence[str] = ("price", "quantity"),
-                  products: DataFrame | None = None, order_col: str | None = None,
-                  group_col: str = "product") -> DataFrame:
+                  products: DataFrame | None = None, order_col: str | None = None, unique: bool = False,
+                  group_col: str = "product", spread: tuple[str, int] | None = None) -> DataFrame:
     """Number of ``group_col`` values (documents) a merge would modify.
 
     A key counts as modified when it is new or any value differs (null-safe);
     with ``order_col`` present in the state, an update older than the stored
     value is not applied and does not count. Output: one row, ``n`` BIGINT.
     """
-    keys, value_cols = list(keys), list(value_cols)
-    u = _prepare(updates, keys, value_cols, products, order_col)
-    old_cols = [F.col(c).alias(f"_old_{c}") for c in value_cols]
-    seq = order_col is not None and order_col in state.columns
-    if seq:
-        old_cols.append(F.col(order_col).alias("_old_seq"))
-    s = state.select(*keys, *old_cols, F.lit(True).alias("_had"))
-    j = u.join(s, keys, "left")
-    same = F.col("_had").isNotNull()
-    for c in value_cols:
-        same = same & F.col(c).eqNullSafe(F.col(f"_old_{c}"))
-    if seq:
-        same = same | (F.col("_had").isNotNull() & (F.col(order_col) < F.col("_old_seq")))
-    return j.where(~same).agg(F.countDistinct(group_col).cast("bigint").alias("n"))
+    each = modified_products(state, updates, keys, value_cols, products, order_col, unique, group_col, spread)
+    return each.where("modified > 0").agg(F.count(F.lit(1)).alias("n"))
 
 
 def assert_unique(df: DataFrame, key: str) -> None:
@@ -141,10 +175,11 @@ def write_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str] = (
                    buckets: int = 16, mode: str = "errorifexists") -> DataFrame:
     """Store a keyed table bucketed by ``keys`` (an external table at ``path``).
 
-    A later join or merge on exactly these keys reads the table without a
-    shuffle; only the other side is shuffled into the same buckets (seen on
-    Spark 4.1 with bucket counts below and above the shuffle partitions).
-    The bucket count is the merge's parallelism, so size it to the cluster.
+    A later join or merge on these keys, or on more than these, reads the
+    table without a shuffle; only the other side is shuffled into the same
+    buckets (seen on Spark 4.1 with bucket counts below and above the shuffle
+    partitions). The bucket count is the merge's parallelism, so size it to
+    the cluster.
     """
     (df.write.mode(mode).format("parquet").bucketBy(buckets, *keys)
      .option("path", path).saveAsTable(table))
@@ -155,15 +190,93 @@ def merge_into_table(spark: SparkSession, state_table: str, updates: DataFrame,
                      out_path: str, keys: Sequence[str] = ("product", "pincode"),
                      value_cols: Sequence[str] = ("price", "quantity"),
                      products: DataFrame | None = None, order_col: str | None = None,
-                     buckets: int = 16, mode: str = "errorifexists") -> DataFrame:
-    """Merge ``updates`` into a bucketed state table and store the result as
-    a new bucketed version (the old version stays readable).
+                     buckets: int = 16, mode: str = "errorifexists", bucket_by: str = "product",
+                     unique: bool = False, dealt: bool = False) -> tuple[DataFrame, int]:
+    """Merge ``updates`` into a state table bucketed by ``bucket_by`` and store
+    the result as a new bucketed version (the old version stays readable).
+
+    Returns (new version, number of ``bucket_by`` values whose entries
+    changed). The state is read bucket by bucket without an exchange, the
+    merged rows come out in the same buckets, so the write needs no shuffle,
+    and the count is observed on the rows being written: state and updates
+    meet once. Each document lies in one bucket, so its first changed row is
+    found there by a window that moves no rows. ``dealt=True``: the updates
+    come partitioned by ``bucket_by`` into ``buckets`` already.
+    """
+    co_located_joins(spark)
+    merged = merge_values(spark.table(state_table), updates, keys, value_cols, products, order_col, unique,
+                          None if dealt else (bucket_by, buckets), "_changed")
+    seen = Observation(f"merge {out_table}")
+    out, cols = _observe_modified(merged, bucket_by, seen)
+    write_bucketed(out.select(*cols), out_table, out_path, (bucket_by,), buckets, mode)
+    return spark.table(out_table), int(seen.get["modified"] or 0)
+
+
+def _observe_modified(merged: DataFrame, group_col: str, seen: Observation) -> tuple[DataFrame, list[str]]:
+    """Count the groups with a changed row while the rows pass: a group's first row, changed ones first, tells."""
+    first = F.row_number().over(Window.partitionBy(group_col).orderBy(F.col("_changed").desc()))
+    rows = merged.withColumn("_first", first)
+    out = rows.observe(seen, F.sum(F.when((F.col("_first") == 1) & F.col("_changed"), 1).otherwise(0)).alias("modified"))
+    return out, [c for c in merged.columns if c != "_changed"]
+
+
+_PART = "part_of_"
+
+
+def write_parts(df: DataFrame, path: str, parts: int = 64, key: str = "product", mode: str = "errorifexists") -> None:
+    """Store a keyed state in folders by a hash of ``key``, for merges that rewrite only the folders they touch.
+
+    The folder's name tells the number of parts, so that no later merge can
+    use another one. Size them so that one holds a few hundred MB.
+    """
+    part = f"{_PART}{parts}"
+    out = df.withColumn(part, _part_of(key, parts))
+    out.repartition(parts, part).write.mode(mode).partitionBy(part).parquet(path)
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The state stored by ``write_parts``, without its part column."""
+    df = spark.read.parquet(path)
+    return df.drop(*[c for c in df.columns if c.startswith(_PART)])
+
+
+def _part_of(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def merge_parts(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str] = ("product", "pincode"),
+                value_cols: Sequence[str] = ("price", "quantity"), products: DataFrame | None = None,
+                order_col: str | None = None, key: str = "product", unique: bool = False) -> tuple[int, int]:
+    """Merge ``updates`` into a state stored by ``write_parts``, rewriting only the parts that hold an updated key.
 
-    The state is read bucket by bucket without an exchange; the merged rows
-    come out partitioned by the same keys, so the write needs no shuffle.
+    Returns (parts rewritten, documents modified). Only those parts are read
+    (partition filter) and written (dynamic partition overwrite); bytes
+    written follow the updates, not the state. State and updates are both
+    dealt by part, so they meet and are written without a further exchange.
+    The new files replace the old ones when the job commits: a failure before
+    leaves the state as it was, and with ``order_col`` a repeated merge gives
+    the same state. Updates should be stored or checkpointed, as they are read
+    twice (once for the list of their parts, at most ``parts`` numbers).
     """
-    merged = merge_values(spark.table(state_table), updates, keys, value_cols, products, order_col)
-    return write_bucketed(merged, out_table, out_path, keys, buckets, mode)
+    state = spark.read.parquet(path)
+    part = next(c for c in state.columns if c.startswith(_PART))
+    parts = int(part.removeprefix(_PART))
+    u = _prepare(updates, list(keys), list(value_cols), products, order_col, unique).withColumn(part, _part_of(key, parts))
+    touched = sorted(r[part] for r in u.select(part).distinct().collect())
+    if not touched:
+        return 0, 0
+    if order_col and order_col not in state.columns:
+        raise ValueError(f"a state merged by {order_col!r} must hold that column")
+    co_located_joins(spark)
+    old = state.where(F.col(part).isin(touched)).repartition(len(touched), part)
+    new = u.repartition(len(touched), part)
+    merged = merge_values(old, new, [part, *keys], value_cols, None, order_col, True, None, "_changed")
+    seen = Observation(f"merge {path}")
+    out, cols = _observe_modified(merged, key, seen)
+    out = out.select(*[c for c in cols if c != part], part)
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path))
+    spark.catalog.refreshByPath(path)
+    return len(touched), int(seen.get["modified"] or 0)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",

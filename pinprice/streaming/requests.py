@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pinprice import schemas
+from pinprice.operators.aggregate import last_per_key
 from pinprice.plans.requests import OUTPUT, price_requests
-from pinprice.sources.state import append_delta
+from pinprice.sources.sinks import merge_values
+
+KEYS, VALUES = ["product", "pincode"], ["price", "quantity"]
 
 
 def _requests(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None, products: DataFrame | None) -> DataFrame:
@@ -81,22 +84,50 @@ def _stream_id(spark: SparkSession, checkpoint_dir: str) -> str:
     return own or hashlib.md5(checkpoint_dir.encode()).hexdigest()
 
 
-def stream_merge_prices(spark: SparkSession, source_dir: str, state_path: str, checkpoint_dir: str,
+def write_updates(updates: DataFrame, updates_dir: str, stream: str, batch: int) -> None:
+    """Write a batch's price updates (product, pincode, price, quantity, seq), the newest per key.
+
+    Plain Parquet, one folder per stream and batch, so a repeated batch
+    replaces its own rows only, and what a batch writes follows the batch.
+    """
+    newest = last_per_key(updates, KEYS, "seq", VALUES).select(*KEYS, *VALUES, "seq")
+    newest.write.mode("overwrite").parquet(f"{updates_dir.rstrip('/')}/stream={stream}/batch={batch}")
+
+
+def read_updates(spark: SparkSession, updates_dir: str) -> DataFrame:
+    """All updates that any stream has written so far."""
+    return spark.read.parquet(updates_dir).select(*KEYS, *VALUES, "seq")
+
+
+def current_prices(state: DataFrame, updates: DataFrame) -> DataFrame:
+    """The state with the streams' updates: per product and pincode the entry of greatest ``seq``.
+
+    An entry of the state without a ``seq`` is older than any update. Applying
+    updates that the state holds already changes nothing, so no list of
+    applied batches is kept: a snapshot is the ordinary job
+    ``merge_into_table(..., order_col="seq")`` into a new table version, and
+    streams that go on write updates for that version as for the one before.
+    """
+    return merge_values(state, updates, KEYS, VALUES, order_col="seq")
+
+
+def stream_merge_prices(spark: SparkSession, source_dir: str, updates_dir: str, checkpoint_dir: str,
                         offers: DataFrame, pincodes: DataFrame, products: DataFrame | None = None,
                         distances: DataFrame | None = None, run: int = 0, max_files_per_trigger: int | None = None,
                         available_now: bool = True, winners: DataFrame | None = None,
                         sellers: DataFrame | None = None, **options) -> object:
-    """Price each micro-batch of requests and write its prices to a state as a delta.
+    """Price each micro-batch of requests and write its prices as updates of the price state.
 
-    ``state_path`` is a state made by ``create_state``; ``read_state`` gives it
-    with all batches merged: per product and pincode the newest request wins, by
-    ``run`` (which rises from one request table to the next) and request id,
-    whatever the order of batches. A repeated batch writes the same delta again.
+    ``current_prices(state, read_updates(spark, updates_dir))`` gives the
+    state with all batches: per product and pincode the newest request wins,
+    by ``run`` (which rises from one request table to the next) and request
+    id, whatever the order of batches. A repeated batch writes the same
+    updates again.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         res = _price_batch(batch, offers, pincodes, products, distances, winners, options, sellers)
         seq = F.struct(F.lit(run).cast("bigint").alias("run"), F.col("request_id"))
         upd = res.select("product", "pincode", "price", "quantity", seq.alias("seq"))
-        append_delta(upd, state_path, _stream_id(spark, checkpoint_dir), batch_id)
+        write_updates(upd, updates_dir, _stream_id(spark, checkpoint_dir), batch_id)
 
     return _start(_requests(spark, source_dir, max_files_per_trigger, products), handle, checkpoint_dir, available_now)

@@ -1,18 +1,28 @@
 import contextlib
 import io
+import random
+from pathlib import Path
 
 import pytest
 
-from conftest import DIST_DDL, PRICES_DDL, PROD_DDL, rows
+from conftest import DIST_DDL, OFFER_DDL, PIN_DDL, PRICES_DDL, PROD_DDL, rows, uniq
 from pinprice.plans.distances import export_distances, lookup_distance
+from pinprice.plans.jobs import recompute_zone_prices
+from pinprice.plans.offers import min_entry_for_pincodes, min_price_for_zone
 from pinprice.session import shared_dir
 from pinprice.sources.sinks import (
     changed_count,
+    merge_into_table,
+    merge_parts,
     merge_values,
+    modified_products,
     price_map,
     price_updates,
     read_kv,
+    read_parts,
+    write_bucketed,
     write_kv,
+    write_parts,
     write_table,
 )
 
@@ -121,25 +131,108 @@ def test_write_table_refuses_overwrite(mk, spark):
         write_table(df, path)
 
 
-def test_merge_into_bucketed_table_versions(mk, spark):
-    from pinprice.sources.sinks import merge_into_table, write_bucketed
+def plan(df):
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
 
-    state = mk([(1, 1, 10, 1), (1, 2, 20, 2)], PRICES_DDL)
-    base = shared_dir(spark, "test-state")
-    from conftest import uniq
 
+@pytest.mark.parametrize("key", [("product", "pincode"), ("product",)])
+def test_merge_into_bucketed_table_versions(mk, spark, key):
+    state = mk([(1, 1, 10, 1), (1, 2, 20, 2), (3, 1, 30, 3)], PRICES_DDL)
+    base = shared_dir(spark, "test-state")
     v0, v1n = uniq("t_state_v0"), uniq("t_state_v1")
-    write_bucketed(state, v0, f"{base}/v0", buckets=8)
-    upd = mk([(1, 2, 21, None), (2, 1, 5, 1)], PRICES_DDL)
-    v1 = merge_into_table(spark, v0, upd, v1n, f"{base}/v1", buckets=8)
-    assert rows(v1) == [(1, 1, 10, 1), (1, 2, 21, None), (2, 1, 5, 1)]
+    write_bucketed(state, v0, f"{base}/v0", key, buckets=8)
+    upd = mk([(1, 2, 21, None), (2, 1, 5, 1), (2, 2, 6, 1), (3, 1, 30, 3)], PRICES_DDL)
+    v1, n = merge_into_table(spark, v0, upd, v1n, f"{base}/v1", buckets=8)
+    assert rows(v1) == [(1, 1, 10, 1), (1, 2, 21, None), (2, 1, 5, 1), (2, 2, 6, 1), (3, 1, 30, 3)]
+    assert n == 2 == changed_count(state, upd).first()["n"]    # products 1 and 2; 3 is the same
     assert rows(spark.table(v0)) == rows(state)   # previous version intact
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        merge_values(spark.table(v1n), upd).explain()
-    p = buf.getvalue()
+    p = plan(merge_values(spark.table(v1n), upd, spread=("product", 8)))
     assert "Bucketed: true" in p
-    assert p.count("Exchange hashpartitioning(product") == 1   # only the updates side
+    scan = p[p.index("SortMergeJoin"):].split("Sort [")[1]
+    assert "Exchange" not in scan   # the state side is read bucket by bucket
+
+
+def test_merge_that_changes_nothing_and_an_empty_one(mk, spark):
+    state = mk([(1, 1, 10, None)], PRICES_DDL)
+    base = shared_dir(spark, "test-state")
+    v = [uniq("t_same") for _ in range(3)]
+    write_bucketed(state, v[0], f"{base}/v0", ("product",), buckets=4)
+    for i, upd in enumerate((state, state.limit(0))):
+        new, n = merge_into_table(spark, v[i], upd, v[i + 1], f"{base}/v{i + 1}", buckets=4)
+        assert (rows(new), n) == ([(1, 1, 10, None)], 0)
+
+
+def test_modified_count_per_product(mk, spark):
+    state = mk([(1, 1, 10, 1), (1, 2, 20, 2), (2, 1, 5, None), (4, 1, 1, 1)], PRICES_DDL)
+    upd = mk([(1, 1, 12, 1), (1, 2, 20, 2), (2, 1, 5, None), (3, 4, 8, 2), (3, 5, 8, 2)], PRICES_DDL)
+    assert rows(modified_products(state, upd)) == [(1, 2, 1), (2, 1, 0), (3, 2, 2)]
+    ddl = PRICES_DDL + ", request_id BIGINT"
+    old = spark.createDataFrame([(1, 1, 12, 1, 7), (2, 1, 3, 3, 7)], ddl)
+    late = spark.createDataFrame([(1, 1, 99, 9, 5), (2, 1, 4, 4, 8)], ddl)
+    assert rows(modified_products(old, late, order_col="request_id")) == [(1, 0, 0), (2, 1, 1)]
+
+
+def stored(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in Path(path).rglob("part_of_*/*.parquet")}
+
+
+def test_a_merge_writes_only_the_parts_it_touches(mk, spark):
+    """Files of untouched parts stay the same files; the merged state equals a merge of the whole."""
+    ddl = PRICES_DDL + ", seq BIGINT"
+    state = spark.createDataFrame([(p, c, p + c, 1, None) for p in range(200) for c in range(3)], ddl)
+    path = shared_dir(spark, "test-parts").removeprefix("file:")
+    write_parts(state, path, parts=16)
+    before = stored(path)
+    assert len(before) == 16
+    upd = spark.createDataFrame([(7, 1, 99, 9, 1), (7, 1, 100, 9, 2), (8, 2, 10, 1, 1), (900, 1, 5, 5, 1)], ddl)
+    homes = {r[0] for r in upd.selectExpr("cast(pmod(xxhash64(product), 16) as int)").collect()}
+    touched, modified = merge_parts(spark, path, upd, order_col="seq")
+    after = stored(path)
+    changed = {f for f in before if before[f] != after.get(f)} | (after.keys() - before.keys())
+    assert touched == len(homes) and {int(f.split("=")[1].split("/")[0]) for f in changed} == homes
+    assert modified == 2 and len(after) == 16    # 8 keeps its value
+    assert rows(read_parts(spark, path)) == rows(merge_values(state, upd, order_col="seq"))
+    assert merge_parts(spark, path, upd, order_col="seq") == (len(homes), 0)   # again: the same state
+    assert merge_parts(spark, path, upd.limit(0), order_col="seq") == (0, 0)
+    assert rows(read_parts(spark, path)) == rows(merge_values(state, upd, order_col="seq"))
+
+
+def test_parts_need_the_order_column(mk, spark):
+    path = shared_dir(spark, "test-parts")
+    write_parts(mk([(1, 1, 1, 1)], PRICES_DDL), path, parts=4)
+    with pytest.raises(ValueError, match="seq"):
+        merge_parts(spark, path, spark.createDataFrame([(1, 1, 2, 2, 1)], PRICES_DDL + ", seq BIGINT"), order_col="seq")
+
+
+def test_zone_sets_give_one_entry_per_pincode(mk):
+    """Against pricing every zone and then taking the least entry of each pincode."""
+    rng = random.Random(2)
+    offers = mk([(rng.choice("ABC"), rng.randrange(6), 1, rng.choice([None, 5, 6, 7]), 1.0, rng.choice([None, 0, 1, 2]))
+                 for _ in range(60)], OFFER_DDL)
+    pins = mk([(p, z) for p in range(30) for z in rng.sample(["A", "b ", "C", None, "D"], rng.randint(1, 4))], PIN_DDL)
+    want = price_updates(min_price_for_zone(offers, pins)).drop("path")
+    for options in ({}, {"partitions": 4}, {"max_broadcast_rows": 1}):
+        got = min_entry_for_pincodes(offers, pins, **options)
+        assert rows(price_updates(got, "price", unique=True).drop("path")) == rows(want)
+
+
+def test_recompute_zone_prices_is_one_stage_from_winners_to_the_new_version(mk, spark):
+    offers = mk([("A", 1, 1, 100, 1.0, 5), ("B", 1, 2, 90, 1.0, 6), ("A", 2, 1, 50, 1.0, 7)], OFFER_DDL)
+    pins = mk([(10, "A"), (10, "B"), (11, "A"), (12, "B")], PIN_DDL)
+    base = shared_dir(spark, "test-zone")
+    v0, v1 = uniq("t_zone_v0"), uniq("t_zone_v1")
+    write_bucketed(mk([(2, 10, 87, 7), (1, 11, 1, 1), (1, 99, 9, 9)], PRICES_DDL), v0, f"{base}/v0", ("product",), 4)
+    new, n = recompute_zone_prices(spark, offers, pins, v0, v1, f"{base}/v1", buckets=4)
+    assert rows(new) == [(1, 10, 128, 6), (1, 11, 138, 5), (1, 12, 128, 6), (1, 99, 9, 9), (2, 10, 87, 7), (2, 11, 87, 7)]
+    assert n.first()["n"] == 2
+    upd = min_entry_for_pincodes(offers, pins, partitions=4)
+    lines = plan(merge_values(spark.table(v1), upd, unique=True)).split("\n")
+    join = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line)
+    grow = next(i for i, line in enumerate(lines) if "BroadcastHashJoin [zones" in line)
+    assert "Bucketed: true" in "".join(lines[join:grow]) and "Exchange" not in "".join(lines[:grow])
 
 
 def test_fetch_by_id_first_rows(mk, spark):

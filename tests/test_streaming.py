@@ -49,67 +49,71 @@ def test_recompute_job_matches_stream_and_is_idempotent(spark):
 SEQ_DDL = "product BIGINT, pincode INT, price BIGINT, quantity INT, seq STRUCT<run: BIGINT, request_id: BIGINT>"
 
 
-def test_state_does_not_depend_on_session_settings(spark):
+def test_updates_do_not_depend_on_session_settings(spark):
     from pinprice.session import shared_dir
-    from pinprice.sources.state import append_delta, compact, create_state, read_state
+    from pinprice.streaming.requests import current_prices, read_updates, write_updates
 
-    path = shared_dir(spark, "test-state")
+    path = shared_dir(spark, "test-updates")
     own = spark.conf.get("spark.sql.shuffle.partitions")
+    state = spark.range(1000).selectExpr("id AS product", "1 AS pincode", "id AS price", "1 AS quantity")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", 16)
-        create_state(spark.range(1000).selectExpr("id AS product", "1 AS pincode", "id AS price", "1 AS quantity"), path)
-        spark.conf.set("spark.sql.shuffle.partitions", 8)
         new = [(5000 + i, 1, i, 1, (0, i)) for i in range(10)]
-        append_delta(spark.createDataFrame(new, SEQ_DDL), path, "a", 0)
-        assert read_state(spark, path).count() == 1010
-        compact(spark, path)
+        write_updates(spark.createDataFrame(new, SEQ_DDL), path, "a", 0)
+        assert current_prices(state, read_updates(spark, path)).count() == 1010
         spark.conf.set("spark.sql.shuffle.partitions", 32)
         every = [(i, 1, 7, 1, (1, i)) for i in range(1000)]
-        append_delta(spark.createDataFrame(every, SEQ_DDL), path, "a", 1)
-        out = read_state(spark, path)
+        write_updates(spark.createDataFrame(every, SEQ_DDL), path, "a", 1)
+        out = current_prices(state, read_updates(spark, path))
         assert out.count() == 1010 and out.where("price = 7").count() >= 1000
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", own)
 
 
-def test_a_new_checkpoint_hides_nothing(spark, mk):
-    """Three batches, then another stream's batch 0: all are read, a repeated batch changes nothing."""
+def test_a_new_checkpoint_hides_nothing_and_a_snapshot_is_an_ordinary_job(spark, mk):
+    """Three batches, then another stream's batch 0: all are read, a repeated batch changes nothing, and a snapshot
+    holds what was read, before and after applying the same updates again."""
+    from conftest import uniq
     from pinprice.session import shared_dir
-    from pinprice.sources.state import append_delta, compact, create_state, read_state
+    from pinprice.sources.sinks import merge_into_table, write_bucketed
+    from pinprice.streaming.requests import current_prices, read_updates, write_updates
 
-    path = shared_dir(spark, "test-state")
-    create_state(mk([(9, 9, 1, 1)], "product BIGINT, pincode INT, price BIGINT, quantity INT"), path)
+    base = shared_dir(spark, "test-updates")
+    path = f"{base}/updates"
+    state = mk([(9, 9, 1, 1)], "product BIGINT, pincode INT, price BIGINT, quantity INT")
+    now = lambda s=state: rows(current_prices(s, read_updates(spark, path)).drop("seq"))
     for b in range(3):
-        append_delta(spark.createDataFrame([(b, 1, 10 + b, 1, (0, b))], SEQ_DDL), path, "old", b)
-    append_delta(spark.createDataFrame([(7, 1, 70, 1, (1, 0)), (0, 1, 99, 1, (1, 1))], SEQ_DDL), path, "new", 0)
+        write_updates(spark.createDataFrame([(b, 1, 10 + b, 1, (0, b))], SEQ_DDL), path, "old", b)
+    write_updates(spark.createDataFrame([(7, 1, 70, 1, (1, 0)), (0, 1, 99, 1, (1, 1))], SEQ_DDL), path, "new", 0)
     want = [(0, 1, 99, 1), (1, 1, 11, 1), (2, 1, 12, 1), (7, 1, 70, 1), (9, 9, 1, 1)]
-    assert rows(read_state(spark, path).drop("seq")) == want
-    append_delta(spark.createDataFrame([(0, 1, 10, 1, (0, 0))], SEQ_DDL), path, "old", 0)
-    assert rows(read_state(spark, path).drop("seq")) == want
-    for _ in range(3):
-        compact(spark, path)
-        assert rows(read_state(spark, path).drop("seq")) == want
+    assert now() == want
+    write_updates(spark.createDataFrame([(0, 1, 10, 1, (0, 0))], SEQ_DDL), path, "old", 0)
+    assert now() == want
+    v0, v1, v2 = (uniq("t_snap") for _ in range(3))
+    write_bucketed(state, v0, f"{base}/v0", ("product",), 4)
+    snap, n = merge_into_table(spark, v0, read_updates(spark, path), v1, f"{base}/v1", order_col="seq", buckets=4)
+    assert rows(snap.drop("seq")) == want and n == 4
+    again, n = merge_into_table(spark, v1, read_updates(spark, path), v2, f"{base}/v2", order_col="seq", buckets=4)
+    assert rows(again) == rows(snap) and n == 0
     # an older run's request never replaces a newer run's value, although its id is greater
-    append_delta(spark.createDataFrame([(7, 1, 1, 1, (0, 50))], SEQ_DDL), path, "new", 1)
-    assert rows(read_state(spark, path).drop("seq")) == want
+    write_updates(spark.createDataFrame([(7, 1, 1, 1, (0, 50)), (8, 1, 80, 1, (0, 51))], SEQ_DDL), path, "new", 1)
+    want = sorted([*want, (8, 1, 80, 1)])
+    assert now() == want and now(snap) == want
 
 
-def test_restarted_stream_adds_to_the_state(spark):
-    """The query id names the stream: a second checkpoint over new files continues on the same state."""
+def test_restarted_stream_adds_to_the_updates(spark):
+    """The query id names the stream: a second checkpoint over new files continues beside the first."""
     from pinprice.session import shared_dir
     from pinprice.sources.fixtures import fixture_tables
-    from pinprice.sources.state import create_state, read_state
-    from pinprice.streaming.requests import stream_merge_prices
+    from pinprice.streaming.requests import current_prices, read_updates, stream_merge_prices
 
     t = fixture_tables(spark, SF001)
     base = shared_dir(spark, "test-stream")
-    create_state(t["product_prices"], f"{base}/state")
     half = t["requests"].where("request_id < 500"), t["requests"].where("request_id >= 500")
     for i, part in enumerate(half):
         part.coalesce(1).write.parquet(f"{base}/src{i}")
-        stream_merge_prices(spark, f"{base}/src{i}", f"{base}/state", f"{base}/ckpt{i}", t["zoneprices"], t["pincodes"],
+        stream_merge_prices(spark, f"{base}/src{i}", f"{base}/updates", f"{base}/ckpt{i}", t["zoneprices"], t["pincodes"],
                             t["productinfos"]).awaitTermination()
-    got = rows(read_state(spark, f"{base}/state").drop("seq"))
+    got = rows(current_prices(t["product_prices"], read_updates(spark, f"{base}/updates")).drop("seq"))
     assert got == rows(E.queries()["q25_stream_merge_prices"](spark, SF001))
-    deltas = spark.read.parquet(f"{base}/state/delta").select("stream").distinct().count()
-    assert deltas == 2
+    assert spark.read.parquet(f"{base}/updates").select("stream").distinct().count() == 2
