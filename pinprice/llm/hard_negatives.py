@@ -48,7 +48,7 @@ from pinprice.llm.common import ship_package, store
 from pinprice.llm.topk_search import exact_dtype, scaled
 
 #: Rows of a block, rows of a leaf on average, and pivots of the layout.
-BLOCK_ROWS, LEAF_ROWS, PIVOTS = 2048, 64, 64
+BLOCK_ROWS, LEAF_ROWS, PIVOTS = 4096, 256, 64
 #: Relative slack of the floating-point bounds (the scores themselves are exact).
 SLACK = 1e-6
 #: Partitions that the cells are dealt to, at most.
@@ -338,7 +338,7 @@ def _short(score: int) -> int:
 
 def mine(rows: DataFrame, anchors: Column, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
          positives: int = 5, negatives: int = 3, scale: int = 256, block_rows: int = BLOCK_ROWS,
-         leaf_rows: int = LEAF_ROWS, block_group: int = 16, query_group: int = 256) -> DataFrame:
+         leaf_rows: int = LEAF_ROWS, block_group: int = 8, query_group: int = 256) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score, for every row that ``anchors``
     (over the column ``id``) selects."""
     spark = rows.sparkSession
