@@ -9,7 +9,7 @@ documents keep the same dart with probability equal to their weighted Jaccard
 similarity. Rank is opened until every coordinate has a dart, so the work is
 in proportion to the words plus k log k.
 
-Documents of equal words form one class and are represented by their least id.
+Documents of equal words form one class and are represented by one of them.
 Representatives that agree in a whole band share a bucket. In a few rounds
 every member meets one drawn member of its bucket, and the exact similarity
 (0.8 or more) decides. Where a bucket still holds several components then, the
@@ -19,11 +19,16 @@ different texts is lost, and no group emits all its pairs. Classes are the
 connected components, found by alternating star steps with stored tables in
 between.
 
-Defined results: texts without words are in no class but their own; a text of
-fewer than five words is one shingle; rows of one id are one document, and where
-they differ in text any of them may stand for it; a null id has a null class and
-stays; ties go to the least id; an empty table gives no rows; other columns pass
-through.
+Every distinct text (by its words) is a member with a number of its own, given
+when the texts' table is written; ids only rank. So rows of a null id, of an id
+that is repeated and of one id with unlike texts are all rows of their own.
+
+Defined results: one row per input row; texts without words are in no class but
+their own; a text of fewer than five words is one shingle; rows of equal words
+are of one class whatever their ids; ties go to the least id, null ids last, and
+then to the texts' hashes; a class of null ids only has a null id; texts of any
+length are read whole; an empty table gives no rows; other columns, of any
+name, pass through ``keep_one`` and are no part of ``near_duplicates``.
 """
 
 from __future__ import annotations
@@ -32,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pinprice.llm.common import ship_package, slices, store
+from pinprice.llm.common import WORD_PATTERN, ship_package, slices, store
 from pinprice.llm.hashing import Words, batches_of, mix, spans_digest, words_of
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
@@ -125,9 +130,9 @@ def _throw(unit, rank, base, seen, unit_text, k, sig, best) -> None:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text) to (doc, d1, d2, words, bands)."""
+    """(doc, text, h1, h2) to (doc, h1, h2, d1, d2, words, bands)."""
     for batch in slices(batches):
-        docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        texts = batch.column(1).to_pylist()
         for lo, hi in batches_of(texts):
             w = words_of([t.lower() for t in texts[lo:hi]])
             d1, d2 = spans_digest(w.hash, w.first[:-1], w.first[1:], 13)
@@ -139,9 +144,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = mix(key ^ rows[:, :, r], 43)
             bands = pa.FixedSizeListArray.from_arrays(pa.array(key.view(np.int64).ravel()), BANDS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs[lo:hi].astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
-                 pa.array(np.diff(w.first)), bands.cast(pa.list_(pa.int64()))],
-                names=["doc", "d1", "d2", "words", "bands"])
+                [*(batch.column(c).slice(lo, hi - lo) for c in (0, 2, 3)), pa.array(d1.view(np.int64)),
+                 pa.array(d2.view(np.int64)), pa.array(np.diff(w.first)), bands.cast(pa.list_(pa.int64()))],
+                names=["doc", "h1", "h2", "d1", "d2", "words", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,27 +289,53 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_verified, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, class_id, rep for every id: the least id of its class, and of the documents with its very words."""
+def _keys(text: Column) -> list[Column]:
+    """128 bits that tell texts apart."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
+#: Rows by id and text; an id may be null.
+_ROW = ("doc", "h1", "h2")
+
+
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc"].eqNullSafe(b["doc"]) & (a["h1"] == b["h1"]) & (a["h2"] == b["h2"])
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, h1, h2, node (null without words), class (a node), class_id, rep for every row."""
     ship_package(docs.sparkSession)
-    body = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
-    body = body.where("doc is not null")
-    sketch = store(body.mapInArrow(_sketch, "doc long, d1 long, d2 long, words long, bands array<long>"), "near-sketch")
-    same = sketch.where("words > 0").groupBy("d1", "d2").agg(F.min("doc").alias("rep"))
-    classes = sketch.select("doc", "d1", "d2", "words").join(same, ["d1", "d2"], "left")
-    classes = classes.groupBy("doc").agg(F.min(F.coalesce("rep", "doc")).alias("rep"))
-    classes = store(classes, "near-copies")
-    reps = sketch.join(same.select(F.col("rep").alias("doc"), "d1", "d2"), ["doc", "d1", "d2"], "left_semi")
-    buckets = store(_buckets(reps.dropDuplicates(["doc"])), "near-buckets")
-    texts = body.join(buckets.select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.min("t").alias("t"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    body = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text.alias("t"), *_keys(text))
+    sketch = store(body.mapInArrow(_sketch, "doc long, h1 long, h2 long, d1 long, d2 long, words long, bands array<long>"),
+                   "near-sketch")
+    # members: the distinct texts, numbered when their table is written; a row of least id stands for each
+    row = F.struct(F.col("doc").isNull().alias("none"), *_ROW)
+    nodes = sketch.where("words > 0").groupBy("d1", "d2").agg(F.min(row).alias("r"), F.first("bands").alias("bands"))
+    nodes = store(nodes.select("d1", "d2", "r.doc", "r.h1", "r.h2", "bands", F.monotonically_increasing_id().alias("node")),
+                  "near-nodes")
+    buckets = store(_buckets(nodes.select(F.col("node").alias("doc"), "bands")), "near-buckets")
+    ask = nodes.select(*_ROW, "node").join(buckets.select(F.col("doc").alias("node")).distinct(), "node", "left_semi")
+    texts = body.join(ask, _same_row(body, ask)).groupBy("node").agg(F.min("t").alias("t"))
     sets = store(texts.mapInArrow(_sets, "doc long, hs binary, cs binary"), "near-sets")
     comps = None
     for turn in range(STARS):
         links = store(_similar(_star_pairs(_marked(buckets, comps), turn), sets), "near-links")
         comps = _joined(comps, links)
     comps = _joined(comps, _unresolved(_marked(buckets, comps), sets))
-    least = classes.join(comps.select(F.col("doc").alias("rep"), "comp"), "rep", "left")
-    return least.select("doc", F.coalesce("comp", "rep").alias("class_id"), "rep")
+    of = nodes.select("d1", "d2", "node", F.col("doc").alias("rep")).join(
+        comps.select(F.col("doc").alias("node"), "comp"), "node", "left").withColumn("class", F.coalesce("comp", "node"))
+    least = of.groupBy("class").agg(F.min("rep").alias("class_id"))
+    of = store(of.join(least, "class").select("d1", "d2", "node", "class", "class_id", "rep"), "near-classes")
+    rows = sketch.select(*_ROW, F.when(F.col("words") > 0, F.col("d1")).alias("d1"), "d2").join(of, ["d1", "d2"], "left")
+    alone = F.col("node").isNull()
+    return rows.select(*_ROW, "node", "class", F.when(alone, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"),
+                       F.when(alone, F.col("doc")).otherwise(F.col("rep")).alias("rep"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, class_id, rep for every row: the least id of its class, and of the rows with its very words."""
+    return _classes(docs, id_col, text_col).select("doc", "class_id", "rep")
 
 
 def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -351,12 +382,15 @@ def _unresolved(marked: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate class: the one of least id. Null ids stay."""
-    classes = near_duplicates(docs, id_col, text_col)
-    kept = classes.where("doc = class_id").select(F.col("doc").alias("__doc"))
-    rows = docs.withColumn("__doc", F.col(f"`{id_col}`").cast("long"))
-    one = rows.join(kept, "__doc", "left_semi").dropDuplicates(["__doc"])
-    return one.unionByName(rows.where("__doc is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one row of each near-duplicate class: the one of least id. Rows without words stay."""
+    classes = _classes(docs, id_col, text_col).where("class is not null")
+    row = F.struct(F.col("doc").isNull().alias("none"), *_ROW)
+    kept = classes.groupBy("class").agg(F.min(row).alias("r")).select("r.doc", "r.h1", "r.h2")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(f"`{id_col}`").cast("long").alias("doc"), *_keys(text), text.rlike(WORD_PATTERN).alias("words"))
+    one = rows.where("words").join(kept, _same_row(rows, kept), "left_semi").dropDuplicates([*_ROW])
+    return one.unionByName(rows.where("not words")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 __all__ = ["BANDS", "ROWS", "THRESHOLD", "WIDTH", "components", "keep_one", "near_duplicates", "shingles", "signatures",

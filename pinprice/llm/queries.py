@@ -68,7 +68,7 @@ def op4_dart_minhash(spark, sf_dir):
     """Every document's near-duplicate class (its least doc_id) and whether the document is the one that stays."""
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     out = dart_minhash.near_duplicates(docs)
-    return out.select(F.col("doc").alias("doc_id"), "class_id", (F.col("doc") == F.col("class_id")).alias("kept"))
+    return out.select(F.col("doc").alias("doc_id"), "class_id", F.col("doc").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def op5_source_mixing(spark, sf_dir):

@@ -61,18 +61,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
         (cap * F.col("source_size")).cast("double"), level * F.col("weight").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17,
-        source_col: str = "source", text_col: str = "text", id_col: str = "doc_id",
-        size_col: str | None = None) -> DataFrame:
-    """The rows of ``docs`` with size, source_size, target and ``copies`` (0 to cap).
-
-    ``size_col`` names a column that already holds the sizes.
-    """
-    kept = [c for c in docs.columns if c not in ADDED or c in (source_col, text_col, id_col, size_col)]
+def _placed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17,
+            source_col: str = "source", text_col: str = "text", id_col: str = "doc_id",
+            size_col: str | None = None) -> DataFrame:
+    """``row`` (the whole row of ``docs``) with size, source_size, target and ``copies``."""
     size = F.coalesce(F.col(f"`{size_col}`"), F.lit(0)).cast("long") if size_col else word_count(F.col(f"`{text_col}`"))
     salt = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
                                            .cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(SALTS))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                         F.col(f"`{source_col}`").alias("source"), size.alias("size"), salt.alias("salt"))
     cells = store(keyed.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
     by_size = cells.groupBy("source", "size").agg(F.sum("n").alias("m"))
@@ -101,16 +97,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     part = rate - whole
     crossed = F.floor((F.col("j") + 1) * part + shift) - F.floor(F.col("j") * part + shift)
     copies = F.when(F.col("size") > 0, whole + crossed).otherwise(0).cast("int")
-    kept = [c for c in kept if c not in ADDED]
-    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "size", "source_size", "target",
-                       copies.alias("copies"))
+    return rows.select("row", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` with size, source_size, target and ``copies`` (0 to cap).
+
+    Options: ``weights``, ``cap``, ``seed``, ``source_col``, ``text_col``, ``id_col``; ``size_col`` names a column
+    that already holds the sizes.
+    """
+    kept = [c for c in docs.columns if c not in ADDED]
+    return _placed(docs, **options).select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *ADDED)
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row once per copy that the mix takes, columns unchanged."""
-    mixed = mix(docs, **options)
-    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with each row once per copy that the mix takes; its columns come back as they are, whatever their names."""
+    taken = _placed(docs, **options).where("copies > 0")
+    each = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return each.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 __all__ = ["emit", "mix", "targets"]

@@ -205,6 +205,38 @@ def test_one_of_each_class_stays(spark, copies):
     assert D.near_duplicates(df.limit(0)).count() == 0 and D.keep_one(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_or_none_are_rows_of_their_own(spark, copies):
+    """Repeated ids with unlike texts, null ids, equal rows, and columns named like the operator's own."""
+    a, b, c = prose(40), prose(40), prose(40)
+    near = a.split()
+    near[20] = "changed"
+    rows = [(1, a), (1, b), (2, a.upper()), (None, a), (None, c), (None, c), (3, " ".join(near)), (902, b), (902, b), (902, c),
+            (5, ""), (5, ""), (None, None), (6, " \n")]
+    ddl = "doc_id long, text string, `__doc` string, row int, h1 string, words string, doc int, `class` int"
+    df = spark.createDataFrame([(*r, f"d{i}", i, "h", "w", -i, i) for i, r in enumerate(rows)], ddl).repartition(3)
+    got = sorted(((r["doc"], r["class_id"]) for r in D.near_duplicates(df).collect()), key=str)
+    want = [(1, 1), (1, 1), (2, 1), (None, 1), (None, 902), (None, 902), (3, 1), (902, 1), (902, 1), (902, 902), (5, 5),
+            (5, 5), (None, None), (6, 6)]
+    # an edit of one of 40 words leaves 31 of 41 shingles: no link
+    want[6] = (3, 3)
+    assert got == sorted(want, key=str)
+    kept = D.keep_one(df).collect()
+    assert list(kept[0].asDict()) == df.columns
+    assert all(r["__doc"] == f"d{r['row']}" and r["doc"] == -r["row"] == -r["class"] for r in kept)
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept) == sorted(
+        [("1", a), ("1", b), ("902", c), ("3", " ".join(near)), ("5", ""), ("5", ""), ("None", ""), ("6", " \n")])
+
+
+def test_query_has_a_row_for_every_row(spark, tmp_path):
+    from pinprice.llm.queries import op4_dart_minhash
+
+    rows = [(i % 30 if i % 4 else None, prose(20 + i % 3) if i % 5 else "one text of six words here") for i in range(48)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = op4_dart_minhash(spark, str(tmp_path)).collect()
+    assert len(out) == 48 and sum(r["doc_id"] is None for r in out) == 12
+    assert len({r["class_id"] for r, t in zip(out, rows, strict=True) if r["doc_id"] is not None}) > 10
+
+
 def test_no_link_is_lost_when_no_star_finds_it(spark, monkeypatch):
     """A chain whose ends are unlike, without star rounds that help: the cells find every join."""
     base = prose(60).split()

@@ -69,3 +69,13 @@ def test_odd_rows(spark):
     assert run(spark, rows[:2])[1][0]["target"] == 0.0
     assert run(spark, [])[1] == []
     assert M.emit(df).columns == df.columns and M.emit(df).count() == 2
+
+
+def test_emit_returns_columns_named_like_its_own(spark):
+    rows = [(i, "w " * (i + 1), "ab"[i % 2], f"S{i}", i, f"T{i}", -i, f"r{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string, target int, source_size string, "
+                                     "copies int, row string")
+    times = {r["doc_id"]: r["copies"] for r in M.mix(df).collect()}
+    out = M.emit(df).collect()
+    assert list(out[0].asDict()) == df.columns
+    assert sorted(map(tuple, out)) == sorted(r for r in rows for _ in range(times[r[0]]))

@@ -154,7 +154,7 @@ def test_word_order_counts(spark):
 def test_language_model_of_nothing(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     rows = Y.perplexity(df, F.lit(False)).collect()
-    assert [(r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in rows] == [(0, 0, None, 0.0)] * 2
+    assert [(r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in rows] == [(0, 0, 0.0, 0.0)] * 2
     assert Y.perplexity(df.limit(0), F.lit(True)).count() == 0
 
 
