@@ -45,8 +45,10 @@ from pinprice.plans.offers import (  # noqa: E402
     store_zone_winners,
     top_k_offers,
 )
+from pinprice import schemas  # noqa: E402
 from pinprice.functions.sql import register_sql_functions  # noqa: E402
-from pinprice.plans.jobs import recompute_prices, recompute_quotes  # noqa: E402
+from pinprice.functions.tables import register_table_functions  # noqa: E402
+from pinprice.plans.jobs import recompute_prices, recompute_quotes, recompute_zone_prices  # noqa: E402
 from pinprice.plans.requests import price_requests  # noqa: E402
 from pinprice.session import co_located_joins, shared_dir  # noqa: E402
 from pinprice.sources.fixtures import (  # noqa: E402
@@ -57,17 +59,23 @@ from pinprice.sources.fixtures import (  # noqa: E402
 )
 from pinprice.sources.sinks import (  # noqa: E402
     changed_count,
+    merge_parts,
     merge_values,
+    modified_products,
     price_map,
     price_updates,
     read_kv,
+    read_parts,
+    replace_kv,
     write_kv,
+    write_parts,
 )
 from pinprice.sources.tables import (  # noqa: E402
     fetch_by_id,
     match,
     offers_from_documents,
     read_offers,
+    read_table,
     to_documents,
     write_offers,
 )
@@ -366,6 +374,91 @@ def q35_string_keys(spark, sf_dir):
     return price_requests(text(t["requests"]), text(t["zoneprices"]), t["pincodes"], text(t["productinfos"]))
 
 
+def q36_merge_touched_parts(spark, sf_dir):
+    """The priced request table merged into a state stored by hash parts: only parts with an update are rewritten."""
+    t = _t(spark, sf_dir)
+    base = shared_dir(spark, "parts")
+    state = t["product_prices"].withColumn("seq", F.lit(None).cast("bigint"))
+    write_parts(state, f"{base}/state", parts=4 * state_buckets(spark))
+    res = price_requests(t["requests"], t["zoneprices"], t["pincodes"], t["productinfos"])
+    res.select("product", "pincode", "price", "quantity", F.col("request_id").alias("seq")).write.parquet(f"{base}/updates")
+    merge_parts(spark, f"{base}/state", spark.read.parquet(f"{base}/updates"), order_col="seq")
+    return read_parts(spark, f"{base}/state").drop("seq")
+
+
+def q37_modified_per_product(spark, sf_dir):
+    """Per product: entries that the priced request table writes, and how many of them change."""
+    t = _t(spark, sf_dir)
+    res = price_requests(t["requests"], t["zoneprices"], t["pincodes"], t["productinfos"])
+    return modified_products(t["product_prices"], res, order_col="request_id")
+
+
+def q38_recompute_zone_version(spark, sf_dir):
+    """End to end for all products and pincodes: priced, merged into a new version of the state, read back."""
+    t = _t(spark, sf_dir)
+    base = shared_dir(spark, "zone-version")
+    name = "pinprice_zones_" + base.rstrip("/").rsplit("/", 1)[-1][:12]
+    new, _ = recompute_zone_prices(spark, t["zoneprices"], t["pincodes"], fixture_state_table(spark, sf_dir), name,
+                                   f"{base}/state", t["productinfos"], buckets=state_buckets(spark))
+    return new
+
+
+def q39_read_options(spark, sf_dir):
+    """Offers kept as delimited text, read by the store's options and this read's own, which win."""
+    t = _t(spark, sf_dir)
+    path = shared_dir(spark, "text-offers")
+    t["zoneprices"].select(*OFFER_COLS).write.option("sep", "|").option("nullValue", "-").csv(path, header=True)
+    store = {"header": "true", "sep": ",", "nullValue": "-"}
+    offers = read_table(spark, path, schema=schemas.OFFERS, fmt="csv", options=store, overrides={"sep": "|"})
+    return eligible_offers(offers).select(*OFFER_COLS)
+
+
+def q40_kv_keyed_lookup(spark, sf_dir):
+    """The distance export replaced twice in a table stored by key, and looked up there for every request's sellers."""
+    t = _t(spark, sf_dir)
+    base = shared_dir(spark, "kv-table")
+    name = "pinprice_kv_" + base.rstrip("/").rsplit("/", 1)[-1][:12]
+    replace_kv(export_distances(t["pincodedistances"].limit(0)), name, base, buckets=state_buckets(spark))
+    kv = replace_kv(export_distances(t["pincodedistances"]), name, base, buckets=state_buckets(spark))
+    sellers = t["zoneprices"].select("zone", "product", "pincodeNum").distinct()
+    dests = _pin_requests(t).select("zone", "product", "dest_pin").distinct()
+    keys = dests.join(sellers, ["zone", "product"]).select(dist_key("pincodeNum", "dest_pin").alias("src_dest"))
+    found = kv.join(keys.where("src_dest is not null").distinct(), "src_dest", "left_semi")
+    return found.select("src_dest", F.col("distance").cast("double").alias("distance"))
+
+
+def _sql_tables(spark, t):
+    return register_table_functions(spark, t["zoneprices"], t["pincodes"], t["productinfos"], t["pincodedistances"])
+
+
+def q41_sql_pin_prices(spark, sf_dir):
+    """Every pin request priced by the SQL table function."""
+    t = _t(spark, sf_dir)
+    fn = _sql_tables(spark, t)[0]
+    _pin_requests(t).createOrReplaceTempView("pinprice_pin_requests")
+    return spark.sql(f"""SELECT r.request_id, f.product, f.zone, r.dest_pin AS pincode, f.price
+                         FROM pinprice_pin_requests r, LATERAL {fn}(r.product, r.zone) f""")
+
+
+def q42_sql_zone_prices(spark, sf_dir):
+    """Every zone's prices by the SQL table function."""
+    t = _t(spark, sf_dir)
+    fn = _sql_tables(spark, t)[1]
+    zones_of(t["pincodes"]).createOrReplaceTempView("pinprice_zones")
+    return spark.sql(f"SELECT f.* FROM pinprice_zones z, LATERAL {fn}(z.zone) f")
+
+
+def q43_sql_distances(spark, sf_dir):
+    """Distances of every seller->destination pair of the pin requests, by the SQL table function."""
+    t = _t(spark, sf_dir)
+    fn = _sql_tables(spark, t)[2]
+    sellers = t["zoneprices"].select("zone", "product", "pincodeNum").distinct()
+    dests = _pin_requests(t).select("zone", "product", "dest_pin").distinct()
+    pairs = dests.join(sellers, ["zone", "product"]).select(F.col("pincodeNum").alias("src"), F.col("dest_pin").alias("dest"))
+    pairs.distinct().createOrReplaceTempView("pinprice_pairs")
+    return spark.sql(f"SELECT f.src_dest, f.distance FROM pinprice_pairs p, LATERAL {fn}(p.src, p.dest) f")
+
+
 _QUERIES = [
     q01_zone_product_offers, q02_fetch_by_id, q03_known_products, q04_eligible_offers,
     q05_nested_projection, q06_price_flat, q07_price_distance, q08_quote_selling,
@@ -375,7 +468,9 @@ _QUERIES = [
     q21_validated_requests, q22_min_for_requests, q23_kv_overwrite_roundtrip, q24_stream_requests,
     q25_stream_merge_prices, q26_min_for_requests_distance, q27_distance_kv_first10,
     q28_recompute_changed, q29_merged_quotes, q30_one_zone_match, q31_single_request, q32_min_price_core,
-    q33_price_map_entries, q34_sql_functions, q35_string_keys,
+    q33_price_map_entries, q34_sql_functions, q35_string_keys, q36_merge_touched_parts, q37_modified_per_product,
+    q38_recompute_zone_version, q39_read_options, q40_kv_keyed_lookup, q41_sql_pin_prices, q42_sql_zone_prices,
+    q43_sql_distances,
 ]
 
 
@@ -642,6 +737,27 @@ FROM product_prices s FULL OUTER JOIN lastu u ON s.product = u.product AND s.pin
 }
 
 
+_LAST = """
+, lastu AS (
+  SELECT product, pincode, price, quantity FROM (
+    SELECT product, pincode, price, quantity,
+      ROW_NUMBER() OVER (PARTITION BY product, pincode ORDER BY request_id DESC) AS rn
+    FROM req_prices) t WHERE rn = 1)"""
+_SQL |= {
+    "q36_merge_touched_parts": _SQL["q25_stream_merge_prices"],
+    "q37_modified_per_product": _LAST + """
+SELECT u.product, COUNT(*) AS updated, COUNT(CASE WHEN s.product IS NULL OR NOT (u.price IS NOT DISTINCT FROM s.price
+  AND u.quantity IS NOT DISTINCT FROM s.quantity) THEN 1 END) AS modified
+FROM lastu u LEFT JOIN product_prices s ON s.product = u.product AND s.pincode = u.pincode GROUP BY u.product""",
+    "q38_recompute_zone_version": _SQL["q19_merged_prices"],
+    "q39_read_options": _SQL["q04_eligible_offers"],
+    "q40_kv_keyed_lookup": _SQL["q17_distance_lookup"],
+    "q41_sql_pin_prices": _SQL["q10_min_for_pin"],
+    "q42_sql_zone_prices": _SQL["q11_min_for_zone_flat"],
+    "q43_sql_distances": _SQL["q17_distance_lookup"],
+}
+
+
 def oracle_sql() -> dict[str, str]:
     head = fixture_cte().rstrip() + _EXTRA_CTE
     return {name: head + sql for name, sql in _SQL.items()} | _llm()[1]

@@ -30,7 +30,7 @@ from pinprice.functions.expr import (
     eligible_selling,
 )
 from pinprice.operators.aggregate import argmin, top_k
-from pinprice.operators.joins import DEFAULT_BROADCAST_ROWS, expand_join, fits, row_count
+from pinprice.operators.joins import DEFAULT_BROADCAST_ROWS, expand_join, fits, join_small, row_count
 from pinprice.plans.charges import attach_charge, charge_arrays, listed
 from pinprice.session import shared_dir
 
@@ -383,11 +383,18 @@ def min_price_for_pins(offers: DataFrame, requests: DataFrame,
 def min_price_for_pin(spark, offers: DataFrame, product: int | str, zone: str, dest_pin: int,
                       products: DataFrame | None = None, charge: float = PIN_CHARGE,
                       distances: DataFrame | None = None) -> DataFrame:
-    """Single request convenience: one product, zone and destination."""
+    """Single request convenience: one product, zone and destination.
+
+    Its literals reach the offers' scan as filters, so of offers stored by
+    ``write_offers`` only the zone's folder and the row groups that may hold
+    the product are read.
+    """
+    at = zone.strip().upper()
     req = spark.createDataFrame(
-        [(0, product, zone.strip().upper(), dest_pin)],
+        [(0, product, at, dest_pin)],
         f"request_id BIGINT, product {dict(offers.dtypes)['product']}, zone STRING, dest_pin INT")
-    return min_price_for_pins(offers, req, products, charge, distances).drop("request_id")
+    own = offers.where((F.col("zone") == F.lit(at)) & (F.col("product") == F.lit(product)))
+    return min_price_for_pins(own, req, products, charge, distances).drop("request_id")
 
 
 def min_price(offers_with_dest: DataFrame, keys=("destPin",), charge: float = PIN_CHARGE) -> DataFrame:
@@ -397,31 +404,75 @@ def min_price(offers_with_dest: DataFrame, keys=("destPin",), charge: float = PI
     return e.groupBy(*keys).agg(F.min("finalPrice").alias("price"))
 
 
+def quote_sellers(offers: DataFrame, distances: DataFrame, on_missing: str = "drop",
+                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """zone, product, pincodeNum, sellingPrice, lo, place: every seller pincode's least selling price, the least quote
+    it can give to another pincode (null if it serves none), and its place by that quote within the product."""
+    # per seller pincode only its least selling price can give the least
+    # quote (the charge is the same for all its offers): a hash min suffices
+    s = (eligible_offers(offers, "selling")
+         .groupBy("zone", "product", "pincodeNum").agg(F.min("sellingPrice").alias("sellingPrice")))
+    near = (listed(distances).where(F.col("sourcePincode") != F.col("destPincode"))
+            .groupBy(F.col("sourcePincode").alias("pincodeNum")).agg(F.min("distance").alias("_near")))
+    s = join_small(s, near, "pincodeNum", "left", max_broadcast_rows)
+    least = F.col("_near") if on_missing == "drop" else F.least(F.coalesce("_near", F.lit(0.0)), F.lit(0.0))
+    s = s.withColumn("lo", F.col("sellingPrice") + least).drop("_near")
+    order = Window.partitionBy("zone", "product").orderBy(F.col("lo").asc_nulls_last(), "sellingPrice", "pincodeNum")
+    return s.withColumn("place", F.row_number().over(order))
+
+
+def quote_candidates(destinations: DataFrame, sellers: DataFrame, best: DataFrame | None, first: int) -> DataFrame:
+    """(destination, seller) pairs that must be looked up in the distance table.
+
+    Without ``best``: the ``first`` sellers of each product by their least
+    possible quote, and a destination's own seller. With ``best`` (the least
+    quote found from those, ``bound``): of the other sellers only those whose
+    least possible quote is below it.
+    """
+    own = F.col("pincodeNum") == F.col("pincode")
+    early = own | (F.col("place") <= first)
+    x = destinations.join(sellers, ["zone", "product"], "inner")
+    if best is None:
+        return x.where(early)
+    x = destinations.join(best, ["zone", "product", "pincode"], "left").join(
+        sellers.where(F.col("place") > first), ["zone", "product"], "inner")
+    return x.where(~own & F.col("lo").isNotNull() & (F.col("bound").isNull() | (F.col("lo") < F.col("bound"))))
+
+
 def min_quote_for_pins(offers: DataFrame, destinations: DataFrame, distances: DataFrame,
                        products: DataFrame | None = None, carrier: str = CARRIER,
-                       on_missing: str = "drop") -> DataFrame:
+                       on_missing: str = "drop", first: int = 4,
+                       max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Least ``sellingPrice + distance`` for each destination of a list.
 
     ``destinations`` has (product, zone, pincode) rows, or (product, zone,
     dest_pins ARRAY<INT>) which is exploded. Each destination is priced on
     its own. A seller with no distance entry is skipped (``"drop"``).
     Output: product, zone, pincode, type, price (double, unrounded).
+
+    Threshold search: sellers are taken in the order of the least quote they
+    can give (price plus least charge). The ``first`` ones of a product are
+    looked up for every destination; the best quote so found is a bound, and
+    of the remaining sellers only those that could still be below it are
+    looked up. The result is exact for any ``first``.
     """
     d = destinations
     if "dest_pins" in d.columns:
         d = d.select("product", "zone", F.explode("dest_pins").alias("pincode"))
     d = _known(d.select("product", "zone", "pincode").where(F.col("pincode").isNotNull()).distinct(),
                products)
-    # per seller pincode only its least selling price can give the least
-    # quote (the charge is the same for all its offers): a hash min suffices
-    s = (eligible_offers(offers, "selling")
-         .groupBy("zone", "product", "pincodeNum").agg(F.min("sellingPrice").alias("sellingPrice")))
-    x = d.join(s, ["zone", "product"], "inner")
-    x = attach_charge(x, distances, "pincodeNum", "pincode", on_missing)
-    # only the least price is reported, so a plain min (hash aggregate) suffices
-    best = x.groupBy("product", "zone", "pincode").agg(
-        F.min(F.col("sellingPrice") + F.col("charge")).alias("price"))
-    return best.select("product", "zone", "pincode", F.lit(carrier).alias("type"), "price")
+    s = quote_sellers(offers, distances, on_missing, max_broadcast_rows)
+    small = fits(distances, max_broadcast_rows)
+
+    def least(pairs: DataFrame) -> DataFrame:
+        # only the least price is reported, so a plain min (hash aggregate) suffices
+        x = attach_charge(pairs, distances, "pincodeNum", "pincode", on_missing, broadcast=small)
+        return x.groupBy("zone", "product", "pincode").agg(F.min(F.col("sellingPrice") + F.col("charge")).alias("bound"))
+
+    best = least(quote_candidates(d, s, None, first))
+    more = least(quote_candidates(d, s, best, first))
+    quotes = best.unionByName(more).groupBy("product", "zone", "pincode").agg(F.min("bound").alias("price"))
+    return quotes.select("product", "zone", "pincode", F.lit(carrier).alias("type"), "price")
 
 
 def top_k_offers(offers: DataFrame, k: int = 3, charge: float = ZONE_CHARGE) -> DataFrame:

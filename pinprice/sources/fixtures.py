@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pinprice.operators.joins import join_small
 from pinprice.session import shared_dir
 from pinprice.sources.sinks import write_bucketed
+from pinprice.sources.tables import write_offers
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                "lineitem", "events")
@@ -187,8 +188,9 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The stand-in tables, written once per session to the shared folder
     (``spark.checkpoint.dir``) and read back from there.
 
-    Offers are stored partitioned by zone (one folder per zone, the layout
-    of per-zone offer collections), so a zone filter prunes folders. The
+    Offers are stored by ``write_offers`` (one folder per zone, the layout of
+    per-zone offer collections, clustered by product), so a zone filter prunes
+    folders and a product filter row groups. The
     price state is a table bucketed by product, so a merge reads it without
     shuffling it. Later
     calls reuse the stored tables: their lineage is cut, and size checks
@@ -205,10 +207,10 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                 out[name] = write_bucketed(df, table, path, ("product",), state_buckets(spark))
                 _STATE_TABLE[key] = table
                 continue
-            w = df.write.mode("overwrite")
             if name == "zoneprices":
-                w = w.partitionBy("zone")
-            w.parquet(path)
+                write_offers(df, path)
+            else:
+                df.write.mode("overwrite").parquet(path)
             stored = spark.read.schema(df.schema).parquet(path)
             out[name] = stored.select(*df.columns)
         _STORED[key] = out

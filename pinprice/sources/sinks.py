@@ -7,6 +7,7 @@ hold an updated key (``merge_parts``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -171,6 +172,38 @@ def read_kv(spark: SparkSession, path: str, fmt: str = "parquet",
     return spark.read.format(fmt).options(**(options or {})).load(path)
 
 
+def replace_kv(kv: DataFrame, table: str, path: str, key: str = "src_dest", buckets: int = 16,
+               check_unique: bool = True) -> DataFrame:
+    """Replace a key-value table that is stored for keyed access: bucketed and sorted by its key.
+
+    Every call writes a fresh folder under ``path`` and then points the
+    catalog's table at it, so a job that fails leaves the table as it was, and
+    readers of the old folder finish undisturbed (removing old folders is the
+    owner's business). A lookup by literal keys reads only their buckets
+    (``lookup_keys``); one by a table of keys joins without shuffling this side.
+    """
+    spark = kv.sparkSession
+    if check_unique:
+        assert_unique(kv, key)
+    fresh = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+    new = f"{table}_{uuid.uuid4().hex[:12]}"
+    # one task per bucket writes its file, so a bucket is one sorted run
+    (kv.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+     .option("path", fresh).saveAsTable(new))
+    if spark.catalog.tableExists(table):
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{fresh}'")
+        spark.catalog.refreshTable(table)
+        spark.sql(f"DROP TABLE {new}")  # an external table: the folder stays
+    else:
+        spark.sql(f"ALTER TABLE {new} RENAME TO {table}")
+    return spark.table(table)
+
+
+def lookup_keys(spark: SparkSession, table: str, keys: Sequence[str], key: str = "src_dest") -> DataFrame:
+    """The entries of a few literal keys; only the buckets that can hold them are read."""
+    return spark.table(table).where(F.col(key).isin(list(keys)))
+
+
 def write_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str] = ("product", "pincode"),
                    buckets: int = 16, mode: str = "errorifexists") -> DataFrame:
     """Store a keyed table bucketed by ``keys`` (an external table at ``path``).
