@@ -5,19 +5,24 @@ word opens a piece where its hash is the least among its neighbours, so a
 passage has the same pieces wherever it is pasted, also inside a line. A piece
 unit is two neighbouring pieces. Pieces find repeats of few words but leave their
 ends; every run of ``WINDOW`` words is a unit as well, so a repeated passage of
-so many words or more goes whole. Windows are exchanged in two steps: the least
-hash of ``SEED`` words within a window depends on the window's words alone, so
-only windows whose least one repeats between documents can repeat there, and the
-others' digests stay at home. Units are normalised (ASCII case, white space)
+so many words or more goes whole. Units are normalised (ASCII case, white space)
 and digested to 128 bits; digests are grouped over all documents, the earliest
 ranked occurrence (least id, then least offset) stays, and the others go: a
 line of ``min_line_words`` words or more, and a run of repeated piece units of
 ``min_run_words`` words or more. Removed parts are reported with their offsets
 (code points) in the original text.
 
-The grouping needs one least and one greatest id per digest, aggregated before
-the shuffle, so a line held by a third of all documents costs a row per task;
-the digests that repeat are then joined back (a skewed join, which adaptive
+The grouping goes in two steps. The first one exchanges 64 bits of each unit's
+digest, once per batch of texts, with the least and greatest id that hold it; of
+windows it takes their seeds (the least hash of ``SEED`` words within a window
+depends on the window's words alone, so only windows whose seed repeats can
+repeat). The digests that several documents hold go into a bit filter of bounded
+size that every task gets. In the second step only units that the filter lets
+through are exchanged, with both digests: all that repeat and few others (all
+others, once there are far more repeats than bits), and grouped exactly. Both
+groupings need one least and one greatest id per digest, aggregated before the
+shuffle, so a line held by a third of all documents costs a row per task; the
+digests that repeat are then joined back (a skewed join, which adaptive
 execution splits), and each document's own list meets its text.
 
 Defined results: a null text stays null and an empty one empty; rows of equal
@@ -127,31 +132,83 @@ def _distinct(doc: np.ndarray, d1: np.ndarray, d2: np.ndarray, ids: np.ndarray)
         [pa.array(d1[new]), pa.array(d2[new]), pa.array(ids[doc[new]].astype(np.int64))], names=["d1", "d2", "doc"])
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text) to the distinct digests of each document; of windows, the seeds alone, whose d2 is 0."""
-    for batch in slices(batches):
-        docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-        for lo, hi in batches_of(texts):
-            w = words_of(texts[lo:hi])
-            a, _, d1, d2, _ = units_of(w)
-            over = windows(w)
-            n = len(a) - len(over)
-            first = np.concatenate([a[:n], over])
-            yield _distinct(np.searchsorted(w.first, first, side="right") - 1, np.concatenate([d1[:n], seeds(w, over)]),
-                            np.concatenate([d2[:n], np.zeros(len(over), np.int64)]), docs[lo:hi])
+#: Bits of the filter per repeated digest, and the most bits there are (32 MB).
+BITS_EACH, MOST_BITS = 32, 1 << 28
+
 
+def _places(d: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The two bits that a digest sets in a filter of ``bits`` bits (a power of 2)."""
+    return [(mix(d.view(np.uint64), salt) & np.uint64(bits - 1)).astype(np.int64) for salt in (51, 53)]
 
-def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text, seeds that repeat) to the distinct digests of each document's windows that have such a seed."""
+
+def _emit_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, text) to the distinct digests of a batch (of windows, the seeds), with the least and greatest document."""
     for batch in slices(batches):
         docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        found = []
         for lo, hi in batches_of(texts):
             w = words_of(texts[lo:hi])
+            a, _, d1, _, _ = units_of(w)
             over = windows(w)
-            # another text's seed may let a window through, which costs a row and changes nothing
-            over = over[np.isin(seeds(w, over), batch.column(2).slice(lo, hi - lo).flatten().to_numpy())]
-            d1, d2 = spans_digest(w.hash, over, over + WINDOW, 2)
-            yield _distinct(np.searchsorted(w.first, over, side="right") - 1, d1.view(np.int64), d2.view(np.int64), docs[lo:hi])
+            n = len(a) - len(over)
+            text = np.searchsorted(w.first, np.concatenate([a[:n], over]), side="right") - 1
+            found.append((np.concatenate([d1[:n], seeds(w, over)]), docs[lo:hi][text].astype(np.int64)))
+        d, doc = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+        order = np.lexsort((doc, d))
+        d, doc = d[order], doc[order]
+        at = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.empty(0, np.int64)
+        last = np.append(at[1:], len(d)) - 1 if len(d) else at
+        yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(doc[at]), pa.array(doc[last])], names=["d", "lo", "hi"])
+
+
+def _bit_words(bits: int):
+    """mapInArrow: digests to the words and bits of the filter that they set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.concatenate(_places(b.column(0).to_numpy(), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(
+                (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
+
+    return run
+
+
+def _filter_of(again: DataFrame) -> np.ndarray:
+    """The bit filter of the repeated digests (column d), as 64-bit words: at most MOST_BITS / 64 of them."""
+    bits = 1 << 10
+    while bits < min(MOST_BITS, BITS_EACH * again.count()):
+        bits *= 2
+    words = again.mapInArrow(_bit_words(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    got = words.toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def passes(words: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Whether the filter lets a digest through: always if it is one of its own, rarely otherwise."""
+    ok = np.ones(len(d), bool)
+    for at in _places(d, len(words) << 6):
+        ok &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+    return ok
+
+
+def _emit_repeats(filter_words):
+    """mapInArrow: (doc, text) to the distinct digests of each document that the filter (a broadcast) lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            for lo, hi in batches_of(texts):
+                w = words_of(texts[lo:hi])
+                a, _, d1, d2, _ = units_of(w)
+                over = windows(w)
+                n = len(a) - len(over)
+                keep = passes(filter_words.value, np.concatenate([d1[:n], seeds(w, over)]))
+                text = np.searchsorted(w.first, a[keep], side="right") - 1
+                yield _distinct(text, d1[keep], d2[keep], docs[lo:hi])
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -292,17 +349,13 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc, hits: per document the digests that a lower-ranked document holds, with that document."""
     ship_package(docs.sparkSession)
     rank = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST))
-    units = (docs.where(F.col(f"`{text_col}`").isNotNull()).select(rank.alias("doc"), F.col(f"`{text_col}`").alias("t"))
-             .mapInArrow(_emit, "d1 long, d2 long, doc long"))
+    body = docs.where(F.col(f"`{text_col}`").isNotNull()).select(rank.alias("doc"), F.col(f"`{text_col}`").alias("t"))
+    each = body.mapInArrow(_emit_digests, "d long, lo long, hi long").groupBy("d")
+    again = store(each.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("d"), "repeated-digests")
+    words = docs.sparkSession.sparkContext.broadcast(_filter_of(again))
+    units = store(body.mapInArrow(_emit_repeats(words), "d1 long, d2 long, doc long"), "repeated-units")
     first = units.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last > first")
-    met = units.join(first.select("d1", "d2", "first"), ["d1", "d2"]).where("doc > first or d2 = 0")
-    met = store(met, "repeated-units")
-    own = met.where("d2 = 0").groupBy("doc").agg(F.collect_list("d1").alias("seeds"))
-    wide = store(docs.where(F.col(f"`{text_col}`").isNotNull()).select(rank.alias("doc"), F.col(f"`{text_col}`").alias("t"))
-                 .join(own, "doc").mapInArrow(_emit_windows, "d1 long, d2 long, doc long"), "windows")
-    whole = wide.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last > first")
-    hits = met.where("d2 != 0").unionByName(
-        wide.join(whole.select("d1", "d2", "first"), ["d1", "d2"]).where("doc > first").select("d1", "d2", "doc", "first"))
+    hits = units.join(first.select("d1", "d2", "first"), ["d1", "d2"]).where("doc > first")
     return hits.groupBy("doc").agg(F.collect_list(F.struct("d1", "d2", "first")).alias("hits"))
 
 
@@ -321,5 +374,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(*[F.col(source[c]).alias(c) for c in names], F.col("__removed").alias("removed"))
 
 
-__all__ = ["Known", "MIN_LINE_WORDS", "MIN_RUN_WORDS", "cut", "piece_starts", "remove_repeats", "repeated", "repeated_units",
+__all__ = ["Known", "MIN_LINE_WORDS", "MIN_RUN_WORDS", "cut", "passes", "piece_starts", "remove_repeats", "repeated", "repeated_units",
            "seeds", "units_of", "windows"]

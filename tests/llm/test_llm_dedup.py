@@ -144,6 +144,23 @@ def test_passages_of_over_fifty_words_go_whole(spark):
     assert 50 <= len(got[500]) < 120
 
 
+def test_a_full_filter_changes_nothing(spark, corpus, monkeypatch):
+    """Where the filter has too few bits it lets more units through; what goes is the same."""
+    docs, _, _ = corpus
+    monkeypatch.setattr(L, "MOST_BITS", 64)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["text"] for r in L.remove_repeats(df).collect()}
+    assert got == naive(list(docs.items()))
+
+
+def test_the_filter_lets_its_own_through_and_few_others(spark):
+    rng = np.random.default_rng(1)
+    own, other = (rng.integers(-2**63, 2**63 - 1, 20_000) for _ in range(2))
+    words = L._filter_of(spark.createDataFrame([(int(x),) for x in own], "d long"))
+    assert L.passes(words, own).all() and L.passes(words, other).mean() < 0.02
+    assert not L.passes(L._filter_of(spark.createDataFrame([], "d long")), other).any()
+
+
 # -- near duplicates
 
 
