@@ -1,23 +1,30 @@
 """Toxicity by weak supervision.
 
 Voters are single words (lexicon), word beginnings and fixed text patterns;
-words and beginnings come from a built-in list and from the labelled training
-rows by their log-odds. A generative label model explains the votes by a hidden
-class: it estimates the class share and every voter's firing rate per class by
-expectation maximisation, and the voters' correlations given the class, by
-which the evidence of voters that repeat each other is shared out. Its
-posteriors, not the labels, train a logistic regression over the votes and
-their counts, which scores every whole text in one pass over it.
-
-Bounds (parameters): ``LABELLED`` and ``UNLABELLED`` training rows, drawn by a
-hash of the id, fit the model; ``VOTERS`` voters at most, so the model that
-goes to the tasks has a fixed size. Mining counts run on Spark over the drawn
-rows; the fit itself is a small matrix on the driver.
+words and beginnings come from a built-in list and from all labelled training
+rows by their log-odds. A generative label model explains the votes of all
+training documents by a hidden class: given the class, voters fire at their own
+rates, and pairs of voters along a forest (the pairs of most mutual information
+given the class) have factors of their own, so that voters that repeat each
+other are no double evidence. It is a proper distribution over all patterns of
+votes. Expectation maximisation runs on Spark: documents of equal votes and
+label are one row with a count, and a round is one grouped sum per pair of
+voters that fire together. A known label is a noisy observation of the hidden
+class while the model is fitted; its posteriors, which come from the votes
+alone, are the targets of a logistic regression over the votes and their counts,
+which scores every whole text in one pass over it.
+
+Bounds (parameters): at most about ``LABELLED`` labelled rows, drawn by a hash
+of the id, fit the linear classifier; ``VOTERS`` voters at most, so the models
+that go to the tasks and the sums that come back (one per pair of voters) have
+a fixed size. All counts and the label model cover all training rows.
 
 Defined results: a null or empty text gets the score of no votes; without
-labelled rows of both classes the built-in voters have fixed rates; labels that
-are null or contradict (several rows of an id) count as absent or as the
-greatest; rows of equal id are scored one by one; an empty table gives no rows.
+labelled rows of both classes the built-in voters keep the odds they start with; labels
+that are null or contradict (several rows of an id) count as absent or as the
+greatest; rows of equal id are voted on and scored one by one; ties between
+terms go to the shorter kind and the lesser term; texts of any length are read
+whole; an empty table gives no rows; further columns, of any name, are ignored.
 Labels, language, source and id are never inputs of a score.
 """
 
@@ -31,12 +38,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pinprice.llm.common import crc32_mod, ship_package, slices
+from pinprice.llm.common import crc32_mod, ship_package, slices, store
+from pinprice.operators.joins import join_small
 
-LABELLED, UNLABELLED, VOTERS = 20_000, 10_000, 96
+LABELLED, VOTERS = 20_000, 256
+ROUNDS = 12
+#: Odds of a known label to be right, as the label model sees it.
+LABEL_ODDS = 0.98 / 0.02
+#: Least mutual information (nats a document) of a pair of voters that gets a factor.
+LEAST_INFORMATION = 1e-5
 CUT = 0.3
 LEAST_ODDS = 1.5  # log-odds that a mined voter must exceed by twice their spread
 PREFIXES = range(4, 8)
@@ -150,54 +163,140 @@ def choose_voters(rows: list[tuple[int, str, int, int]], toxic: int, clean: int,
     return words, prefixes
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """P(toxic) of each row; labels: 1, 0 or nan. Rates per class by EM, evidence shared by correlation.
-
-    Labelled rows start the rates and count as one more, nearly sure vote.
+@dataclass
+class LabelModel:
+    """P(class), the voters' rates in either class, and a forest of pairs with their joint rates."""
+
+    prior: float
+    rates: np.ndarray                      # 2 x voters; row 1 is toxic
+    edges: np.ndarray                      # pairs of voters (i, j)
+    joint: np.ndarray                      # 2 x pairs: both fire
+
+    def factors(self, y: int) -> tuple[float, np.ndarray, np.ndarray]:
+        """log P(votes | y) as a constant, a weight per voter and one per pair that fires together."""
+        p = self.rates[y]
+        const, w, u = float(np.log(1 - p).sum()), np.log(p / (1 - p)), np.zeros(len(self.edges))
+        for e, (i, j) in enumerate(self.edges):
+            both = self.joint[y, e]
+            t = {(a, b): np.log(x) - np.log(p[i] if a else 1 - p[i]) - np.log(p[j] if b else 1 - p[j]) for (a, b), x in (
+                ((1, 1), both), ((1, 0), p[i] - both), ((0, 1), p[j] - both), ((0, 0), 1 - p[i] - p[j] + both))}
+            const += t[0, 0]
+            w[i] += t[1, 0] - t[0, 0]
+            w[j] += t[0, 1] - t[0, 0]
+            u[e] = t[1, 1] - t[1, 0] - t[0, 1] + t[0, 0]
+        return const, w, u
+
+    def log_odds(self, votes: np.ndarray) -> np.ndarray:
+        """Log-odds of toxic given the votes alone."""
+        (c1, w1, u1), (c0, w0, u0) = self.factors(1), self.factors(0)
+        out = np.log(self.prior / (1 - self.prior)) + c1 - c0 + votes @ (w1 - w0)
+        if len(self.edges):
+            out = out + (votes[:, self.edges[:, 0]] * votes[:, self.edges[:, 1]]) @ (u1 - u0)
+        return np.clip(out, -30, 30)
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+def expected(model: LabelModel | None, votes: np.ndarray, marks: np.ndarray, start: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(P(toxic), weight) of rows for the next sums; ``marks``: 1, 0 or nan.
+
+    Without a model yet: known labels alone, if ``start`` says that both classes have some, else any vote.
     """
-    n, m = votes.shape
-    if not n:
-        return np.empty(0)
-    known = ~np.isnan(labels)
-    if (labels == 1).any() and (labels == 0).any():
-        post = np.where(known, labels, 0.5)
-        post[~known] = labels[known].mean()
-        seen = known
-    else:
-        post = np.where(votes.any(1), 0.9, 0.02)
-        seen = np.ones(n, bool)
-    share = np.ones(m)
-    for _ in range(rounds):
-        use = post[seen]
-        v = votes[seen]
-        prior = np.clip(use.mean(), 0.005, 0.995)
-        one = (use @ v + 0.2) / (use.sum() + 2.0)
-        zero = ((1 - use) @ v + 0.02) / ((1 - use).sum() + 2.0)
-        share = 1 / (1 + correlations(v, use, one, zero))
-        log_odds = np.log(prior / (1 - prior)) + votes @ (share * np.log(one / zero)) + (1 - votes) @ (
-            share * np.log((1 - one) / (1 - zero)))
-        vote = np.where(known, np.where(labels == 1, 1, -1), 0) * np.log(0.98 / 0.02)
-        new = 1 / (1 + np.exp(-np.clip(log_odds + vote, -30, 30)))
-        moved = np.abs(new - post).max() if n else 0.0
-        post, seen = new, np.ones(n, bool)
-        if moved < 1e-4:
-            break
-    return post
+    known = ~np.isnan(marks)
+    if model is None:
+        if start:
+            return np.where(known, marks, 0.0), known.astype(float)
+        return np.where(votes.any(1), 0.9, 0.02), np.ones(len(votes))
+    seen = np.where(known, np.where(marks == 1, 1, -1), 0) * np.log(LABEL_ODDS)
+    return _logistic(model.log_odds(votes) + seen), np.ones(len(votes))
+
+
+def maximised(totals: np.ndarray, pairs: dict[tuple[int, int], np.ndarray], m: int) -> LabelModel:
+    """The model from expected sums per class (clean, toxic): of documents, and of documents in which i and j both fire."""
+    rates = np.zeros((2, m))
+    for (i, j), x in pairs.items():
+        if i == j:
+            rates[:, i] = x
+    pooled = (rates.sum(0) + 0.11) / (totals.sum() + 2.0)
+    rates = (rates + np.array([[0.02], [0.2]])) / (totals[:, None] + 2.0)
+    # a voter is no evidence against toxicity: at most it tells nothing
+    rates = np.where(rates[1] < rates[0], pooled, rates)
+    share = totals / max(totals.sum(), 1e-9)
+    found = []
+    for (i, j), x in pairs.items():
+        if i >= j:
+            continue
+        p, q = rates[:, i], rates[:, j]
+        both = (x + 2.0 * p * q) / (totals + 2.0)  # two documents in which they are independent
+        both = np.clip(both, np.maximum(p + q - 1, 0) + 1e-9, np.minimum(p, q) - 1e-9)
+        cells = np.stack([both, p - both, q - both, 1 - p - q + both])
+        free = np.stack([p * q, p * (1 - q), (1 - p) * q, (1 - p) * (1 - q)])
+        cells = np.maximum(cells, 1e-12)
+        information = float(share @ (cells * np.log(cells / free)).sum(0))
+        if information > LEAST_INFORMATION:
+            found.append((information, i, j, both))
+    parent = list(range(m))
+
+    def root(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    edges, joint = [], []
+    for _, i, j, both in sorted(found, key=lambda f: (-f[0], f[1], f[2])):  # the greatest spanning forest
+        if root(i) != root(j):
+            parent[root(i)] = root(j)
+            edges.append((i, j))
+            joint.append(both)
+    return LabelModel(float(np.clip(share[1], 0.005, 0.995)), rates, np.array(edges, np.int64).reshape(-1, 2),
+                      np.array(joint).reshape(-1, 2).T)
+
+
+def dense(votes: list[list[int]], m: int) -> np.ndarray:
+    out = np.zeros((len(votes), m))
+    for i, v in enumerate(votes):
+        out[i, v] = 1
+    return out
+
+
+def _sums(blob: bytes, m: int, start: bool):
+    """mapInArrow: (votes, toxic, n) to expected sums of pairs (i, j) that fire together; (-1, -1) are all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(blob)
+        pairs, totals = np.zeros((2, m, m)), np.zeros(2)
+        for b in slices(batches, 4096):
+            v = dense(b.column(0).to_pylist(), m)
+            marks = b.column(1).to_numpy(zero_copy_only=False).astype(float)
+            post, weight = expected(model, v, marks, start)
+            weight = weight * b.column(2).to_numpy()
+            for y, w in ((0, weight * (1 - post)), (1, weight * post)):
+                pairs[y] += (v * w[:, None]).T @ v
+                totals[y] += w.sum()
+        i, j = np.nonzero(np.triu(pairs.sum(0)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(i, -1), pa.int32()), pa.array(np.append(j, -1), pa.int32()),
+             *(pa.array(np.append(pairs[y][i, j], totals[y])) for y in (0, 1))], names=["i", "j", "s0", "s1"])
+    return run
 
 
-def correlations(votes: np.ndarray, post: np.ndarray, one: np.ndarray, zero: np.ndarray) -> np.ndarray:
-    """Per voter the sum of the shares of its variance that each other voter explains, given the class."""
-    total = np.zeros((votes.shape[1],) * 2)
-    spread = np.zeros_like(total)
-    for w, mean in ((post, one), (1 - post, zero)):
-        d = votes - mean
-        total += (d * w[:, None]).T @ d
-        var = w @ (d * d)
-        spread += np.sqrt(np.outer(var, var))
-    r = np.clip(total / np.maximum(spread, 1e-9), 0, 1)
-    r[r < 0.2] = 0
-    np.fill_diagonal(r, 0)
-    return (r * r).sum(1)
+def label_model(patterns: DataFrame, m: int, start: bool, rounds: int = ROUNDS) -> LabelModel:
+    """Fit to ``patterns``: votes (numbers of the voters that fire), toxic (1, 0 or null) and n documents each."""
+    model: LabelModel | None = None
+    for _ in range(rounds):
+        sums = patterns.select("votes", F.col("toxic").cast("double"), "n").mapInArrow(
+            _sums(pickle.dumps(model), m, start), "i int, j int, s0 double, s1 double")
+        got = sums.groupBy("i", "j").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1")).toArrow()  # one row per pair of voters
+        pairs = {(i, j): np.array([x, y]) for i, j, x, y in zip(*(got[c].to_pylist() for c in ("i", "j", "s0", "s1")),
+                                                             strict=True)}
+        new = maximised(pairs.pop((-1, -1), np.zeros(2)), pairs, m)
+        moved = 1.0 if model is None else float(np.abs(new.rates - model.rates).max()) + abs(new.prior - model.prior)
+        model = new
+        if moved < 1e-3:
+            break
+    return model
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> tuple[np.ndarray, float]:
@@ -226,51 +325,48 @@ def _votes(blob: bytes):
             got = [voting(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([np.flatnonzero(v).astype(np.int32) for v, _ in got], pa.list_(pa.int32())),
-                 pa.array([h for _, h in got], pa.int64())], names=["toxic", "votes", "hits"])
+                 pa.array([h for _, h in got], pa.int64())], names=["id", "votes", "hits"])
     return run
 
 
+def _drawn(share: float) -> Column:
+    """A share of the rows, by a hash of the id in steps of 2^-53."""
+    return F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") < share * 2.0**53
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
+        labelled: int = LABELLED) -> Model:
     """A model from training rows; ``docs`` and ``labels`` must hold training rows only."""
     ship_package(docs.sparkSession)
-    marks = (labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic"))
+    marks = (labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic"))
              .where("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic")))
-    body = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    draw = lambda share: F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))
-    n = marks.count()
-    drawn = marks.where(draw(min(1.0, labelled / max(n, 1))))
-    # at most about ``labelled`` rows of (id, 0 or 1)
-    sample = body.join(F.broadcast(drawn), "id").select("toxic", "text")
-    counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    body = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    known = join_small(body, marks, "id").select("toxic", "text")
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     rows: list[tuple] = []
     if toxic and clean:
-        mined = sample.mapInArrow(_mine, "kind int, term string, n1 long, n0 long").groupBy("kind", "term").agg(
+        mined = known.mapInArrow(_mine, "kind int, term string, n1 long, n0 long").groupBy("kind", "term").agg(
             F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-        least = max(3, round(0.004 * toxic))
-        # only terms that stand out by far are of use; their number is bounded by the limit of the report
-        ratio = (F.col("n1") + 0.5) * (clean + 1) / ((F.col("n0") + 0.5) * (toxic + 1))
-        rows = [tuple(r) for r in mined.where((F.col("n1") >= least) & (ratio > 2.7)).orderBy(
-            (F.col("n1") * F.log(ratio)).desc(), "kind", "term").limit(40 * VOTERS).collect()]
+        odds = F.log((F.col("n1") + 0.5) / (toxic + 1.0)) - F.log((F.col("n0") + 0.5) / (clean + 1.0))
+        sure = odds - 2 * F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
+        # the strongest evidence comes first; beginnings cover words, so more are looked at than can be chosen
+        rows = [tuple(r) for r in mined.where((F.col("n1") >= 3) & (sure > LEAST_ODDS)).orderBy(
+            (F.col("n1") * sure).desc(), "kind", "term").limit(40 * VOTERS).collect()]
     words, prefixes = choose_voters(rows, toxic, clean)
-    blob = pickle.dumps((words, prefixes))
-    total = body.count()
-    more = body.where(draw(min(1.0, unlabelled / max(total, 1)))).join(F.broadcast(drawn.select("id")), "id", "left_anti")
-    rows_ = sample.unionByName(more.select(F.lit(None).cast("int").alias("toxic"), "text"))
-    got = rows_.mapInArrow(_votes(blob), "toxic int, votes array<int>, hits long").collect()
     m = len(words) + len(prefixes) + len(PATTERNS) + len(COUNTS)
-    votes, hits = np.zeros((len(got), m)), np.zeros(len(got))
-    marks_ = np.full(len(got), np.nan)
-    for i, r in enumerate(got):
-        votes[i, r["votes"]] = 1
-        hits[i] = r["hits"]
-        if r["toxic"] is not None:
-            marks_[i] = r["toxic"]
-    model = Model(words, prefixes)
-    post = label_model(votes, marks_)
-    model.weight, model.bias = fit_linear(features(votes, hits), post)
-    return model
+    # every training document's votes, without its text
+    votes = body.mapInArrow(_votes(pickle.dumps((words, prefixes))), "id long, votes array<int>, hits long")
+    votes = store(join_small(votes, marks, "id", "left"), "toxic-votes")
+    patterns = store(votes.groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n")), "toxic-patterns")
+    model = label_model(patterns, m, bool(toxic and clean), ROUNDS if toxic and clean else 1)
+    # the classifier's rows: about ``labelled`` at most, with labels if there are any
+    asked = votes.where("toxic is not null") if toxic and clean else votes
+    got = asked.where(_drawn(min(1.0, labelled / max(asked.count(), 1)))).select("votes", "hits").collect()
+    x = dense([r["votes"] for r in got], m)
+    out = Model(words, prefixes)
+    out.weight, out.bias = fit_linear(features(x, np.array([r["hits"] for r in got], float)), _logistic(model.log_odds(x)))
+    return out
 
 
 def _score(blob: bytes):
@@ -293,4 +389,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), "score", F.when(F.col("score") >= cut, 1).otherwise(0).alias("predicted"))
 
 
-__all__ = ["Model", "Voting", "choose_voters", "crc32_mod", "features", "fit", "fit_linear", "label_model", "score"]
+__all__ = ["LabelModel", "Model", "Voting", "choose_voters", "crc32_mod", "expected", "features", "fit", "fit_linear",
+           "label_model", "maximised", "score"]

@@ -61,13 +61,95 @@ def test_toxicity_without_labels_or_rows(spark):
     assert X.score(empty, X.fit(empty, none)).count() == 0
 
 
-def test_repeating_voters_share_their_evidence():
-    rng = np.random.default_rng(0)
-    truth = rng.random(4000) < 0.2
-    vote = np.where(truth, rng.random(4000) < 0.6, rng.random(4000) < 0.1).astype(float)
-    alone = X.correlations(np.column_stack([vote, rng.random(4000) < 0.3]), truth.astype(float), np.array([.6, .3]), np.array([.1, .3]))
-    twice = X.correlations(np.column_stack([vote, vote]), truth.astype(float), np.array([.6, .6]), np.array([.1, .1]))
-    assert alone.max() < 0.05 and twice.min() > 0.95
+def naive_round(model, rows, m, start):
+    """Expected sums row by row: P(toxic | votes) from the product of rates and pair factors, written out."""
+    totals, pairs = np.zeros(2), {}
+    for votes, mark, n in rows:
+        v = [int(i in votes) for i in range(m)]
+        if model is None:
+            if start and mark is None:
+                continue
+            p = float(mark) if start else 0.9 if votes else 0.02
+        else:
+            like = []
+            for y in (0, 1):
+                x = model.prior if y else 1 - model.prior
+                for i in range(m):
+                    x *= model.rates[y, i] if v[i] else 1 - model.rates[y, i]
+                for e, (i, j) in enumerate(model.edges):
+                    a, b, both = model.rates[y, i], model.rates[y, j], model.joint[y, e]
+                    cell = [[1 - a - b + both, b - both], [a - both, both]][v[i]][v[j]]
+                    x *= cell / ((a if v[i] else 1 - a) * (b if v[j] else 1 - b))
+                if mark is not None:
+                    x *= 0.98 if mark == y else 0.02
+                like.append(x)
+            p = like[1] / sum(like)
+        totals += n * np.array([1 - p, p])
+        for i in votes:
+            for j in votes:
+                if i <= j:
+                    pairs[i, j] = pairs.get((i, j), 0) + n * np.array([1 - p, p])
+    return totals, pairs
+
+
+def label_rows(rng, n=600):
+    """Votes of a hidden class: voters 0 and 1 repeat each other, 2 and 3 are independent, 4 never fires."""
+    rows = []
+    for _ in range(n):
+        y = rng.random() < 0.3
+        first = rng.random() < (0.7 if y else 0.1)
+        v = [first, first if rng.random() < 0.9 else not first, rng.random() < (0.6 if y else 0.05), rng.random() < 0.2, False]
+        rows.append((tuple(i for i in range(5) if v[i]), [None, int(y)][rng.random() < 0.3], 1))
+    return rows
+
+
+@pytest.mark.parametrize("labels", [True, False])
+def test_label_model_against_a_walk_over_the_rows(spark, labels):
+    rows = [(v, y if labels else None, n) for v, y, n in label_rows(np.random.default_rng(3))]
+    df = spark.createDataFrame([(list(v), y, n) for v, y, n in rows], "votes array<int>, toxic int, n long")
+    patterns = df.groupBy("votes", "toxic").sum("n").withColumnRenamed("sum(n)", "n").repartition(3)
+    got = X.label_model(patterns, 5, labels, rounds=4)
+    want = None
+    for _ in range(4):
+        want = X.maximised(*naive_round(want, rows, 5, labels), 5)
+    assert np.allclose(got.rates, want.rates) and np.allclose(got.prior, want.prior)
+    assert got.edges.tolist() == want.edges.tolist() and np.allclose(got.joint, want.joint)
+    if labels:
+        assert [0, 1] in got.edges.tolist()          # the voters that repeat each other are a pair
+
+
+def test_label_model_is_a_distribution_and_pairs_count_once():
+    rows = [(v, y, n) for v, y, n in label_rows(np.random.default_rng(4), 3000) if y is not None]
+    model = X.maximised(*naive_round(None, rows, 5, True), 5)
+    every = np.array([[x >> i & 1 for i in range(5)] for x in range(32)], float)
+    for y in (0, 1):
+        const, w, u = model.factors(y)
+        logs = const + every @ w + (every[:, model.edges[:, 0]] * every[:, model.edges[:, 1]]) @ u
+        assert abs(np.exp(logs).sum() - 1) < 1e-6
+    plain = X.LabelModel(model.prior, model.rates, np.zeros((0, 2), np.int64), np.zeros((2, 0)))
+    one, both = np.array([[1, 0, 0, 0, 0.]]), np.array([[1, 1, 0, 0, 0.]])
+    truth = np.log(np.mean([y for v, y, _ in rows if 0 in v and 1 in v and 2 not in v]) /
+                   (1 - np.mean([y for v, y, _ in rows if 0 in v and 1 in v and 2 not in v])))
+    assert abs(model.log_odds(both)[0] - truth) < abs(plain.log_odds(both)[0] - truth)
+    assert plain.log_odds(both)[0] - plain.log_odds(one)[0] > model.log_odds(both)[0] - truth
+
+
+def test_rare_terms_vote_and_every_training_row_counts(spark):
+    """A word of twenty in six thousand toxic rows votes, however few rows fit the classifier."""
+    docs = [(i, f"w{i % 50} {'grobnak' if i % 4 == 0 else 'fine'} {'zzyxo' if i % 1200 == 4 else ''}") for i in range(24_000)]
+    labels = [(i, int(i % 4 == 0)) for i in range(24_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    model = X.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"), labelled=500)
+    assert "zzyxo" in model.words + model.prefixes or any("zzyxo".startswith(p) for p in model.prefixes)
+    assert any(t.startswith("grob") for t in model.words + model.prefixes)
+
+
+def test_toxicity_ignores_columns_named_like_its_own(spark):
+    rows = [(i, "you idiot" if i % 2 else "fine", i % 2, f"v{i}", 1.0, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, votes string, score double, id long")
+    model = X.fit(df, df)
+    out = X.score(df, model).collect()
+    assert len(out) == 40 and all((r["score"] > 0.5) == bool(r["doc_id"] % 2) for r in out)
 
 
 # -- language model
