@@ -12,7 +12,9 @@ line of ``min_line_words`` words or more, and a run of repeated piece units of
 ``min_run_words`` words or more. Removed parts are reported with their offsets
 (code points) in the original text.
 
-The grouping goes in two steps. The first one exchanges 64 bits of each unit's
+A text that an earlier document holds as a whole goes as a whole; such copies are
+found by 128 bits of the text and take no part in the grouping of units, as the
+first of them holds all of theirs. The grouping goes in two steps. The first one exchanges 64 bits of each unit's
 digest, once per batch of texts, with the least and greatest id that hold it; of
 windows it takes their seeds (the least hash of ``SEED`` words within a window
 depends on the window's words alone, so only windows whose seed repeats can
@@ -25,6 +27,9 @@ shuffle, so a line held by a third of all documents costs a row per task; the
 digests that repeat are then joined back (a skewed join, which adaptive
 execution splits), and each document's own list meets its text.
 
+Of a removed part ``first_doc`` is the earliest document that holds the unit, of a
+whole copy the first document of that text.
+
 Defined results: a null text stays null and an empty one empty; rows of equal
 id have equal rank, so that none removes another's units; a null id ranks last;
 an empty table gives no rows; every text is cut whole, whatever its length;
@@ -38,11 +43,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pinprice.llm.common import ship_package, slices, store
 from pinprice.llm.hashing import Words, batches_of, mix, spans_digest, words_of
+from pinprice.operators.joins import join_small
 
 MIN_LINE_WORDS = 1  # every line that holds a word
 MIN_RUN_WORDS = 20
@@ -237,14 +243,18 @@ class Known:
 
 
 def repeated(w: Words, known: Known, ids: np.ndarray, min_line_words: int = MIN_LINE_WORDS,
-             min_run_words: int = MIN_RUN_WORDS) -> list[list[tuple]]:
-    """Per text, the byte spans (start, end, first_doc) to remove, in the batch's buffer."""
+             min_run_words: int = MIN_RUN_WORDS, whole: list[int | None] | None = None) -> list[list[tuple]]:
+    """Per text, the byte spans (start, end, first_doc) to remove, in the batch's buffer.
+
+    ``whole`` names, for a copy of an earlier text, the first document of it: all its units are known.
+    """
     a, b, d1, d2, is_line = units_of(w, min_line_words)
     doc = np.searchsorted(w.first, a, side="right") - 1
     out: list[list[tuple]] = [[] for _ in range(len(w.first) - 1)]
     entry = known.find(doc, d1, d2)
+    copies = np.array([x is not None for x in whole] if whole else np.zeros(len(out)), bool)
     # only units that may go are looked at one by one: known ones and those twice in a text
-    may = entry >= 0
+    may = (entry >= 0) | copies[doc]
     by = np.lexsort((d1, doc))
     same = np.flatnonzero((d1[by][1:] == d1[by][:-1]) & (doc[by][1:] == doc[by][:-1]))
     may[by[same]] = may[by[same + 1]] = True
@@ -271,6 +281,8 @@ def repeated(w: Words, known: Known, ids: np.ndarray, min_line_words: int = MIN_
             now, runs, seen = i, [], {}
         if entry[j] >= 0:
             first = int(known.first[entry[j]])
+        elif copies[i]:
+            first = whole[i]
         else:
             key = (int(d1[j]), int(d2[j]))
             if key not in seen:
@@ -302,17 +314,17 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = batch.schema.names
         ids = batch.column(names.index("__doc")).to_numpy()
         texts = batch.column(names.index("__text")).to_pylist()
-        hits = batch.column(names.index("__hits"))
+        hits, whole = batch.column(names.index("__hits")), batch.column(names.index("__whole")).to_pylist()
         clean: list[str | None] = []
         gone: list[list[dict]] = []
         for lo, hi in batches_of(texts):
             part = texts[lo:hi]
             w = words_of(part)
-            for k, spans in enumerate(repeated(w, _hits(hits.slice(lo, hi - lo)), ids[lo:hi])):
+            for k, spans in enumerate(repeated(w, _hits(hits.slice(lo, hi - lo)), ids[lo:hi], whole=whole[lo:hi])):
                 text, removed = cut(part[k], [(s - int(w.text_at[k]), e - int(w.text_at[k]), f) for s, e, f in spans])
                 clean.append(text)
                 gone.append(removed)
-        kept = [i for i, n in enumerate(names) if n not in ("__doc", "__text", "__hits")]
+        kept = [i for i, n in enumerate(names) if n not in ("__doc", "__text", "__hits", "__whole")]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(i) for i in kept), pa.array(clean, pa.string()), pa.array(gone, pa.list_(pa.struct(
                 [("start", pa.int64()), ("end", pa.int64()), ("first_doc", pa.int64())])))],
@@ -345,27 +357,49 @@ def cut(text: str | None, spans: list[tuple[int, int, int]]) -> tuple[str | None
     return b"".join(left).decode("utf-8", "surrogatepass"), removed
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, hits: per document the digests that a lower-ranked document holds, with that document."""
-    ship_package(docs.sparkSession)
-    rank = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST))
-    body = docs.where(F.col(f"`{text_col}`").isNotNull()).select(rank.alias("doc"), F.col(f"`{text_col}`").alias("t"))
+def _ranked(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """__doc (rank), __text, further columns, and 128 bits of the text."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("__doc"), text.alias("__text"),
+                       *more, F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(1), text).alias("__h2"))
+
+
+def _with_copies(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Adds __whole: for a copy of an earlier document's text, the first document that holds it."""
+    j = join_small(rows, firsts, ["__h1", "__h2"], "left")
+    return j.withColumn("__whole", F.when(F.col("__doc") > F.col("__first"), F.col("__first"))).drop("__h1", "__h2", "__first")
+
+
+def repeated_texts(rows: DataFrame) -> DataFrame:
+    """__h1, __h2, __first of texts that several documents hold; a row per such text."""
+    each = rows.where("__text is not null and __text != ''").groupBy("__h1", "__h2")
+    return each.agg(F.min("__doc").alias("__first"), F.max("__doc").alias("__last")).where("__last > __first").drop("__last")
+
+
+def repeated_units(rows: DataFrame) -> DataFrame:
+    """__doc, __hits: per document the digests that a lower-ranked document holds, with that document.
+
+    ``rows``: __doc, __text, without copies of whole texts.
+    """
+    body = rows.where("__text is not null").select("__doc", "__text")
     each = body.mapInArrow(_emit_digests, "d long, lo long, hi long").groupBy("d")
     again = store(each.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("d"), "repeated-digests")
-    words = docs.sparkSession.sparkContext.broadcast(_filter_of(again))
-    units = store(body.mapInArrow(_emit_repeats(words), "d1 long, d2 long, doc long"), "repeated-units")
+    words = rows.sparkSession.sparkContext.broadcast(_filter_of(again))
+    # hashed twice rather than stored: the digests would take more room than the texts
+    units = body.mapInArrow(_emit_repeats(words), "d1 long, d2 long, doc long")
     first = units.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last > first")
     hits = units.join(first.select("d1", "d2", "first"), ["d1", "d2"]).where("doc > first")
-    return hits.groupBy("doc").agg(F.collect_list(F.struct("d1", "d2", "first")).alias("hits"))
+    return hits.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("d1", "d2", "first")).alias("__hits"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated units cut out of the text, and ``removed``: array of (start, end, first_doc)."""
-    hits = repeated_units(docs, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("hits").alias("__hits"))
+    ship_package(docs.sparkSession)
+    firsts = store(repeated_texts(_ranked(docs, id_col, text_col)), "repeated-texts")
+    hits = repeated_units(_with_copies(_ranked(docs, id_col, text_col), firsts).where("__whole is null"))
     carried = [c for c in docs.columns if c not in (text_col, "removed")]
-    body = docs.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("__doc"), F.col(f"`{text_col}`").alias("__text"),
-        *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carried)])
+    body = _with_copies(_ranked(docs, id_col, text_col, *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carried)]),
+                        firsts)
     kinds = dict(docs.dtypes)
     ddl = ", ".join([f"__c{i} {kinds[c]}" for i, c in enumerate(carried)] + ["__clean string", f"__removed {SPAN}"])
     out = body.join(hits, "__doc", "left").mapInArrow(_cleaned, ddl)
@@ -374,5 +408,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(*[F.col(source[c]).alias(c) for c in names], F.col("__removed").alias("removed"))
 
 
-__all__ = ["Known", "MIN_LINE_WORDS", "MIN_RUN_WORDS", "cut", "passes", "piece_starts", "remove_repeats", "repeated", "repeated_units",
-           "seeds", "units_of", "windows"]
+__all__ = ["Known", "MIN_LINE_WORDS", "MIN_RUN_WORDS", "cut", "passes", "piece_starts", "remove_repeats", "repeated",
+           "repeated_units", "seeds", "units_of", "windows"]
