@@ -61,6 +61,20 @@ def test_flat_zone_prices_is_broadcast_expansion(spark):
     assert p.count("Exchange hashpartitioning") <= 2
 
 
+@pytest.mark.parametrize("name", ["q18_price_updates", "q19_merged_prices", "q20_changed_products"])
+def test_change_set_moves_only_winners(spark, name):
+    """Zone sets resolve shared pincodes before the expansion: above it nothing is exchanged, and the change set
+    itself is neither sorted nor aggregated; the stored state is not exchanged either."""
+    lines = plan(E.queries()[name](spark, SF001), "simple").split("\n")
+    grow = max(i for i, line in enumerate(lines) if "BroadcastHashJoin [zones" in line)
+    above = [line for line in lines[:grow] if "Exchange hashpartitioning" in line or "RoundRobin" in line]
+    assert not above, above
+    if name == "q18_price_updates":
+        assert not any("Sort" in line or "Aggregate" in line for line in lines[:grow])
+    if name == "q19_merged_prices":
+        assert any("Bucketed: true" in line for line in lines[:grow])
+
+
 def test_eligibility_pushed_into_scan(spark):
     t = fixture_tables(spark, SF001)
     p = plan(eligible_offers(t["zoneprices"]).select(F.col("product")))
