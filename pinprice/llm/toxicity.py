@@ -9,9 +9,11 @@ given the class) have factors of their own, so that voters that repeat each
 other are no double evidence. It is a proper distribution over all patterns of
 votes. Expectation maximisation runs on Spark: documents of equal votes and
 label are one row with a count, and a round is one grouped sum per pair of
-voters that fire together. A known label is a noisy observation of the hidden
-class while the model is fitted; its posteriors, which come from the votes
-alone, are the targets of a logistic regression over the votes and their counts,
+voters that fire together. A known label is a nearly sure observation of the
+hidden class while the model is fitted, and rows without one weigh
+``UNLABELLED_WEIGHT`` beside rows with one (semi-supervised EM: at full weight
+the class drifts away from the labels); the model's posteriors, which come from
+the votes alone, are the targets of a logistic regression over the votes and their counts,
 which scores every whole text in one pass over it.
 
 Bounds (parameters): at most about ``LABELLED`` labelled rows, drawn by a hash
@@ -47,7 +49,9 @@ from pinprice.operators.joins import join_small
 LABELLED, VOTERS = 20_000, 256
 ROUNDS = 12
 #: Odds of a known label to be right, as the label model sees it.
-LABEL_ODDS = 0.98 / 0.02
+LABEL_ODDS = 1e6
+#: Weight of a training row without a label in the label model, beside rows with one.
+UNLABELLED_WEIGHT = 0.1
 #: Least mutual information (nats a document) of a pair of voters that gets a factor.
 LEAST_INFORMATION = 1e-5
 CUT = 0.3
@@ -210,33 +214,32 @@ def expected(model: LabelModel | None, votes: np.ndarray, marks: np.ndarray, sta
             return np.where(known, marks, 0.0), known.astype(float)
         return np.where(votes.any(1), 0.9, 0.02), np.ones(len(votes))
     seen = np.where(known, np.where(marks == 1, 1, -1), 0) * np.log(LABEL_ODDS)
-    return _logistic(model.log_odds(votes) + seen), np.ones(len(votes))
+    # where there are labels, a row without one counts for less, lest the hidden class become another one
+    return _logistic(model.log_odds(votes) + seen), np.where(known | (not start), 1.0, UNLABELLED_WEIGHT)
 
 
 def maximised(totals: np.ndarray, pairs: dict[tuple[int, int], np.ndarray], m: int) -> LabelModel:
     """The model from expected sums per class (clean, toxic): of documents, and of documents in which i and j both fire."""
+    at = np.array(list(pairs), np.int64).reshape(-1, 2)
+    sums = np.array(list(pairs.values()), float).reshape(-1, 2).T
+    own = at[:, 0] == at[:, 1]
     rates = np.zeros((2, m))
-    for (i, j), x in pairs.items():
-        if i == j:
-            rates[:, i] = x
+    rates[:, at[own, 0]] = sums[:, own]
     pooled = (rates.sum(0) + 0.11) / (totals.sum() + 2.0)
     rates = (rates + np.array([[0.02], [0.2]])) / (totals[:, None] + 2.0)
     # a voter is no evidence against toxicity: at most it tells nothing
     rates = np.where(rates[1] < rates[0], pooled, rates)
     share = totals / max(totals.sum(), 1e-9)
-    found = []
-    for (i, j), x in pairs.items():
-        if i >= j:
-            continue
-        p, q = rates[:, i], rates[:, j]
-        both = (x + 2.0 * p * q) / (totals + 2.0)  # two documents in which they are independent
-        both = np.clip(both, np.maximum(p + q - 1, 0) + 1e-9, np.minimum(p, q) - 1e-9)
-        cells = np.stack([both, p - both, q - both, 1 - p - q + both])
-        free = np.stack([p * q, p * (1 - q), (1 - p) * q, (1 - p) * (1 - q)])
-        cells = np.maximum(cells, 1e-12)
-        information = float(share @ (cells * np.log(cells / free)).sum(0))
-        if information > LEAST_INFORMATION:
-            found.append((information, i, j, both))
+    at, sums = at[~own], sums[:, ~own]
+    p, q = rates[:, at[:, 0]], rates[:, at[:, 1]]
+    both = (sums + 2.0 * p * q) / (totals[:, None] + 2.0)  # two documents in which they are independent
+    least = np.minimum(p, q)  # every cell of a pair keeps some probability
+    both = np.clip(both, np.maximum(p + q - 1 + 1e-9, 1e-6 * least), (1 - 1e-6) * least)
+    cells = np.maximum(np.stack([both, p - both, q - both, 1 - p - q + both]), 1e-12)
+    free = np.stack([p * q, p * (1 - q), (1 - p) * q, (1 - p) * (1 - q)])
+    information = share @ (cells * np.log(cells / free)).sum(0)
+    found = np.flatnonzero(information > LEAST_INFORMATION)
+    found = found[np.lexsort((at[found, 1], at[found, 0], -information[found]))]
     parent = list(range(m))
 
     def root(v: int) -> int:
@@ -244,14 +247,13 @@ def maximised(totals: np.ndarray, pairs: dict[tuple[int, int], np.ndarray], m: i
             parent[v] = v = parent[parent[v]]
         return v
 
-    edges, joint = [], []
-    for _, i, j, both in sorted(found, key=lambda f: (-f[0], f[1], f[2])):  # the greatest spanning forest
-        if root(i) != root(j):
-            parent[root(i)] = root(j)
-            edges.append((i, j))
-            joint.append(both)
-    return LabelModel(float(np.clip(share[1], 0.005, 0.995)), rates, np.array(edges, np.int64).reshape(-1, 2),
-                      np.array(joint).reshape(-1, 2).T)
+    forest = []
+    for e in found.tolist():  # the greatest spanning forest
+        i, j = root(int(at[e, 0])), root(int(at[e, 1]))
+        if i != j:
+            parent[i] = j
+            forest.append(e)
+    return LabelModel(float(np.clip(share[1], 0.005, 0.995)), rates, at[forest], both[:, forest])
 
 
 def dense(votes: list[list[int]], m: int) -> np.ndarray:
