@@ -459,6 +459,20 @@ def q43_sql_distances(spark, sf_dir):
     return spark.sql(f"SELECT f.src_dest, f.distance FROM pinprice_pairs p, LATERAL {fn}(p.src, p.dest) f")
 
 
+def q44_quotes_by_threshold(spark, sf_dir):
+    """The quotes of q13 with a distance table that may not be broadcast: by threshold search."""
+    t = _t(spark, sf_dir)
+    dests = _pin_requests(t).select("product", "zone", F.col("dest_pin").alias("pincode"))
+    return min_quote_for_pins(t["zoneprices"], dests, t["pincodedistances"], t["productinfos"], max_broadcast_rows=0)
+
+
+def q45_zone_prices_by_arrays(spark, sf_dir):
+    """The prices of q12 with tables that may not be broadcast: charges as arrays per seller pincode."""
+    t = _t(spark, sf_dir)
+    return min_price_for_zone(t["zoneprices"], t["pincodes"], t["productinfos"], distances=t["pincodedistances"],
+                              on_missing="zero", max_broadcast_rows=0, seller_chunk_rows=100)
+
+
 _QUERIES = [
     q01_zone_product_offers, q02_fetch_by_id, q03_known_products, q04_eligible_offers,
     q05_nested_projection, q06_price_flat, q07_price_distance, q08_quote_selling,
@@ -470,7 +484,7 @@ _QUERIES = [
     q28_recompute_changed, q29_merged_quotes, q30_one_zone_match, q31_single_request, q32_min_price_core,
     q33_price_map_entries, q34_sql_functions, q35_string_keys, q36_merge_touched_parts, q37_modified_per_product,
     q38_recompute_zone_version, q39_read_options, q40_kv_keyed_lookup, q41_sql_pin_prices, q42_sql_zone_prices,
-    q43_sql_distances,
+    q43_sql_distances, q44_quotes_by_threshold, q45_zone_prices_by_arrays,
 ]
 
 
@@ -755,6 +769,8 @@ FROM lastu u LEFT JOIN product_prices s ON s.product = u.product AND s.pincode =
     "q41_sql_pin_prices": _SQL["q10_min_for_pin"],
     "q42_sql_zone_prices": _SQL["q11_min_for_zone_flat"],
     "q43_sql_distances": _SQL["q17_distance_lookup"],
+    "q44_quotes_by_threshold": _SQL["q13_min_quote_for_pins"],
+    "q45_zone_prices_by_arrays": _SQL["q12_min_for_zone_distance"],
 }
 
 

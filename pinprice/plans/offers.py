@@ -317,8 +317,11 @@ def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
             x = rows.select(*[c for c in rows.columns if c != "entries"], F.inline("entries"))
         return x.withColumn("finalPrice", delivered_price("buyingPrice", F.col("charge")))
 
-    few, many = _in_chunks(s, seller_chunk_rows)
     out = ["product", "zone", "pincode", "finalPrice", "quantity"]
+    # no key has more sellers than there are seller pincodes (one column is read for the proof)
+    if row_count((sellers if sellers is not None else offers).select("pincodeNum").distinct()) <= seller_chunk_rows:
+        return _least(expanded(s), chunked=False).select(*out)
+    few, many = _in_chunks(s, seller_chunk_rows)
     return (_least(expanded(few), chunked=False).select(*out)
             .unionByName(_least(expanded(many), chunked=True).select(*out)))
 
@@ -421,8 +424,9 @@ def quote_sellers(offers: DataFrame, distances: DataFrame, on_missing: str = "dr
     return s.withColumn("place", F.row_number().over(order))
 
 
-def quote_candidates(destinations: DataFrame, sellers: DataFrame, best: DataFrame | None, first: int) -> DataFrame:
-    """(destination, seller) pairs that must be looked up in the distance table.
+def quote_candidates(destinations: DataFrame, sellers: DataFrame, best: DataFrame | None,
+                     first: int | None) -> DataFrame:
+    """(destination, seller) pairs that must be looked up in the distance table; all, if ``first`` is None.
 
     Without ``best``: the ``first`` sellers of each product by their least
     possible quote, and a destination's own seller. With ``best`` (the least
@@ -430,10 +434,11 @@ def quote_candidates(destinations: DataFrame, sellers: DataFrame, best: DataFram
     least possible quote is below it.
     """
     own = F.col("pincodeNum") == F.col("pincode")
-    early = own | (F.col("place") <= first)
     x = destinations.join(sellers, ["zone", "product"], "inner")
+    if first is None:
+        return x
     if best is None:
-        return x.where(early)
+        return x.where(own | (F.col("place") <= first))
     x = destinations.join(best, ["zone", "product", "pincode"], "left").join(
         sellers.where(F.col("place") > first), ["zone", "product"], "inner")
     return x.where(~own & F.col("lo").isNotNull() & (F.col("bound").isNull() | (F.col("lo") < F.col("bound"))))
@@ -450,8 +455,9 @@ def min_quote_for_pins(offers: DataFrame, destinations: DataFrame, distances: Da
     its own. A seller with no distance entry is skipped (``"drop"``).
     Output: product, zone, pincode, type, price (double, unrounded).
 
-    Threshold search: sellers are taken in the order of the least quote they
-    can give (price plus least charge). The ``first`` ones of a product are
+    While the distance table is proven small it is broadcast, and every
+    pair is looked up where it lies. Beyond that, threshold search: sellers
+    are taken in the order of the least quote they can give (price plus least charge). The ``first`` ones of a product are
     looked up for every destination; the best quote so found is a bound, and
     of the remaining sellers only those that could still be below it are
     looked up. The result is exact for any ``first``.
@@ -463,6 +469,8 @@ def min_quote_for_pins(offers: DataFrame, destinations: DataFrame, distances: Da
                products)
     s = quote_sellers(offers, distances, on_missing, max_broadcast_rows)
     small = fits(distances, max_broadcast_rows)
+    if small:  # no row moves for a look-up, so there is nothing to save
+        first = None
 
     def least(pairs: DataFrame) -> DataFrame:
         # only the least price is reported, so a plain min (hash aggregate) suffices
@@ -470,6 +478,8 @@ def min_quote_for_pins(offers: DataFrame, destinations: DataFrame, distances: Da
         return x.groupBy("zone", "product", "pincode").agg(F.min(F.col("sellingPrice") + F.col("charge")).alias("bound"))
 
     best = least(quote_candidates(d, s, None, first))
+    if first is None:
+        return best.select("product", "zone", "pincode", F.lit(carrier).alias("type"), F.col("bound").alias("price"))
     more = least(quote_candidates(d, s, best, first))
     quotes = best.unionByName(more).groupBy("product", "zone", "pincode").agg(F.min("bound").alias("price"))
     return quotes.select("product", "zone", "pincode", F.lit(carrier).alias("type"), "price")

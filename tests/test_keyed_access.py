@@ -65,7 +65,8 @@ def quote_data(rng):
 
 
 @pytest.mark.parametrize("on_missing", ["drop", "zero"])
-@pytest.mark.parametrize("options", [dict(first=1), dict(first=4), dict(first=100), dict(first=2, max_broadcast_rows=1)])
+@pytest.mark.parametrize("options", [dict(), dict(first=1, max_broadcast_rows=0), dict(first=100, max_broadcast_rows=0),
+                                     dict(first=2, max_broadcast_rows=1)])
 def test_threshold_search_is_exact(mk, options, on_missing):
     offers, dests, distances = quote_data(random.Random(4))
     got = min_quote_for_pins(mk(offers, OFFER_DDL), mk(dests, "product BIGINT, zone STRING, pincode INT"),
