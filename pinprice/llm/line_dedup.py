@@ -15,7 +15,7 @@ line of ``min_line_words`` words or more, and a run of repeated piece units of
 A text that an earlier document holds as a whole goes as a whole; such copies are
 found by 128 bits of the text and take no part in the grouping of units, as the
 first of them holds all of theirs. The grouping goes in two steps. The first one exchanges 64 bits of each unit's
-digest, once per batch of texts, with the least and greatest id that hold it; of
+digest, once per some texts, with the least and greatest id that hold it; of
 windows it takes their seeds (the least hash of ``SEED`` words within a window
 depends on the window's words alone, so only windows whose seed repeats can
 repeat). The digests that several documents hold go into a bit filter of bounded
@@ -147,11 +147,24 @@ def _places(d: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix(d.view(np.uint64), salt) & np.uint64(bits - 1)).astype(np.int64) for salt in (51, 53)]
 
 
+#: Digests that a task holds before it emits the distinct ones.
+HELD = 1 << 16
+
+
 def _emit_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text) to the distinct digests of a batch (of windows, the seeds), with the least and greatest document."""
+    """(doc, text) to digests (of windows, the seeds), distinct over some texts, with the least and greatest document."""
+
+    def distinct(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        d, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((doc, d))
+        d, doc = d[order], doc[order]
+        at = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.empty(0, np.int64)
+        last = np.append(at[1:], len(d)) - 1 if len(d) else at
+        return pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(doc[at]), pa.array(doc[last])], names=["d", "lo", "hi"])
+
+    found, held = [], 0
     for batch in slices(batches):
         docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-        found = []
         for lo, hi in batches_of(texts):
             w = words_of(texts[lo:hi])
             a, _, d1, _, _ = units_of(w)
@@ -159,12 +172,12 @@ def _emit_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             n = len(a) - len(over)
             text = np.searchsorted(w.first, np.concatenate([a[:n], over]), side="right") - 1
             found.append((np.concatenate([d1[:n], seeds(w, over)]), docs[lo:hi][text].astype(np.int64)))
-        d, doc = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
-        order = np.lexsort((doc, d))
-        d, doc = d[order], doc[order]
-        at = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.empty(0, np.int64)
-        last = np.append(at[1:], len(d)) - 1 if len(d) else at
-        yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(doc[at]), pa.array(doc[last])], names=["d", "lo", "hi"])
+            held += len(a)
+            if held >= HELD:
+                yield distinct(found)
+                found, held = [], 0
+    if found:
+        yield distinct(found)
 
 
 def _bit_words(bits: int):
