@@ -8,7 +8,7 @@ pair and adaptive execution splits a skewed (hot seller) partition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pinprice.operators.joins import DEFAULT_BROADCAST_ROWS, expand_join, fits, join_small
@@ -53,6 +53,30 @@ def charge_arrays(sellers: DataFrame, pins: DataFrame, distances: DataFrame, on_
                     F.array_max(charges).alias("cmax"), (F.size("entries") == F.size("dests")).alias("full"))
 
 
+def seller_numbers(sellers: DataFrame) -> DataFrame:
+    """zone, pincodeNum, _i: the seller pincodes of every zone, numbered from 0."""
+    order = Window.partitionBy("zone").orderBy("pincodeNum")
+    return sellers.select("zone", "pincodeNum").distinct().withColumn("_i", F.row_number().over(order) - 1)
+
+
+def charges_by_seller(numbers: DataFrame, pins: DataFrame, distances: DataFrame, on_missing: str = "zero",
+                      max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """The columns of ``pins`` and ``charges``: every destination's charges as one array, by the sellers' numbers.
+
+    ``numbers``: zone, pincodeNum, _i from 0 (``seller_numbers``). A seller
+    that doesn't serve the destination has a null there. Rules as in
+    ``attach_charge``; of several distances the least counts. As many charges
+    as the zones have pairs of seller and destination pincodes.
+    """
+    d = listed(distances).groupBy(F.col("sourcePincode").alias("pincodeNum"), F.col("destPincode").alias("pincode")).agg(
+        F.min("distance").alias("near"))
+    x = expand_join(pins, numbers, "zone", max_broadcast_rows).join(d, ["pincodeNum", "pincode"], "left")
+    far = F.coalesce("near", F.lit(0.0)) if on_missing == "zero" else F.col("near")
+    charge = F.when(F.col("pincodeNum") == F.col("pincode"), F.lit(0.0)).otherwise(far)
+    each = x.groupBy(*pins.columns).agg(F.array_sort(F.collect_list(F.struct("_i", charge.alias("charge")))).alias("each"))
+    return each.select(*pins.columns, F.transform("each", lambda e: e["charge"]).alias("charges"))
+
+
 def attach_charge(rows: DataFrame, distances: DataFrame, src: str, dest: str,
                   on_missing: str = "zero", charge_col: str = "charge",
                   broadcast: bool | None = None,

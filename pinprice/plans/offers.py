@@ -23,15 +23,17 @@ from pyspark.sql import functions as F
 
 from pinprice.functions.expr import (
     CARRIER,
+    MARGIN,
     PIN_CHARGE,
     ZONE_CHARGE,
     delivered_price,
     eligible_buying,
     eligible_selling,
+    round_half_up,
 )
 from pinprice.operators.aggregate import argmin, top_k
-from pinprice.operators.joins import DEFAULT_BROADCAST_ROWS, expand_join, fits, join_small, row_count
-from pinprice.plans.charges import attach_charge, charge_arrays, listed
+from pinprice.operators.joins import DEFAULT_BROADCAST_BYTES, DEFAULT_BROADCAST_ROWS, expand_join, fits, join_small, row_count
+from pinprice.plans.charges import attach_charge, charge_arrays, charges_by_seller, listed, seller_numbers
 from pinprice.session import shared_dir
 
 TIE_ORDER = ("finalPrice", "buyingPrice", "quantity", "pincodeNum")
@@ -232,16 +234,52 @@ def _in_chunks(sellers: DataFrame, chunk_rows: int) -> tuple[DataFrame, DataFram
     return s.where(few).drop("_n", "_sc"), s.where(many).drop("_n").repartition(*key, "_sc")
 
 
-def _least(rows: DataFrame, chunked: bool) -> DataFrame:
-    """The least offer per (product, zone, pincode) of an expansion that lies by (zone, product, _db[, _sc]).
+def _least(rows: DataFrame) -> DataFrame:
+    """The least offer per (product, zone, pincode) of an expansion that lies by (zone, product, _db, _sc).
 
     ``_db`` is a function of the pincode: grouping by it too keeps the groups
     and lets the aggregate reuse the partitioning. Chunks give one row per
     destination each, and only these are moved for the second minimum.
     """
-    keys = ["product", "zone", "pincode", "_db", *(["_sc"] if chunked else [])]
-    best = argmin(rows, keys, list(TIE_ORDER))
-    return argmin(best, ["product", "zone", "pincode"], list(TIE_ORDER)) if chunked else best
+    best = argmin(rows, ["product", "zone", "pincode", "_db", "_sc"], list(TIE_ORDER))
+    return argmin(best, ["product", "zone", "pincode"], list(TIE_ORDER))
+
+
+def _numbered(sellers: DataFrame, numbers: DataFrame, max_broadcast_rows: int) -> DataFrame:
+    """Sellers with the number ``_i`` of their pincode in the zone (a seller without a pincode has one too)."""
+    n = numbers.select(F.col("zone").alias("_z"), F.col("pincodeNum").alias("_s"), "_i")
+    on = (F.col("zone") == F.col("_z")) & F.col("pincodeNum").eqNullSafe(F.col("_s"))
+    return join_small(sellers, n, on, max_broadcast_rows=max_broadcast_rows).drop("_z", "_s")
+
+
+def _least_of_lists(sellers: DataFrame, charges: DataFrame, numbers: DataFrame, on_missing: str,
+                    max_broadcast_rows: int) -> DataFrame:
+    """The least offer per (product, zone, pincode) of numbered sellers that lie by (zone, product, _db).
+
+    The sellers of a key become one list first (small: a seller pincode has
+    one offer there), and the list meets each destination of its bucket with
+    the destination's charges. The least price is taken inside that row, so
+    the expansion has exactly the rows of the result, and none of them is
+    sorted, aggregated or moved.
+    """
+    b = F.col("buyingPrice").cast("double")
+    offer = F.struct("_i", (b + F.lit(MARGIN) * b).alias("cost"), "buyingPrice", "quantity")
+    lists = sellers.groupBy("zone", "product", "_db").agg(F.collect_list(offer).alias("sellers"))
+    widest = numbers.groupBy("zone").count().agg(F.max("count")).first()[0] or 0
+    bound = min(max_broadcast_rows, DEFAULT_BROADCAST_BYTES // (64 + 8 * widest))
+    x = expand_join(lists, charges, ["zone", "_db"], bound)
+
+    def priced(o):
+        charge = F.get("charges", o["_i"])
+        price = round_half_up(o["cost"] + charge).alias("finalPrice")
+        offer = F.struct(price, o["buyingPrice"].alias("buyingPrice"), o["quantity"].alias("quantity"))
+        return offer if on_missing == "zero" else F.when(charge.isNotNull(), offer)
+
+    # as a generator the least offer is computed once, where a filter and its fields would each compute it again
+    best = F.array_compact(F.array(F.array_min(F.transform("sellers", priced))))
+    return x.select("product", "zone", "pincode", F.inline(best)) if on_missing == "drop" else x.select(
+        "product", "zone", "pincode", F.array_min(F.transform("sellers", priced)).alias("_w")).select(
+        "product", "zone", "pincode", "_w.finalPrice", "_w.buyingPrice", "_w.quantity")
 
 
 def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
@@ -263,21 +301,24 @@ def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
     Distance mode, for pincode and distance tables of any size:
 
     * sellers of one (zone, product) are co-located by one shuffle of the
-      per-seller winners (small), so the expansion to destinations and the
-      final aggregate run inside that partition with no further exchange;
+      per-seller winners (small) and become one list, which meets every
+      destination with its charges: the least price is taken inside that row,
+      so the expansion is the result itself, never sorted or aggregated;
     * destinations are split into ``ceil(#pincodes / dest_bucket_rows)``
       buckets and each seller row is copied to every bucket;
     * a key with more than ``seller_chunk_rows`` sellers is dealt by chunks of
-      sellers: a minimum per chunk, then one over the chunks, so that no task
-      expands more than ``seller_chunk_rows * dest_bucket_rows`` of its rows;
+      sellers, which are expanded one by one: a minimum per chunk, then one
+      over the chunks, so that no task expands more than
+      ``seller_chunk_rows * dest_bucket_rows`` of its rows;
     * exact pruning before the expansion: with c_min/c_max the least and
       greatest charge of a seller over the zone, a seller whose price at
       c_min exceeds another seller's price at c_max (a seller present at
       every destination) is strictly worse everywhere and never wins;
-    * the charges come from broadcast tables if pincodes and distances are
-      proven small, else from ``charge_arrays``: charges of a seller pincode
-      as one array per bucket, joined to the sellers that pruning leaves
-      *before* they are expanded, so the expansion itself is never moved.
+    * a destination's charges are one array by seller number
+      (``charges_by_seller``), broadcast if proven small, else met in a grid
+      of cells; the bounds, and the charges of chunks, come from broadcast
+      tables if pincodes and distances are proven small, else from
+      ``charge_arrays``, joined to the sellers *before* they are expanded.
     """
     pins = zone_pincodes(pincodes, zone)
     if distances is None:
@@ -291,6 +332,7 @@ def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
     p = pins.withColumn("_db", F.pmod(F.xxhash64("pincode"), F.lit(buckets)).cast("int"))
     key = ["zone", "product", "_db"]
     small = fits(pins, max_broadcast_rows) and fits(distances, max_broadcast_rows)
+    numbers = seller_numbers(_zone(sellers if sellers is not None else offers, zone))
     if small:
         s = _prune_dominated(s, pins, distances, on_missing, broadcast_bounds=True)
         s = s.withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
@@ -303,27 +345,31 @@ def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
         s = s.join(arrays.drop("entries"), ["zone", "pincodeNum", "_db"], "inner")
         s = (s.withColumn("_lo", delivered_price("buyingPrice", F.col("cmin")))
              .withColumn("_hi", F.when(F.col("full"), delivered_price("buyingPrice", F.col("cmax")))))
+    s = _numbered(s, numbers, max_broadcast_rows)
     upper = F.min("_hi").over(Window.partitionBy(*key))
     s = s.repartition(*key).withColumn("_u", upper).where(F.col("_u").isNull() | (F.col("_lo") <= F.col("_u")))
-    s = s.select("zone", "product", "pincodeNum", "buyingPrice", "quantity", "_db")
-    if not small:
-        s = s.join(arrays.select("zone", "pincodeNum", "_db", "entries"), ["zone", "pincodeNum", "_db"]).repartition(*key)
+    s = s.select("zone", "product", "pincodeNum", "buyingPrice", "quantity", "_db", "_i")
+    charges = charges_by_seller(numbers, p, distances, on_missing, max_broadcast_rows)
 
     def expanded(rows: DataFrame) -> DataFrame:
         if small:
             x = rows.join(F.broadcast(p), ["zone", "_db"], "inner")
             x = attach_charge(x, distances, "pincodeNum", "pincode", on_missing, broadcast=True)
         else:
-            x = rows.select(*[c for c in rows.columns if c != "entries"], F.inline("entries"))
+            x = rows.join(arrays.select("zone", "pincodeNum", "_db", "entries"), ["zone", "pincodeNum", "_db"])
+            x = x.repartition(*key, "_sc")
+            x = x.select(*[c for c in x.columns if c != "entries"], F.inline("entries"))
         return x.withColumn("finalPrice", delivered_price("buyingPrice", F.col("charge")))
 
     out = ["product", "zone", "pincode", "finalPrice", "quantity"]
-    # no key has more sellers than there are seller pincodes (one column is read for the proof)
-    if row_count((sellers if sellers is not None else offers).select("pincodeNum").distinct()) <= seller_chunk_rows:
-        return _least(expanded(s), chunked=False).select(*out)
+    # no key has more sellers than there are seller pincodes
+    if small and row_count(numbers) <= seller_chunk_rows:
+        return _least_of_lists(s, charges, numbers, on_missing, max_broadcast_rows).select(*out)
+    if not small:
+        s = s.checkpoint()  # both parts read it
     few, many = _in_chunks(s, seller_chunk_rows)
-    return (_least(expanded(few), chunked=False).select(*out)
-            .unionByName(_least(expanded(many), chunked=True).select(*out)))
+    return (_least_of_lists(few, charges, numbers, on_missing, max_broadcast_rows).select(*out)
+            .unionByName(_least(expanded(many)).select(*out)))
 
 
 def attach_destination(offers: DataFrame, requests: DataFrame) -> DataFrame:

@@ -108,3 +108,12 @@ def test_a_product_of_many_sellers_is_dealt_by_chunks(mk, spark):
     sizes = many.groupBy("product", "_sc").count().collect()
     assert {r["product"] for r in sizes} == {1} and len(sizes) == 13 and max(r["count"] for r in sizes) == 40
     assert few.where("product = 1").count() == 0 and few.count() + many.count() == s.count()
+
+
+@pytest.mark.parametrize("layout", [dict(), dict(max_broadcast_rows=1)])
+def test_the_least_offer_is_taken_inside_the_expanded_row(mk, layout):
+    """Above the lists of sellers that meet their destinations nothing is sorted, aggregated or exchanged."""
+    offers, pincodes, distances = data(random.Random(7))
+    p = plan(min_price_for_zone(mk(offers, OFFER_DDL), mk(pincodes, PIN_DDL), distances=mk(distances, DIST_DDL), **layout))
+    least = next(i for i, line in enumerate(p) if "array_min(transform(sellers" in line)
+    assert not any(word in line for line in p[:least] for word in ("Sort", "Aggregate", "Exchange"))
