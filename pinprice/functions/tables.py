@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pinprice.functions.expr import PIN_CHARGE, ZONE_CHARGE
 from pinprice.functions.sql import price_sql
+from pinprice.operators.joins import DEFAULT_BROADCAST_ROWS, fits
 
 
 def register_table_functions(spark: SparkSession, offers: DataFrame, pincodes: DataFrame, products: DataFrame,
@@ -37,6 +38,8 @@ def register_table_functions(spark: SparkSession, offers: DataFrame, pincodes: D
         SELECT o.zone, o.product, {least} AS w FROM {prefix}offers o
         WHERE o.buyingPrice IS NOT NULL AND o.quantity > 0
           AND o.product IN (SELECT c.product FROM {prefix}products c)"""
+    # a shuffle by zone would put each zone's whole expansion into one task
+    hint = "/*+ BROADCAST(d) */ " if fits(pincodes, DEFAULT_BROADCAST_ROWS) else ""
     defs = {
         "pin_price": f"""(p {types['product']}, z STRING)
             RETURNS TABLE (product {types['product']}, zone STRING, price BIGINT)
@@ -44,10 +47,11 @@ def register_table_functions(spark: SparkSession, offers: DataFrame, pincodes: D
             FROM ({winners} GROUP BY o.zone, o.product) x WHERE x.product = p AND x.zone = upper(trim(z))""",
         "zone_prices": f"""(z STRING)
             RETURNS TABLE (product {types['product']}, zone STRING, pincode INT, finalPrice BIGINT, quantity INT)
-            RETURN SELECT x.product, x.zone, d.pincode, {price_sql(price, f'{ZONE_CHARGE}D')}, {quantity}
-            FROM ({winners} GROUP BY o.zone, o.product) x
+            RETURN SELECT {hint}y.product, y.zone, d.pincode, y.finalPrice, y.quantity
+            FROM (SELECT x.product, x.zone, {price_sql(price, f'{ZONE_CHARGE}D')} AS finalPrice, {quantity} AS quantity
+                  FROM ({winners} GROUP BY o.zone, o.product) x) y
             JOIN (SELECT DISTINCT upper(trim(q.zone)) AS zone, q.pincode FROM {prefix}pincodes q
-                  WHERE q.pincode IS NOT NULL) d ON d.zone = x.zone WHERE x.zone = upper(trim(z))""",
+                  WHERE q.pincode IS NOT NULL) d ON d.zone = y.zone WHERE y.zone = upper(trim(z))""",
         "distance": f"""(src INT, dest INT) RETURNS TABLE (src_dest STRING, distance DOUBLE)
             RETURN SELECT concat_ws('_', d.sourcePincode, d.destPincode), d.distance FROM {prefix}distances d
             WHERE d.sourcePincode = src AND d.destPincode = dest""",

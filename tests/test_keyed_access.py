@@ -205,3 +205,30 @@ def test_table_functions_by_literals_and_lateral(mk, spark):
     df = spark.sql(f"SELECT k.zone AS asked, f.* FROM t_keys k, LATERAL {pin}(k.product, k.zone) f")
     assert rows(df) == [("N", 1, "N", 119), ("S", 1, "S", 109)]
     assert not any(x in plan(df) for x in ("NestedLoop", "Cartesian", "EvalPython"))
+
+
+def test_the_zone_function_expands_without_a_shuffle_by_zone(mk, spark):
+    """The five zones would be five tasks: a zone's pincodes are broadcast, also where no plan would do so by itself."""
+    import contextlib
+    import io
+
+    from conftest import DIST_DDL, OFFER_DDL, PIN_DDL, PROD_DDL, rows
+
+    from pinprice.functions.tables import register_table_functions
+
+    offers = mk([("N", 1, 5, 100, 1.0, 2), ("N", 2, 5, 50, 1.0, 1), ("S", 1, 6, 90, 1.0, 3)], OFFER_DDL)
+    pins = mk([(10, "n "), (11, "N"), (11, "N"), (12, "S")], PIN_DDL)
+    fn = register_table_functions(spark, offers, pins, mk([(1,), (2,)], PROD_DDL), mk([], DIST_DDL), prefix="t_zone_fn_")[1]
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        df = spark.sql(f"SELECT f.* FROM VALUES ('N'), ('S') z(zone), LATERAL {fn}(z.zone) f")
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        assert "BroadcastHashJoin [zone" in buf.getvalue()
+        assert rows(df) == [(1, "N", 10, 138, 2), (1, "N", 11, 138, 2), (1, "S", 12, 128, 3),
+                            (2, "N", 10, 87, 1), (2, "N", 11, 87, 1)]
+    finally:
+        spark.conf.set(key, old)
