@@ -7,6 +7,7 @@ from pinprice.operators.joins import (
     fits,
     grid_join,
     join_small,
+    task_count,
 )
 from pinprice.operators.validate import (
     rejected_requests,
@@ -17,6 +18,6 @@ from pinprice.operators.validate import (
 
 __all__ = [
     "DEFAULT_BROADCAST_ROWS", "argmin", "expand_join", "fits", "grid_join",
-    "join_small", "last_per_key", "rejected_requests", "top_k",
+    "join_small", "last_per_key", "rejected_requests", "task_count", "top_k",
     "valid_requests", "validate_requests", "zones_of",
 ]
