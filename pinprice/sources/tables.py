@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pinprice import schemas
 from pinprice.functions.expr import normalize_zone
 from pinprice.operators.aggregate import top_k
+from pinprice.operators.joins import row_count, task_count
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
@@ -43,8 +44,11 @@ def fetch_by_id(table: DataFrame, ids: DataFrame, key: str, order: list[str],
 
     Set form of fetching one document by id and showing its first row: the
     ids are a DataFrame (semi join), so any number of keys costs one job.
+    The ids are dealt into a stated number of partitions, and the rows meet
+    them there: a task ranks a bounded number of rows, however many there are.
     """
-    rows = table.join(ids.select(key).distinct(), key, "left_semi")
+    n = task_count(table.sparkSession, row_count(table))
+    rows = table.join(ids.select(key).repartition(n, key).distinct(), key, "left_semi")
     return top_k(rows, [key], order, limit).drop("rank")
 
 
