@@ -32,7 +32,15 @@ from pinprice.functions.expr import (
     round_half_up,
 )
 from pinprice.operators.aggregate import argmin, top_k
-from pinprice.operators.joins import DEFAULT_BROADCAST_BYTES, DEFAULT_BROADCAST_ROWS, expand_join, fits, join_small, row_count
+from pinprice.operators.joins import (
+    DEFAULT_BROADCAST_BYTES,
+    DEFAULT_BROADCAST_ROWS,
+    expand_join,
+    fits,
+    join_small,
+    row_count,
+    task_count,
+)
 from pinprice.plans.charges import attach_charge, charge_arrays, charges_by_seller, listed, seller_numbers
 from pinprice.session import shared_dir
 
@@ -466,6 +474,7 @@ def quote_sellers(offers: DataFrame, distances: DataFrame, on_missing: str = "dr
     s = join_small(s, near, "pincodeNum", "left", max_broadcast_rows)
     least = F.col("_near") if on_missing == "drop" else F.least(F.coalesce("_near", F.lit(0.0)), F.lit(0.0))
     s = s.withColumn("lo", F.col("sellingPrice") + least).drop("_near")
+    s = s.repartition(task_count(offers.sparkSession, row_count(offers)), "zone", "product")
     order = Window.partitionBy("zone", "product").orderBy(F.col("lo").asc_nulls_last(), "sellingPrice", "pincodeNum")
     return s.withColumn("place", F.row_number().over(order))
 
