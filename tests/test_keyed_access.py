@@ -4,14 +4,17 @@ import contextlib
 import io
 import math
 import random
+import uuid
 
 import pytest
 from conftest import DIST_DDL, OFFER_DDL, PIN_DDL, PROD_DDL, rows, uniq
 
 from pinprice.functions.tables import register_table_functions
+from pinprice.operators.joins import task_count
 from pinprice.plans.distances import export_distances
 from pinprice.plans.jobs import recompute_quotes
 from pinprice.plans.offers import (
+    min_entry_for_pincodes,
     min_price_for_pin,
     min_price_for_zone,
     min_quote_for_pins,
@@ -19,8 +22,17 @@ from pinprice.plans.offers import (
     quote_sellers,
 )
 from pinprice.session import shared_dir
-from pinprice.sources.sinks import lookup_keys, replace_kv
-from pinprice.sources.tables import read_offers, read_table, write_offers
+from pinprice.sources.fixtures import pincodedistances, product_prices
+from pinprice.sources.sinks import (
+    lookup_keys,
+    merge_into_table,
+    merge_values,
+    price_map,
+    price_updates,
+    replace_kv,
+    write_bucketed,
+)
+from pinprice.sources.tables import fetch_by_id, read_offers, read_table, write_offers
 
 
 def plan(df):
@@ -232,3 +244,68 @@ def test_the_zone_function_expands_without_a_shuffle_by_zone(mk, spark):
                             (2, "N", 10, 87, 1), (2, "N", 11, 87, 1)]
     finally:
         spark.conf.set(key, old)
+
+
+def test_map_of_expanded_winners_is_folded_without_a_sort_of_the_expansion(spark):
+    offers = spark.createDataFrame(
+        [("ASIA", p, 1, 100 + p, 1.0, 2) for p in range(300)],
+        "zone string, product long, pincodeNum int, buyingPrice int, sellingPrice double, quantity int")
+    pins = spark.createDataFrame([(k, "ASIA") for k in range(20)], "pincode int, zone string")
+    res = min_entry_for_pincodes(offers, pins, partitions=4)
+    docs = price_map(price_updates(res, "price", unique=True))
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    # lists of the expansion are folded as they come; the collect_list there is no object hash aggregate
+    assert not [x for x in plan.splitlines() if "ObjectHashAggregate" in x and "collect_list" in x]
+    top = plan[plan.index("collect_list"):plan.index("BroadcastHashJoin")]
+    assert "Sort [" not in top and "Exchange" not in top
+    assert {r["product"]: len(r["prices"]) for r in docs.collect()} == dict.fromkeys(range(300), 20)
+
+
+def test_dealt_merge_neither_sorts_nor_moves_the_updates(spark, tmp_path):
+    name = f"state_{uuid.uuid4().hex[:8]}"
+    state = spark.createDataFrame([(1, 1, 5, 1), (1, 9, 7, 1), (2, 1, 6, 1), (9, 1, 3, 1), (None, 1, 1, 1)],
+                                  "product long, pincode int, price long, quantity int")
+    write_bucketed(state, name, str(tmp_path / "a"), ("product",), 4)
+    upd = spark.createDataFrame([(1, 1, 5, 1), (2, 1, 6, 2), (3, 1, 8, 1), (1, 2, 4, 1)],
+                                "product long, pincode int, price long, quantity int").repartition(4, "product")
+    merged = merge_values(spark.table(name), upd, unique=True, held=True)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange") == 1
+    new, n = merge_into_table(spark, name, upd, name + "_b", str(tmp_path / "b"), buckets=4, unique=True, dealt=True)
+    assert n == 3
+    assert sorted(map(tuple, new.where("product is not null").collect())) == [
+        (1, 1, 5, 1), (1, 2, 4, 1), (1, 9, 7, 1), (2, 1, 6, 2), (3, 1, 8, 1), (9, 1, 3, 1)]
+    assert new.where("product is null").count() == 1
+
+
+def test_rows_of_a_task_are_bounded(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert task_count(spark, 0) == least
+    assert task_count(spark, 10 ** 9) == max(least, 2000)
+    rows = spark.createDataFrame([(k % 5, k) for k in range(50)], "product long, quantity int")
+    first = fetch_by_id(rows, rows.where("product < 3"), "product", ["quantity"])
+    assert "REPARTITION_BY_NUM" in first._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, first.collect())) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_sellers_are_dealt_into_a_stated_number_of_partitions(spark):
+    offers = spark.createDataFrame([("ASIA", 1, 10, 5, 2.0, 1), ("ASIA", 1, 11, 5, 1.0, 1)],
+                                   "zone string, product long, pincodeNum int, buyingPrice int, sellingPrice double, quantity int")
+    dist = spark.createDataFrame([(10, 12, 1.0), (11, 12, 4.0)], "sourcePincode int, destPincode int, distance double")
+    s = quote_sellers(offers, dist)
+    assert "REPARTITION_BY_NUM" in s._jdf.queryExecution().executedPlan().toString()
+    assert [(r["pincodeNum"], r["lo"]) for r in s.orderBy("place").collect()] == [(10, 3.0), (11, 5.0)]
+
+
+def test_shipments_are_moved_by_order_into_a_stated_number_of_partitions(spark, tmp_path):
+    one = {"customer": ("c_custkey long, c_nationkey int", (1, 0)), "supplier": ("s_suppkey long, s_nationkey int", (2, 0)),
+           "orders": ("o_orderkey long, o_custkey long", (3, 1)),
+           "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double",
+                        (3, 4, 2, 250.0, 6.0))}
+    for name, (ddl, row) in one.items():
+        spark.createDataFrame([row, row] if name == "lineitem" else [row], ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    state, pairs = product_prices(spark, str(tmp_path)), pincodedistances(spark, str(tmp_path))
+    for df in (state, pairs):
+        assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in state.collect()] == [(4, 500001, 2, 6)]
+    assert [tuple(r)[:2] for r in pairs.collect()] == [(500002, 500001)]
