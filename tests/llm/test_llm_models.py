@@ -1,16 +1,19 @@
 """Toxicity and language-model scores: held-out quality, exact counts, odd rows."""
 
 import collections
+import os
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pinprice.llm import pitman_yor as Y
 from pinprice.llm import toxicity as X
 from pinprice.llm.common import crc32_mod
+from pinprice.session import shared_dir
 
 RND = random.Random(5)
 VOCAB = ["".join(RND.choice("abcdefghijklmnoprstu") for _ in range(RND.randint(2, 8))) for _ in range(800)]
@@ -277,3 +280,43 @@ def test_the_third_byte_back_has_sixteen_classes():
     rows = Y.Rows.of(flat.ravel())
     at = np.random.default_rng(4).integers(0, flat.size, 500)
     assert len(rows.rows) == 8 and (rows[at] == flat.ravel()[at]).all()
+
+
+def test_pairs_met_across_batches_are_plain_counts():
+    """Rows of a pair that lie in several batches are one count, with the blocks that can't tell it from their own."""
+    rng = np.random.default_rng(5)
+    rows = sorted({(int(v), int(u), int(b)): int(rng.integers(0, 3)) for u, v, b in rng.integers(0, 7, (900, 3))}.items())
+    v, u, b = (np.array([r[0][i] for r in rows]) for i in range(3))
+    own = np.array([r[1] for r in rows])
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, own * Y.CONTEXTS + u % Y.CONTEXTS, b)],
+                                       names=["u", "v", "tag", "block"])
+    got = [r for size in (1, 3, 1000) for r in [sorted(
+        (r["u"], r["v"], r["k"], r["c"], *r["blocks"]) for x in Y._met(batch.slice(at, size) for at in range(0, len(rows), size))
+        for r in x.to_pylist())]]
+    count = collections.Counter()
+    for (y, x, _), n in rows:
+        count[x, y] += n
+    want = []
+    for (x, y), c in count.items():
+        at = [k for (vv, uu, k), n in rows if (uu, vv) == (x, y) and (c > 1 or c > n)]
+        want += [(x, y, x % Y.CONTEXTS, c, *at)] if at else []
+    assert got == [sorted(want)] * 3 and len(list(Y._met(iter([])))) == 1
+
+
+def test_language_model_leaves_no_old_tables(spark, monkeypatch):
+    """What rounds and passes leave behind is deleted, in two passes as in one, with the same scores."""
+    def left():
+        base = shared_dir(spark, "llm", unique=False).removeprefix("file:")
+        return sorted((d, x) for d in os.listdir(base) for x in os.listdir(f"{base}/{d}") if d.startswith("py-")) if os.path.isdir(base) else []
+
+    docs = [(i, " ".join(RND.choices(VOCAB[:40], k=12))) for i in range(60)] + [(90, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    seen = []
+    for tokens_of_a_pass in (1 << 21, 10):
+        monkeypatch.setattr(Y, "PASS_TOKENS", tokens_of_a_pass)
+        before = set(left())
+        seen.append(sorted(Y.perplexity(df, F.col("doc_id") % 5 != 1).collect()))
+        new = collections.Counter(d for d, _ in set(left()) - before)
+        assert new["py-classes"] == new["py-seated"] == new["py-bases"] == new["py-words"] == new["py-pairs"] == 0
+        assert new["py-scores"] == len(seen)
+    assert seen[0] == seen[1]
