@@ -3,13 +3,15 @@
 import contextlib
 import io
 import math
+import os
 import random
 
 import pytest
 from conftest import DIST_DDL, OFFER_DDL, PIN_DDL, rows
 
 from pinprice.plans.charges import charge_arrays
-from pinprice.plans.offers import _in_chunks, min_price_for_zone, seller_winners
+from pinprice.plans.offers import _in_chunks, _lists, _lists_in_chunks, min_price_for_zone, seller_winners
+from pinprice.session import materialised, shared_dir
 
 
 def data(rng, sellers=30, pins=25, products=3):
@@ -117,3 +119,38 @@ def test_the_least_offer_is_taken_inside_the_expanded_row(mk, layout):
     p = plan(min_price_for_zone(mk(offers, OFFER_DDL), mk(pincodes, PIN_DDL), distances=mk(distances, DIST_DDL), **layout))
     least = next(i for i, line in enumerate(p) if "array_min(transform(sellers" in line)
     assert not any(word in line for line in p[:least] for word in ("Sort", "Aggregate", "Exchange"))
+
+
+def test_lists_of_many_sellers_are_dealt_by_chunks(mk):
+    offers = [("N", 1, s, 100, 1.0, 1) for s in range(90)] + [("N", 2, s, 100, 1.0, 1) for s in range(40)]
+    s = seller_winners(mk(offers, OFFER_DDL)).selectExpr("*", "0 AS _db", "pincodeNum AS _i")
+    few, many = _lists_in_chunks(_lists(s), 40)
+    assert [(r["product"], len(r["sellers"])) for r in few.collect()] == [(2, 40)]
+    assert sorted((r["product"], r["_sc"], r["count"]) for r in many.groupBy("product", "_sc").count().collect()) == [
+        (1, 0, 40), (1, 1, 40), (1, 2, 10)]
+    assert sorted(r["pincodeNum"] for r in many.collect()) == list(range(90))
+
+
+def test_beyond_the_broadcast_bound_steps_are_kept_as_columns(mk, spark):
+    """Only the charges are checkpointed, as rows in memory are; the seller winners go when the lists are stored."""
+    base = shared_dir(spark, unique=False).removeprefix("file:")
+    kinds = ("zone-sellers", "zone-lists")
+
+    def there():
+        of = {k: len(os.listdir(f"{base}/{k}")) if os.path.isdir(f"{base}/{k}") else 0 for k in kinds}
+        return of, sum(x.startswith("rdd-") for _, dirs, _ in os.walk(base) for x in dirs)
+
+    offers, pincodes, distances = data(random.Random(8))
+    (before, rdds), got = there(), min_price_for_zone(mk(offers, OFFER_DDL), mk(pincodes, PIN_DDL), distances=mk(distances, DIST_DDL),
+                                                      max_broadcast_rows=1)
+    assert rows(got) == brute(offers, pincodes, distances, "zero")
+    after, rdds_after = there()
+    assert [after[k] - before[k] for k in kinds] == [0, 1] and rdds_after == rdds + 1
+
+
+def test_a_stored_step_keeps_no_shuffle_files(mk, spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    df = mk([(i, i % 7) for i in range(1000)], "a long, b long")
+    assert sorted(r["n"] for r in materialised(df.groupBy("b").agg({"a": "count"}).toDF("b", "n"), "steps").collect()) == [142] + [143] * 6
+    assert spark.conf.get(key, None) == before
