@@ -278,35 +278,83 @@ def _numbered(sellers: DataFrame, numbers: DataFrame, max_broadcast_rows: int) -
     return join_small(sellers, n, on, max_broadcast_rows=max_broadcast_rows).drop("_z", "_s")
 
 
-def _least_of_lists(lists: DataFrame, charges: DataFrame, numbers: DataFrame, on_missing: str,
-                    max_broadcast_rows: int) -> DataFrame:
-    """The least offer per (product, zone, pincode) of the lists of numbered sellers of (zone, product, _db).
+#: Sellers of a list that are priced side by side, as columns of one generated loop; longer lists are priced as arrays.
+SLOTS = 4
 
-    A list meets each destination of its bucket with the destination's charges. The least price is taken inside that row, so
-    the expansion has exactly the rows of the result, and none of them is
-    sorted, aggregated or moved.
+#: Bytes of charges that one row holds (a block of destinations).
+BLOCK_BYTES = 8 << 20
+
+
+def _slots(lists: DataFrame) -> DataFrame:
+    """Lists of numbered sellers as columns: number, cost (price and margin) and quantity of the first ``SLOTS``.
+
+    ``_mine``: there are no more than these. They come in the order of (buyingPrice, quantity), the order of ties; a list that is shorter has nulls.
     """
     def cost(o):
         b = o["buyingPrice"].cast("double")
-        return F.struct(o["_i"].alias("_i"), (b + F.lit(MARGIN) * b).alias("cost"), o["buyingPrice"].alias("buyingPrice"),
-                        o["quantity"].alias("quantity"))
+        return F.struct(o["buyingPrice"].alias("b"), o["quantity"].alias("q"), o["_i"].alias("i"), (b + F.lit(MARGIN) * b).alias("c"))
 
-    lists = lists.withColumn("sellers", F.transform("sellers", cost))
-    widest = numbers.groupBy("zone").count().agg(F.max("count")).first()[0] or 0
-    bound = min(max_broadcast_rows, DEFAULT_BROADCAST_BYTES // (64 + 8 * widest))
-    x = expand_join(lists, charges, ["zone", "_db"], bound)
+    s = lists.select("zone", "product", "_db", (F.size("sellers") <= SLOTS).alias("_mine"),
+                     F.array_sort(F.transform("sellers", cost)).alias("_s"))
+    return s.select("zone", "product", "_db", "_mine", *[F.get("_s", F.lit(j))[f].alias(f"_{f}{j}") for j in range(SLOTS) for f in "icq"])
 
+
+def _least_of_slots(x: DataFrame, on_missing: str) -> DataFrame:
+    """The least offer of every list (as columns, by ``_slots``) and destination (``_dest``) that met.
+
+    Every expression here is compiled, where functions of arrays are interpreted seller by seller.
+    """
+    each = range(SLOTS)
+    # a seller that isn't there, or doesn't serve the destination, has no price and is passed over
+    priced = [round_half_up(F.col(f"_c{j}") + F.get("_dest.charges", F.col(f"_i{j}"))).alias(f"_p{j}") for j in each]
+    x = x.select("product", "zone", F.col("_dest.pincode").alias("pincode"), *priced, *[f"_q{j}" for j in each])
+    x = x.select("*", F.least(*[F.col(f"_p{j}") for j in each]).alias("finalPrice"))
+    first = F.coalesce(*[F.when(F.col(f"_p{j}") == F.col("finalPrice"), F.col(f"_q{j}")) for j in each])
+    x = x.select("product", "zone", "pincode", "finalPrice", first.alias("quantity"))
+    return x if on_missing == "zero" else x.where(F.col("finalPrice").isNotNull())
+
+
+def _least_of_arrays(x: DataFrame, on_missing: str) -> DataFrame:
+    """The least offer of every list (``sellers``) and destination (``_dest``) that met, for lists of any length."""
     def priced(o):
-        charge = F.get("charges", o["_i"])
-        price = round_half_up(o["cost"] + charge).alias("finalPrice")
+        b = o["buyingPrice"].cast("double")
+        charge = F.get("_dest.charges", o["_i"])
+        price = round_half_up(b + F.lit(MARGIN) * b + charge).alias("finalPrice")
         offer = F.struct(price, o["buyingPrice"].alias("buyingPrice"), o["quantity"].alias("quantity"))
         return offer if on_missing == "zero" else F.when(charge.isNotNull(), offer)
 
+    key = ["product", "zone", F.col("_dest.pincode").alias("pincode")]
+    best = F.array_min(F.transform("sellers", priced))
     # as a generator the least offer is computed once, where a filter and its fields would each compute it again
-    best = F.array_compact(F.array(F.array_min(F.transform("sellers", priced))))
-    return x.select("product", "zone", "pincode", F.inline(best)) if on_missing == "drop" else x.select(
-        "product", "zone", "pincode", F.array_min(F.transform("sellers", priced)).alias("_w")).select(
-        "product", "zone", "pincode", "_w.finalPrice", "_w.buyingPrice", "_w.quantity")
+    x = (x.select(*key, F.inline(F.array_compact(F.array(best)))) if on_missing == "drop"
+         else x.select(*key, best.alias("_w")).select("product", "zone", "pincode", "_w.*"))
+    return x.select("product", "zone", "pincode", "finalPrice", "quantity")
+
+
+def _least_of_lists(lists: DataFrame, charges: DataFrame, pins: DataFrame, numbers: DataFrame, on_missing: str,
+                    max_broadcast_rows: int, dest_bucket_rows: int, partitions: int) -> DataFrame:
+    """The least offer per (product, zone, pincode) of the lists of numbered sellers of (zone, product, _db):
+    product, zone, pincode, finalPrice, quantity.
+
+    A list meets the destinations of its bucket as one array (or a few, of ``BLOCK_BYTES`` at most), which is
+    walked; each holds its charges. The least price is taken inside that
+    row, so the expansion has exactly the rows of the result, and none of
+    them is sorted, aggregated or moved.
+    """
+    widest = numbers.groupBy("zone").count().agg(F.max("count")).first()[0] or 0
+    blocks = -(-dest_bucket_rows * (64 + 8 * widest) // BLOCK_BYTES)
+    dests = charges.groupBy("zone", "_db", F.pmod(F.xxhash64("pincode"), F.lit(blocks)).alias("_block")).agg(
+        F.collect_list(F.struct("pincode", "charges")).alias("dests")).drop("_block")
+    bound = min(max_broadcast_rows, DEFAULT_BROADCAST_BYTES // (64 + 8 * widest))
+
+    def met(rows):
+        x = expand_join(rows, dests, ["zone", "_db"], bound, held=pins, partitions=partitions)
+        # not a filter of the lists: below their exchange it would make them two, and every list would be made twice
+        mine = F.explode(F.when(F.col("_mine"), F.col("dests"))).alias("_dest")
+        return x.select(*[c for c in rows.columns if c not in ("_db", "_mine")], mine)
+
+    many = lists.select("zone", "product", "_db", "sellers", (F.size("sellers") > SLOTS).alias("_mine"))
+    return _least_of_arrays(met(many), on_missing).unionByName(_least_of_slots(met(_slots(lists)), on_missing))
 
 
 def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
@@ -359,7 +407,9 @@ def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
     p = pins.withColumn("_db", F.pmod(F.xxhash64("pincode"), F.lit(buckets)).cast("int"))
     key = ["zone", "product", "_db"]
     small = fits(pins, max_broadcast_rows) and fits(distances, max_broadcast_rows)
-    numbers = seller_numbers(_zone(sellers if sellers is not None else offers, zone))
+    # read many times, and as small as the seller pincodes are few: the offers are scanned for them once
+    numbers = materialised(seller_numbers(_zone(sellers if sellers is not None else offers, zone)), "zone-numbers")
+    numbers = numbers if small else numbers.hint("merge")
     if small:
         s = _prune_dominated(s, pins, distances, on_missing, broadcast_bounds=True)
         s = s.withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
@@ -391,19 +441,26 @@ def min_price_for_zone(offers: DataFrame, pincodes: DataFrame,
         return x.withColumn("finalPrice", delivered_price("buyingPrice", F.col("charge")))
 
     out = ["product", "zone", "pincode", "finalPrice", "quantity"]
+    # the lists are dealt once more, into a stated number of partitions: adaptive execution would merge those of the sellers
+    # into a few, and share them out between lists by length (dealt in another order of the key, or the plan drops it)
+    dealt = ["product", "zone", "_db"]
+    n = task_count(pins.sparkSession, row_count(offers if sellers is None else sellers))
+
+    def least(of):
+        return _least_of_lists(of, charges, p, numbers, on_missing, max_broadcast_rows, dest_bucket_rows, n)
+
     # no key has more sellers than there are seller pincodes
     if small and row_count(numbers) <= seller_chunk_rows:
-        return _least_of_lists(_lists(s), charges, numbers, on_missing, max_broadcast_rows).select(*out)
+        return least(_lists(s).repartition(n, *dealt))
     if small:
         few, many = _in_chunks(s, seller_chunk_rows)
-        few = _lists(few)
+        few = _lists(few).repartition(n, *dealt)
     else:
         # both parts read it; stored small, its lists may still be too large to be sent to every task
         lists = materialised(_lists(s), "zone-lists").hint("merge")
         dropped(winners)
         few, many = _lists_in_chunks(lists, seller_chunk_rows)
-    return (_least_of_lists(few, charges, numbers, on_missing, max_broadcast_rows).select(*out)
-            .unionByName(_least(expanded(many)).select(*out)))
+    return least(few).unionByName(_least(expanded(many)).select(*out))
 
 
 def attach_destination(offers: DataFrame, requests: DataFrame) -> DataFrame:

@@ -154,3 +154,25 @@ def test_a_stored_step_keeps_no_shuffle_files(mk, spark):
     df = mk([(i, i % 7) for i in range(1000)], "a long, b long")
     assert sorted(r["n"] for r in materialised(df.groupBy("b").agg({"a": "count"}).toDF("b", "n"), "steps").collect()) == [142] + [143] * 6
     assert spark.conf.get(key, None) == before
+
+
+@pytest.mark.parametrize("on_missing", ["zero", "drop"])
+@pytest.mark.parametrize("layout", [dict(), dict(max_broadcast_rows=0, dest_bucket_rows=4)])
+def test_lists_on_both_sides_of_the_slots_equal_brute_force(mk, layout, on_missing):
+    """Lists shorter and longer than the compiled slots, with ties, in blocks of few destinations."""
+    offers = [("N", p, s, 100 + (s % 2), 1.0, 1 + s % 3) for p in range(8) for s in range(p + 1)]
+    pincodes = [(k, "N") for k in range(9)]
+    distances = [(s, k, float((s * 5 + k * 3) % 7)) for s in range(8) for k in range(9) if (s + k) % 4]
+    got = min_price_for_zone(mk(offers, OFFER_DDL), mk(pincodes, PIN_DDL), distances=mk(distances, DIST_DDL),
+                             on_missing=on_missing, **layout)
+    assert rows(got) == brute(offers, pincodes, distances, on_missing)
+
+
+@pytest.mark.parametrize("layout", [dict(), dict(max_broadcast_rows=0)])
+def test_short_lists_are_priced_by_compiled_expressions(mk, layout):
+    """No function of arrays, which is interpreted seller by seller, lies above the walk of destinations of short lists."""
+    offers, pincodes, distances = data(random.Random(9))
+    p = plan(min_price_for_zone(mk(offers, OFFER_DDL), mk(pincodes, PIN_DDL), distances=mk(distances, DIST_DDL), **layout))
+    price = next(i for i, line in enumerate(p) if "least(_p0" in line)
+    walk = next(i for i in range(price, len(p)) if "Generate explode" in p[i])
+    assert not any("transform(" in line for line in p[price:walk])
