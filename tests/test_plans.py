@@ -155,3 +155,12 @@ def test_least_offer_sorts_sellers_only(spark):
     scan = next(i for i, line in enumerate(p) if "FileScan" in line)
     above = next(i for i in range(scan, 0, -1) if "Aggregate" in p[i])
     assert "HashAggregate" in p[above]
+
+
+def test_zone_prices_are_computed_before_the_expansion(spark):
+    """A zone's pincodes are one array that is walked; nothing is computed for an expanded row, and the winners that meet
+    them are dealt into a stated number of tasks."""
+    lines = plan(E.queries()["q11_min_for_zone_flat"](spark, SF001), "simple").split("\n")
+    walk = next(i for i, line in enumerate(lines) if "Generate explode(pincodes" in line)
+    assert not any("FLOOR" in line for line in lines[:walk]) and any("FLOOR" in line for line in lines[walk:])
+    assert any("RoundRobinPartitioning" in line for line in lines[walk:])
