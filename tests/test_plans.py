@@ -164,3 +164,12 @@ def test_zone_prices_are_computed_before_the_expansion(spark):
     walk = next(i for i, line in enumerate(lines) if "Generate explode(pincodes" in line)
     assert not any("FLOOR" in line for line in lines[:walk]) and any("FLOOR" in line for line in lines[walk:])
     assert any("RoundRobinPartitioning" in line for line in lines[walk:])
+
+
+def test_change_set_deals_winners_once_and_reads_its_paths(spark):
+    """Winners are dealt before they meet their zone sets, which are numbers; an entry's path is made once per pincode."""
+    lines = plan(E.queries()["q18_price_updates"](spark, SF001), "simple").split("\n")
+    dealt = next(i for i, line in enumerate(lines) if "REPARTITION_BY_NUM" in line)
+    assert any("BroadcastHashJoin [zone#" in line for line in lines[:dealt])
+    walk = next(i for i, line in enumerate(lines) if "Generate posexplode(pincodes" in line)
+    assert not any("concat(prices." in line for line in lines[:walk]) and any("concat(prices." in line for line in lines[walk:])
