@@ -173,3 +173,11 @@ def test_change_set_deals_winners_once_and_reads_its_paths(spark):
     assert any("BroadcastHashJoin [zone#" in line for line in lines[:dealt])
     walk = next(i for i, line in enumerate(lines) if "Generate posexplode(pincodes" in line)
     assert not any("concat(prices." in line for line in lines[:walk]) and any("concat(prices." in line for line in lines[walk:])
+
+
+def test_price_maps_are_folded_group_by_group(spark):
+    """The lists that become a product's map hold its groups of pincodes, not each entry."""
+    lines = plan(E.queries()["q33_price_map_entries"](spark, SF001), "simple").split("\n")
+    fold = next(i for i, line in enumerate(lines) if "collect_list" in line)
+    assert "SortAggregate" in lines[fold] and "pincodes" in lines[fold]
+    assert not any("explode(pincodes" in line and "Generate" in line for line in lines[fold:fold + 4])
