@@ -242,3 +242,35 @@ def test_fetch_by_id_first_rows(mk, spark):
     ids = spark.createDataFrame([(1,), (1,), (2,), (9,)], "id BIGINT")
     assert rows(fetch_by_id(t, ids, "id", ["s", "v"])) == [(1, "a", 5), (2, "z", 1)]
     assert len(rows(fetch_by_id(t, ids, "id", ["s", "v"], limit=2))) == 3
+
+
+def test_entries_in_groups_equal_flat_ones(mk):
+    """As change set and as map: pincodes under several zones, zones without offers, products without a known one."""
+    rng = random.Random(11)
+    offers = mk([(rng.choice("ABC"), rng.choice([None, 1, 2, 3]), 1, rng.choice([None, 5, 6, 7]), 1.0, rng.choice([None, 0, 1, 2]))
+                 for _ in range(60)], OFFER_DDL)
+    pins = mk([(p, z) for p in [*range(30), None] for z in rng.sample(["A", "b ", "C", None, "D"], rng.randint(1, 4))], PIN_DDL)
+    want = price_updates(min_entry_for_pincodes(offers, pins), "price", unique=True)
+    entries = {(r["product"], k): tuple(v) for r in price_map(want).collect() for k, v in r["prices"].items()}
+    for options in ({}, {"partitions": 4}, {"max_broadcast_rows": 1}, {"max_broadcast_rows": 1, "partitions": 3}):
+        groups = min_entry_for_pincodes(offers, pins, grouped=True, **options)
+        got = price_updates(groups, "price", unique=True)
+        assert got.columns == want.columns and rows(got) == rows(want)
+        docs = price_map(price_updates(groups, "price", unique=True, grouped=True)).collect()
+        assert {(r["product"], k): tuple(v) for r in docs for k, v in r["prices"].items()} == entries
+        assert len({r["product"] for r in docs}) == len(docs)
+
+
+def test_zone_versions_are_merged_from_groups(mk, spark, monkeypatch):
+    """The job walks the groups of entries itself; the expansion is not made in the order of products for it."""
+    import pinprice.plans.jobs as jobs
+
+    asked = []
+    real = jobs.min_entry_for_pincodes
+    monkeypatch.setattr(jobs, "min_entry_for_pincodes", lambda *a, **k: asked.append(k.get("grouped")) or real(*a, **k))
+    offers, pins = mk([("A", 1, 1, 100, 1.0, 5), ("B", 1, 2, 90, 1.0, 6)], OFFER_DDL), mk([(10, "A"), (10, "B"), (11, "A")], PIN_DDL)
+    base, v0, v1 = shared_dir(spark, "test-groups"), uniq("t_groups_v0"), uniq("t_groups_v1")
+    write_bucketed(mk([(1, 11, 138, 5), (7, 1, 1, 1)], PRICES_DDL), v0, f"{base}/v0", ("product",), 4)
+    new, n = jobs.recompute_zone_prices(spark, offers, pins, v0, v1, f"{base}/v1", buckets=4)
+    assert asked == [True] and n.first()["n"] == 1
+    assert rows(new) == [(1, 10, 128, 6), (1, 11, 138, 5), (7, 1, 1, 1)]
